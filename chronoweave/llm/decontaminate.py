@@ -26,11 +26,11 @@ from . import text_hash as H
 #: have windows of their own length.
 LADDER = ((6, 1), (12, 2), (24, 4), (48, 8), (96, 16), (192, 32))
 #: Walks, samples of each walk, sampled positions of each sample.
-WALKS, SAMPLES, SAMPLED = 3, 6, 5
+WALKS, SAMPLES, SAMPLED = 2, 6, 5
 #: Characters of benchmark items that one block holds.
 ITEM_BLOCK = 4_000_000
 #: Share of an item's words that may be edited.
-EDITS = 0.2
+EDITS = 0.15
 _TABLE_BITS = 22
 
 
@@ -45,27 +45,27 @@ def _samples(length: int, walk: int) -> list[np.ndarray]:
 
 
 def signatures(x: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Signatures (WALKS * SAMPLES, starts) of the windows of x that begin at starts; x has 0 where no word is, and at
-    least `length` of those after each text."""
+    """Signatures (WALKS * SAMPLES, starts) of the windows of x that begin at starts; x has 0 where no word is, at
+    least twice `length` times at its end."""
     out = np.zeros((WALKS * SAMPLES, len(starts)), dtype=np.uint64)
     for walk in range(WALKS):
         samples = _samples(length, walk)
         last = max(s[-1] for s in samples)
+        odd = H.mixed(np.arange(last + 1, dtype=np.uint64), 999) | np.uint64(1)
         coins = [H.mixed(x, 1000 * length + 10 * walk + half) for half in range(last // 64 + 1)]
         for begin in range(0, len(starts), 1 << 15):
             s = starts[begin : begin + (1 << 15)]
             part = out[walk * SAMPLES : (walk + 1) * SAMPLES, begin : begin + (1 << 15)]
-            at, end = s.copy(), s + length
+            at, end, bit = s.copy(), s + length, np.empty(len(s), dtype=np.uint64)
             for step in range(last + 1):
-                inside = at < end
-                here = np.minimum(at, end - 1)
-                wanted = [k for k in range(SAMPLES) if step in samples[k]]
-                if wanted:
-                    seen = np.where(inside, x[here], np.uint64(0))
+                if wanted := [k for k in range(SAMPLES) if step in samples[k]]:
+                    seen = np.where(at < end, x[at], np.uint64(0))  # a walk past its window writes blanks
                     for k in wanted:
-                        part[k] = (part[k] + seen) * np.uint64(0xD6E8FEB86659FD93)
-                        part[k] ^= part[k] >> np.uint64(29)
-                at += ((coins[step // 64][here] >> np.uint64(step % 64)) & np.uint64(1)).astype(np.int64)
+                        part[k] += seen * odd[step]
+                np.take(coins[step // 64], at, out=bit, mode="clip")
+                bit >>= np.uint64(step % 64)
+                bit &= np.uint64(1)
+                at += bit.view(np.int64)
     salt = np.arange(WALKS * SAMPLES, dtype=np.uint64)[:, None] + np.uint64(1000 * length)
     return H.mixed(out + salt * np.uint64(0x9E3779B97F4A7C15))
 
@@ -74,7 +74,7 @@ def _padded(words: np.ndarray, ends: np.ndarray, pad: int) -> tuple[np.ndarray,
     """Words with `pad` zeros after each text, and where each text begins there."""
     n = np.diff(ends)
     begins = ends[:-1] + pad * np.arange(len(n))
-    x = np.zeros(len(words) + pad * len(n), dtype=np.uint64)
+    x = np.zeros(len(words) + pad * (len(n) + 1), dtype=np.uint64)
     x[np.arange(len(words)) + np.repeat(pad * np.arange(len(n)), n)] = np.where(words == 0, np.uint64(1), words)
     return x, begins
 

@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, sharding
+from . import decontaminate, mixing, near_dup, quality_rules, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.cluster(_read(spark, sf_dir, "documents"), k=3, num=85, den=100)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality_prob", 6).alias("quality_prob"))
@@ -23,13 +27,19 @@ def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_read(spark, sf_dir, "documents"))
 
 
+def op9_cgk_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hyperminhash": op1_hyperminhash,
     "op5_quality_rules": op5_quality_rules,
     "op6_kd_shards": op6_kd_shards,
+    "op9_cgk_decontaminate": op9_cgk_decontaminate,
     "op10_entropy_mix": op10_entropy_mix,
 }
 
@@ -76,4 +86,21 @@ def _odds(rules: list[str]) -> str:
     return "prior + " + " + ".join(f"CASE v_{r} WHEN 1 THEN o_{r}_2 WHEN -1 THEN o_{r}_0 ELSE o_{r}_1 END" for r in rules)
 
 
-ORACLES: dict[str, str] = {"op5_quality_rules": _rules_sql()}
+#: op1 in DuckDB: all pairs that share a shingle, exactly, and reachability.
+_NEAR_DUP_SQL = """WITH RECURSIVE base AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    shingles AS MATERIALIZED (
+      SELECT DISTINCT doc_id, g FROM (
+        SELECT doc_id, concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS g FROM base, unnest(range(1, len(w) - 1)) AS u(i) WHERE len(w) >= 3
+        UNION ALL SELECT doc_id, concat_ws(' ', w[1], w[2]) FROM base WHERE len(w) IN (1, 2))),
+    sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+    links AS MATERIALIZED (SELECT a, b FROM common c JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * c.n >= 85 * (s.n + t.n - c.n)),
+    both AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach(node, far) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.node, both.b FROM reach JOIN both ON both.a = reach.far),
+    least_of AS (SELECT node, min(far) AS component_id FROM reach GROUP BY node)
+    SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+    FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN least_of ON node = d.doc_id"""
+
+
+ORACLES: dict[str, str] = {"op1_hyperminhash": _NEAR_DUP_SQL, "op5_quality_rules": _rules_sql()}
