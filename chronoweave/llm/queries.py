@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, near_dup, quality_rules, sharding
+from . import decontaminate, html_text, mixing, near_dup, quality_rules, reply_trees, sharding, warc_zip
+from .shared import Scratch
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +19,10 @@ def op1_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.cluster(_read(spark, sf_dir, "documents"), k=3, num=85, den=100)
 
 
+def op2_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_read(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality_prob", 6).alias("quality_prob"))
@@ -27,6 +32,19 @@ def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_read(spark, sf_dir, "documents"))
 
 
+def op7_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.sql("SELECT -7L AS conv_id, turn, role FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)").withColumn("text", F.lit(said))
+    return reply_trees.digests(reply_trees.conversations(reply_trees.chain(told.unionByName(extra))))
+
+
+def op8_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "warc")
+    archives = warc_zip.write_archives(_read(spark, sf_dir, "pages"), scratch.path("zip"), scratch)
+    return warc_zip.read_archives(archives).drop("url", "payload")
+
+
 def op9_cgk_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -37,8 +55,11 @@ def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hyperminhash": op1_hyperminhash,
+    "op2_site_templates": op2_site_templates,
     "op5_quality_rules": op5_quality_rules,
     "op6_kd_shards": op6_kd_shards,
+    "op7_reply_trees": op7_reply_trees,
+    "op8_zip_warc": op8_zip_warc,
     "op9_cgk_decontaminate": op9_cgk_decontaminate,
     "op10_entropy_mix": op10_entropy_mix,
 }
@@ -96,11 +117,32 @@ _NEAR_DUP_SQL = """WITH RECURSIVE base AS (
     sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
     common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
     links AS MATERIALIZED (SELECT a, b FROM common c JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * c.n >= 85 * (s.n + t.n - c.n)),
-    both AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-    reach(node, far) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.node, both.b FROM reach JOIN both ON both.a = reach.far),
+    linked AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach(node, far) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.node, linked.b FROM reach JOIN linked ON linked.a = reach.far),
     least_of AS (SELECT node, min(far) AS component_id FROM reach GROUP BY node)
     SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
     FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN least_of ON node = d.doc_id"""
 
 
-ORACLES: dict[str, str] = {"op1_hyperminhash": _NEAR_DUP_SQL, "op5_quality_rules": _rules_sql()}
+#: op7 in DuckDB: the turns and the learned texts by conversation, and the template's lengths.
+_CHAT_SQL = """WITH told AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, turn, role, '\\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS t(turn, role))
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           CAST(sum(15 + length(role) + length(text) + len(regexp_extract_all(text, '(?m)^\\\\*### |\\\\*</turn>'))) AS BIGINT) AS formatted_chars
+    FROM told GROUP BY conv_id"""
+
+#: op8 in DuckDB: digests, and the largest page of each large payload.
+_WARC_SQL = """WITH paid AS (
+      SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+    told AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS response FROM paid)
+    SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+           CASE WHEN response = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN response <> page_id THEN response END AS refers_to
+    FROM told"""
+
+
+ORACLES: dict[str, str] = {"op7_reply_trees": _CHAT_SQL, "op8_zip_warc": _WARC_SQL, "op1_hyperminhash": _NEAR_DUP_SQL, "op5_quality_rules": _rules_sql()}
