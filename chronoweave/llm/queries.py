@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, mixing, near_dup, quality_rules, reply_trees, sharding, warc_zip
+from . import classifier, decontaminate, html_text, mixing, near_dup, pseudo_likelihood, quality_rules, reply_trees, sharding, warc_zip
 from .shared import Scratch
 
 
@@ -23,6 +23,14 @@ def op2_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_read(spark, sf_dir, "pages"))
 
 
+def op3_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.score(_read(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality_prob", 6).alias("quality_prob"))
@@ -56,6 +64,8 @@ def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hyperminhash": op1_hyperminhash,
     "op2_site_templates": op2_site_templates,
+    "op3_subword_quality": op3_subword_quality,
+    "op4_pseudo_likelihood": op4_pseudo_likelihood,
     "op5_quality_rules": op5_quality_rules,
     "op6_kd_shards": op6_kd_shards,
     "op7_reply_trees": op7_reply_trees,
