@@ -84,11 +84,10 @@ def paths(nodes: DataFrame, top: int | None = 1, scratch: Scratch | None = None)
     ups = [now]
     left = now.where("up IS NOT NULL").count()
     while left:
+        # nodes whose pointer is past the root are done and only passed on
         far = now.select("tree", F.col("node").alias("up"), F.col("up").alias("far"), F.col("total").alias("far_total"), F.col("steps").alias("far_steps"))
-        now = scratch.table(
-            now.join(far, ["tree", "up"], "left").select("tree", "node", F.col("far").alias("up"), (F.col("total") + F.coalesce("far_total", F.lit(0.0))).alias("total"), (F.col("steps") + F.coalesce("far_steps", F.lit(0))).alias("steps")),
-            "round",
-        )
+        moved = now.where("up IS NOT NULL").join(far, ["tree", "up"]).select("tree", "node", F.col("far").alias("up"), (F.col("total") + F.col("far_total")).alias("total"), (F.col("steps") + F.col("far_steps")).alias("steps"))
+        now = scratch.table(now.where("up IS NULL").select(*moved.columns).unionByName(moved), "round")
         ups.append(now)
         before, left = left, now.where("up IS NOT NULL").count()
         if left == before:  # only cycles are left
