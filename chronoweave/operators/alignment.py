@@ -17,8 +17,15 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 
+def _apart(df: DataFrame) -> DataFrame:
+    """df with columns of its own, so that it can be cogrouped with a frame that it was made from."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def _channels(a: pd.DataFrame, b: pd.DataFrame) -> tuple[list, list]:
     """(t, v) per channel that both sides have."""
+    if a.empty or b.empty:  # a group that one side lacks has no columns there
+        return [], []
     sides = [{c: K.distinct_times(g["t"].to_numpy(float), g["value"].to_numpy(float)) for c, g in side.dropna(subset=["t", "value"]).groupby("channel")} for side in (a, b)]
     names = sorted(c for c in sides[0] if c in sides[1] and len(sides[0][c][0]) >= 10 and len(sides[1][c][0]) >= 10)
     return [sides[0][c] for c in names], [sides[1][c] for c in names]
@@ -32,7 +39,7 @@ def coarse_offsets(source: DataFrame, target: DataFrame, hz: float = 50.0) -> Da
         offset = K.coarse_offset(x, y, hz) if x else np.nan
         return pd.DataFrame([(*key, None if np.isnan(offset) else offset)], columns=["rec", "grp", "offset"])
 
-    return source.groupBy("rec", "grp").cogroup(target.groupBy("rec", "grp")).applyInPandas(run, "rec long, grp string, offset double")
+    return source.groupBy("rec", "grp").cogroup(_apart(target).groupBy("rec", "grp")).applyInPandas(run, "rec long, grp string, offset double")
 
 
 def priors(coarse: DataFrame, width: float = 0.5, top: int = 5) -> DataFrame:
@@ -66,7 +73,7 @@ def window_offsets(source: DataFrame, target: DataFrame, guesses: DataFrame, len
                 rows.append((*key, ask["prior"], len(centres), centre, *((got[k] for k in ("offset", "peak", "margin", "boundary")) if got else (None,) * 4)))
         return pd.DataFrame(rows, columns=["rec", "grp", "prior", "windows", "centre", "offset", "peak", "margin", "boundary"])
 
-    return left.groupBy("rec", "grp").cogroup(target.groupBy("rec", "grp")).applyInPandas(run, "rec long, grp string, prior double, windows long, centre double, offset double, peak double, margin double, boundary boolean")
+    return left.groupBy("rec", "grp").cogroup(_apart(target).groupBy("rec", "grp")).applyInPandas(run, "rec long, grp string, prior double, windows long, centre double, offset double, peak double, margin double, boundary boolean")
 
 
 def combined_windows(windows: DataFrame, least_peak: float = 0.30, least_margin: float = 0.02, width: float = 0.150, least_groups: int = 1) -> DataFrame:
@@ -129,10 +136,10 @@ def matched_chunks(raw: DataFrame, copy: DataFrame, size: int = 20, radius: int
     """rec, chunk, start, candidates: where each chunk of a copied sequence (rec, seq, value) stands in the raw one."""
 
     def run(key, a, b):
-        x, y = (d.sort_values("seq")["value"].to_numpy(float) for d in (a, b))
+        x, y = (d.sort_values("seq")["value"].to_numpy(float) if len(d) else np.zeros(0) for d in (a, b))
         return pd.DataFrame([(*key, *m) for m in K.match_chunks(x, y, size, radius)], columns=["rec", "chunk", "start", "candidates"]).astype({"start": "Int64"})
 
-    return raw.groupBy("rec").cogroup(copy.groupBy("rec")).applyInPandas(run, "rec long, chunk long, start long, candidates long")
+    return raw.groupBy("rec").cogroup(_apart(copy).groupBy("rec")).applyInPandas(run, "rec long, chunk long, start long, candidates long")
 
 
 def repair_summary(chunks: DataFrame, size: int = 20) -> DataFrame:
