@@ -126,7 +126,7 @@ def identity_replaced(name: Column, pid: Column, visit: Column, new: Column) ->
 def shifted_decimal(x: Column, delta: Column) -> Column:
     """A decimal text moved by whole seconds, with the digits it had after the point."""
     places = F.length(F.regexp_extract(x, r"\.(\d*)$", 1))
-    moved = x.cast("decimal(38,9)") + delta.cast("decimal(20,0)")
+    moved = x.cast("decimal(28,9)") + delta.cast("decimal(18,0)")
     parts = F.split(moved.cast("string"), r"\.")
     return F.when(places > 0, F.concat(parts[0], F.lit("."), F.substring(parts[1], F.lit(1), places))).otherwise(parts[0])
 

@@ -66,3 +66,16 @@ def shifted_iso(x: Column, delta: Column) -> Column:
     base = F.to_timestamp(F.regexp_replace(F.regexp_replace(x, r"\.\d+", ""), "Z$", ""), "yyyy-MM-dd'T'HH:mm:ss")
     moved = F.date_format(F.timestamp_seconds(F.unix_timestamp(base) + delta), "yyyy-MM-dd'T'HH:mm:ss")
     return F.concat(moved, F.when(digits != "", F.concat(F.lit("."), digits)).otherwise(F.lit("")), F.when(x.endswith("Z"), "Z").otherwise(""))
+
+
+def without_columns(df: DataFrame, names: set[str]) -> DataFrame:
+    """df without the named columns (wall-clock times), whatever the case of their names."""
+    low = {n.lower() for n in names}
+    return df.select(*[c for c in df.columns if c.lower() not in low])
+
+
+def shifted_table(df: DataFrame, column: str, delta: Column) -> DataFrame:
+    """A table of texts whose one clock column is moved; every other cell stays as it was written."""
+    from ..functions.scalars import shifted_decimal
+
+    return df.select(*[shifted_decimal(F.col(c), delta).alias(c) if c == column else F.col(c) for c in df.columns])

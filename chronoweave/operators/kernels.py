@@ -224,3 +224,16 @@ def spectrogram(x: np.ndarray, hz: float, window_s: float, step_s: float, low: f
     f = np.fft.rfftfreq(n, 1 / hz)
     keep = (f >= low) & (f <= high)
     return f[keep], (np.arange(len(views)) * step + n / 2) / hz, power[:, keep].T
+
+
+def lag_search(x: np.ndarray, y: np.ndarray, radius: int, least: int = 10, clip: float = 8.0) -> tuple[float, float, float] | None:
+    """Lag, height and margin of the highest correlation of two features on one grid (NaN where unknown), each
+    standardised robustly and clipped first."""
+    made = []
+    for v in (x, y):
+        known = np.isfinite(v)
+        z, holds = robust_window(np.where(known, v, 0.0), known, least)
+        made.append((np.clip(z, -clip, clip)[None], holds[None]))
+    (a, ma), (b, mb) = made
+    lags, r, n = masked_correlation(a, b, ma, mb)
+    return peak(lags, r, (np.abs(lags) <= radius) & (n >= least), max(1, radius // 8))

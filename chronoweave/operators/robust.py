@@ -50,3 +50,16 @@ def histogram(rows: DataFrame, by: list[str], x: str, low: float, high: float, w
     bins = int(round((high - low) / width))
     n = F.least(F.floor((F.col(x) - low) / width), F.lit(bins - 1)).cast("int")
     return rows.where(F.col(x).between(low, high)).groupBy(*by, n.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def activity_envelope(rows: DataFrame, by: list[str], on: list[str], x: str, trend: int, width: int, stride: int, clip: float = 10.0) -> DataFrame:
+    """by, on, envelope of every stride-th row: the root mean square over `width` rows of x less its mean over `trend`
+    rows, clipped at `clip` robust scales."""
+    from pyspark.sql import Window
+
+    from .runs import moving_mean
+
+    flat = rows.withColumn("_e", F.col(x) - moving_mean(x, by, on, trend))
+    cut = standardised(flat, by, "_e", clip, "_z").withColumn("_p", F.col("_z") * F.col("_z"))
+    out = cut.withColumn("envelope", F.sqrt(moving_mean("_p", by, on, width))).withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*on)) - 1)
+    return out.where(F.col("_k") % stride == 0).select(*by, *on, "envelope")

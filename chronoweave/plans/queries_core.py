@@ -495,3 +495,45 @@ def k4(spark, sf):
     old = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
     new = old.where("o_orderkey % 10 = 0").select("o_orderkey", F.lit("new").alias("status")).unionByName(old.agg((F.max("o_orderkey") + 10).alias("o_orderkey")).select("o_orderkey", F.lit("new").alias("status")))
     return quality.upserted(old, new, ["o_orderkey"])
+
+
+# --- more signals and exports -------------------------------------------------------------------------------------
+
+
+@query("w15_activity_envelope", f"""WITH {SAMPLES}, a AS (SELECT *, value - sum(value) OVER (PARTITION BY rec ORDER BY t, seq ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) / 10 AS e FROM samples), c AS (SELECT rec, median(e) AS m, stddev_pop(e) AS sd FROM a GROUP BY rec),
+    d AS (SELECT rec, any_value(m) AS m, CASE WHEN median(abs(e - m)) > 0 THEN 1.4826 * median(abs(e - m)) ELSE any_value(sd) END AS s FROM a JOIN c USING (rec) GROUP BY rec),
+    z AS (SELECT rec, seq, t, CASE WHEN e IS NOT NULL THEN least(greatest(CASE WHEN s > 0 THEN (e - m) / s ELSE 0 END, -10), 10) END AS z FROM a JOIN d USING (rec)),
+    k AS (SELECT rec, seq, sqrt(sum(z * z) OVER (PARTITION BY rec ORDER BY t, seq ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) / 4) AS v, row_number() OVER (PARTITION BY rec ORDER BY t, seq) - 1 AS i FROM z)
+    SELECT rec, seq, round(v, 5) AS envelope FROM k WHERE i % 5 = 0""")
+def w15(spark, sf):
+    return robust.activity_envelope(samples(spark, sf), ["rec"], ["t", "seq"], "value", 10, 4, 5).select("rec", "seq", r(F.col("envelope"), 5).alias("envelope"))
+
+
+@query("g6_publication_export", f"""WITH {_MAPS} SELECT printf('%.4f', a + b * t) AS time_s, s.rec, s.seq, coalesce(printf('%.3f', value), '') AS value, coalesce(round(a + b * t, 6) BETWEEN round(a + b * lo, 6) AND round(a + b * hi, 6), false) AS supported FROM samples s JOIN maps USING (rec) WHERE s.seq % 2 = 0""")
+def g6(spark, sf):
+    """Samples on the shared clock with fixed decimals, in the contract's order of columns."""
+    s = samples(spark, sf).where("seq % 2 = 0").join(_maps(spark, sf), "rec")
+    a, b = F.col("a"), F.col("b")
+    at = S.mapped(a, b, F.col("t"))
+    inside = r(at).between(r(S.mapped(a, b, F.col("lo"))), r(S.mapped(a, b, F.col("hi"))))
+    out = s.select(F.format_string("%.4f", at).alias("time_s"), "rec", "seq", F.when(F.col("value").isNotNull(), F.format_string("%.3f", F.col("value"))).otherwise("").alias("value"), F.coalesce(inside, F.lit(False)).alias("supported"))
+    return quality.exact_columns(out, ["time_s", "rec", "seq", "value", "supported"])
+
+
+@query("p28_markers", """SELECT event_id, split_part(m, '_', 1) AS difficulty, ends_with(m, 'keypress') AS pressed, split_part(m, '_', 2) = 'correct' AS correct FROM (SELECT event_id, ['easy_correct', 'easy_wrong', 'hard_correct_keypress', 'hard_wrong_keypress'][1 + event_id % 4] AS m FROM events)""")
+def p28(spark, sf):
+    names = F.array(*[F.lit(x) for x in ("easy_correct", "easy_wrong", "hard_correct_keypress", "hard_wrong_keypress")])
+    m = F.get(names, (F.col("event_id") % 4).cast("int"))
+    return table(spark, sf, "events").select("event_id", F.split(m, "_")[0].alias("difficulty"), m.endswith("keypress").alias("pressed"), (F.split(m, "_")[1] == "correct").alias("correct"))
+
+
+@query("q9_flag_domain", "SELECT o_orderstatus, count(*) AS n, count(*) FILTER (o_orderkey % 3 NOT IN (0, 1)) AS outside FROM orders GROUP BY o_orderstatus")
+def q9(spark, sf):
+    return table(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count_if(~(F.col("o_orderkey") % 3).isin(0, 1)).alias("outside"))
+
+
+@query("w12_fills", f"""WITH {SAMPLES} SELECT rec, seq, last_value(value IGNORE NULLS) OVER (PARTITION BY rec ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS forward, first_value(value IGNORE NULLS) OVER (PARTITION BY rec ORDER BY t, seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS backward FROM samples""")
+def w12(spark, sf):
+    from ..operators import runs
+
+    return samples(spark, sf).select("rec", "seq", runs.forward_filled("value", ["rec"], ["t", "seq"]).alias("forward"), runs.backward_filled("value", ["rec"], ["t", "seq"]).alias("backward"))
