@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,7 +129,8 @@ def graded(fit: DataFrame, windows: DataFrame, least_windows: int = 3, review_pp
 def align(source: DataFrame, target: DataFrame, hz: float = 50.0, length: float = 60.0, step: float = 30.0, radius: float = 2.0, gap: float = 0.2, guesses: DataFrame | None = None, most_ppm: float | None = 2000.0) -> DataFrame:
     """Clock maps of all recordings: target time = source time + intercept + (scale - 1) * source time."""
     guesses = priors(coarse_offsets(source, target, hz)) if guesses is None else guesses
-    windows = window_offsets(source, target, guesses, length, step, radius, gap, hz)
+    # read twice, by the fits and by their grading: a row per window, group and prior, made by the dearest kernel
+    windows = window_offsets(source, target, guesses, length, step, radius, gap, hz).persist(StorageLevel.MEMORY_AND_DISK)
     return graded(fits(combined_windows(windows), most_ppm, length), windows)
 
 
