@@ -1,7 +1,7 @@
 """WARC records in ZIP archives: a writer, and a reader that range-reads records without extraction.
 
-An archive has two stored members: data/records.warc and indexes/records.idx, one line per record with its offset,
-length and identity. The reader finds the end record (ZIP64 where sizes or offsets ask for it), the central directory,
+An archive has two stored members: data/records.warc.gz, each record a gzip member of its own, and
+indexes/records.idx, one line per record with its offset, length and identity. The reader finds the end record (ZIP64 where sizes or offsets ask for it), the central directory,
 the members' local headers and the index, then reads each record's bytes at its place in the archive file.
 
 Files are read and written through pyarrow's file systems at URIs in the shared folder. A task writes under a name of
@@ -26,7 +26,7 @@ from .shared import Scratch
 
 #: Payloads from this size on are stored once; records of the same payload refer to the response.
 REVISIT_BYTES = 1000
-DATA, INDEX = "data/records.warc", "indexes/records.idx"
+DATA, INDEX = "data/records.warc.gz", "indexes/records.idx"
 #: Index lines that one reading task takes, about.
 READ_LINES = 2000
 
@@ -157,6 +157,12 @@ def _line(url: str | None) -> str:
     return "".join(c if c > " " else f"%{ord(c):02X}" for c in url or "")
 
 
+def packed(raw: bytes) -> bytes:
+    """A gzip member."""
+    deflate = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return deflate.compress(raw) + deflate.flush()
+
+
 def parse_record(raw: bytes) -> dict:
     """Headers (lower-case names), the HTTP headers' content length and the payload (None for a revisit)."""
     head, _, rest = raw.partition(b"\r\n\r\n")
@@ -186,7 +192,7 @@ def _write(root: str):
             batch = first
             while batch is not None:
                 for page, url, html, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
-                    raw = record(page, url, (html or "").encode("utf-8", "surrogatepass"), refers, None)
+                    raw = packed(record(page, url, (html or "").encode("utf-8", "surrogatepass"), refers, None))
                     lines.append(f"{out.data(raw)} {len(raw)} {'' if page is None else page}\n")
                 batch = next(batches, None)
             out.end()
@@ -209,7 +215,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 (data, _), (index, size) = places[DATA], places[INDEX]
                 lines = _at(file, index, size).decode().splitlines()[first:last]
                 for k in range(0, len(lines), 200):
-                    yield _rows([parse_record(_at(file, data + int(x[0]), int(x[1]))) for x in (line.split(" ") for line in lines[k : k + 200])])
+                    yield _rows([parse_record(zlib.decompress(_at(file, data + int(x[0]), int(x[1])), 31)) for x in (line.split(" ") for line in lines[k : k + 200])])
 
 
 def _page(urn: str | None) -> int | None:
