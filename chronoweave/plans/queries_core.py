@@ -509,15 +509,15 @@ def w15(spark, sf):
     return robust.activity_envelope(samples(spark, sf), ["rec"], ["t", "seq"], "value", 10, 4, 5).select("rec", "seq", r(F.col("envelope"), 5).alias("envelope"))
 
 
-@query("g6_publication_export", f"""WITH {_MAPS} SELECT printf('%.4f', a + b * t) AS time_s, s.rec, s.seq, coalesce(printf('%.3f', value), '') AS value, coalesce(round(a + b * t, 6) BETWEEN round(a + b * lo, 6) AND round(a + b * hi, 6), false) AS supported FROM samples s JOIN maps USING (rec) WHERE s.seq % 2 = 0""")
+@query("g6_publication_export", f"""WITH {_MAPS} SELECT CAST(CAST(floor((a + b * t) * 1000 + 0.5) AS BIGINT) AS VARCHAR) AS time_ms, s.rec, s.seq, coalesce(printf('%.3f', value), '') AS value, coalesce(round(a + b * t, 6) BETWEEN round(a + b * lo, 6) AND round(a + b * hi, 6), false) AS supported FROM samples s JOIN maps USING (rec) WHERE s.seq % 2 = 0""")
 def g6(spark, sf):
-    """Samples on the shared clock with fixed decimals, in the contract's order of columns."""
+    """Samples on the shared clock in whole milliseconds, in the contract's order of columns."""
     s = samples(spark, sf).where("seq % 2 = 0").join(_maps(spark, sf), "rec")
     a, b = F.col("a"), F.col("b")
     at = S.mapped(a, b, F.col("t"))
     inside = r(at).between(r(S.mapped(a, b, F.col("lo"))), r(S.mapped(a, b, F.col("hi"))))
-    out = s.select(F.format_string("%.4f", at).alias("time_s"), "rec", "seq", F.when(F.col("value").isNotNull(), F.format_string("%.3f", F.col("value"))).otherwise("").alias("value"), F.coalesce(inside, F.lit(False)).alias("supported"))
-    return quality.exact_columns(out, ["time_s", "rec", "seq", "value", "supported"])
+    out = s.select(F.floor(at * 1000 + 0.5).cast("long").cast("string").alias("time_ms"), "rec", "seq", F.when(F.col("value").isNotNull(), F.format_string("%.3f", F.col("value"))).otherwise("").alias("value"), F.coalesce(inside, F.lit(False)).alias("supported"))
+    return quality.exact_columns(out, ["time_ms", "rec", "seq", "value", "supported"])
 
 
 @query("p28_markers", """SELECT event_id, split_part(m, '_', 1) AS difficulty, ends_with(m, 'keypress') AS pressed, split_part(m, '_', 2) = 'correct' AS correct FROM (SELECT event_id, ['easy_correct', 'easy_wrong', 'hard_correct_keypress', 'hard_wrong_keypress'][1 + event_id % 4] AS m FROM events)""")
