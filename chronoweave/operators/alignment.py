@@ -154,3 +154,56 @@ def repair_summary(chunks: DataFrame, size: int = 20) -> DataFrame:
     clean = (F.col("ratio") == 1) & (F.col("ambiguous") == 0) & (F.col("duplicates") == 0) & (F.col("missing") == 0)
     grade = F.when(clean, "A").when(F.col("ratio") >= 0.99, "B").when(F.col("ratio") >= 0.95, "C").otherwise("D")
     return s.select("rec", "chunks", "matched", "ambiguous", "duplicates", "missing", "ratio", grade.alias("grade"))
+
+
+def decided(fits_: dict[str, DataFrame], audits: DataFrame, most_offset: float = 0.5, most_drift: float = 2000.0, prefer_good: bool = False, legacy: DataFrame | None = None) -> DataFrame:
+    """One map per recording from graded fits of all groups ("all") and of two families (any two other names).
+
+    If both families have usable fits that disagree on the offset at the recording's middle or on drift, there is no
+    map (conflict_review), except, with prefer_good, where exactly one of them is good: it stands then. Else the fit of all
+    groups stands, then the first family's, the second's, and a reliable legacy offset. Timestamps that don't increase
+    void any map. audits: rec, middle, broken. legacy: rec, intercept, scale.
+    """
+    first, second = [n for n in fits_ if n != "all"]
+    j = audits.select("rec", "middle", "broken")
+    for name, fit in fits_.items():
+        j = j.join(fit.select("rec", F.struct("status", "intercept", "scale", "raw_drift_ppm", "good_windows", "residual_p95", "reasons").alias(name)), "rec", "left")
+    j = j.join((legacy if legacy is not None else audits.select("rec", F.lit(None).cast("double").alias("intercept"), F.lit(None).cast("double").alias("scale")).where("false")).select("rec", F.struct("intercept", "scale").alias("legacy")), "rec", "left")
+    usable = lambda n: F.coalesce(F.col(f"{n}.status").isin("good", "review"), F.lit(False))
+    good = lambda n: F.coalesce(F.col(f"{n}.status") == "good", F.lit(False))
+    at = lambda n: F.col(f"{n}.intercept") + (F.col(f"{n}.scale") - 1) * F.col("middle")
+    apart = usable(first) & usable(second) & ((F.abs(at(first) - at(second)) > most_offset) | (F.abs(F.col(f"{first}.scale") - F.col(f"{second}.scale")) * 1e6 > most_drift))
+    one_good = good(first) != good(second)
+    conflict = F.coalesce(apart & ~one_good if prefer_good else apart, F.lit(False))
+    j = j.withColumn("conflict", conflict)
+    order = [("all", usable("all")), (first, usable(first)), (second, usable(second))]
+    if prefer_good:
+        order = [(first, apart & good(first) & one_good), (second, apart & good(second) & one_good), *order]
+    source = F.when(F.col("conflict"), "none")
+    for name, test in order:
+        source = source.when(F.coalesce(test, F.lit(False)), name)
+    j = j.withColumn("source", source.when(F.col("legacy").isNotNull(), "legacy").otherwise("none"))
+    pick = lambda f: F.coalesce(*[F.when(F.col("source") == n, F.col(f"{n}.{f}")) for n in fits_])
+    own = pick("status")
+    status = F.when(F.col("broken"), "invalid_timestamps").when(F.col("conflict"), "conflict_review").when(F.col("source") == "legacy", "legacy_fallback").when(own == "good", "content_affine").when(own == "review", "content_review").otherwise("unavailable")
+    j = j.withColumn("status", status).withColumn("usable", F.col("status").isin("content_affine", "content_review", "legacy_fallback"))
+    best = (F.col("source") == "all") & good(first) & good(second)
+    grade = F.when(F.col("status") == "content_affine", F.when(best, "A").otherwise("B")).when(F.col("usable"), "C").otherwise("D")
+    value = lambda f: F.when(F.col("usable"), F.coalesce(F.when(F.col("source") == "legacy", F.col(f"legacy.{f}")), pick(f)))
+    warnings = F.concat_ws(" | ", F.array_distinct(F.filter(F.array(*[F.col(f"{n}.reasons") for n in fits_]), lambda x: x.isNotNull() & (x != ""))))
+    return j.select("rec", "status", "usable", grade.alias("grade"), "source", value("intercept").alias("intercept"), value("scale").alias("scale"), (F.col("status") != "content_affine").alias("review"), warnings.alias("warnings"))
+
+
+def build_maps(source: DataFrame, target: DataFrame, families: dict[str, list[str]], hz: float = 50.0, prefer_good: bool = False, **options) -> DataFrame:
+    """Clock maps with a cross-check between two families of signal groups; the priors of all groups serve each."""
+    spans = source.groupBy("rec").agg(((F.min("t") + F.max("t")) / 2).alias("middle"))
+    steps = source.withColumn("_d", F.col("t") - F.lag("t").over(Window.partitionBy("rec", "channel").orderBy("seq"))) if "seq" in source.columns else source.withColumn("_d", F.lit(1.0))
+    audits = spans.join(steps.groupBy("rec").agg(F.coalesce(F.bool_or(F.col("_d") <= 0), F.lit(False)).alias("broken")), "rec")
+    source, target = source.select("rec", "grp", "channel", "t", "value"), target.select("rec", "grp", "channel", "t", "value")
+    guesses = priors(coarse_offsets(source, target, hz)).persist(StorageLevel.MEMORY_AND_DISK)
+    windows = window_offsets(source, target, guesses, hz=hz, **options).persist(StorageLevel.MEMORY_AND_DISK)
+    made = {}
+    for name, groups in {"all": None, **families}.items():
+        part = windows if groups is None else windows.where(F.col("grp").isin(groups))
+        made[name] = graded(fits(combined_windows(part)), part)
+    return decided(made, audits, prefer_good=prefer_good)

@@ -112,10 +112,44 @@ def test_clock_pair_is_found(spark):
     target = spark.createDataFrame([(r, g, c, 12.5 + a * (1 + 3e-4), v) for r, g, c, a, v in rows], cols)
     fit = alignment.align(source, target, hz=20.0).collect()[0]
     assert abs(fit["intercept"] - 12.5) < 0.02 and abs(fit["scale"] - 1 - 3e-4) < 5e-5 and fit["status"] == "good"
+    built = alignment.build_maps(source, target, {"imu": ["gyro"], "eye": ["pupil"]}, hz=20.0).first()
+    assert (built["status"], built["source"], built["grade"]) in {("content_affine", "all", "A"), ("content_affine", "all", "B")} and abs(built["intercept"] - 12.5) < 0.02
     other = spark.createDataFrame([(r, g, c, a, float(x)) for (r, g, c, a, _), x in zip(rows, rng.standard_normal(len(rows)), strict=True)], cols)
     assert all(f["status"] == "invalid" for f in alignment.align(source, other, hz=20.0).collect())
 
 
+def test_conflicting_families(spark):
+    fit = lambda a, status="good", scale=1.0: spark.createDataFrame([(1, status, a, scale, 0.0, 9, 0.01, "why")], "rec long, status string, intercept double, scale double, raw_drift_ppm double, good_windows long, residual_p95 double, reasons string")
+    audit = lambda broken=False: spark.createDataFrame([(1, 100.0, broken)], "rec long, middle double, broken boolean")
+    run = lambda fits, **o: tuple(alignment.decided(fits, o.pop("audit", audit()), **o).select("status", "grade", "source").first())
+    assert run({"all": fit(1.0), "imu": fit(1.0), "eye": fit(1.1)}) == ("content_affine", "A", "all")
+    assert run({"all": fit(1.0), "imu": fit(1.0), "eye": fit(9.0)}) == ("conflict_review", "D", "none")
+    assert run({"all": fit(1.0), "imu": fit(1.0), "eye": fit(9.0, "review")}, prefer_good=True) == ("content_affine", "B", "imu")
+    assert run({"all": fit(1.0, "invalid"), "imu": fit(1.0, "invalid"), "eye": fit(1.0, "review")}) == ("content_review", "C", "eye")
+    legacy = spark.createDataFrame([(1, 3.0, 1.0)], "rec long, intercept double, scale double")
+    assert run({"all": fit(1.0, "invalid"), "imu": fit(1.0, "invalid"), "eye": fit(1.0, "invalid")}, legacy=legacy) == ("legacy_fallback", "C", "legacy")
+    assert run({"all": fit(1.0), "imu": fit(1.0), "eye": fit(1.0)}, audit=audit(True))[0] == "invalid_timestamps"
+    assert run({"all": fit(1.0, "invalid"), "imu": fit(1.0, "invalid"), "eye": fit(1.0, "invalid")})[0] == "unavailable"
+
+
+def test_recordings(spark):
+    from chronoweave.sources import recordings
+
+    cols = "path string, stream string, stream_id int, seq long, t double, labels array<string>, numbers array<double>, texts array<string>"
+    rows = [("p", "cap", 1, k, k / 2, ["A", "B", "X"], [3.0 * k, 1.0, 9.0], None) for k in range(4)] + [("p", "cap", 2, 0, 0.0, ["A", "B", "X"], [0.0, 0.0, 0.0], None)]
+    rows += [("p", n, 3, 0, 1.0, ["m"], None, [f"{n}_easy_correct"]) for n in ("Triggers", "Markers")] + [("p", "sim", 5, 0, 0.5, ["ScenarioID"], [7.9], None)]
+    s = spark.createDataFrame(rows, cols)
+    assert recordings.longest(s).where("stream = 'cap'").count() == 4
+    assert [r["marker"] for r in recordings.markers(recordings.preferred(s, ["Markers", "Triggers"]), "correct").collect()] == ["Markers_easy_correct"]
+    c = recordings.channels(recordings.longest(s).where("stream = 'cap'"), 1e-6, ("X",))
+    assert c.count() == 8 and [round(r["value"] * 1e6) for r in recordings.bipolar(c, "A", "B").orderBy("seq").collect()] == [-1, 2, 5, 8]
+    assert recordings.scenarios(s.where("stream = 'sim'")).first()["scenario"] == 7
+    assert {r["stream"]: r["t"] for r in recordings.first_times(s).collect()}["sim"] == 0.5
+    jobs = spark.createDataFrame([("a", True), ("b", False), ("c", True), ("d", True)], "k string, usable boolean")
+    files = spark.createDataFrame([("a", "x"), ("d", "y"), ("d", "z")], "k string, path string")
+    assert {r["k"]: r["status"] for r in recordings.available_jobs(jobs, files, ["k"]).collect()} == {"a": "ready", "b": "unusable", "c": "missing", "d": "ambiguous"}
+
+
 def test_kernels():
     rng = np.random.default_rng(2)
     x, y = rng.standard_normal(50), rng.standard_normal(30)
