@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: A word: a run of characters other than ASCII white space.
 BLANKS = " \t\n\x0b\f\r"
 
@@ -29,6 +31,7 @@ class Scratch:
     """Tables written to the shared folder to cut lineage; each can be dropped when no later step reads it."""
 
     def __init__(self, spark: SparkSession, what: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
         self.count = 0
