@@ -8,9 +8,11 @@ threshold, verified on the full shingle sets.
 
 Work never squares a group. Equal sets are one class from the start. In a bucket, members are compared with two
 representatives; components are formed; then only buckets that still hold several components go on, and only pairs
-across components are compared, round by round from a few of each component to all. The last round compares every
-untested pair across components, so nothing that the bands bring together goes unlinked; pairs inside one component
-can't change the result and are never made.
+across components are compared, round by round from a few of each component to all. The last round compares the
+untested pairs across components that can still be links. Two exact bounds on the intersection rule the others out
+before a pair is made: the shingles that no other open set has, and bitmaps of the sets (a bit that one set has and
+the other lacks stands for a shingle at least). So nothing that the bands bring together goes unlinked; pairs inside
+one component can't change the result and are never made.
 """
 
 from __future__ import annotations
@@ -29,10 +31,12 @@ MANTISSA = 10
 #: Bands and rows per band: a pair at the threshold shares no band with a probability of 6e-9 for 0.85 (40 bands of
 #: 6) and 1.3e-7 for 0.8 (40 bands of 5).
 BANDS = 40
-#: Pairs are verified unless the estimate is so far below the threshold: some seven standard deviations.
-SLACK = 0.2
-#: Members of each component of a bucket that are compared across components in the first of the later rounds.
-FEW = 2
+#: Pairs are verified unless the estimate is so far below the threshold: over five standard deviations.
+SLACK = 0.15
+#: How often sets without a possible partner are set aside, which leaves more shingles to one set alone.
+PRUNINGS = 2
+#: Longs in a set's bitmap.
+LONGS = 16
 
 
 def rows_per_band(threshold: float) -> int:
@@ -150,6 +154,26 @@ def _estimated(m: int, least: float):
     return run
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for name, raw in zip(batch.column("class").to_pylist(), batch.column("members").to_pylist(), strict=True):
+            own = np.frombuffer(raw, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([name] * len(own), pa.binary())], ["shingle", "class"])
+
+
+BITMAP = "class binary, " + ", ".join(f"b{k} long" for k in range(LONGS))
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raws = batch.column("members").to_pylist()
+        bits = np.zeros((len(raws), LONGS), dtype=np.uint64)
+        for row, raw in zip(bits, raws, strict=True):
+            at = H.mixed(np.frombuffer(raw, dtype=np.uint64), 404) % np.uint64(64 * LONGS)
+            np.bitwise_or.at(row, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        yield pa.RecordBatch.from_arrays([batch.column("class"), *[pa.array(bits[:, k].astype(np.int64)) for k in range(LONGS)]], ["class", *[f"b{k}" for k in range(LONGS)]])
+
+
 def _verified(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,6 +197,32 @@ class _Linker:
         self.reps = sketches.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
         self.tested: DataFrame | None = None
 
+    def sets(self, classes: DataFrame) -> DataFrame:
+        """The shingle sets of classes, made again from a text of each."""
+        need = classes.join(self.reps, "class").select("doc_id").distinct()
+        texts = self.docs.select("doc_id", "text").join(need, "doc_id", "left_semi").select("text")
+        sets = texts.mapInArrow(_sets(self.k), "class binary, members binary").where("class IS NOT NULL")
+        return sets.join(classes, "class", "left_semi").dropDuplicates(["class"])
+
+    def possible(self, open_: DataFrame) -> DataFrame:
+        """Members of open buckets (band, class, label) that may have a partner there, with size and shared, the
+        shingles that some other member has. A link needs num * (size + size) <= (num + den) * intersection, and the
+        intersection is at most either's shared; the bucket's smallest set is the best partner by size."""
+        s = self.scratch
+        sets = s.table(self.sets(open_.select("class").distinct()), "open-sets")
+        members = s.table(sets.mapInArrow(_members, "shingle long, class binary"), "open-shingles")
+        for _ in range(PRUNINGS):
+            alive = members.join(open_.select("class").distinct(), "class", "left_semi")
+            one = alive.groupBy("shingle").agg(F.count("*").alias("n"), F.min("class").alias("class")).where("n = 1").groupBy("class").agg(F.count("*").alias("alone"))
+            sizes = alive.groupBy("class").agg(F.count("*").alias("size")).join(one, "class", "left")
+            sizes = sizes.select("class", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+            told = s.table(open_.select("band", "class", "label").join(sizes, "class"), "open-sizes")
+            best = told.groupBy("band").agg(F.min("size").alias("least"), F.max("shared").alias("most"))
+            may = (self.num * (F.col("size") + F.col("least")) <= (self.num + self.den) * F.least("shared", "most"))
+            open_ = s.table(_mixed_buckets(told.join(best, "band").where(may).select("band", "class", "label", "size", "shared")), "possible")
+        bits = s.table(sets.mapInArrow(_bitmaps, BITMAP), "bitmaps")
+        return open_.join(bits, "class")
+
     def links(self, pairs: DataFrame, tag: str) -> DataFrame:
         """pairs (a, b), a below b, distinct, untested."""
         s = self.scratch
@@ -182,11 +232,7 @@ class _Linker:
         side = lambda name: one.select(F.col("class").alias(name), F.col("regs").alias(f"r{name}"))
         seen = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb")
         likely = s.table(seen.mapInArrow(_estimated(self.m, self.num / self.den - SLACK), "a binary, b binary"), f"likely-{tag}")
-        ends = likely.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        need = ends.join(self.reps, "class").select("doc_id").distinct()
-        texts = self.docs.select("doc_id", "text").join(need, "doc_id", "left_semi").select("text")
-        sets = texts.mapInArrow(_sets(self.k), "class binary, members binary").where("class IS NOT NULL")
-        sets = s.table(sets.join(ends, "class", "left_semi").dropDuplicates(["class"]), f"sets-{tag}")
+        sets = s.table(self.sets(likely.select(F.explode(F.array("a", "b")).alias("class")).distinct()), f"sets-{tag}")
         full = lambda name: sets.select(F.col("class").alias(name), F.col("members").alias(f"s{name}"))
         both = likely.join(full("a"), "a").join(full("b"), "b").select("a", "b", "sa", "sb")
         out = s.table(both.mapInArrow(_verified(self.num, self.den), "a binary, b binary"), f"links-{tag}")
@@ -236,7 +282,9 @@ def cluster(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, scratch:
     links = linker.links(star, "star")
     label, last = scratch.table(components(links, scratch), "component"), False
     while True:
-        pairs = scratch.table(_untested(_across(_open(members, label, scratch), None if last else FEW), linker.tested), "across")
+        open_ = _open(members, label, scratch)
+        near = _all_across(linker.possible(open_), num, den) if last else _few_across(open_)
+        pairs = scratch.table(_untested(near, linker.tested), "across")
         found = 0
         if pairs.limit(1).count():
             more = linker.links(pairs, "more")
@@ -259,23 +307,31 @@ def _open(members: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
     """Members of buckets that hold several components, with their component."""
     named = members.select("band", "class").distinct().join(label.withColumnRenamed("node", "class"), "class", "left").select("band", "class", F.coalesce("label", "class").alias("label"))
     named = scratch.table(named, "named-members")
+    return scratch.table(_mixed_buckets(named), "open")
+
+
+def _mixed_buckets(named: DataFrame) -> DataFrame:
     mixed = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-    return scratch.table(named.join(mixed, "band", "left_semi"), "open")
-
-
-def _across(open_: DataFrame, few: int | None) -> DataFrame:
-    """Pairs of different components in a bucket: each component's smallest and largest members against those of the
-    bucket's smallest and largest components, or all."""
-    x = open_
-    if few:
-        ends = open_.groupBy("band", "label").agg(F.min("class").alias("c0"), F.max("class").alias("c1"))
-        first = ends.groupBy("band").agg(F.min(F.struct("label", "c0", "c1")).alias("lo"), F.max(F.struct("label", "c0", "c1")).alias("hi"))
-        j = ends.join(first, "band")
-        mine, theirs = F.array("c0", "c1"), F.array(F.struct("lo.label", F.col("lo.c0").alias("c")), F.struct("lo.label", F.col("lo.c1").alias("c")), F.struct("hi.label", F.col("hi.c0").alias("c")), F.struct("hi.label", F.col("hi.c1").alias("c")))
-        x = j.select("label", F.explode(mine).alias("x"), theirs.alias("t")).select("label", "x", F.explode("t").alias("t")).where("label <> t.label")
-        return x.select(F.least("x", "t.c").alias("a"), F.greatest("x", "t.c").alias("b"))
-    y = x.select("band", F.col("class").alias("b"), F.col("label").alias("other"))
-    return x.join(y, "band").where("class < b AND label <> other").select(F.col("class").alias("a"), "b")
+    return named.join(mixed, "band", "left_semi")
+
+
+def _few_across(open_: DataFrame) -> DataFrame:
+    """Pairs across components: each component's smallest and largest members in a bucket against those of the
+    bucket's smallest and largest components."""
+    ends = open_.groupBy("band", "label").agg(F.min("class").alias("c0"), F.max("class").alias("c1"))
+    first = ends.groupBy("band").agg(F.min(F.struct("label", "c0", "c1")).alias("lo"), F.max(F.struct("label", "c0", "c1")).alias("hi"))
+    theirs = F.array(*[F.struct(F.col(f"{x}.label").alias("label"), F.col(f"{x}.c{k}").alias("c")) for x in ("lo", "hi") for k in (0, 1)])
+    x = ends.join(first, "band").select("label", F.explode(F.array("c0", "c1")).alias("x"), theirs.alias("t")).select("label", "x", F.explode("t").alias("t")).where("label <> t.label")
+    return x.select(F.least("x", "t.c").alias("a"), F.greatest("x", "t.c").alias("b"))
+
+
+def _all_across(possible: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs across components whose sizes, shared shingles and bitmaps allow a link."""
+    y = possible.select("band", F.col("class").alias("b"), F.col("label").alias("other"), F.col("size").alias("size_b"), F.col("shared").alias("shared_b"), *[F.col(f"b{k}").alias(f"y{k}") for k in range(LONGS)])
+    lacks = lambda p, q: " + ".join(f"bit_count({p}{k} & ~{q}{k})" for k in range(LONGS))
+    most = f"least(shared, shared_b, size - ({lacks('b', 'y')}), size_b - ({lacks('y', 'b')}))"
+    may = f"class < b AND label <> other AND {num} * (size + size_b) <= {num + den} * {most}"
+    return possible.join(y, "band").where(may).select(F.col("class").alias("a"), "b")
 
 
 def keep_first(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
