@@ -35,24 +35,23 @@ _REPEAT = 0  # the feature of repeated windows
 _EMPTY = 1  # the feature of a text without words
 
 
-def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_features(words: list[bytes], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """Features of each word and the offsets of each word's: itself and the n-grams of <word>."""
-    flat: list[bytes] = []
     ends = np.zeros(len(words) + 1, dtype=np.int64)
-    for i, w in enumerate(words):
-        flat.append(b"w" + w)
-        try:
-            s = "<" + w.decode() + ">"
-        except UnicodeDecodeError:
-            s = "<" + w.decode("latin-1") + ">"
-        for n in GRAMS:
-            flat += [s[k : k + n].encode("utf-8", "surrogatepass") for k in range(len(s) - n + 1)]
-        ends[i + 1] = len(flat)
-    if not flat:
-        return np.zeros(0, dtype=np.int64), ends
-    tokens = np.empty(len(flat), dtype=object)
-    tokens[:] = flat
-    return (pd.util.hash_array(tokens, categorize=False) % np.uint64(FEATURES - 2)).astype(np.int64) + 2, ends
+    parts = [np.zeros(0, dtype=np.int32)]
+    for begin in range(0, len(words), at_once):  # n-grams as objects take twenty times the room of their features
+        flat: list[bytes] = []
+        for i, w in enumerate(words[begin : begin + at_once], begin):
+            flat.append(b"w" + w)
+            s = "<" + w.decode("utf-8", "surrogateescape") + ">"
+            for n in GRAMS:
+                flat += [s[k : k + n].encode("utf-8", "surrogateescape") for k in range(len(s) - n + 1)]
+            ends[i + 1] = len(flat)
+        ends[begin + 1 : begin + at_once + 1] += ends[begin]
+        tokens = np.empty(len(flat), dtype=object)
+        tokens[:] = flat
+        parts.append((pd.util.hash_array(tokens, categorize=False) % np.uint64(FEATURES - 2)).astype(np.int32) + 2)
+    return np.concatenate(parts), ends
 
 
 def _repeats(codes: np.ndarray) -> int:
