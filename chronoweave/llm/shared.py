@@ -14,6 +14,7 @@ from ..shipping import ship
 BLANKS = " \t\n\x0b\f\r"
 
 _fallback: dict[str, str] = {}
+_roots: list[str] = []  # folders of this process's scratch tables, oldest first
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +36,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
         self.count = 0
+        _roots.append(self.root)
 
     def path(self, tag: str) -> str:
         self.count += 1
@@ -52,6 +54,16 @@ class Scratch:
             remove(self.spark, table._scratch_path)
 
 
+def mark() -> int:
+    return len(_roots)
+
+
+def sweep(spark: SparkSession, since: int) -> None:
+    """Removes the scratch tables begun since a mark; for when what was made from them has been written."""
+    while len(_roots) > since:
+        remove(spark, _roots.pop())
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a path of any file system that Spark knows."""
     jvm = spark.sparkContext._jvm

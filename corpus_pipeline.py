@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from chronoweave.llm import decontaminate, mixing, near_dup, quality_rules, sharding
-from chronoweave.llm.shared import Scratch
+from chronoweave.llm.shared import Scratch, mark, sweep
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +52,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shards of the corpus. A stage's own scratch tables, and what it read, go when its result is written."""
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
+        since = mark()
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = scratch.table(docs, name.replace(" ", "-"))
+            sweep(spark, since)
+            if before is not None:
+                scratch.drop(before)
+            before = docs
     return docs
