@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .runs import with_run
+
 
 def monotonic_times(rows: DataFrame, by: list[str], seq: str, candidate: str, nominal: str, name: str = "repaired") -> DataFrame:
     """rows (key and seq unique) with strictly increasing integer times: a candidate not after the time before becomes
@@ -12,7 +14,7 @@ def monotonic_times(rows: DataFrame, by: list[str], seq: str, candidate: str, no
     steps = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(candidate).alias("c"), F.col(nominal).alias("n")))).alias("_s"))
 
     def step(done, x):
-        last = F.coalesce(F.element_at(done, -1)["v"], F.lit(-1).cast("long")) if isinstance(done, Column) else None
+        last = F.element_at(done, -1)["v"]
         value = F.when(x["c"] > last, x["c"]).otherwise(F.greatest(x["n"], last + 1)).cast("long")
         return F.concat(done, F.array(F.struct(x["s"].cast("long").alias("s"), value.alias("v"))))
 
@@ -24,9 +26,6 @@ def monotonic_times(rows: DataFrame, by: list[str], seq: str, candidate: str, no
 def tracker_resets(rows: DataFrame, by: list[str], on: list[str], low: Column, streak: int = 2) -> DataFrame:
     """rows with reset: true on every streak-th low row in a row, where a tracker gives up its state and starts anew.
     Counting restarts at each reset, so the streak's place modulo its length decides."""
-    from .runs import with_run
-    from pyspark.sql import Window
-
     r = with_run(rows.withColumn("_low", F.coalesce(low, F.lit(False))), by, on, "_low", name="_run")
     place = F.row_number().over(Window.partitionBy(*by, "_run").orderBy(*on))
     return r.withColumn("reset", F.col("_low") & (place % streak == 0)).drop("_low", "_run")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import anchors, anonymize, quality, robust, trackers
+from ..operators import anonymize, quality, robust, trackers
 from .base import SAMPLES, query, r, samples, table
 
 # --- scans, listings, filters -------------------------------------------------------------------------------------
@@ -226,15 +226,13 @@ def p13(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", status.alias("status"), why.alias("reasons"))
 
 
-@query("p17_identity_replaced", """SELECT c_custkey, 'Q' || c_custkey || '/x_V0-Q' || c_custkey || 'T' || c_custkey || '1.csv' AS name FROM customer""")
+@query("p17_identity_replaced", """SELECT c_custkey, 'Q' || c_custkey || '/x_V0-Q' || c_custkey || '/T' || c_custkey || '1.csv' AS name FROM customer""")
 def p17(spark, sf):
-    """pid_visit, pid and visit replaced where they stand alone, whatever the case."""
+    """pid_visit, pid and visit replaced where they stand alone, whatever the case, and left inside longer words."""
     k = F.col("c_custkey").cast("string")
     pid, new = F.concat(F.lit("T"), k), F.concat(F.lit("Q"), k)
-    name = F.concat(F.lit("t"), k, F.lit("_v2/x_V2-T"), k, F.lit("T"), k, F.lit("1.csv"))
-    name = F.regexp_replace(name, "-T", "-T")
-    done = S.identity_replaced(F.concat(F.lit("t"), k, F.lit("_v2/x_V2-"), F.lower(pid)), pid, F.lit("V2"), new)
-    return table(spark, sf, "customer").select("c_custkey", F.concat(done, pid, F.lit("1.csv")).alias("name"))
+    name = F.concat(F.lit("t"), k, F.lit("_v2/x_V2-"), F.lower(pid), F.lit("/"), pid, F.lit("1.csv"))
+    return table(spark, sf, "customer").select("c_custkey", S.identity_replaced(name, pid, F.lit("V2"), new).alias("name"))
 
 
 @query("p19_canonical_names", """WITH f AS (SELECT p_partkey, p_brand AS record, split_part(p_type, ' ', 1) AS label, p_name AS path FROM part)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import scalars as S
 from ..operators import asof, runs, trackers
 from .base import MODULES, SAMPLES, query, r, samples, table
 
