@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,18 +10,22 @@ from .runs import with_run
 
 
 def monotonic_times(rows: DataFrame, by: list[str], seq: str, candidate: str, nominal: str, name: str = "repaired") -> DataFrame:
-    """rows (key and seq unique) with strictly increasing integer times: a candidate not after the time before becomes
-    the nominal time or the time before plus one, whichever is later. Folded in the JVM over each key's ordered rows."""
-    steps = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(candidate).alias("c"), F.col(nominal).alias("n")))).alias("_s"))
-
-    def step(done, x):
-        last = F.element_at(done, -1)["v"]
-        value = F.when(x["c"] > last, x["c"]).otherwise(F.greatest(x["n"], last + 1)).cast("long")
-        return F.concat(done, F.array(F.struct(x["s"].cast("long").alias("s"), value.alias("v"))))
-
-    start = F.array(F.struct(F.lit(-1).cast("long").alias("s"), F.lit(-1).cast("long").alias("v")))
-    folded = steps.select(*by, F.explode(F.slice(F.aggregate("_s", start, step), 2, 1 << 30)).alias("_x"))
-    return rows.join(folded.select(*by, F.col("_x.s").alias(seq), F.col("_x.v").alias(name)), [*by, seq])
+    """rows with strictly increasing integer times: a candidate not after the time before becomes the nominal time or
+    the time before plus one, whichever is later. One pass over each key's ordered rows; a task holds one recording's
+    two times and places, not its other columns."""
+    kinds = dict(rows.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(seq, kind="stable")
+        out, last = [], -1
+        for c, n in zip(pdf[candidate].tolist(), pdf[nominal].tolist(), strict=True):
+            last = c if c > last else max(n, last + 1)
+            out.append(last)
+        return pdf.assign(**{name: out})[[*by, seq, name]]
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*by, seq]) + f", `{name}` long"
+    done = rows.select(*by, seq, candidate, nominal).groupBy(*by).applyInPandas(run, schema)
+    return rows.join(done, [*by, seq])
 
 
 def tracker_resets(rows: DataFrame, by: list[str], on: list[str], low: Column, streak: int = 2) -> DataFrame:
