@@ -1,12 +1,14 @@
 """Main text of web pages by site template removal.
 
-Each page is parsed into elements; every container's subtree has a hash of its tags and text. Hashes are counted per
-host over all pages (copies of a page count once), and subtrees that recur on many pages of a host are deleted as its
-template. What is left goes through the usual signs of a page's furniture (tags, roles, names), and the text of the
-article's blocks is joined.
+Each page is parsed into elements; every element's subtree, anywhere on the page, has a hash of its tags and text.
+Hashes are counted per host over all pages (pages of the same text count once), and subtrees that recur on many pages
+of a host are deleted as its template. What is left goes through the usual signs of a page's furniture (tags, roles,
+names), and the text of the article's blocks is joined.
 
-The two passes are one parse each. Between them travel a row per container that could still hold text, and back only
-the hashes to delete, by host and page; hot hosts and hot subtrees are counted by partial sums.
+An inline element amid running text is counted in its block's subtree and not by itself: a sentence loses no words.
+
+The two passes are one parse each. Between them travel a row per page with its subtrees' hashes, and back only the
+hashes to delete, by page; hot hosts and hot subtrees are counted by partial sums.
 """
 
 from __future__ import annotations
@@ -33,7 +35,6 @@ FURNITURE = frozenset("nav header footer aside form menu".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-CONTAINERS = frozenset("div section ul ol dl table figure details center fieldset menu dir".split())
 CLOSED_BY_BLOCK = frozenset("p".split())
 SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = frozenset("ul ol dl table tbody thead tfoot body html div section article main select".split())
@@ -53,10 +54,10 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("tag", "kids", "drop", "digest", "length")
+    __slots__ = ("tag", "kids", "drop", "shown", "digest", "length")
 
-    def __init__(self, tag: str, drop: bool):
-        self.tag, self.drop, self.kids = tag, drop, []
+    def __init__(self, tag: str, drop: bool, shown: bool = True):
+        self.tag, self.drop, self.shown, self.kids = tag, drop, shown, []
         self.digest, self.length = b"", 0
 
 
@@ -111,7 +112,7 @@ class _Tree(HTMLParser):
                         break
                 elif open_ in BLOCKS and (open_ in STOPS or tag not in SAME_CLOSES):
                     break
-        node = _Node(tag, _furniture(tag, attrs, self.articles > 0))
+        node = _Node(tag, _furniture(tag, attrs, self.articles > 0), tag not in UNSHOWN)
         self.stack[-1].kids.append(node)
         if tag not in VOID:
             self.stack.append(node)
@@ -149,7 +150,7 @@ def parse(html: str | None) -> _Node:
 
 
 def _walk(root: _Node):
-    """Nodes, children first, without recursion (pages may nest thousands deep)."""
+    """Nodes with text that a page can show, children first, without recursion (pages may nest thousands deep)."""
     stack = [(root, False)]
     while stack:
         node, done = stack.pop()
@@ -157,10 +158,11 @@ def _walk(root: _Node):
             yield node
         else:
             stack.append((node, True))
-            stack.extend((k, False) for k in node.kids if isinstance(k, _Node) and not k.drop)
+            stack.extend((k, False) for k in node.kids if isinstance(k, _Node) and k.shown)
 
 
 def _hash_tree(root: _Node) -> None:
+    """Digests and text lengths of all subtrees; furniture is part of them."""
     for node in _walk(root):
         h = xxhash.xxh64(node.tag)
         length = 0
@@ -169,12 +171,25 @@ def _hash_tree(root: _Node) -> None:
                 if text := _SPACE.sub(" ", k).strip():
                     h.update(b"\x01" + text.encode("utf-8", "replace"))
                     length += len(text)
-            elif not k.drop:
+            elif k.shown:
                 h.update(b"\x02" + k.digest)
                 length += k.length
         node.digest, node.length = h.digest(), length
 
 
+def _has_text(root: _Node) -> bool:
+    """Whether an element has text besides furniture."""
+    stack = [root]
+    while stack:
+        for k in stack.pop().kids:
+            if isinstance(k, str):
+                if not k.isspace() and k:
+                    return True
+            elif not k.drop:
+                stack.append(k)
+    return False
+
+
 def main_root(root: _Node) -> list[_Node]:
     """The elements that hold the article: the outermost article elements, else main, else the page."""
     for wanted in ("article", "main"):
@@ -182,7 +197,7 @@ def main_root(root: _Node) -> list[_Node]:
         while stack:
             node = stack.pop()
             if node.tag == wanted and not node.drop:
-                if node.length:
+                if _has_text(node):
                     found.append(node)
                 continue
             stack.extend(k for k in reversed(node.kids) if isinstance(k, _Node) and not k.drop)
@@ -192,20 +207,33 @@ def main_root(root: _Node) -> list[_Node]:
 
 
 def template_candidates(root: _Node) -> set[bytes]:
-    """Hashes of the containers with text that the page's article could lose: not its own elements, not one that
-    holds half of its text."""
+    """Hashes of all elements with text that may be template: blocks, and inline elements that aren't amid running text."""
     _hash_tree(root)
-    out = set()
-    for top in main_root(root):
-        for node in _walk(top):
-            if node is not top and node.tag in CONTAINERS and node.length and 2 * node.length < top.length:
-                out.add(node.digest)
-    return out
+    return {node.digest for node, _ in _units(root)}
+
+
+def _units(root: _Node):
+    """Elements below root that can be deleted, and whether each is furniture or in it."""
+    stack = [(root, False, False)]
+    while stack:
+        node, amid, dropped = stack.pop()
+        kids = [k for k in node.kids if isinstance(k, _Node) and k.shown and k.length]
+        if kids:
+            amid = (amid and node.tag not in BLOCKS) or any(isinstance(k, str) and not k.isspace() for k in node.kids)
+            for k in kids:
+                out = dropped or k.drop
+                if k.tag in BLOCKS or not amid:
+                    yield k, out
+                stack.append((k, amid, out))
 
 
 def main_text(root: _Node, template: frozenset | set = frozenset()) -> str:
-    """The article's text: blocks in page order, white space inside a block turned into one space, joined by one."""
-    _hash_tree(root)
+    """The article's text without subtrees of the template: blocks in page order, white space inside a block turned
+    into one space, joined by one."""
+    deleted: set[int] = set()
+    if template:
+        _hash_tree(root)
+        deleted = {id(node) for node, dropped in _units(root) if not dropped and node.digest in template}
     blocks: list[str] = []
     open_: list[str] = []
 
@@ -222,7 +250,7 @@ def main_text(root: _Node, template: frozenset | set = frozenset()) -> str:
                 end()
             elif isinstance(item, str):
                 open_.append(item)
-            elif not item.drop and not (template and item is not top and item.tag in CONTAINERS and item.digest in template and 2 * item.length < top.length):
+            elif not item.drop and id(item) not in deleted:
                 block = item.tag in BLOCKS
                 if block:
                     end()
@@ -237,15 +265,26 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
+def _page_text(root: _Node) -> bytes:
+    """A hash of all text a page can show, whatever its tags."""
+    words, stack = [], [root]
+    while stack:
+        item = stack.pop()
+        if isinstance(item, str):
+            words.append(item)
+        elif item.shown:
+            stack.extend(reversed(item.kids))
+    return xxhash.xxh3_128_digest(_SPACE.sub(" ", " ".join(words)).strip().encode("utf-8", "replace"))
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, keys, hashes = [], [], []
-        for h, k, html in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-            found = template_candidates(parse(html))
-            hosts += [h] * (len(found) + 1)
-            keys += [k] * (len(found) + 1)
-            hashes += [int.from_bytes(x, "big", signed=True) for x in found] + [None]
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.binary()), pa.array(hashes, pa.int64())], ["host", "page_key", "subtree"])
+        hosts, keys, texts, hashes = batch.column(0), batch.column(1), [], []
+        for html in batch.column(2).to_pylist():
+            root = parse(html)
+            texts.append(_page_text(root))
+            hashes.append([int.from_bytes(x, "big", signed=True) for x in template_candidates(root)])
+        yield pa.RecordBatch.from_arrays([hosts, keys, pa.array(texts, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], ["host", "page_key", "page_text", "subtrees"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,14 +304,15 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     key = F.unhex(F.md5(F.concat_ws("\x00", host(F.col("url")), F.coalesce("html", F.lit("")))))
     keyed = narrow.withColumn("host", host(F.col("url"))).withColumn("page_key", key)
-    found = scratch.table(keyed.select("host", "page_key", "html").mapInArrow(_candidates, "host string, page_key binary, subtree long"), "subtrees")
-    once = found.distinct()  # copies of a page count once
-    sizes = once.where("subtree IS NULL").groupBy("host").agg(F.count("*").alias("pages"))
-    counted = once.where("subtree IS NOT NULL").groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    found = scratch.table(keyed.select("host", "page_key", "html").mapInArrow(_candidates, "host string, page_key binary, page_text binary, subtrees array<long>"), "subtrees")
+    each = found.select("host", "page_key", "page_text", F.explode("subtrees").alias("subtree"))
+    # pages of a host with the same text count once, copies and reformatted ones
+    counted = each.select("host", "page_text", "subtree").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    sizes = found.select("host", "page_text").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     template = scratch.table(counted.join(sizes, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "subtree"), "template")
     if template.limit(1).count() == 0:
         done = narrow.withColumn("drops", F.lit(None).cast("array<long>"))
     else:
-        drops = once.join(template, ["host", "subtree"]).groupBy("page_key").agg(F.collect_set("subtree").alias("drops"))
+        drops = each.join(template, ["host", "subtree"]).groupBy("page_key").agg(F.collect_set("subtree").alias("drops"))
         done = keyed.join(drops, "page_key", "left")
     return done.select("page_id", "url", "html", "drops").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")

@@ -115,6 +115,17 @@ def test_template_removal(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_template_of_any_element(spark):
+    """Recurring p, h2, li and span go wherever they stand; words of a sentence stay; pages of one text count once."""
+    page = lambda n, more="": f"<html><body><div>Unnamed bar</div>{more}<h1>T{n}</h1><p>Terms apply, see <b>here</b></p><h2>Read on</h2><ul><li>Home</li><li>own {n}</li></ul><p><span>Print it</span></p><p>Body {n} is <b>here</b></p></body></html>"
+    rows = [(n, f"https://a.example/{n}", page(n)) for n in range(12)] + [(100 + n, f"https://c.example/{n}", page(7, "<i></i>" * n)) for n in range(12)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "T3 own 3 Body 3 is here"
+    assert got[103] == "Unnamed bar T7 Terms apply, see here Read on Home own 7 Print it Body 7 is here"
+    root = html_text.parse("<nav><a>x</a></nav><article><p>one <a>two</a></p></article>")
+    assert len(html_text.template_candidates(root)) == 4  # nav and its a, article, p; not the link amid text
+
+
 def test_classifier(spark, odd, none):
     rng = random.Random(3)
     rows, marks = [], []
