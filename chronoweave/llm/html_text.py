@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch
 
-#: A subtree is template if it recurs on so many different pages of its host, and on this share of them.
-MIN_PAGES, MIN_SHARE = 10, 0.05
+#: A subtree is template if it recurs on so many different pages of its host, however many pages that has.
+MIN_PAGES = 10
 
 # Fixed values of HTML: elements without content, elements whose text isn't shown, elements of a page's furniture,
 # blocks, and elements that a block's start tag ends.
@@ -294,7 +294,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, scratch: Scratch | None = None) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, scratch: Scratch | None = None) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages.
 
     A null or empty html has an empty text; a null url is of a host without a name; repeated rows are extracted each;
@@ -307,9 +307,8 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     found = scratch.table(keyed.select("host", "page_key", "html").mapInArrow(_candidates, "host string, page_key binary, page_text binary, subtrees array<long>"), "subtrees")
     each = found.select("host", "page_key", "page_text", F.explode("subtrees").alias("subtree"))
     # pages of a host with the same text count once, copies and reformatted ones
-    counted = each.select("host", "page_text", "subtree").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    sizes = found.select("host", "page_text").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    template = scratch.table(counted.join(sizes, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "subtree"), "template")
+    counted = each.select("host", "page_text", "subtree").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
+    template = scratch.table(counted.where(F.col("n") >= min_pages).select("host", "subtree"), "template")
     if template.limit(1).count() == 0:
         done = narrow.withColumn("drops", F.lit(None).cast("array<long>"))
     else:

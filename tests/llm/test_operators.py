@@ -126,6 +126,15 @@ def test_template_of_any_element(spark):
     assert len(html_text.template_candidates(root)) == 4  # nav and its a, article, p; not the link amid text
 
 
+def test_template_of_large_host_and_short_articles(spark):
+    notice = "<div><p>A long notice that holds most of the text of any short article it is put in</p></div>"
+    rows = [(n, f"https://a.example/{n}", f"<article><p>Body {n}</p>{notice if n < 10 else ''}</article>") for n in range(400)]
+    rows += [(1000 + n, f"https://b.example/{n}", f"<article>{notice}</article><p>Page {n}</p>") for n in range(9)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[n] == f"Body {n}" for n in range(400))  # 10 pages of 400 are under 5 %
+    assert all(got[1000 + n].startswith("A long notice") for n in range(9))  # 9 pages are no evidence
+
+
 def test_classifier(spark, odd, none):
     rng = random.Random(3)
     rows, marks = [], []
