@@ -139,13 +139,17 @@ class _Tree(HTMLParser):
         self.stack[-1].kids.append(data)
 
 
+    def parse_marked_section(self, i, report=1):
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # "<![" and no section that the parser knows: a comment up to ">", as in browsers
+            return self.parse_bogus_comment(i)
+
+
 def parse(html: str | None) -> _Node:
     tree = _Tree()
-    try:
-        tree.feed(html or "")
-        tree.close()
-    except AssertionError:  # the parser's own on some broken declarations; what was read stands
-        pass
+    tree.feed(html or "")
+    tree.close()
     return tree.root
 
 

@@ -135,6 +135,16 @@ def test_template_of_large_host_and_short_articles(spark):
     assert all(got[1000 + n].startswith("A long notice") for n in range(9))  # 9 pages are no evidence
 
 
+def test_broken_declarations():
+    text = lambda html: html_text.main_text(html_text.parse(html))
+    assert text("<p>one</p><![foo[x]]><p>two</p>") == "one two"
+    assert text("<p>one</p><![1]><p>two</p><![if x]><p>three</p>") == "one two three"
+    assert text("<p>a <![ b</p><p>two</p>").endswith("two") and "rest" in text("a <![ rest")
+    rng = random.Random(9)
+    for _ in range(3000):
+        text("".join(rng.choice(["<!", "[", "]", ">", "<", "-", "--", "a", "CDATA", "if", " ", "1", "&", "/", "?", "doctype", "<p>", '"']) for _ in range(rng.randrange(25))))
+
+
 def test_classifier(spark, odd, none):
     rng = random.Random(3)
     rows, marks = [], []
