@@ -314,6 +314,26 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.matches(none, bench).count() == 0 and decontaminate.matches(odd, bench.where("false")).count() == 0
 
 
+def test_decontamination_finds_every_length():
+    """15 % edited, by substitutions or by all kinds, at lengths where windows are worst: none is missed."""
+    rng = random.Random(12)
+    for n in (1, 6, 7, 14, 20, 27, 34, 55, 59, 111, 223):
+        items = [(i, words(rng, n, 5000)) for i in range(40)]
+        index = decontaminate.Index(items)
+        for mixed in (False, True):
+            texts = []
+            for _, t in items:
+                w = t.split()
+                for k in range(int(decontaminate.EDITS * n)):
+                    at, kind = rng.randrange(len(w)), rng.choice("sid") if mixed else "s"
+                    w[at : at + (kind != "i")] = [] if kind == "d" else [f"x{k}"]
+                texts.append(" ".join([words(rng, rng.randrange(60), 50), *w, words(rng, 30, 50)]))
+            got = {(r, i): d for r, i, d, _ in index.search(texts)}
+            for i, t in items:
+                a, b = (H.word_hashes([s])[0] for s in (t, texts[i]))
+                assert got.get((i, i)) == decontaminate.passage_distance(a, b)[0], (n, mixed, i)
+
+
 def waterfill(sizes, total, most, weights):
     target, free = {}, set(sizes)
     while free:
