@@ -6,9 +6,10 @@ word in its class). The sum of the tokens' conditional log-probabilities scores
 
 Everything the model knows is gathered from all documents. Words are counted over the corpus; the most frequent make
 the vocabulary, the others share buckets, and a bucket's mass is spread over the distinct words that the corpus has
-there. Training examples come from every document, at every STRIDE-th position, and are dealt evenly to replicas,
-more of them for more examples; each replica is trained by numpy SGD (Adagrad) as examples stream by, then the
-replicas' parameters are averaged row by row in Spark, and the next round starts from the average.
+there. Every position of every text is a training example, in one of the rounds. Pieces of token sequences are dealt
+evenly to replicas, more of them for more tokens; each replica is trained by numpy SGD (Adagrad) on the examples of its
+pieces as they stream by, then the replicas' parameters are averaged row by row in Spark, and the next round starts
+from the average.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ from .shared import Scratch
 #: Classes and words per class (the last class holds the buckets of rarer words), neighbours on either side, width.
 CLASSES, PER_CLASS, SIDE, WIDTH = 64, 64, 2, 24
 VOCABULARY, TOKENS = (CLASSES - 1) * PER_CLASS, CLASSES * PER_CLASS
-#: Every which position is an example; examples per replica, about; rounds; batch and rate of Adagrad.
-STRIDE, PER_REPLICA, ROUNDS, BATCH, RATE = 24, 500_000, 2, 1024, 0.15
+#: Examples per replica, about; rounds; batch and rate of Adagrad; tokens of a piece (a multiple of the rounds), and
+#: pieces whose examples are mixed.
+PER_REPLICA, ROUNDS, BATCH, RATE, PIECE, MIXED = 12_000_000, 2, 1024, 0.15, 2048, 64
 OFFSETS = tuple(k for k in range(-SIDE, SIDE + 1) if k)
 
 
@@ -109,9 +111,9 @@ class Net:
             ids = context[k][order]
             first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
             grads.append((k * (TOKENS + 1) + ids[first], np.add.reduceat(back[order], first)))
-        for rows, g in grads:
-            power[rows] += (g * g).mean(axis=1) * 1e4
-            self.rows[rows] -= (RATE * 100 / np.sqrt(power[rows] + 1)[:, None] * g).astype(np.float32)
+        rows, g = (np.concatenate(x) for x in zip(*grads, strict=True))  # no row is in two of them
+        power[rows] += (g * g).mean(axis=1) * 1e4
+        self.rows[rows] -= (RATE * 100 / np.sqrt(power[rows] + 1)[:, None] * g).astype(np.float32)
 
 
 def _picked(logits: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -175,21 +177,33 @@ def vocabulary(docs: DataFrame, scratch: Scratch) -> Words:
     return Words(hashes, types - kept)
 
 
-def _examples(words):
+def _pieces(tokens: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Texts' tokens, with TOKENS between texts, in pieces of PIECE positions and their neighbours on either side."""
+    n = np.diff(ends)
+    line = np.full(SIDE + len(tokens) + SIDE * len(n), TOKENS, dtype=np.int16)
+    line[SIDE + np.arange(len(tokens)) + np.repeat(SIDE * np.arange(len(n)), n)] = tokens
+    return [line[k : k + PIECE + 2 * SIDE].tobytes() for k in range(0, len(line) - 2 * SIDE, PIECE)]
+
+
+def _examples(piece: bytes, rnd: int) -> np.ndarray:
+    """The examples of a piece in a round, a column each: neighbours, then the token."""
+    line = np.frombuffer(piece, dtype=np.int16)
+    at = np.arange(SIDE + rnd % ROUNDS, len(line) - SIDE, ROUNDS)
+    at = at[line[at] != TOKENS]
+    return np.stack([*(line[at + o] for o in OFFSETS), line[at]])
+
+
+def _dealt(words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = words.value
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in H.blocks(texts):
                 hashes, ends = H.word_hashes(texts[a:b])
-                tokens = known.tokens(hashes)
-                if len(tokens):
-                    shift = int(hashes[0] % np.uint64(STRIDE))  # the first position depends on the text
-                    at = np.arange(shift, len(tokens), STRIDE)
-                    rows = np.concatenate([_neighbours(tokens, ends, at), tokens[None, at]]).astype(np.int16).T
-                    parts = [rows[k : k + 256].tobytes() for k in range(0, len(rows), 256)]
-                    keys = [int(H.mixed(np.array([int(hashes[0]) ^ k], dtype=np.uint64))[0] >> np.uint64(1)) for k in range(len(parts))]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(parts, pa.binary())], ["key", "rows"])
+                if len(hashes):
+                    parts = _pieces(known.tokens(hashes), ends)
+                    keys = [int(H.mixed(np.array([int(hashes[k * PIECE % len(hashes)]) ^ k], dtype=np.uint64))[0] >> np.uint64(1)) for k in range(len(parts))]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(parts, pa.binary())], ["key", "piece"])
 
     return run
 
@@ -197,23 +211,30 @@ def _examples(words):
 ROW = "row int, " + ", ".join(f"c{k} double" for k in range(WIDTH + 1))
 
 
-def _trained(start, rate_seed: int):
+def _trained(start, rnd: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Net(start.value.copy())
         power = np.zeros(len(net.rows))
-        held, seen = np.zeros((0, len(OFFSETS) + 1), dtype=np.int16), 0
-        for batch in batches:
-            raw = np.frombuffer(b"".join(batch.column("rows").to_pylist()), dtype=np.int16).reshape(-1, len(OFFSETS) + 1)
-            held = np.concatenate([held, raw])
-            seen += len(raw)
-            whole = len(held) // BATCH * BATCH
+        rng = np.random.default_rng(rnd)
+        held, seen = np.zeros((len(OFFSETS) + 1, 0), dtype=np.int16), 0
+
+        def train(pieces: list[bytes], held: np.ndarray, last: bool) -> np.ndarray:
+            rows = np.concatenate([held, *(_examples(p, rnd) for p in pieces)], axis=1)
+            rows = rows[:, rng.permutation(rows.shape[1])]
+            whole = rows.shape[1] if last else rows.shape[1] // BATCH * BATCH
             for k in range(0, whole, BATCH):
-                part = held[k : k + BATCH].astype(np.int32).T
+                part = rows[:, k : min(k + BATCH, whole)].astype(np.int32)
                 net.step(part[:-1], part[-1], power)
-            held = held[whole:]
-        if len(held):
-            part = held.astype(np.int32).T
-            net.step(part[:-1], part[-1], power)
+            return rows[:, whole:]
+
+        pieces: list[bytes] = []
+        for batch in batches:
+            for piece in batch.column("piece").to_pylist():
+                pieces.append(piece)
+                if len(pieces) == MIXED:
+                    held, seen, pieces = train(pieces, held, False), 1, []
+        if pieces or held.shape[1]:
+            held, seen = train(pieces, held, True), 1
         if seen:
             changed = np.flatnonzero((net.rows != start.value).any(axis=1))
             columns = [pa.array(changed.astype(np.int32))] + [pa.array(net.rows[changed, k].astype(np.float64)) for k in range(WIDTH + 1)]
@@ -226,13 +247,13 @@ def fit(docs: DataFrame, words: Words, scratch: Scratch) -> Net:
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(words)  # TOKENS numbers
     narrow = docs.select(F.col("text").cast("string").alias("text"))
-    examples = scratch.table(narrow.mapInArrow(_examples(shared), "key long, rows binary"), "examples")
-    n = examples.agg(F.sum(F.length("rows"))).first()[0] or 0
+    pieces = scratch.table(narrow.mapInArrow(_dealt(shared), "key long, piece binary"), "pieces")
+    n = pieces.agg(F.sum(F.length("piece"))).first()[0] or 0
     net = Net()
-    replicas = max(1, math.ceil(n / (2 * (len(OFFSETS) + 1)) / PER_REPLICA))
+    replicas = max(1, math.ceil(n / 2 / PER_REPLICA))
     for r in range(ROUNDS if n else 0):
         start = spark.sparkContext.broadcast(net.rows)
-        dealt = examples.repartition(replicas, F.xxhash64("key", F.lit(r))).select("rows")
+        dealt = pieces.repartition(replicas, F.xxhash64("key", F.lit(r))).select("piece")
         trained = dealt.mapInArrow(_trained(start, r), ROW)
         # rows that a replica left alone aren't sent; an average over those that changed a row learns rare words
         # from the few replicas that met them

@@ -177,6 +177,25 @@ def test_pseudo_likelihood(spark, odd, none):
     assert pseudo_likelihood.score(none).count() == 0
 
 
+@pytest.mark.parametrize("cut", [1, 7, 40])
+def test_every_position_is_an_example(cut):
+    """Whatever the batch, each position of each text, however short, is an example of one round, with its neighbours."""
+    rng = np.random.default_rng(cut)
+    texts = [rng.integers(0, pseudo_likelihood.TOKENS, n).tolist() for n in [0, 1, 2, 3, 5000, 23, *rng.integers(0, 60, 60), 4096]]
+    side, edge = pseudo_likelihood.SIDE, pseudo_likelihood.TOKENS
+    want, got = Counter(), Counter()
+    for t in texts:
+        p = [edge] * side + t + [edge] * side
+        want.update((*p[k - side : k], *p[k + 1 : k + side + 1], p[k]) for k in range(side, len(p) - side))
+    for a in range(0, len(texts), cut):
+        part = texts[a : a + cut]
+        tokens, ends = np.array([x for t in part for x in t], dtype=np.int32), np.concatenate([[0], np.cumsum([len(t) for t in part])])
+        for piece in pseudo_likelihood._pieces(tokens, ends):
+            for rnd in range(pseudo_likelihood.ROUNDS):
+                got.update(map(tuple, pseudo_likelihood._examples(piece, rnd).T.tolist()))
+    assert got == want
+
+
 def test_gradient():
     net = pseudo_likelihood.Net()
     rng = np.random.default_rng(0)
