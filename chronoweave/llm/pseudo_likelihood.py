@@ -5,8 +5,8 @@ neighbours, one table per position, are summed, squashed, and read by a two-leve
 word in its class). The sum of the tokens' conditional log-probabilities scores a document.
 
 Everything the model knows is gathered from all documents. Words are counted over the corpus; the most frequent make
-the vocabulary, the others share buckets, and a bucket's mass is spread over the distinct words that the corpus has
-there. Every position of every text is a training example, in one of the rounds. Pieces of token sequences are dealt
+the vocabulary, the others share buckets, and a bucket's mass is spread over its words by their counts in the corpus,
+which are joined to the texts' words. Every position of every text is a training example, in one of the rounds. Pieces of token sequences are dealt
 evenly to replicas, more of them for more tokens; each replica is trained by numpy SGD (Adagrad) on the examples of its
 pieces as they stream by, then the replicas' parameters are averaged row by row in Spark, and the next round starts
 from the average.
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,12 +37,13 @@ OFFSETS = tuple(k for k in range(-SIDE, SIDE + 1) if k)
 
 
 class Words:
-    """Tokens of words: the vocabulary's by hash, others by bucket; and what a bucket's word costs."""
+    """Tokens of words: the vocabulary's by hash, others by bucket; and what a word of a bucket costs, its own count
+    left out."""
 
-    def __init__(self, hashes: np.ndarray, bucket_types: np.ndarray):
+    def __init__(self, hashes: np.ndarray, bucket_counts: np.ndarray):
         self.sorted, self.rank = np.sort(hashes), np.argsort(hashes).astype(np.int32)
         self.cost = np.zeros(TOKENS)
-        self.cost[VOCABULARY:] = np.log(np.maximum(1, bucket_types))
+        self.cost[VOCABULARY:] = np.log(np.maximum(1, bucket_counts))
 
     def tokens(self, hashes: np.ndarray) -> np.ndarray:
         other = VOCABULARY + (hashes % np.uint64(PER_CLASS)).astype(np.int32)
@@ -163,18 +165,18 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield told(total)
 
 
-def vocabulary(docs: DataFrame, scratch: Scratch) -> Words:
-    """Counts of all words of all documents; the driver gets the most frequent and a number per bucket."""
+def vocabulary(docs: DataFrame, scratch: Scratch) -> tuple[Words, DataFrame]:
+    """Counts of all words of all documents, as a table; the driver gets the most frequent and a number per bucket."""
     counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = scratch.table(counts, "words")
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY)
-    hashes = np.array([r["word"] for r in top.collect()], dtype=np.int64).astype(np.uint64)
-    buckets = counts.groupBy(F.col("word").bitwiseAND(F.lit(PER_CLASS - 1)).alias("bucket")).agg(F.count("*").alias("types")).collect()
-    types = np.zeros(PER_CLASS)
+    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
+    hashes = np.array([r["word"] for r in top], dtype=np.int64).astype(np.uint64)
+    buckets = counts.groupBy(F.col("word").bitwiseAND(F.lit(PER_CLASS - 1)).alias("bucket")).agg(F.sum("n").alias("n")).collect()
+    left = np.zeros(PER_CLASS, dtype=np.int64)
     for r in buckets:
-        types[r["bucket"]] = r["types"]
-    kept = np.bincount((hashes % np.uint64(PER_CLASS)).astype(int), minlength=PER_CLASS) if len(hashes) else 0
-    return Words(hashes, types - kept)
+        left[r["bucket"]] = r["n"]
+    np.subtract.at(left, (hashes % np.uint64(PER_CLASS)).astype(int), np.array([r["n"] for r in top], dtype=np.int64))
+    return Words(hashes, left), counts
 
 
 def _pieces(tokens: np.ndarray, ends: np.ndarray) -> list[bytes]:
@@ -265,6 +267,32 @@ def fit(docs: DataFrame, words: Words, scratch: Scratch) -> Net:
     return net
 
 
+def _text_key(text: str | None) -> int:
+    return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _rare(words):
+    """How often each word outside the vocabulary is in a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = words.value
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in H.blocks(texts):
+                hashes, ends = H.word_hashes(texts[a:b])
+                rare = known.tokens(hashes) >= VOCABULARY
+                keys = np.array([_text_key(t) for t in texts[a:b]], dtype=np.int64)
+                owner, hashes = np.repeat(np.arange(b - a), np.diff(ends))[rare], hashes[rare]
+                if len(hashes):
+                    order = np.lexsort((hashes, owner))
+                    owner, hashes = owner[order], hashes[order]
+                    first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])]))
+                    times = np.diff(np.append(first, len(hashes))).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[owner[first]]), pa.array(hashes[first].astype(np.int64)), pa.array(times)], ["text_key", "word", "times"])
+
+    return run
+
+
 def _scored(words, rows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, net = words.value, Net(rows.value)
@@ -278,10 +306,10 @@ def _scored(words, rows):
                     at = np.arange(k, min(k + 16384, len(tokens)))
                     each[at] = net.log_likelihood(_neighbours(tokens, ends, at), tokens[at]) - known.cost[tokens[at]]
                 run_ = np.concatenate([[0.0], np.cumsum(each)])
-                n = np.diff(ends)
-                pll = run_[ends[1:]] - run_[ends[:-1]]
-                mean = np.where(n > 0, pll / np.maximum(1, n), np.nan)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n), pa.array(pll), pa.array(mean, from_pandas=True)], ["doc_id", "n_tokens", "pll", "mean_pll"])
+                others = np.concatenate([[0], np.cumsum(tokens >= VOCABULARY)])
+                keys = np.array([_text_key(t) for t in texts[a:b]], dtype=np.int64)
+                columns = [np.diff(ends), run_[ends[1:]] - run_[ends[:-1]], keys, others[ends[1:]] - others[ends[:-1]]]
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *map(pa.array, columns)], ["doc_id", "n_tokens", "base", "text_key", "others"])
 
     return run
 
@@ -291,9 +319,15 @@ def score(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     docs (doc_id, text). Null and empty texts have no tokens and a pll of 0; repeated rows score alike; an empty table
     gives an empty result; other columns aren't read."""
     scratch = scratch or Scratch(docs.sparkSession, "lm")
-    words = vocabulary(docs, scratch)
+    words, counts = vocabulary(docs, scratch)
     net = fit(docs, words, scratch)
     spark = docs.sparkSession
-    args = spark.sparkContext.broadcast(words), spark.sparkContext.broadcast(net.rows)
+    known, rows = spark.sparkContext.broadcast(words), spark.sparkContext.broadcast(net.rows)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(_scored(*args), "doc_id long, n_tokens long, pll double, mean_pll double")
+    # what the counts of a text's words outside the vocabulary give; repeated texts come in together, and in equal parts
+    own = narrow.select("text").mapInArrow(_rare(known), "text_key long, word long, times long").join(counts, "word")
+    own = own.groupBy("text_key").agg(F.sum(F.col("times") * F.log("n")).alias("gain"), F.sum("times").alias("all"))
+    scored = narrow.mapInArrow(_scored(known, rows), "doc_id long, n_tokens long, base double, text_key long, others long")
+    pll = F.col("base") + F.when(F.col("others") > 0, F.col("gain") * (F.col("others") / F.col("all"))).otherwise(0.0)
+    told = scored.join(own, "text_key", "left").select("doc_id", "n_tokens", pll.alias("pll"))
+    return told.withColumn("mean_pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")))

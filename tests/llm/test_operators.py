@@ -196,6 +196,20 @@ def test_every_position_is_an_example(cut):
     assert got == want
 
 
+def test_rare_words_by_their_counts(spark):
+    """Words of one bucket, alone in their texts, differ by the logarithm of their counts; copies of a text by nothing."""
+    common = [f"c{k}" for k in range(pseudo_likelihood.VOCABULARY)]
+    buckets = defaultdict(list)
+    for k in range(300):
+        buckets[int(H.word_hashes([f"r{k}"])[0][0]) % pseudo_likelihood.PER_CLASS].append(f"r{k}")
+    often, once = next(w for w in buckets.values() if len(w) > 1)[:2]
+    texts = [" ".join(common)] * 7 + [often] * 6 + [once]
+    got = pseudo_likelihood.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(got) == len(texts)
+    pll = {r["doc_id"]: r["pll"] for r in got}
+    assert abs(pll[7] - pll[13] - np.log(6)) < 1e-9 and len({round(pll[k], 9) for k in range(7, 13)}) == 1
+
+
 def test_gradient():
     net = pseudo_likelihood.Net()
     rng = np.random.default_rng(0)
