@@ -1,7 +1,9 @@
 """Joins along time: backward, nearest and interpolating.
 
-Both sides are united and sorted once per key; the neighbour comes from last/first over the sorted rows. One shuffle on
-the key, linear after the sort, no range join. Columns of the right side must differ from the left's.
+Both sides are united and sorted per key; the neighbour comes from the last value met along the order, once forwards and,
+where a later neighbour is asked for, once backwards. One shuffle on the key, a sort for each direction, one pass over
+each (frames only ever grow, so that no row looks at its frame anew), no range join. Columns of the right side must
+differ from the left's. A null key is a key like any other.
 """
 
 from __future__ import annotations
@@ -34,9 +36,9 @@ def backward(left: DataFrame, right: DataFrame, by: list[str], on: str, values:
 def around(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str]) -> DataFrame:
     """left with structs before (right rows at or before) and after (at or after), each of t and values."""
     up = Window.partitionBy(*by).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*by).orderBy("_t", F.desc("_side")).rowsBetween(0, Window.unboundedFollowing)
+    down = Window.partitionBy(*by).orderBy(F.desc("_t"), "_side").rowsBetween(Window.unboundedPreceding, 0)
     u = _united(left, right, by, on, values)
-    u = u.withColumn("before", F.last("_right", ignorenulls=True).over(up)).withColumn("after", F.first("_right", ignorenulls=True).over(down))
+    u = u.withColumn("before", F.last("_right", ignorenulls=True).over(up)).withColumn("after", F.last("_right", ignorenulls=True).over(down))
     return u.where("_side = 1").select("_row.*", "before", "after")
 
 
@@ -75,6 +77,7 @@ def membership(left: DataFrame, right: DataFrame, by: list[str], on: str, value:
 
 def neighbours_where(rows: DataFrame, by: list[str], on: list[str], test: Column, value: str) -> DataFrame:
     """rows with the value of the nearest earlier (previous) and later (following) row that passes the test."""
-    w = Window.partitionBy(*by).orderBy(*on)
-    hit = F.when(test, F.col(value))
-    return rows.withColumn("previous", F.last(hit, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("following", F.first(hit, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    up, down = Window.partitionBy(*by).orderBy(*on), Window.partitionBy(*by).orderBy(*[F.desc(c) for c in on])
+    last = F.last(F.when(test, F.col(value)), ignorenulls=True)
+    before = (Window.unboundedPreceding, -1)
+    return rows.withColumn("previous", last.over(up.rowsBetween(*before))).withColumn("following", last.over(down.rowsBetween(*before)))

@@ -10,6 +10,11 @@ def _w(by: list[str], on: list[str]):
     return Window.partitionBy(*by).orderBy(*on)
 
 
+def _back(by: list[str], on: list[str]):
+    """The same order backwards, from the last row to the current one: a frame that only grows, as _w's does."""
+    return Window.partitionBy(*by).orderBy(*[F.desc(c) for c in on]).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def with_run(rows: DataFrame, by: list[str], on: list[str], *values: str, name: str = "run") -> DataFrame:
     """rows numbered by run: a run ends where one of the values changes (nulls are equal)."""
     w = _w(by, on)
@@ -26,7 +31,7 @@ def forward_filled(x: str, by: list[str], on: list[str]) -> Column:
 
 
 def backward_filled(x: str, by: list[str], on: list[str]) -> Column:
-    return F.first(x, ignorenulls=True).over(_w(by, on).rowsBetween(0, Window.unboundedFollowing))
+    return F.last(x, ignorenulls=True).over(_back(by, on))
 
 
 def rolling_median(x: str, by: list[str], on: list[str], n: int, least: int) -> Column:
@@ -54,7 +59,7 @@ def short_gaps_filled(rows: DataFrame, by: list[str], on: list[str], value: str,
     r = with_run(r, by, on, "_null", name="_run")
     r = r.withColumn("_len", F.count("*").over(Window.partitionBy(*by, "_run")))
     point = F.when(F.col(value).isNotNull(), F.struct(F.col("_n").alias("n"), F.col(value).alias("v")))
-    r = r.withColumn("_a", F.last(point, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.first(point, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    r = r.withColumn("_a", F.last(point, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.last(point, ignorenulls=True).over(_back(by, on)))
     line = F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * F.try_divide((F.col("_n") - F.col("_a.n")).cast("double"), (F.col("_b.n") - F.col("_a.n")).cast("double"))
     guess = F.coalesce(line, F.col("_a.v"), F.col("_b.v"))
     fill = F.col("_null") & (F.col("_len") <= longest) & guess.isNotNull()
