@@ -2,30 +2,31 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .runs import with_run
 
 
 def monotonic_times(rows: DataFrame, by: list[str], seq: str, candidate: str, nominal: str, name: str = "repaired") -> DataFrame:
     """rows with strictly increasing integer times: a candidate not after the time before becomes the nominal time or
-    the time before plus one, whichever is later. One pass over each key's ordered rows; a task holds one recording's
-    two times and places, not its other columns."""
-    kinds = dict(rows.dtypes)
+    the time before plus one, whichever is later; a null candidate is never after, a null nominal time never later.
+    One pass over each key's ordered rows, which come out as they went in: nothing is joined back, so repeated and null
+    keys and places keep their rows. A null key is a key like any other; a null place comes first."""
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.LongType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(seq, kind="stable")
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=[(seq, "ascending")], null_placement="at_start"))
         out, last = [], -1
-        for c, n in zip(pdf[candidate].tolist(), pdf[nominal].tolist(), strict=True):
-            last = c if c > last else max(n, last + 1)
+        for c, n in zip(table.column(candidate).to_pylist(), table.column(nominal).to_pylist(), strict=True):
+            last = c if c is not None and c > last else max(last + 1, last + 1 if n is None else n)
             out.append(last)
-        return pdf.assign(**{name: out})[[*by, seq, name]]
+        return table.append_column(name, pa.array(out, pa.int64()))
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*by, seq]) + f", `{name}` long"
-    done = rows.select(*by, seq, candidate, nominal).groupBy(*by).applyInPandas(run, schema)
-    return rows.join(done, [*by, seq])
+    return rows.groupBy(*by).applyInArrow(run, schema)
 
 
 def tracker_resets(rows: DataFrame, by: list[str], on: list[str], low: Column, streak: int = 2) -> DataFrame:
