@@ -1,4 +1,7 @@
-"""Structured Streaming forms of the batch operators: each takes a streaming (or batch) frame of rec, ts, value."""
+"""Structured Streaming forms of the batch operators: each takes a streaming (or batch) frame of rec, ts, value.
+
+The stateful ones order a key's rows of one trigger, which a task holds at once; rows of an earlier place that come with
+a later trigger are late, and are taken in the order of arrival."""
 
 from __future__ import annotations
 
@@ -22,6 +25,11 @@ def sessions(rows: DataFrame, gap: str = "60 seconds", late: str = "5 minutes")
     return rows.withWatermark("ts", late).groupBy("rec", w).agg(F.count("*").alias("n")).select("rec", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
+def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """A key's rows of one trigger, in order: they arrive in Arrow batches, each in the order of the shuffle."""
+    return pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
+
+
 class _OrderCheck(StatefulProcessor):
     """State: the last time seen. Counts, per micro-batch, rows not after it."""
 
@@ -31,11 +39,10 @@ class _OrderCheck(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else float("-inf")
         n = wrong = 0
-        for pdf in rows:
-            for t in pdf.sort_values("seq")["t"]:
-                n += 1
-                wrong += t <= last
-                last = max(last, t)
+        for t in _ordered(rows)["t"]:
+            n += 1
+            wrong += t <= last
+            last = max(last, t)
         self.last.update((last,))
         yield pd.DataFrame({"rec": [key[0]], "n": [n], "wrong": [wrong]})
 
@@ -57,13 +64,12 @@ class _Hysteresis(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         start = self.open.get()[0] if self.open.exists() else None
         done = []
-        for pdf in rows:
-            for r in pdf.sort_values("seq").itertuples():
-                if start is None and r.closed:
-                    start = r.t
-                elif start is not None and r.opened:
-                    done.append((key[0], start, r.t))
-                    start = None
+        for r in _ordered(rows).itertuples():
+            if start is None and r.closed:
+                start = r.t
+            elif start is not None and r.opened:
+                done.append((key[0], start, r.t))
+                start = None
         if start is None:
             self.open.clear()
         else:
@@ -87,14 +93,12 @@ class _Repair(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else -1
-        for pdf in rows:
-            pdf = pdf.sort_values("seq")
-            out = []
-            for c, n in zip(pdf["candidate"], pdf["nominal"], strict=True):
-                last = int(c) if c > last else max(int(n), last + 1)
-                out.append(last)
-            yield pd.DataFrame({"rec": key[0], "seq": pdf["seq"], "repaired": out})
+        pdf, out = _ordered(rows), []
+        for c, n in zip(pdf["candidate"], pdf["nominal"], strict=True):
+            last = int(c) if c > last else max(int(n), last + 1)
+            out.append(last)
         self.last.update((last,))
+        yield pd.DataFrame({"rec": key[0], "seq": pdf["seq"], "repaired": out})
 
     def close(self) -> None:
         pass
