@@ -32,6 +32,13 @@ def _channels(a: pd.DataFrame, b: pd.DataFrame) -> tuple[list, list]:
     return [sides[0][c] for c in names], [sides[1][c] for c in names]
 
 
+def checked(**parameters: float) -> None:
+    """Q8: lengths, steps and rates are finite and above 0."""
+    for name, x in parameters.items():
+        if not (np.isfinite(x) and x > 0):
+            raise ValueError(f"{name} must be a finite number above 0, not {x}")
+
+
 def coarse_offsets(source: DataFrame, target: DataFrame, hz: float = 50.0) -> DataFrame:
     """rec, grp, offset (null if there is too little): the lag of the highest correlation of whole recordings."""
 
@@ -58,20 +65,23 @@ def priors(coarse: DataFrame, width: float = 0.5, top: int = 5) -> DataFrame:
 def window_offsets(source: DataFrame, target: DataFrame, guesses: DataFrame, length: float = 60.0, step: float = 30.0, radius: float = 2.0, gap: float = 0.2, hz: float = 50.0, overlap_s: float = 10.0) -> DataFrame:
     """rec, prior, windows, centre, grp, offset, peak, margin, boundary of every window, group and prior; a row without
     offset where a window says nothing. Windows begin where both recordings of all groups, on the source's clock, do."""
+    checked(length=length, step=step, radius=radius, hz=hz, gap=gap, overlap_s=overlap_s)
     span = lambda d, a, b: d.groupBy("rec").agg(F.min("t").alias(a), F.max("t").alias(b))
     spans = span(source, "s0", "s1").join(span(target, "t0", "t1"), "rec").join(guesses, "rec")
     told = spans.select("rec", "prior", F.greatest("s0", F.col("t0") - F.col("prior")).alias("start"), F.least("s1", F.col("t1") - F.col("prior")).alias("end"))
-    asked = told.groupBy("rec").agg(F.collect_list(F.struct("prior", "start", "end")).alias("asked"))  # as many as priors
-    left = source.join(asked, "rec")
+    # a group's questions are a few rows among its samples: those with a prior and no channel
+    asks = source.select("rec", "grp").distinct().join(told, "rec")
+    left = source.select("rec", "grp", "channel", "t", "value").unionByName(asks, allowMissingColumns=True)
 
     def run(key, a, b):
-        x, y = _channels(a, b)
+        asked = a[a["prior"].notna()].sort_values("prior")
+        x, y = _channels(a[a["prior"].isna()], b)
         rows = []
-        for ask in a["asked"].iloc[0] if len(a) else []:
-            centres, wide = K.window_centres(ask["start"], ask["end"], length, step)
+        for prior, start, end in zip(asked["prior"], asked["start"], asked["end"], strict=True):
+            centres, wide = K.window_centres(start, end, length, step)
             for centre in centres:
-                got = K.local_offset(x, y, centre, ask["prior"], wide, radius, gap, hz, overlap_s) if x else None
-                rows.append((*key, ask["prior"], len(centres), centre, *((got[k] for k in ("offset", "peak", "margin", "boundary")) if got else (None,) * 4)))
+                got = K.local_offset(x, y, centre, prior, wide, radius, gap, hz, overlap_s) if x else None
+                rows.append((*key, prior, len(centres), centre, *((got[k] for k in ("offset", "peak", "margin", "boundary")) if got else (None,) * 4)))
         return pd.DataFrame(rows, columns=["rec", "grp", "prior", "windows", "centre", "offset", "peak", "margin", "boundary"])
 
     return left.groupBy("rec", "grp").cogroup(_apart(target).groupBy("rec", "grp")).applyInPandas(run, "rec long, grp string, prior double, windows long, centre double, offset double, peak double, margin double, boundary boolean")

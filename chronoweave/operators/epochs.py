@@ -20,10 +20,14 @@ def within_segments(markers: DataFrame, segments: DataFrame, by: list[str], t: s
 
 def epochs(samples: DataFrame, markers: DataFrame, low: float, high: float, hz: float, band: tuple[float, float] | None = None, notch: float | None = None, pad: float = 3.0) -> DataFrame:
     """rec, channel, marker, at, values: each marker's stretch of a channel (rec, channel, t, value) on a regular
-    grid, filtered without phase. A marker whose padded stretch the samples don't hold without a gap is left out."""
-    asked = markers.groupBy("rec").agg(F.collect_list(F.struct("marker", "at")).alias("asked"))
+    grid, filtered without phase. Parameters must make sense (hz above 0, low below high). A marker whose padded stretch the samples don't hold without a gap is left out."""
+    if hz <= 0 or high <= low or pad < 0:
+        raise ValueError(f"epochs need hz above 0, low below high and no negative pad: {hz}, {low}, {high}, {pad}")
+    # a recording's markers meet each of its channels' samples as a group of their own, not beside every sample
+    asked = markers.select("rec", "marker", "at").join(samples.select("rec", "channel").distinct(), "rec")
+    asked = asked.select(*[F.col(c).alias(c) for c in ("rec", "channel", "marker", "at")])  # columns of its own
 
-    def run(key, g):
+    def run(key, g, asks):
         g = g.dropna(subset=["t", "value"]).sort_values("t")
         t, v = K.distinct_times(g["t"].to_numpy(float), g["value"].to_numpy(float))
         sections = []
@@ -33,8 +37,8 @@ def epochs(samples: DataFrame, markers: DataFrame, low: float, high: float, hz:
             sections.append(K.biquad("notch", hz, notch, 30.0))
         rows = []
         n, extra = int(round((high - low) * hz)) + 1, int(round(pad * hz))
-        for ask in g["asked"].iloc[0] if len(g) else []:
-            grid = ask["at"] + low + (np.arange(n + 2 * extra) - extra) / hz
+        for name, at in zip(asks["marker"], asks["at"], strict=True):
+            grid = at + low + (np.arange(n + 2 * extra) - extra) / hz
             if not len(t) or grid[0] < t[0] or grid[-1] > t[-1]:
                 continue
             a, b = np.searchsorted(t, [grid[0], grid[-1]])
@@ -42,10 +46,10 @@ def epochs(samples: DataFrame, markers: DataFrame, low: float, high: float, hz:
                 continue
             x = np.interp(grid, t, v)
             x = K.zero_phase(x, sections) if sections else x
-            rows.append((*key, ask["marker"], ask["at"], x[extra : extra + n].tolist()))
+            rows.append((*key, name, at, x[extra : extra + n].tolist()))
         return pd.DataFrame(rows, columns=["rec", "channel", "marker", "at", "values"])
 
-    return samples.join(asked, "rec").groupBy("rec", "channel").applyInPandas(run, "rec long, channel string, marker string, at double, values array<double>")
+    return samples.select("rec", "channel", "t", "value").groupBy("rec", "channel").cogroup(asked.groupBy("rec", "channel")).applyInPandas(run, "rec long, channel string, marker string, at double, values array<double>")
 
 
 def accepted(epochs_: DataFrame, most: float, least: float) -> DataFrame:
