@@ -3,28 +3,47 @@
 from __future__ import annotations
 
 import json
-import random
 import re
+import secrets
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ALPHABET = "ABCDEFGHJKLMNPQRSTUVWXYZ23456789"
-
-
-def new_ids(spark: SparkSession, keys: DataFrame, known: DataFrame, path: str, length: int = 6, chooser=random.SystemRandom().choice) -> DataFrame:
-    """known (key, random_id) with ids for keys it lacks, written to path: ids are drawn once and read from then on.
-    Keys are recordings, and come one partition at a time."""
-    used = {r["random_id"] for r in known.toLocalIterator()}
-    rows = []
-    for r in keys.join(known, "key", "left_anti").select("key").distinct().orderBy("key").toLocalIterator():
-        new = "".join(chooser(_ALPHABET) for _ in range(length))
-        while new in used:
-            new = "".join(chooser(_ALPHABET) for _ in range(length))
-        used.add(new)
-        rows.append((r["key"], new))
-    known.select("key", "random_id").unionByName(spark.createDataFrame(rows, "key string, random_id string")).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+#: Letters and digits of new ids; a parameter of new_ids.
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def new_ids(keys: DataFrame, known: DataFrame, path: str, length: int = 8, letters: str = LETTERS, secret: str | None = None) -> DataFrame:
+    """key, random_id of all keys: those known (key, random_id) and, appended to the table at path, ids of the others.
+
+    An id is spelled from the digest of its key, a secret (drawn anew unless given) and the number of the draw, so a
+    repeated task draws the same. Ids that are known, or that two keys drew, are drawn again, round by round until each
+    key has one; every step is a join or a grouping by id or key. known may be read from path itself."""
+    spark = keys.sparkSession
+    secret = secret or secrets.token_hex(16)
+    if len(set(letters)) ** length < 2:
+        raise ValueError("ids need at least two letters to choose from")
+    spelled = lambda draw: F.concat(*[
+        F.substring(F.lit(letters), (F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(secret), F.lit(str(draw)), F.lit(str(k)), "key"), 256), 1, 12), 16, 10).cast("long") % len(letters)).cast("int") + 1, F.lit(1))
+        for k in range(length)
+    ])
+    taken = known.select("key", "random_id")
+    here = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    open_ = keys.select("key").where("key IS NOT NULL").join(taken, "key", "left_anti").distinct()
+    left, draw = open_.count(), 0
+    while left:
+        if draw > 1000:
+            raise ValueError(f"{left} keys found no id of {length} letters")
+        drawn = open_.withColumn("random_id", spelled(draw)).join(taken, "random_id", "left_anti")
+        first = drawn.groupBy("random_id").agg(F.min("key").alias("key")).select("key", "random_id")
+        first.write.mode("append").parquet(path)  # read from here on: later rounds see what is taken
+        taken = known.select("key", "random_id").unionByName(spark.read.parquet(path)).distinct()
+        open_ = keys.select("key").where("key IS NOT NULL").join(taken, "key", "left_anti").distinct()
+        left, draw = open_.count(), draw + 1
+    if not there.exists(here):
+        return known.select("key", "random_id")
+    return known.select("key", "random_id").unionByName(spark.read.parquet(path)).distinct()
 
 
 def replaced(name: str, pid: str, visit: str, new: str) -> str:

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _joined(rows: DataFrame, facts: DataFrame, by: list[str]) -> DataFrame:
+    """rows with the facts of their group; null keys are a group like any other."""
+    if not by:
+        return rows.crossJoin(F.broadcast(facts))  # one row
+    named = facts.select(*[F.col(c).alias(f"_by_{c}") for c in by], *[c for c in facts.columns if c not in by])
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    return rows.join(named, same).drop(*[f"_by_{c}" for c in by])
+
+
 def robust_scale(rows: DataFrame, by: list[str], x: str) -> DataFrame:
     """by, median, mad, scale: 1.4826 times the median absolute deviation, or the population deviation where that is 0."""
     centre = rows.groupBy(*by).agg(F.percentile(x, 0.5).alias("median"), F.stddev_pop(x).alias("_sd"))
-    away = rows.join(centre, by).groupBy(*by).agg(F.first("median").alias("median"), F.first("_sd").alias("_sd"), F.percentile(F.abs(F.col(x) - F.col("median")), 0.5).alias("mad"))
+    away = _joined(rows, centre, by).groupBy(*by).agg(F.first("median").alias("median"), F.first("_sd").alias("_sd"), F.percentile(F.abs(F.col(x) - F.col("median")), 0.5).alias("mad"))
     return away.select(*by, "median", "mad", F.when(F.col("mad") > 0, 1.4826 * F.col("mad")).otherwise(F.col("_sd")).alias("scale"))
 
 
@@ -17,7 +26,7 @@ def standardised(rows: DataFrame, by: list[str], x: str, clip: float, name: str
     """rows with (x - median) / scale, clipped; 0 where there is no scale."""
     s = robust_scale(rows, by, x)
     z = F.when(F.col("scale") > 0, (F.col(x) - F.col("median")) / F.col("scale")).otherwise(F.lit(0.0))
-    return rows.join(s, by).select(*rows.columns, F.when(F.col(x).isNotNull(), F.least(F.greatest(z, F.lit(-clip)), F.lit(clip))).alias(name))
+    return _joined(rows, s, by).select(*rows.columns, F.when(F.col(x).isNotNull(), F.least(F.greatest(z, F.lit(-clip)), F.lit(clip))).alias(name))
 
 
 def line(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -30,10 +39,10 @@ def trimmed_line(rows: DataFrame, by: list[str], x: str, y: str, floor: float, k
     one row per group; kernels.robust_line is the same until nothing changes, inside one task per group."""
     kept = rows.select(*by, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
     for _ in range(rounds):
-        res = kept.join(line(kept, by, x, y).drop("n", "r"), by).withColumn("_e", F.col(y) - F.col("intercept") - F.col("slope") * F.col(x)).drop("slope", "intercept")
-        kept = res.join(robust_scale(res, by, "_e"), by).where(F.abs(F.col("_e") - F.col("median")) <= F.greatest(F.lit(floor), k * 1.4826 * F.col("mad"))).select(*by, x, y)
+        res = _joined(kept, line(kept, by, x, y).drop("n", "r"), by).withColumn("_e", F.col(y) - F.col("intercept") - F.col("slope") * F.col(x)).drop("slope", "intercept")
+        kept = _joined(res, robust_scale(res, by, "_e"), by).where(F.abs(F.col("_e") - F.col("median")) <= F.greatest(F.lit(floor), k * 1.4826 * F.col("mad"))).select(*by, x, y)
     fit = line(kept, by, x, y).drop("r")
-    res = kept.join(fit, by).withColumn("_e", F.abs(F.col(y) - F.col("intercept") - F.col("slope") * F.col(x)))
+    res = _joined(kept, fit, by).withColumn("_e", F.abs(F.col(y) - F.col("intercept") - F.col("slope") * F.col(x)))
     return res.groupBy(*by).agg(F.first("slope").alias("slope"), F.first("intercept").alias("intercept"), F.count("*").alias("n"), F.percentile("_e", 0.95).alias("p95"))
 
 
@@ -41,7 +50,7 @@ def box(rows: DataFrame, by: list[str], x: str) -> DataFrame:
     """Five numbers of a box plot: quartiles, and whiskers at the furthest values within 1.5 interquartile ranges."""
     q = rows.groupBy(*by).agg(*[F.percentile(x, p).alias(f"q{k}") for k, p in ((1, 0.25), (2, 0.5), (3, 0.75))])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = rows.join(q, by).where((F.col(x) >= F.col("q1") - reach) & (F.col(x) <= F.col("q3") + reach))
+    inside = _joined(rows, q, by).where((F.col(x) >= F.col("q1") - reach) & (F.col(x) <= F.col("q3") + reach))
     return inside.groupBy(*by).agg(F.min(x).alias("low"), F.first("q1").alias("q1"), F.first("q2").alias("q2"), F.first("q3").alias("q3"), F.max(x).alias("high"))
 
 
@@ -55,8 +64,6 @@ def histogram(rows: DataFrame, by: list[str], x: str, low: float, high: float, w
 def activity_envelope(rows: DataFrame, by: list[str], on: list[str], x: str, trend: int, width: int, stride: int, clip: float = 10.0) -> DataFrame:
     """by, on, envelope of every stride-th row: the root mean square over `width` rows of x less its mean over `trend`
     rows, clipped at `clip` robust scales."""
-    from pyspark.sql import Window
-
     from .runs import moving_mean
 
     flat = rows.withColumn("_e", F.col(x) - moving_mean(x, by, on, trend))
