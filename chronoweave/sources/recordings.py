@@ -33,9 +33,9 @@ def markers(samples: DataFrame, pattern: str) -> DataFrame:
 
 
 def scenarios(samples: DataFrame, channel: str = "ScenarioID") -> DataFrame:
-    """path, t, scenario: the simulator's scenario as a whole number, in order of time."""
+    """path, t, scenario: the simulator's scenario as a whole number, in no order: a window or a writer sorts by what it needs."""
     c = channels(samples).where((F.col("channel") == channel) & F.col("value").isNotNull() & ~F.isnan("value"))
-    return c.select("path", "t", F.floor("value").cast("long").alias("scenario")).orderBy("path", "t")
+    return c.select("path", "t", F.floor("value").cast("long").alias("scenario"))
 
 
 def bipolar(samples: DataFrame, a: str, b: str) -> DataFrame:

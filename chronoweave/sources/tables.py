@@ -37,8 +37,9 @@ class Config:
 
 
 def read_gaze(spark: SparkSession, path: str) -> DataFrame:
-    """Gaze packets (JSON lines, gz too) as one flat row each; what a packet lacks is null."""
-    raw = spark.read.schema(GAZE).option("mode", "PERMISSIVE").json(path)
+    """Gaze packets (JSON lines, gz too) as one flat row each; what a packet lacks is null. A broken
+    archive gives the rows before the break, or none, and no error."""
+    raw = spark.read.schema(GAZE).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True).json(path)
     at = lambda c, k: F.get(F.col(c), F.lit(k))
     axes = lambda c, name: [at(c, k).alias(f"{name}_{a}") for k, a in enumerate("xyz")]
     return raw.where("timestamp IS NOT NULL").select(
@@ -49,7 +50,7 @@ def read_gaze(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_imu(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.schema(IMU).json(path)
+    raw = spark.read.schema(IMU).option("ignoreCorruptFiles", True).json(path)
     return raw.where("timestamp IS NOT NULL").select(F.col("timestamp").alias("t"), *[F.get(F.col(f"data.{s}"), F.lit(k)).alias(f"{n}_{a}") for s, n in (("magnetometer", "magnetometer"), ("accelerometer", "accelerometer"), ("gyroscope", "gyro")) for k, a in enumerate("xyz")])
 
 

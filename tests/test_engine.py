@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoweave.functions import scalars as S
-from chronoweave.operators import alignment, anchors, anonymize, asof, kernels, quality, runs, trackers
+from chronoweave.operators import alignment, anchors, anonymize, asof, epochs, kernels, quality, robust, runs, trackers
 from chronoweave.plans import catalog
 from chronoweave.sources import tables, xdf
 
@@ -72,6 +72,24 @@ def test_grid_edges(spark):
     assert holds.tolist() == [False, False, True, True, False, False, False]
 
 
+def test_long_recordings_take_one_pass(spark):
+    """200,000 rows of one recording: neighbours and fills grow with the rows, not with their square."""
+    import time
+
+    n = 200_000
+    s = spark.range(n).select(F.lit(1).alias("rec"), F.col("id").cast("double").alias("t"), F.when(F.col("id") % 10 != 0, F.col("id").cast("double")).alias("v"))
+    g = spark.range(n).select(F.lit(1).alias("rec"), (F.col("id") + 0.5).alias("t"))
+    began = time.time()
+    on_line = asof.interpolated(g, s.where("v IS NOT NULL"), ["rec"], "t", "v").agg(F.count("v"), F.max(F.abs(F.col("v") - F.col("t")))).first()
+    near = asof.nearest(g, s.select("rec", "t", F.col("t").alias("w")), ["rec"], "t", ["w"]).agg(F.sum("w")).first()[0]
+    filled = runs.short_gaps_filled(s, ["rec"], ["t"], "v", 5).agg(F.count("v"), F.count_if("filled")).first()
+    back = s.select(runs.backward_filled("v", ["rec"], ["t"]).alias("b")).agg(F.count("b")).first()[0]
+    beside = asof.neighbours_where(s, ["rec"], ["t"], F.col("v").isNotNull(), "t").agg(F.count("following")).first()[0]
+    assert time.time() - began < 60
+    assert on_line[0] == n - 2 and on_line[1] < 1e-6 and near == n * (n - 1) / 2
+    assert tuple(filled) == (n, n // 10) and back == n and beside == n - 1
+
+
 def test_hysteresis_is_a_state_machine(spark):
     rng = np.random.default_rng(0)
     rows, want = [], {}
@@ -190,6 +208,22 @@ def test_anchor_grades(spark):
     assert got == {"a": ("affine", "A", True), "b": ("review_affine", "C", True), "c": ("invalid_affine", "D", False), "d": ("offset_only", "C", True), "e": ("invalid", "D", False), "f": ("unavailable", "D", False), "g": ("review_affine", "C", True)}
 
 
+def test_parameters_are_checked(spark):
+    empty = spark.createDataFrame([], "rec long, grp string, channel string, t double, value double")
+    guess = spark.createDataFrame([], "rec long, prior double, rank int")
+    for bad in ({"step": 0.0}, {"length": -1.0}, {"hz": float("nan")}):
+        with pytest.raises(ValueError):
+            alignment.window_offsets(empty, empty, guess, **bad)
+    with pytest.raises(ValueError):
+        epochs.epochs(empty, empty, 1.0, 0.0, 10.0)
+
+
+def test_null_keys_are_groups(spark):
+    rows = spark.createDataFrame([(None, 1.0), (None, 3.0), (1, 5.0), (1, 9.0)], "rec int, x double")
+    assert sorted(r["median"] for r in robust.robust_scale(rows, ["rec"], "x").collect()) == [2.0, 7.0]
+    assert robust.standardised(rows, ["rec"], "x", 8.0).count() == 4 and robust.box(rows, ["rec"], "x").count() == 2
+
+
 def test_contracts(spark):
     assert quality.schema_difference(["a", "b"], ["a", "c", "b"])["missing"] == ["c"]
     df = spark.createDataFrame([(1, 2)], "a int, b int")
@@ -206,8 +240,13 @@ def test_identities(spark, tmp_path):
     assert row.select(S.identity_replaced(F.col("n"), F.col("p"), F.col("v"), F.col("q"))).first()[0] == "a_Q7/XT001/Q7.V0"
     keys = spark.createDataFrame([("a",), ("b",), ("c",)], "key string")
     known = spark.createDataFrame([("b", "ZZZZZZ")], "key string, random_id string")
-    ids = {r["key"]: r["random_id"] for r in anonymize.new_ids(spark, keys, known, f"{tmp_path}/ids").collect()}
+    ids = {r["key"]: r["random_id"] for r in anonymize.new_ids(keys, known, f"{tmp_path}/ids").collect()}
     assert ids["b"] == "ZZZZZZ" and len(set(ids.values())) == 3
+    many = spark.range(200).select(F.col("id").cast("string").alias("key"))
+    tight = anonymize.new_ids(many, known.limit(0), f"{tmp_path}/tight", 2, "abcdefghijklmnop").collect()  # 256 ids: draws collide
+    assert len({r["key"] for r in tight}) == len({r["random_id"] for r in tight}) == len(tight) == 200
+    again = anonymize.new_ids(many, spark.read.parquet(f"{tmp_path}/tight"), f"{tmp_path}/tight", 2, "abcdefghijklmnop").collect()
+    assert sorted(again) == sorted(tight)
     moved = spark.createDataFrame([("1000.120", 5), ("7", -2), ("3.000000001", 1)], "x string, d int").select(S.shifted_decimal(F.col("x"), F.col("d")).alias("y")).collect()
     assert [r["y"] for r in moved] == ["1005.120", "5", "4.000000001"]
     iso = spark.createDataFrame([("2024-02-29T23:59:59.50Z", 1), ("2024-01-01T00:00:00", -1)], "x string, d long").select(anonymize.shifted_iso(F.col("x"), F.col("d")).alias("y")).collect()
@@ -219,6 +258,9 @@ def test_trackers(spark):
     rows = [(1, k, c, n) for k, (c, n) in enumerate([(0, 0), (40, 40), (40, 80), (30, 85), (200, 120)])]
     got = trackers.monotonic_times(spark.createDataFrame(rows, "rec int, k int, c long, n long"), ["rec"], "k", "c", "n").orderBy("k").collect()
     assert [r["repaired"] for r in got] == [0, 40, 80, 85, 200]
+    odd = spark.createDataFrame([(1, 5, 3, 0), (1, 5, 3, 0), (None, 1, 7, 0), (1, None, 1, None), (1, 9, None, None)], "rec int, k int, c long, n long")
+    out = sorted((r["repaired"] for r in trackers.monotonic_times(odd, ["rec"], "k", "c", "n").collect()))
+    assert out == [1, 3, 4, 5, 7]  # repeated and null keys and places keep their rows
     low = spark.createDataFrame([(1, k, x) for k, x in enumerate([1, 0, 1, 1, 1, 1, 1, 0])], "rec int, k int, low int")
     assert [r["reset"] for r in trackers.tracker_resets(low, ["rec"], ["k"], F.col("low") == 1).orderBy("k").collect()] == [False, False, False, True, False, True, False, False]
 
