@@ -27,30 +27,38 @@ SAMPLE_ROWS, SAMPLE_CHARS = 4000, 16_000_000
 #: Rows whose crc32(doc_id as text) is 0 modulo this are held out.
 FOLDS = 5
 THRESHOLD = 0.3
-#: A longer run of bytes without white space is cut into tokens of this length, so that memory stays bounded.
-LONGEST = 10_000
 #: Distinct words whose scores a task remembers.
 REMEMBERED = 300_000
+#: Words' scores are whole multiples of 1 / POINT, so that their sums don't depend on the order or the neighbours.
+POINT = 1 << 28
 _REPEAT = 0  # the feature of repeated windows
 _EMPTY = 1  # the feature of a text without words
 
 
-def word_features(words: list[bytes], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-    """Features of each word and the offsets of each word's: itself and the n-grams of <word>."""
+def _hashed(flat: list[bytes]) -> np.ndarray:
+    tokens = np.empty(len(flat), dtype=object)
+    tokens[:] = flat
+    return (pd.util.hash_array(tokens, categorize=False) % np.uint64(FEATURES - 2)).astype(np.int32) + 2
+
+
+def word_features(words: list[bytes], at_once: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
+    """Features of each word and the offsets of each word's: itself and the n-grams of <word>, of words of any length.
+    N-grams are hashed in parts, also inside a word: as objects they take twenty times the room of their features."""
     ends = np.zeros(len(words) + 1, dtype=np.int64)
-    parts = [np.zeros(0, dtype=np.int32)]
-    for begin in range(0, len(words), at_once):  # n-grams as objects take twenty times the room of their features
-        flat: list[bytes] = []
-        for i, w in enumerate(words[begin : begin + at_once], begin):
-            flat.append(b"w" + w)
-            s = "<" + w.decode("utf-8", "surrogateescape") + ">"
-            for n in GRAMS:
-                flat += [s[k : k + n].encode("utf-8", "surrogateescape") for k in range(len(s) - n + 1)]
-            ends[i + 1] = len(flat)
-        ends[begin + 1 : begin + at_once + 1] += ends[begin]
-        tokens = np.empty(len(flat), dtype=object)
-        tokens[:] = flat
-        parts.append((pd.util.hash_array(tokens, categorize=False) % np.uint64(FEATURES - 2)).astype(np.int32) + 2)
+    parts, flat = [np.zeros(0, dtype=np.int32)], []
+    done = 0
+    for i, w in enumerate(words):
+        flat.append(b"w" + w)
+        s = "<" + w.decode("utf-8", "surrogateescape") + ">"
+        for n in GRAMS:
+            for begin in range(0, len(s) - n + 1, at_once):
+                flat += [s[k : k + n].encode("utf-8", "surrogateescape") for k in range(begin, min(begin + at_once, len(s) - n + 1))]
+                if len(flat) >= at_once:
+                    parts.append(_hashed(flat))
+                    done, flat = done + len(flat), []
+        ends[i + 1] = done + len(flat)
+    if flat:
+        parts.append(_hashed(flat))
     return np.concatenate(parts), ends
 
 
@@ -69,8 +77,6 @@ def bags(texts: list) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray,
     ids, counts, ends, totals, again = [], [], [0], [], []
     for t in texts:
         words = t.encode("utf-8", "surrogatepass").split() if t else []
-        if t and max(map(len, words), default=0) > LONGEST:
-            words = [w[k : k + LONGEST] for w in words for k in range(0, len(w), LONGEST)]
         own = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), dtype=np.int64, count=len(words))
         again.append(_repeats(H.mixed(own.astype(np.uint64))))
         distinct, n = np.unique(own, return_counts=True)
@@ -92,15 +98,16 @@ class Model:
         known = {} if known is None else known
         words, ids, counts, ends, totals, again = bags(texts)
         new = [w for w in words if w not in known]
-        features, at = word_features(new)
-        sums = np.concatenate([[0.0], np.cumsum(self.weights[features], dtype=np.float64)])
-        known.update(zip(new, ((sums[at[1:]] - sums[at[:-1]]) / np.maximum(1, np.diff(at))).tolist(), strict=True))
-        own = np.fromiter((known[w] for w in words), dtype=np.float64, count=len(words))
+        if new:
+            features, at = word_features(new)
+            means = np.add.reduceat(self.weights[features].astype(np.float64), at[:-1]) / np.diff(at)
+            known.update(zip(new, np.rint(means * POINT).astype(np.int64).tolist(), strict=True))
+        own = np.fromiter((known[w] for w in words), dtype=np.int64, count=len(words))
         if len(known) > REMEMBERED:
             known.clear()
-        run = np.concatenate([[0.0], np.cumsum(own[ids] * counts)])
+        run = np.concatenate([[0], np.cumsum(own[ids] * counts)])
         n = totals + again
-        logit = (run[ends[1:]] - run[ends[:-1]] + again * self.weights[_REPEAT]) / np.maximum(1, n)
+        logit = ((run[ends[1:]] - run[ends[:-1]]) / POINT + again * float(self.weights[_REPEAT])) / np.maximum(1, n)
         logit = np.where(n == 0, self.weights[_EMPTY], logit) + self.bias
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
@@ -156,9 +163,11 @@ def train(texts: list, labels: np.ndarray, seed: int = 1) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list, np.ndarray]:
-    """Whole texts and labels of the training rows: those not held out, at most `rows`, in order of a hash of the id."""
+    """Whole texts and labels of the training rows: those not held out, in order of a hash of the id, at most `rows` and
+    no more than come before the first text that takes them over `chars` characters. Of several labels of a document
+    the smallest stands."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL")
-    open_ = known.where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0).dropDuplicates(["doc_id"])
+    open_ = known.where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0).groupBy("doc_id").agg(F.min("label").alias("label"))
     chosen = open_.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(rows)  # at most `rows` small rows
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     got = text.join(F.broadcast(chosen), "doc_id").orderBy("h", "doc_id", "text").select("text", "label")
@@ -186,8 +195,10 @@ def _scored(shared):
 def score(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs (doc_id, text).
 
-    Null and empty texts are scored by a feature of their own; a null doc_id counts as held out; repeated rows get
-    equal scores; an empty table gives an empty result; without labels all scores are one half. Only text is scored.
+    The model is fitted on a bounded sample of the labelled rows (see sample: SAMPLE_ROWS rows and SAMPLE_CHARS
+    characters); every text is scored whole, words of any length included. Null and empty texts are scored by a feature
+    of their own; a null doc_id counts as held out; equal texts get equal scores, whatever stands beside them; an empty
+    table gives an empty result; without labels all scores are one half. Only text is scored.
     """
     model = train(*sample(docs, labels, label))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES numbers

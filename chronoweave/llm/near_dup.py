@@ -7,12 +7,12 @@ that share a key are estimated from all registers, corrected for accidental agre
 threshold, verified on the full shingle sets.
 
 Work never squares a group. Equal sets are one class from the start. In a bucket, members are compared with two
-representatives; components are formed; then only buckets that still hold several components go on, and only pairs
-across components are compared, round by round from a few of each component to all. The last round compares the
-untested pairs across components that can still be links. Two exact bounds on the intersection rule the others out
-before a pair is made: the shingles that no other open set has, and bitmaps of the sets (a bit that one set has and
-the other lacks stands for a shingle at least). So nothing that the bands bring together goes unlinked; pairs inside
-one component can't change the result and are never made.
+representatives, and components are formed. Then only buckets that still hold several components go on. A member stays
+as long as an exact bound lets it have a partner there: the shingles that no other open set has are in no intersection.
+Of what is left, the members outside a bucket's largest component meet the others, and a pair is made only if a second
+exact bound allows a link: besides those lone shingles, bitmaps of the shared ones (a bit that one set has and the
+other lacks stands for a shingle at least). So nothing that the bands bring together goes unlinked; pairs inside one
+component can't change the result and are never made.
 """
 
 from __future__ import annotations
@@ -28,11 +28,11 @@ from . import text_hash as H
 from .shared import Scratch
 
 MANTISSA = 10
-#: Bands and rows per band: a pair at the threshold shares no band with a probability of 6e-9 for 0.85 (40 bands of
-#: 6) and 1.3e-7 for 0.8 (40 bands of 5).
-BANDS = 40
-#: Pairs are verified unless the estimate is so far below the threshold: over five standard deviations.
-SLACK = 0.15
+#: Bands, and how likely a pair at the threshold may share none: rows per band are as many as that allows (6 for 0.85:
+#: 6e-9, 5 for 0.8: 1.3e-7).
+BANDS, MISS = 40, 1.5e-7
+#: Pairs are verified unless the estimate is so far, or so many standard deviations, below the threshold.
+SLACK, DEVIATIONS = 0.15, 5.5
 #: How often sets without a possible partner are set aside, which leaves more shingles to one set alone.
 PRUNINGS = 2
 #: Longs in a set's bitmap.
@@ -40,7 +40,20 @@ LONGS = 16
 
 
 def rows_per_band(threshold: float) -> int:
-    return 6 if threshold >= 0.85 else 5
+    """The most rows that keep a pair at the threshold; thresholds too low for BANDS bands are refused."""
+    if not 0 < threshold <= 1:
+        raise ValueError(f"no similarity: {threshold}")
+    rows = 0
+    while rows < 16 and (1 - threshold ** (rows + 1)) ** BANDS <= MISS:
+        rows += 1
+    if not rows:
+        raise ValueError(f"{BANDS} bands would lose pairs at a similarity of {threshold}")
+    return rows
+
+
+def least_estimate(threshold: float, m: int) -> float:
+    """Estimates of pairs at the threshold, from m registers, are above this."""
+    return threshold - max(SLACK, DEVIATIONS * (threshold * (1 - threshold) / m) ** 0.5)
 
 
 def _order(m: int) -> np.ndarray:
@@ -86,7 +99,7 @@ def band_keys(regs: np.ndarray, bands: int) -> np.ndarray:
     return H.mixed(sums + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.int64)
 
 
-SKETCH = "doc_id long, n_shingles long, class binary, regs binary, bands array<long>"
+SKETCH = "doc_id long, text_key long, n_shingles long, class binary, bands array<long>"
 
 
 def _sketch(k: int, bands: int, rows: int):
@@ -95,14 +108,13 @@ def _sketch(k: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = _order(m)
         rank = np.argsort(order, axis=1).astype(np.int32)
-        seen: set[bytes] = set()  # copies inside a task carry no sketch
+        seen: set[bytes] = set()  # copies inside a task carry no bands
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            ids, text_keys, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
             for a, b in H.blocks(texts):
                 hashes, ends = H.shingle_sets(texts[a:b], k)
                 keys = H.set_keys(hashes, ends)
-                regs = registers(hashes, ends, m, order, rank)
-                lsh = band_keys(regs, bands)
+                lsh = band_keys(registers(hashes, ends, m, order, rank), bands)
                 new = []
                 for key in keys:
                     new.append(key is not None and key not in seen)
@@ -113,26 +125,31 @@ def _sketch(k: int, bands: int, rows: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(a, b - a),
+                        text_keys.slice(a, b - a),
                         pa.array(np.diff(ends)),
                         pa.array(keys, pa.binary()),
-                        pa.array([r.tobytes() if x else None for r, x in zip(regs, new, strict=True)], pa.binary()),
-                        pa.array([list(r) if x else None for r, x in zip(lsh, new, strict=True)], pa.list_(pa.int64())),
+                        pa.array([r if x else None for r, x in zip(lsh, new, strict=True)], pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n_shingles", "class", "regs", "bands"],
+                    ["doc_id", "text_key", "n_shingles", "class", "bands"],
                 )
 
     return run
 
 
-def _sets(k: int):
+SETS = "class binary, regs binary, members array<long>"
+
+
+def _sets(k: int, m: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = _order(m)
+        rank = np.argsort(order, axis=1).astype(np.int32)
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in H.blocks(texts):
                 hashes, ends = H.shingle_sets(texts[a:b], k)
-                keys = H.set_keys(hashes, ends)
-                members = [hashes[ends[i] : ends[i + 1]].tobytes() for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(members, pa.binary())], ["class", "members"])
+                regs = [r.tobytes() for r in registers(hashes, ends, m, order, rank)]
+                members = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hashes.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(H.set_keys(hashes, ends), pa.binary()), pa.array(regs, pa.binary()), members], ["class", "regs", "members"])
 
     return run
 
@@ -144,103 +161,83 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b).mean(axis=1) - accident) / (1 - accident)
 
 
-def _estimated(m: int, least: float):
+def _linked(m: int, num: int, den: int):
+    """Of pairs with their registers and sets those that are links: estimated first, then verified."""
+    least = least_estimate(num / den, m)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, m) for c in ("ra", "rb"))
-                yield batch.select(["a", "b"]).filter(pa.array(estimate(x, y) >= least))
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, m) for c in ("ra", "rb"))
+            keep = estimate(x, y) >= least
+            left, right = batch.column("sa"), batch.column("sb")
+            for i in np.flatnonzero(keep):
+                u, v = (np.asarray(s[int(i)].values).astype(np.int64).view(np.uint64) for s in (left, right))
+                at = np.minimum(np.searchsorted(u, v), len(u) - 1)
+                common = int((u[at] == v).sum())
+                keep[i] = den * common >= num * (len(u) + len(v) - common)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for name, raw in zip(batch.column("class").to_pylist(), batch.column("members").to_pylist(), strict=True):
-            own = np.frombuffer(raw, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([name] * len(own), pa.binary())], ["shingle", "class"])
-
-
-BITMAP = "class binary, " + ", ".join(f"b{k} long" for k in range(LONGS))
+BITMAP = "class binary, alone long, " + ", ".join(f"b{k} long" for k in range(LONGS))
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bitmaps of the members that aren't the set's alone, and how many are."""
     for batch in batches:
-        raws = batch.column("members").to_pylist()
-        bits = np.zeros((len(raws), LONGS), dtype=np.uint64)
-        for row, raw in zip(bits, raws, strict=True):
-            at = H.mixed(np.frombuffer(raw, dtype=np.uint64), 404) % np.uint64(64 * LONGS)
-            np.bitwise_or.at(row, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-        yield pa.RecordBatch.from_arrays([batch.column("class"), *[pa.array(bits[:, k].astype(np.int64)) for k in range(LONGS)]], ["class", *[f"b{k}" for k in range(LONGS)]])
-
-
-def _verified(num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                at = np.searchsorted(x, y)
-                common = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                keep.append(den * common >= num * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
+        members, own = batch.column("members"), batch.column("own")
+        bits, alone = np.zeros((batch.num_rows, LONGS), dtype=np.uint64), np.zeros(batch.num_rows, dtype=np.int64)
+        for i in range(batch.num_rows):
+            mine = np.asarray(members[i].values).astype(np.int64)
+            if own[i].is_valid:
+                lone = np.asarray(own[i].values).astype(np.int64)
+                alone[i] = len(lone)
+                mine = mine[~np.isin(mine, lone)]
+            at = H.mixed(mine.view(np.uint64), 404) % np.uint64(64 * LONGS)
+            np.bitwise_or.at(bits[i], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(alone), *[pa.array(bits[:, k].astype(np.int64)) for k in range(LONGS)]], ["class", "alone", *[f"b{k}" for k in range(LONGS)]])
 
 
 class _Linker:
-    """Candidate pairs of classes to links, with what that needs at hand."""
+    """Candidate pairs of classes to links, with the sets of all classes that share a bucket with another."""
 
-    def __init__(self, docs: DataFrame, sketches: DataFrame, scratch: Scratch, k: int, num: int, den: int, m: int):
-        self.docs, self.scratch, self.k, self.num, self.den, self.m = docs, scratch, k, num, den, m
-        self.regs = sketches.where("regs IS NOT NULL").select("class", "regs")
-        self.reps = sketches.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-        self.tested: DataFrame | None = None
+    def __init__(self, sets: DataFrame, scratch: Scratch, num: int, den: int, m: int):
+        self.sets, self.scratch, self.num, self.den, self.m = sets, scratch, num, den, m
 
-    def sets(self, classes: DataFrame) -> DataFrame:
-        """The shingle sets of classes, made again from a text of each."""
-        need = classes.join(self.reps, "class").select("doc_id").distinct()
-        texts = self.docs.select("doc_id", "text").join(need, "doc_id", "left_semi").select("text")
-        sets = texts.mapInArrow(_sets(self.k), "class binary, members binary").where("class IS NOT NULL")
-        return sets.join(classes, "class", "left_semi").dropDuplicates(["class"])
+    def lone(self, open_: DataFrame) -> DataFrame:
+        """shingle, class: the shingles that one set alone of the open ones has."""
+        alive = self.sets.join(open_.select("class").distinct(), "class", "left_semi").select("class", F.explode("members").alias("shingle"))
+        return alive.groupBy("shingle").agg(F.count("*").alias("n"), F.min("class").alias("class")).where("n = 1")
 
     def possible(self, open_: DataFrame) -> DataFrame:
-        """Members of open buckets (band, class, label) that may have a partner there, with size and shared, the
-        shingles that some other member has. A link needs num * (size + size) <= (num + den) * intersection, and the
-        intersection is at most either's shared; the bucket's smallest set is the best partner by size."""
-        s = self.scratch
-        sets = s.table(self.sets(open_.select("class").distinct()), "open-sets")
-        members = s.table(sets.mapInArrow(_members, "shingle long, class binary"), "open-shingles")
+        """Members of open buckets (band, class, label, size) that may have a partner there, with alone, the number of
+        shingles that no other member has, and bitmaps of the others. A link needs num * (size + size) <= (num + den) *
+        intersection, and the intersection is at most either's shared shingles; the bucket's smallest set is the best
+        partner by size."""
         for _ in range(PRUNINGS):
-            alive = members.join(open_.select("class").distinct(), "class", "left_semi")
-            one = alive.groupBy("shingle").agg(F.count("*").alias("n"), F.min("class").alias("class")).where("n = 1").groupBy("class").agg(F.count("*").alias("alone"))
-            sizes = alive.groupBy("class").agg(F.count("*").alias("size")).join(one, "class", "left")
-            sizes = sizes.select("class", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
-            told = s.table(open_.select("band", "class", "label").join(sizes, "class"), "open-sizes")
+            alone = self.lone(open_).groupBy("class").agg(F.count("*").alias("alone"))
+            told = open_.join(alone, "class", "left").withColumn("shared", F.col("size") - F.coalesce("alone", F.lit(0)))
             best = told.groupBy("band").agg(F.min("size").alias("least"), F.max("shared").alias("most"))
-            may = (self.num * (F.col("size") + F.col("least")) <= (self.num + self.den) * F.least("shared", "most"))
-            open_ = s.table(_mixed_buckets(told.join(best, "band").where(may).select("band", "class", "label", "size", "shared")), "possible")
-        bits = s.table(sets.mapInArrow(_bitmaps, BITMAP), "bitmaps")
-        return open_.join(bits, "class")
+            may = self.num * (F.col("size") + F.col("least")) <= (self.num + self.den) * F.least("shared", "most")
+            left = told.join(best, "band").where(may).select("band", "class", "label", "size")
+            kept = self.scratch.table(_mixed_buckets(left), "possible")
+            self.scratch.drop(open_)
+            open_ = kept
+        own = self.lone(open_).groupBy("class").agg(F.collect_list("shingle").alias("own"))  # at most a set's size
+        alive = self.sets.select("class", "members").join(open_.select("class").distinct(), "class", "left_semi")
+        return open_.join(alive.join(own, "class", "left").mapInArrow(_bitmaps, BITMAP), "class")
 
     def links(self, pairs: DataFrame, tag: str) -> DataFrame:
-        """pairs (a, b), a below b, distinct, untested."""
-        s = self.scratch
-        pairs = s.table(pairs, f"pairs-{tag}")
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        one = self.regs.groupBy("class").agg(F.max("regs").alias("regs"))
-        side = lambda name: one.select(F.col("class").alias(name), F.col("regs").alias(f"r{name}"))
-        seen = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb")
-        likely = s.table(seen.mapInArrow(_estimated(self.m, self.num / self.den - SLACK), "a binary, b binary"), f"likely-{tag}")
-        sets = s.table(self.sets(likely.select(F.explode(F.array("a", "b")).alias("class")).distinct()), f"sets-{tag}")
-        full = lambda name: sets.select(F.col("class").alias(name), F.col("members").alias(f"s{name}"))
-        both = likely.join(full("a"), "a").join(full("b"), "b").select("a", "b", "sa", "sb")
-        out = s.table(both.mapInArrow(_verified(self.num, self.den), "a binary, b binary"), f"links-{tag}")
-        s.drop(sets, likely)
-        return out
-
-
-def components(links: DataFrame, scratch: Scratch, start: DataFrame | None = None) -> DataFrame:
+        """Of pairs (a, b) of classes those that are links."""
+        side = lambda name: self.sets.select(F.col("class").alias(name), F.col("regs").alias(f"r{name}"), F.col("members").alias(f"s{name}"))
+        both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ra", "rb", "sa", "sb")
+        return self.scratch.table(both.mapInArrow(_linked(self.m, self.num, self.den), "a binary, b binary"), f"links-{tag}")
+
+
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """node, label for every node of links (a, b): the smallest node reachable. Smallest labels pass along links and
     labels jump to their label's label, so the rounds grow with the logarithm of a component's diameter."""
     both = scratch.table(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -254,11 +251,47 @@ def components(links: DataFrame, scratch: Scratch, start: DataFrame | None = Non
         scratch.drop(label)
         label = jumped
         if not moved:
+            scratch.drop(both)
             return label.select("node", "label")
 
 
-def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
-    return pairs.distinct().join(tested, ["a", "b"], "left_anti")
+def _clustered(docs: DataFrame, k: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """cluster's columns and text_key, a hash of the text that tells rows of one doc_id apart."""
+    rows = rows_per_band(num / den)
+    text = F.col("text").cast("string")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    sketches = scratch.table(narrow.mapInArrow(_sketch(k, BANDS, rows), SKETCH), "sketches")
+    banded = sketches.where("bands IS NOT NULL AND doc_id IS NOT NULL").select("class", F.col("n_shingles").alias("size"), F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min(F.struct("class", "size")).alias("low"), F.max(F.struct("class", "size")).alias("high")).where("low.class <> high.class")
+    members = scratch.table(banded.join(shared, "band").dropDuplicates(["band", "class"]), "members")
+
+    known = sketches.where("class IS NOT NULL AND doc_id IS NOT NULL")
+    heads = known.groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("head"))
+    need = scratch.table(heads.join(members.select("class").distinct(), "class", "left_semi").select("head.*"), "need")
+    texts = narrow.join(need, ["doc_id", "text_key"], "left_semi").select("text")
+    sets = scratch.table(texts.mapInArrow(_sets(k, BANDS * rows), SETS).where("class IS NOT NULL").dropDuplicates(["class"]), "sets")
+    linker = _Linker(sets, scratch, num, den, BANDS * rows)
+
+    # links need sets of like sizes
+    ends = members.select(F.struct("class", "size").alias("x"), F.explode(F.array("low", "high")).alias("y")).where("x.class <> y.class")
+    ends = ends.where(f"{den} * least(x.size, y.size) >= {num} * greatest(x.size, y.size)")
+    star = ends.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+    links = linker.links(star, "star")
+    label = components(links, scratch)
+    named = members.select("band", "class", "size").join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    open_ = scratch.table(_mixed_buckets(named), "open")
+    across = scratch.table(_across(scratch.table(linker.possible(open_), "bitmaps"), num, den, scratch).distinct(), "across")
+    if across.limit(1).count():
+        more = linker.links(across, "across")
+        links = links.unionByName(more)
+        label = components(links, scratch)
+    classes = heads.join(label.withColumnRenamed("node", "class"), "class", "left").select("class", "head.doc_id", F.coalesce("label", "class").alias("label"))
+    first = classes.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    named = scratch.table(classes.join(first, "label").select("class", "component_id"), "named")
+    scratch.drop(sets, members)
+    out = sketches.select("doc_id", "text_key", "n_shingles", "class").join(named, "class", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
 
 
 def cluster(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, scratch: Scratch | None = None) -> DataFrame:
@@ -266,48 +299,10 @@ def cluster(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, scratch:
     num * union of k-word shingle sets; component_id is the smallest doc_id reachable.
 
     Null and empty texts have no shingles and are linked with nothing. Rows that repeat a doc_id stay rows of their
-    own. A row without doc_id has no component (null) and is kept. An empty table gives an empty result; other columns
-    aren't read.
+    own. A row without doc_id links nothing, has no component (null) and is kept. An empty table gives an empty
+    result; other columns aren't read. Similarities too low for the bands are refused (rows_per_band).
     """
-    scratch = scratch or Scratch(docs.sparkSession, "neardup")
-    rows = rows_per_band(num / den)
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = scratch.table(narrow.mapInArrow(_sketch(k, BANDS, rows), SKETCH), "sketches")
-    banded = sketches.where("bands IS NOT NULL").select("class", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
-    members = scratch.table(banded.join(shared, "band"), "members")
-    pair = lambda x, y: F.when(F.col(x) < F.col(y), F.struct(F.col(x).alias("a"), F.col(y).alias("b"))).when(F.col(x) > F.col(y), F.struct(F.col(y).alias("a"), F.col(x).alias("b")))
-    star = members.select(F.explode(F.array(pair("class", "low"), pair("class", "high"))).alias("p")).where("p IS NOT NULL").select("p.*").distinct()
-    linker = _Linker(narrow, sketches, scratch, k, num, den, BANDS * rows)
-    links = linker.links(star, "star")
-    label, last = scratch.table(components(links, scratch), "component"), False
-    while True:
-        open_ = _open(members, label, scratch)
-        near = _all_across(linker.possible(open_), num, den) if last else _few_across(open_)
-        pairs = scratch.table(_untested(near, linker.tested), "across")
-        found = 0
-        if pairs.limit(1).count():
-            more = linker.links(pairs, "more")
-            found = more.limit(1).count()
-        if found:
-            links = links.unionByName(more)
-            label = scratch.table(components(links, scratch), "component")
-        if last:  # every pair across components has been compared
-            break
-        last = not found
-    classes = linker.reps.join(label.withColumnRenamed("node", "class"), "class", "left").select("class", "doc_id", F.coalesce("label", "class").alias("label"))
-    heads = classes.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = scratch.table(classes.join(heads, "label").select("class", "component_id"), "named")
-    out = sketches.select("doc_id", "n_shingles", "class").join(named, "class", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
-
-
-def _open(members: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
-    """Members of buckets that hold several components, with their component."""
-    named = members.select("band", "class").distinct().join(label.withColumnRenamed("node", "class"), "class", "left").select("band", "class", F.coalesce("label", "class").alias("label"))
-    named = scratch.table(named, "named-members")
-    return scratch.table(_mixed_buckets(named), "open")
+    return _clustered(docs, k, num, den, scratch or Scratch(docs.sparkSession, "neardup")).drop("text_key")
 
 
 def _mixed_buckets(named: DataFrame) -> DataFrame:
@@ -315,26 +310,23 @@ def _mixed_buckets(named: DataFrame) -> DataFrame:
     return named.join(mixed, "band", "left_semi")
 
 
-def _few_across(open_: DataFrame) -> DataFrame:
-    """Pairs across components: each component's smallest and largest members in a bucket against those of the
-    bucket's smallest and largest components."""
-    ends = open_.groupBy("band", "label").agg(F.min("class").alias("c0"), F.max("class").alias("c1"))
-    first = ends.groupBy("band").agg(F.min(F.struct("label", "c0", "c1")).alias("lo"), F.max(F.struct("label", "c0", "c1")).alias("hi"))
-    theirs = F.array(*[F.struct(F.col(f"{x}.label").alias("label"), F.col(f"{x}.c{k}").alias("c")) for x in ("lo", "hi") for k in (0, 1)])
-    x = ends.join(first, "band").select("label", F.explode(F.array("c0", "c1")).alias("x"), theirs.alias("t")).select("label", "x", F.explode("t").alias("t")).where("label <> t.label")
-    return x.select(F.least("x", "t.c").alias("a"), F.greatest("x", "t.c").alias("b"))
-
-
-def _all_across(possible: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs across components whose sizes, shared shingles and bitmaps allow a link."""
-    y = possible.select("band", F.col("class").alias("b"), F.col("label").alias("other"), F.col("size").alias("size_b"), F.col("shared").alias("shared_b"), *[F.col(f"b{k}").alias(f"y{k}") for k in range(LONGS)])
+def _across(possible: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Pairs across components whose sizes, lone shingles and bitmaps allow a link: each bucket's members outside its
+    largest component with all others."""
+    counts = possible.groupBy("band", "label").agg(F.count("*").alias("n"))
+    main = counts.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    x = possible.join(main, "band").where("label <> main")
+    y = possible.select("band", F.col("class").alias("b"), F.col("label").alias("other"), F.col("size").alias("size_b"), F.col("alone").alias("alone_b"), *[F.col(f"b{k}").alias(f"y{k}") for k in range(LONGS)])
     lacks = lambda p, q: " + ".join(f"bit_count({p}{k} & ~{q}{k})" for k in range(LONGS))
-    most = f"least(shared, shared_b, size - ({lacks('b', 'y')}), size_b - ({lacks('y', 'b')}))"
-    may = f"class < b AND label <> other AND {num} * (size + size_b) <= {num + den} * {most}"
-    return possible.join(y, "band").where(may).select(F.col("class").alias("a"), "b")
+    most = f"least(size - alone - ({lacks('b', 'y')}), size_b - alone_b - ({lacks('y', 'b')}))"
+    may = f"label <> other AND (other = main OR class < b) AND {num} * (size + size_b) <= {num + den} * {most}"
+    return x.join(y, "band").where(may).select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b"))
 
 
 def keep_first(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs but for near-duplicates of a document with a smaller doc_id, with docs' own columns."""
-    kept = cluster(docs, k, num, den).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.where("doc_id IS NULL").unionByName(docs.join(kept, "doc_id", "left_semi"))
+    """The rows of docs but for near-duplicates of a document with a smaller doc_id, with docs' own columns. Rows of
+    one doc_id and different texts are judged each; rows without doc_id and repeated rows stay."""
+    scratch = Scratch(docs.sparkSession, "neardup")
+    dropped = scratch.table(_clustered(docs, k, num, den, scratch).where("NOT kept").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text")).distinct(), "dropped")
+    same = (F.col("doc_id").cast("long") == F.col("_doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_text"))
+    return docs.join(dropped, same, "left_anti")

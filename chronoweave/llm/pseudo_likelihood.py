@@ -6,10 +6,12 @@ word in its class). The sum of the tokens' conditional log-probabilities scores
 
 Everything the model knows is gathered from all documents. Words are counted over the corpus; the most frequent make
 the vocabulary, the others share buckets, and a bucket's mass is spread over its words by their counts in the corpus,
-which are joined to the texts' words. Every position of every text is a training example, in one of the rounds. Pieces of token sequences are dealt
-evenly to replicas, more of them for more tokens; each replica is trained by numpy SGD (Adagrad) on the examples of its
-pieces as they stream by, then the replicas' parameters are averaged row by row in Spark, and the next round starts
-from the average.
+which are joined to the texts' words. Every position of every text is a training example, in one of the rounds. Texts
+are read into tokens once, as a table that training and scoring share. Pieces of them are dealt evenly to replicas,
+more of them for more tokens, by a hash of the document, and a replica takes its pieces in the order of that hash: the
+model depends on the rows alone, not on how they are partitioned. Each replica is trained by numpy SGD (Adagrad) on the
+examples of its pieces as they stream by, then the replicas' parameters are averaged row by row in Spark, in whole
+multiples of a small unit, and the next round starts from the average.
 """
 
 from __future__ import annotations
@@ -30,9 +32,13 @@ from .shared import Scratch
 #: Classes and words per class (the last class holds the buckets of rarer words), neighbours on either side, width.
 CLASSES, PER_CLASS, SIDE, WIDTH = 64, 64, 2, 24
 VOCABULARY, TOKENS = (CLASSES - 1) * PER_CLASS, CLASSES * PER_CLASS
-#: Examples per replica, about; rounds; batch and rate of Adagrad; tokens of a piece (a multiple of the rounds), and
-#: pieces whose examples are mixed.
-PER_REPLICA, ROUNDS, BATCH, RATE, PIECE, MIXED = 12_000_000, 2, 1024, 0.15, 2048, 64
+#: Positions per replica, about; rounds; rate of Adagrad; positions of a piece (a multiple of the rounds), and examples
+#: that are mixed before they are used.
+PER_REPLICA, ROUNDS, RATE, PIECE, MIXED = 12_000_000, 2, 0.15, 2048, 1 << 16
+#: A batch grows with the examples seen (a GROWTH-th of them) between these bounds.
+LEAST_BATCH, MOST_BATCH, GROWTH = 512, 8192, 64
+#: Parameters are averaged as whole multiples of 1 / POINT: sums don't depend on their order.
+POINT = 1 << 30
 OFFSETS = tuple(k for k in range(-SIDE, SIDE + 1) if k)
 
 
@@ -77,35 +83,33 @@ class Net:
         return total
 
     def log_likelihood(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        hidden = self.hidden(context)
-        kind, inside = target // PER_CLASS, target % PER_CLASS
-        out = _picked(hidden @ self.classes.T, kind)
-        order = np.argsort(kind, kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = order[edges[c] : edges[c + 1]]
-            if len(rows):
-                out[rows] += _picked(hidden[rows] @ self.words[c].T, inside[rows])
+        order, edges = _by_class(target)
+        target = target[order]
+        hidden = self.hidden(context[:, order])
+        told = _picked(hidden @ self.classes.T, target // PER_CLASS)
+        for c in np.flatnonzero(np.diff(edges)):
+            rows = slice(edges[c], edges[c + 1])
+            told[rows] += _picked(hidden[rows] @ self.words[c].T, target[rows] % PER_CLASS)
+        out = np.empty(len(target))
+        out[order] = told
         return out
 
     def step(self, context: np.ndarray, target: np.ndarray, power: np.ndarray) -> None:
         """One Adagrad step; power: sums of squared gradients by row."""
         n = len(target)
+        order, edges = _by_class(target)
+        context, target = context[:, order], target[order]
         hidden = self.hidden(context)
-        kind, inside = target // PER_CLASS, target % PER_CLASS
-        error = _error(hidden @ self.classes.T, kind)
+        error = _error(hidden @ self.classes.T, target // PER_CLASS)
         back = error @ self.classes
         base = len(OFFSETS) * (TOKENS + 1)
         grads = [(np.arange(base, base + CLASSES), error.T @ hidden / n)]
-        order = np.argsort(kind, kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = order[edges[c] : edges[c + 1]]
-            if len(rows):
-                e = _error(hidden[rows] @ self.words[c].T, inside[rows])
-                back[rows] += e @ self.words[c]
-                first = base + CLASSES + c * PER_CLASS
-                grads.append((np.arange(first, first + PER_CLASS), e.T @ hidden[rows] / n))
+        for c in np.flatnonzero(np.diff(edges)):
+            rows = slice(edges[c], edges[c + 1])
+            e = _error(hidden[rows] @ self.words[c].T, target[rows] % PER_CLASS)
+            back[rows] += e @ self.words[c]
+            first = base + CLASSES + c * PER_CLASS
+            grads.append((np.arange(first, first + PER_CLASS), e.T @ hidden[rows] / n))
         back *= 1 - hidden**2  # the bias column's is nothing
         back /= n
         for k in range(len(OFFSETS)):
@@ -118,6 +122,12 @@ class Net:
         self.rows[rows] -= (RATE * 100 / np.sqrt(power[rows] + 1)[:, None] * g).astype(np.float32)
 
 
+def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts targets by class, and where each class begins in it."""
+    order = np.argsort((target // PER_CLASS).astype(np.int16), kind="stable")
+    return order, np.searchsorted(target[order] // PER_CLASS, np.arange(CLASSES + 1))
+
+
 def _picked(logits: np.ndarray, which: np.ndarray) -> np.ndarray:
     own = logits[np.arange(len(which)), which]
     top = logits.max(axis=1)
@@ -179,90 +189,133 @@ def vocabulary(docs: DataFrame, scratch: Scratch) -> tuple[Words, DataFrame]:
     return Words(hashes, left), counts
 
 
-def _pieces(tokens: np.ndarray, ends: np.ndarray) -> list[bytes]:
-    """Texts' tokens, with TOKENS between texts, in pieces of PIECE positions and their neighbours on either side."""
-    n = np.diff(ends)
-    line = np.full(SIDE + len(tokens) + SIDE * len(n), TOKENS, dtype=np.int16)
-    line[SIDE + np.arange(len(tokens)) + np.repeat(SIDE * np.arange(len(n)), n)] = tokens
-    return [line[k : k + PIECE + 2 * SIDE].tobytes() for k in range(0, len(line) - 2 * SIDE, PIECE)]
+TEXTS = "doc_id long, text_key long, tokens binary, rare binary"
 
 
-def _examples(piece: bytes, rnd: int) -> np.ndarray:
-    """The examples of a piece in a round, a column each: neighbours, then the token."""
-    line = np.frombuffer(piece, dtype=np.int16)
-    at = np.arange(SIDE + rnd % ROUNDS, len(line) - SIDE, ROUNDS)
-    at = at[line[at] != TOKENS]
-    return np.stack([*(line[at + o] for o in OFFSETS), line[at]])
-
+def _tokenised(words):
+    """Texts as tokens (16 bits each), and the hashes of their words outside the vocabulary."""
 
-def _dealt(words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = words.value
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in H.blocks(texts):
                 hashes, ends = H.word_hashes(texts[a:b])
-                if len(hashes):
-                    parts = _pieces(known.tokens(hashes), ends)
-                    keys = [int(H.mixed(np.array([int(hashes[k * PIECE % len(hashes)]) ^ k], dtype=np.uint64))[0] >> np.uint64(1)) for k in range(len(parts))]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(parts, pa.binary())], ["key", "piece"])
+                tokens = known.tokens(hashes)
+                rare = hashes[tokens >= VOCABULARY]
+                others = np.concatenate([[0], np.cumsum(tokens >= VOCABULARY)])[ends]
+                tokens = tokens.astype(np.int16)
+                columns = [
+                    pa.array([_text_key(t) for t in texts[a:b]], pa.int64()),
+                    pa.array([tokens[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
+                    pa.array([rare[i:j].tobytes() for i, j in zip(others[:-1], others[1:], strict=True)], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *columns], ["doc_id", "text_key", "tokens", "rare"])
 
     return run
 
 
-ROW = "row int, " + ", ".join(f"c{k} double" for k in range(WIDTH + 1))
+def _pieces(tokens: np.ndarray) -> list[bytes]:
+    """A text's tokens in pieces of PIECE positions and their neighbours on either side, TOKENS beyond the text's ends."""
+    if not len(tokens):
+        return []
+    edge = np.full(SIDE, TOKENS, dtype=np.int16)
+    line = np.concatenate([edge, tokens.astype(np.int16), edge])
+    return [line[k : k + PIECE + 2 * SIDE].tobytes() for k in range(0, len(tokens), PIECE)]
+
+
+def _examples(piece: bytes, rnd: int) -> np.ndarray:
+    """The examples of a piece in a round, a column each: neighbours, then the token."""
+    line = np.frombuffer(piece, dtype=np.int16)
+    at = np.arange(SIDE + rnd % ROUNDS, len(line) - SIDE, ROUNDS)
+    return np.stack([*(line[at + o] for o in OFFSETS), line[at]])
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, parts = [], []
+        for doc, key, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            own = _pieces(np.frombuffer(tokens, dtype=np.int16))
+            keys += [xxhash.xxh3_64_intdigest(f"{doc} {key} {k}") - (1 << 63) for k in range(len(own))]
+            parts += own
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(parts, pa.binary())], ["key", "piece"])
+
+
+ROW = "row int, " + ", ".join(f"c{k} long" for k in range(WIDTH + 1))
+
+
+class _Replica:
+    """A copy of the net that examples stream by."""
+
+    def __init__(self, start: np.ndarray, rnd: int):
+        self.start, self.net, self.rnd = start, Net(start.copy()), rnd
+        self.power, self.rng = np.zeros(len(start)), np.random.default_rng(rnd)
+        self.waiting, self.held, self.seen = [], 0, 0
+
+    def add(self, piece: bytes) -> None:
+        self.waiting.append(_examples(piece, self.rnd))
+        self.held += self.waiting[-1].shape[1]
+        if self.held >= MIXED:
+            self.train(False)
+
+    def train(self, last: bool) -> None:
+        if not self.held:
+            return
+        rows = np.concatenate(self.waiting, axis=1)
+        rows = rows[:, self.rng.permutation(rows.shape[1])]
+        at = 0
+        while at < rows.shape[1]:
+            batch = min(MOST_BATCH, max(LEAST_BATCH, self.seen // GROWTH))
+            if at + batch > rows.shape[1] and not last:
+                break
+            part = rows[:, at : at + batch].astype(np.int32)
+            self.net.step(part[:-1], part[-1], self.power)
+            at, self.seen = at + batch, self.seen + part.shape[1]
+        self.waiting, self.held = [rows[:, at:]], max(0, rows.shape[1] - at)
+
+    def told(self) -> pa.RecordBatch:
+        """The rows that training has changed."""
+        self.train(True)
+        changed = np.flatnonzero((self.net.rows != self.start).any(axis=1))
+        whole = np.rint(self.net.rows[changed].astype(np.float64) * POINT).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(changed.astype(np.int32)), *[pa.array(whole[:, k]) for k in range(WIDTH + 1)]], ["row", *[f"c{k}" for k in range(WIDTH + 1)]])
 
 
 def _trained(start, rnd: int):
+    """A task may hold several replicas, one after the other, or none."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Net(start.value.copy())
-        power = np.zeros(len(net.rows))
-        rng = np.random.default_rng(rnd)
-        held, seen = np.zeros((len(OFFSETS) + 1, 0), dtype=np.int16), 0
-
-        def train(pieces: list[bytes], held: np.ndarray, last: bool) -> np.ndarray:
-            rows = np.concatenate([held, *(_examples(p, rnd) for p in pieces)], axis=1)
-            rows = rows[:, rng.permutation(rows.shape[1])]
-            whole = rows.shape[1] if last else rows.shape[1] // BATCH * BATCH
-            for k in range(0, whole, BATCH):
-                part = rows[:, k : min(k + BATCH, whole)].astype(np.int32)
-                net.step(part[:-1], part[-1], power)
-            return rows[:, whole:]
-
-        pieces: list[bytes] = []
+        now, replica = None, None
         for batch in batches:
-            for piece in batch.column("piece").to_pylist():
-                pieces.append(piece)
-                if len(pieces) == MIXED:
-                    held, seen, pieces = train(pieces, held, False), 1, []
-        if pieces or held.shape[1]:
-            held, seen = train(pieces, held, True), 1
-        if seen:
-            changed = np.flatnonzero((net.rows != start.value).any(axis=1))
-            columns = [pa.array(changed.astype(np.int32))] + [pa.array(net.rows[changed, k].astype(np.float64)) for k in range(WIDTH + 1)]
-            yield pa.RecordBatch.from_arrays(columns, ["row", *[f"c{k}" for k in range(WIDTH + 1)]])
+            for which, piece in zip(batch.column("replica").to_pylist(), batch.column("piece").to_pylist(), strict=True):
+                if which != now:
+                    if replica:
+                        yield replica.told()
+                    now, replica = which, _Replica(start.value, rnd)
+                replica.add(piece)
+        if replica:
+            yield replica.told()
 
     return run
 
 
-def fit(docs: DataFrame, words: Words, scratch: Scratch) -> Net:
-    spark: SparkSession = docs.sparkSession
-    shared = spark.sparkContext.broadcast(words)  # TOKENS numbers
-    narrow = docs.select(F.col("text").cast("string").alias("text"))
-    pieces = scratch.table(narrow.mapInArrow(_dealt(shared), "key long, piece binary"), "pieces")
-    n = pieces.agg(F.sum(F.length("piece"))).first()[0] or 0
+def fit(texts: DataFrame, scratch: Scratch) -> Net:
+    spark: SparkSession = texts.sparkSession
+    n = texts.agg(F.sum(F.length("tokens"))).first()[0] or 0
     net = Net()
     replicas = max(1, math.ceil(n / 2 / PER_REPLICA))
     for r in range(ROUNDS if n else 0):
-        start = spark.sparkContext.broadcast(net.rows)
-        dealt = pieces.repartition(replicas, F.xxhash64("key", F.lit(r))).select("piece")
+        start = spark.sparkContext.broadcast(net.rows)  # TOKENS times WIDTH numbers, about
+        pieces = texts.select("doc_id", "text_key", "tokens").mapInArrow(_dealt, "key long, piece binary")
+        pieces = pieces.withColumn("replica", F.pmod(F.xxhash64("key", F.lit(r)), F.lit(replicas)).cast("int"))
+        dealt = pieces.repartition(replicas, "replica").sortWithinPartitions("replica", "key").select("replica", "piece")
         trained = dealt.mapInArrow(_trained(start, r), ROW)
         # rows that a replica left alone aren't sent; an average over those that changed a row learns rare words
         # from the few replicas that met them
-        mean = trained.groupBy("row").agg(*[F.avg(f"c{k}").alias(f"c{k}") for k in range(WIDTH + 1)]).collect()  # the model's rows at most
+        mean = scratch.table(trained.groupBy("row").agg(F.count("*").alias("n"), *[F.sum(f"c{k}").alias(f"c{k}") for k in range(WIDTH + 1)]), "parameters")
         rows = net.rows.copy()
-        for m in mean:
-            rows[m["row"]] = m[1:]
+        for m in mean.collect():  # the model's rows at most
+            rows[m["row"]] = np.array(m[2:], dtype=np.float64) / m["n"] / POINT
         net = Net(rows)
     return net
 
@@ -271,45 +324,36 @@ def _text_key(text: str | None) -> int:
     return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _rare(words):
+def _rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each word outside the vocabulary is in a text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = words.value
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in H.blocks(texts):
-                hashes, ends = H.word_hashes(texts[a:b])
-                rare = known.tokens(hashes) >= VOCABULARY
-                keys = np.array([_text_key(t) for t in texts[a:b]], dtype=np.int64)
-                owner, hashes = np.repeat(np.arange(b - a), np.diff(ends))[rare], hashes[rare]
-                if len(hashes):
-                    order = np.lexsort((hashes, owner))
-                    owner, hashes = owner[order], hashes[order]
-                    first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])]))
-                    times = np.diff(np.append(first, len(hashes))).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[owner[first]]), pa.array(hashes[first].astype(np.int64)), pa.array(times)], ["text_key", "word", "times"])
-
-    return run
+    for batch in batches:
+        raw = batch.column(1).to_pylist()
+        hashes = np.frombuffer(b"".join(raw), dtype=np.int64)
+        owner = np.repeat(np.arange(len(raw)), [len(r) // 8 for r in raw])
+        order = np.lexsort((hashes, owner))
+        owner, hashes = owner[order], hashes[order]
+        first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])])) if len(hashes) else np.zeros(0, dtype=int)
+        times = np.diff(np.append(first, len(hashes))).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[first])), pa.array(hashes[first]), pa.array(times)], ["text_key", "word", "times"])
 
 
 def _scored(words, rows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, net = words.value, Net(rows.value)
+        cost, net = words.value.cost, Net(rows.value)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in H.blocks(texts):
-                hashes, ends = H.word_hashes(texts[a:b])
-                tokens = known.tokens(hashes)
-                each = np.zeros(len(tokens) + 1)
-                for k in range(0, len(tokens), 16384):
-                    at = np.arange(k, min(k + 16384, len(tokens)))
-                    each[at] = net.log_likelihood(_neighbours(tokens, ends, at), tokens[at]) - known.cost[tokens[at]]
-                run_ = np.concatenate([[0.0], np.cumsum(each)])
-                others = np.concatenate([[0], np.cumsum(tokens >= VOCABULARY)])
-                keys = np.array([_text_key(t) for t in texts[a:b]], dtype=np.int64)
-                columns = [np.diff(ends), run_[ends[1:]] - run_[ends[:-1]], keys, others[ends[1:]] - others[ends[:-1]]]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *map(pa.array, columns)], ["doc_id", "n_tokens", "base", "text_key", "others"])
+            raw = batch.column(2).to_pylist()
+            sizes = np.array([len(r) // 2 for r in raw], dtype=np.int64)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            tokens = np.frombuffer(b"".join(raw), dtype=np.int16).astype(np.int32)
+            each = np.zeros(len(tokens))
+            for k in range(0, len(tokens), 16384):
+                at = np.arange(k, min(k + 16384, len(tokens)))
+                each[at] = net.log_likelihood(_neighbours(tokens, ends, at), tokens[at]) - cost[tokens[at]]
+            pll, others = np.zeros(len(raw)), np.zeros(len(raw), dtype=np.int64)
+            if some := np.flatnonzero(sizes).tolist():  # a text's sum is its own: no neighbour has a part in it
+                pll[some] = np.add.reduceat(each, ends[some])
+                others[some] = np.add.reduceat((tokens >= VOCABULARY).astype(np.int64), ends[some])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(pll), batch.column(1), pa.array(others)], ["doc_id", "n_tokens", "base", "text_key", "others"])
 
     return run
 
@@ -317,17 +361,20 @@ def _scored(words, rows):
 def score(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_tokens, pll (sum of log-probabilities) and mean_pll (per token; null without tokens) for every row of
     docs (doc_id, text). Null and empty texts have no tokens and a pll of 0; repeated rows score alike; an empty table
-    gives an empty result; other columns aren't read."""
+    gives an empty result; other columns aren't read. The same rows give the same scores, up to float32's rounding,
+    however they are partitioned."""
     scratch = scratch or Scratch(docs.sparkSession, "lm")
     words, counts = vocabulary(docs, scratch)
-    net = fit(docs, words, scratch)
     spark = docs.sparkSession
-    known, rows = spark.sparkContext.broadcast(words), spark.sparkContext.broadcast(net.rows)
+    known = spark.sparkContext.broadcast(words)  # TOKENS numbers
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = scratch.table(narrow.mapInArrow(_tokenised(known), TEXTS), "texts")
+    net = fit(texts, scratch)
+    rows = spark.sparkContext.broadcast(net.rows)
     # what the counts of a text's words outside the vocabulary give; repeated texts come in together, and in equal parts
-    own = narrow.select("text").mapInArrow(_rare(known), "text_key long, word long, times long").join(counts, "word")
+    own = texts.select("text_key", "rare").mapInArrow(_rare, "text_key long, word long, times long").join(counts, "word")
     own = own.groupBy("text_key").agg(F.sum(F.col("times") * F.log("n")).alias("gain"), F.sum("times").alias("all"))
-    scored = narrow.mapInArrow(_scored(known, rows), "doc_id long, n_tokens long, base double, text_key long, others long")
+    scored = texts.select("doc_id", "text_key", "tokens").mapInArrow(_scored(known, rows), "doc_id long, n_tokens long, base double, text_key long, others long")
     pll = F.col("base") + F.when(F.col("others") > 0, F.col("gain") * (F.col("others") / F.col("all"))).otherwise(0.0)
     told = scored.join(own, "text_key", "left").select("doc_id", "n_tokens", pll.alias("pll"))
     return told.withColumn("mean_pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")))

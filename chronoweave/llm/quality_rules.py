@@ -14,27 +14,25 @@ from pyspark.sql import functions as F
 
 from .shared import BLANKS, Scratch, words
 
-#: Each rule: bad if, good if; neither: it abstains. Most rules know only one kind of fault, and a text without that
-#: fault may have another, so they vote bad or abstain; "plain" alone votes good. (With good votes from every rule, EM
-#: takes texts with one fault for good ones.) Fractions are compared as integer products so that every engine gives
-#: the same vote. Texts under 20 words give a rule on shares too little to go by, so those rules abstain there.
+#: Each rule: bad if, good if; neither: it abstains. Every rule votes both ways, and each kind of fault is seen by more
+#: than one of them: rules that agree are what EM learns from (a fault that a single rule sees is indistinguishable from a
+#: rule that errs). "brief" is a weak rule, and is found to be one. Fractions are compared as integer products so that
+#: every engine gives the same vote. Texts under 20 words give a rule on shares too little to go by, so it abstains there.
 RULES = {
-    "symbols": ("10 * n_symbols > 3 * n_words", "false"),
-    "repeats": ("n_words >= 20 AND 2 * n_repeat_words > n_words", "false"),
-    "variety": ("n_words >= 20 AND n_words < 2000 AND 10 * n_distinct < 4 * n_words", "false"),
-    "lines": ("n_lines >= 4 AND 2 * n_dup_lines > n_lines", "false"),
-    "shouting": ("n_words >= 20 AND 10 * n_upper > 6 * word_chars", "false"),
-    "exclaims": ("n_words >= 10 AND 2 * n_exclaims > n_words", "false"),
-    "word_length": ("word_chars < 2 * n_words OR word_chars > 15 * n_words", "false"),
-    "plain": (
-        "false",
-        "n_words >= 3 AND 10 * n_symbols <= n_words AND 2 * n_repeat_words <= n_words AND 2 * n_dup_lines <= n_lines"
-        " AND 2 * n_upper <= word_chars AND 3 * n_exclaims <= n_words AND 2 * n_words <= word_chars AND word_chars <= 15 * n_words",
-    ),
+    "symbols": ("10 * n_symbols > 3 * n_words", "20 * n_symbols <= n_words"),
+    "marked": ("n_words >= 20 AND 4 * n_marked > n_words", "n_words >= 20 AND 20 * n_marked <= n_words"),
+    "letters": ("n_words >= 20 AND 5 * n_letters < 4 * word_chars", "n_words >= 20 AND 100 * n_letters >= 92 * word_chars"),
+    "repeats": ("n_words >= 20 AND 2 * n_repeat_words > n_words", "n_words >= 20 AND 5 * n_repeat_words <= n_words"),
+    "variety": ("n_words >= 20 AND n_words < 2000 AND 10 * n_distinct < 4 * n_words", "n_words >= 20 AND 2 * n_distinct >= n_words"),
+    "lines": ("n_lines >= 4 AND 2 * n_dup_lines > n_lines", "n_lines >= 4 AND 4 * n_dup_lines <= n_lines"),
+    "shouting": ("n_words >= 20 AND 10 * n_upper > 6 * word_chars", "n_words >= 20 AND 5 * n_upper <= word_chars"),
+    "exclaims": ("n_words >= 10 AND 2 * n_exclaims > n_words", "n_words >= 10 AND 10 * n_exclaims <= n_words"),
+    "word_length": ("word_chars < 2 * n_words OR word_chars > 15 * n_words", "word_chars >= 3 * n_words AND word_chars <= 10 * n_words"),
+    "brief": ("n_words < 80", "n_words >= 120"),
 }
-#: Steps of EM, pseudo-counts of each vote in either class, and the prior's pseudo-counts.
+#: Steps of EM, and pseudo-counts of each vote in either class and of the prior.
 STEPS, SMOOTH = 12, 1.0
-SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct", "n_lines", "n_upper", "n_exclaims")
+SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct", "n_lines", "n_upper", "n_exclaims", "n_letters", "n_marked")
 
 
 def _repeat_words(tokens: str) -> Column:
@@ -70,6 +68,8 @@ def signals(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         F.length(F.regexp_replace("whole", r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
         (F.length("whole") - F.length(F.translate("whole", "!", ""))).cast("long").alias("n_exclaims"),
+        F.length(F.regexp_replace("whole", r"[^\p{L}\p{N}]+", "")).cast("long").alias("n_letters"),
+        F.size(F.filter("tokens", lambda w: F.translate(w, "#*$%&|<>", "") != w)).cast("long").alias("n_marked"),
     )
 
 
@@ -81,8 +81,9 @@ def votes(name: str) -> Column:
 def fit(patterns: list[tuple[tuple[int, ...], int]], steps: int = STEPS) -> tuple[float, list[dict[int, float]]]:
     """EM over counted vote patterns: log odds of the prior, and of each rule's votes, for good against bad.
 
-    Each rule has, in either class, probabilities of voting good, bad and abstaining. The start calls a pattern bad
-    (0.1) if any rule says so and good (0.9) otherwise, which also names the classes.
+    Each rule has, in either class, a probability of voting good where it votes; where it abstains it says nothing. The
+    start takes a pattern for bad (0.1) if any rule says so and for good (0.9) otherwise, which also names the classes;
+    from there on a rule's votes weigh what its agreement with the others earns it.
     """
     if not patterns:
         return 0.0, []
@@ -94,11 +95,11 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], steps: int = STEPS) -> tupl
         prior = math.log((good + SMOOTH) / (total - good + SMOOTH))
         odds = []
         for j in range(m):
-            row = {}
-            for vote in (-1, 0, 1):
-                a = sum(n * x for (v, n), x in zip(patterns, q, strict=True) if v[j] == vote)
-                b = sum(n * (1 - x) for (v, n), x in zip(patterns, q, strict=True) if v[j] == vote)
-                row[vote] = math.log((a + SMOOTH) / (good + 3 * SMOOTH)) - math.log((b + SMOOTH) / (total - good + 3 * SMOOTH))
+            row = {0: 0.0}
+            held = [(v[j], n * x, n * (1 - x)) for (v, n), x in zip(patterns, q, strict=True) if v[j]]
+            for vote in (-1, 1):
+                a, b = (sum(h[k] for h in held if h[0] == vote) for k in (1, 2))
+                row[vote] = math.log((a + SMOOTH) / (sum(h[1] for h in held) + 2 * SMOOTH)) - math.log((b + SMOOTH) / (sum(h[2] for h in held) + 2 * SMOOTH))
             odds.append(row)
         q = [1 / (1 + math.exp(-max(-500.0, min(500.0, prior + sum(o[x] for o, x in zip(odds, v, strict=True)))))) for v, _ in patterns]
     return prior, odds

@@ -98,13 +98,16 @@ def _rules_sql() -> str:
              CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
              len(list_distinct(w)) AS n_distinct, len(lines) AS n_lines,
              length(regexp_replace(t, '[^\\p{{Lu}}]+', '', 'g')) AS n_upper,
-             length(regexp_replace(t, '[^!]+', '', 'g')) AS n_exclaims
+             length(regexp_replace(t, '[^!]+', '', 'g')) AS n_exclaims,
+             length(regexp_replace(t, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) AS n_letters,
+             len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>]'))) AS n_marked
       FROM base LEFT JOIN covered c USING (rid)),
     voted AS MATERIALIZED (SELECT *, {case} FROM signals),
     patterns AS MATERIALIZED (SELECT {votes}, count(*) AS n FROM voted GROUP BY {votes}),
     q0 AS MATERIALIZED (SELECT *, CASE WHEN least({votes}) = -1 THEN 0.1::DOUBLE ELSE 0.9::DOUBLE END AS q FROM patterns)"""
     for k in range(quality_rules.STEPS):
-        cells = [f"ln((coalesce(sum(n * q) FILTER (v_{r} = {v}), 0) + {smooth}) / (sum(n * q) + {3 * smooth})) - ln((coalesce(sum(n * (1 - q)) FILTER (v_{r} = {v}), 0) + {smooth}) / (sum(n * (1 - q)) + {3 * smooth})) AS o_{r}_{v + 1}" for r in rules for v in (-1, 0, 1)]
+        share = lambda r, v, of: f"ln((coalesce(sum(n * {of}) FILTER (v_{r} = {v}), 0) + {smooth}) / (coalesce(sum(n * {of}) FILTER (v_{r} <> 0), 0) + {2 * smooth}))"
+        cells = [f"{share(r, v, 'q')} - {share(r, v, '(1 - q)')} AS o_{r}_{v + 1}" for r in rules for v in (-1, 1)]
         sql += f""",
     m{k} AS MATERIALIZED (SELECT ln((sum(n * q) + {smooth}) / (sum(n * (1 - q)) + {smooth})) AS prior, {", ".join(cells)} FROM q{k}),
     q{k + 1} AS MATERIALIZED (SELECT {votes}, n, 1 / (1 + exp(-({_odds(rules)}))) AS q FROM patterns, m{k})"""
@@ -116,7 +119,7 @@ def _rules_sql() -> str:
 
 
 def _odds(rules: list[str]) -> str:
-    return "prior + " + " + ".join(f"CASE v_{r} WHEN 1 THEN o_{r}_2 WHEN -1 THEN o_{r}_0 ELSE o_{r}_1 END" for r in rules)
+    return "prior + " + " + ".join(f"CASE v_{r} WHEN 1 THEN o_{r}_2 WHEN -1 THEN o_{r}_0 ELSE 0 END" for r in rules)
 
 
 #: op1 in DuckDB: all pairs that share a shingle, exactly, and reachability.

@@ -125,16 +125,17 @@ def conversations(nodes: DataFrame, top: int | None = 1, learned: str = "assista
     said = nodes.groupBy("tree", "node").agg(F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).alias("said"))
     turns = found.join(said, ["tree", "node"]).groupBy("tree", "leaf", "rank").agg(F.sort_array(F.collect_list(F.struct("depth", "said"))).alias("turns"))
     flat = turns.select("tree", F.col("rank").cast("long").alias("rank"), F.transform("turns", lambda t: t["said"]).alias("turns"))
-    return flat.mapInArrow(_formatted(learned), "tree long, rank long, text string, loss_spans array<struct<start: long, end: long>>")
+    return flat.mapInArrow(_formatted(learned), f"tree {dict(nodes.dtypes)['tree']}, rank long, text string, loss_spans array<struct<start: long, end: long>>")
 
 
 def chain(rows: DataFrame) -> DataFrame:
     """Conversations of turns as trees without branches: each row answers the one before. Rows of a conversation are
     numbered by turn, then role and text, so that ties and repeated rows keep places of their own. A null conv_id is
-    a conversation like any other, and a null turn comes first."""
+    a conversation like any other, and a null turn comes first. Trees are named by text, so that null has a name too:
+    digests gives the conv_id back."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     numbered = rows.withColumn("node", F.row_number().over(order).cast("long"))
-    tree = F.coalesce(F.col("conv_id").cast("long"), F.lit(-(1 << 62)))
+    tree = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("long").cast("string")), F.lit("null"))
     return numbered.select(tree.alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), F.lit(0.0).alias("score"))
 
 
@@ -154,5 +155,6 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What the formatted conversations say, read back from them."""
-    return formatted.mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    """What the formatted conversations of chain say, read back from them; conv_id is null where it was."""
+    told = formatted.mapInArrow(_digests, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return told.withColumn("conv_id", F.expr("try_cast(substring(conv_id, 2) AS long)"))

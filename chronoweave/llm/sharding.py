@@ -1,8 +1,8 @@
 """Sharding by a k-d tree: nodes are split at distributed weighted medians along their widest metadata dimension until
 every leaf is one shard of its share of the bytes.
 
-All nodes of a level are split together. Each document has one 62-bit key per dimension: the value's code above, then
-bits of the text's CRC and of the id's hash, so that a cut can pass between documents of equal value (equal texts lie
+All nodes of a level are split together. Each document has one 62-bit key per dimension: the value's code above (its
+place among the corpus's bytes in the dimension's order), then bits of the text's CRC and of the id's hash, so that a cut can pass between documents of equal value (equal texts lie
 together along every dimension and are parted by a cut only where it falls inside their group). A weighted median is
 found by counting bytes in ever finer bins of the keys of all nodes; the driver sees at most BINS rows per node.
 """
@@ -24,19 +24,29 @@ SLOT_ROWS = 100_000
 DIMENSIONS = ("source", "lang", "size")
 
 
-def _code(name: str) -> Column:
-    """20 bits that keep the order of a dimension: sizes by logarithm, text by its first bytes' place and a hash."""
+def _place(name: str) -> Column:
+    """What a dimension is ordered by: text by code points (UTF-8 bytes keep that order), sizes in fine logarithmic steps."""
     if name == "size":
-        return F.floor(F.log2(F.col("size") + 1) * 16384).cast("long")
-    value = F.coalesce(F.col(name).cast("string"), F.lit(""))
-    return F.when(F.col(name).isNull(), F.lit((1 << 20) - 1)).otherwise(F.pmod(F.xxhash64(value), F.lit((1 << 20) - 1))).cast("long")
+        return F.floor(F.log2(F.col("size") + 1) * 1024).cast("long")
+    return F.encode(F.col(name).cast("string"), "UTF-8")
 
 
-def _measured(docs: DataFrame, keep: list[str], dimensions: tuple[str, ...], text: str) -> DataFrame:
+def _measured(docs: DataFrame, keep: list[str], dimensions: tuple[str, ...], text: str, scratch: Scratch) -> DataFrame:
+    """keep, size, text_crc32 and a key for each dimension. A value's code is the share of all bytes that lie before it in
+    its dimension's order (null comes last), so widths of different dimensions compare: a range of codes is the share
+    of the corpus that it spans. The codes' tables have a row per distinct value."""
     raw = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
-    wide = docs.select(*keep, *[F.col(d) for d in dimensions if d != "size"], (F.length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+    wide = docs.select(*keep, *[F.col(d).alias(f"_{d}") for d in dimensions if d != "size"], (F.length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+    wide = scratch.table(wide.select(*keep, "size", "text_crc32", *[(_place(d) if d == "size" else F.encode(F.col(f"_{d}").cast("string"), "UTF-8")).alias(f"_at_{d}") for d in dimensions]), "sizes")
+    for d in dimensions:
+        at = F.col(f"_at_{d}")
+        values = wide.groupBy(at).agg(F.sum("size").alias("bytes"))
+        before = F.sum("bytes").over(Window.orderBy(at.asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1))
+        share = F.coalesce(before, F.lit(0)) / F.sum("bytes").over(Window.partitionBy(F.lit(1)))
+        codes = scratch.table(values.select(at.alias("_v"), F.floor(share * ((1 << 20) - 1)).cast("long").alias(f"_code_{d}")), f"codes-{d}")
+        wide = wide.join(codes, at.eqNullSafe(F.col("_v"))).drop("_v")
     tie = F.shiftleft(F.col("text_crc32"), 10).bitwiseOR(F.pmod(F.xxhash64(*keep), F.lit(1 << 10)))
-    keys = F.array(*[F.shiftleft(_code(d), 42).bitwiseOR(tie) for d in dimensions])
+    keys = F.array(*[F.shiftleft(F.col(f"_code_{d}"), 42).bitwiseOR(tie) for d in dimensions])
     return wide.select(*keep, "size", "text_crc32", keys.alias("keys"))
 
 
@@ -47,7 +57,7 @@ def assign(docs: DataFrame, shards: int = 24, dimensions: tuple[str, ...] = DIME
     gives an empty result. Other columns aren't read.
     """
     scratch = scratch or Scratch(docs.sparkSession, "shards")
-    points = scratch.table(_measured(docs, list(keep), dimensions, text), "points")
+    points = scratch.table(_measured(docs, list(keep), dimensions, text, scratch), "points")
     total = points.agg(F.sum("size")).first()[0] or 0
     leaves = {0: (0, shards)}  # node: first shard, shards; node k has children 2 k + 1 and 2 k + 2
     tree: dict[int, tuple[int, int]] = {}  # node: axis, cut

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,6 +14,9 @@ from ..shipping import ship
 #: A word: a run of characters other than ASCII white space.
 BLANKS = " \t\n\x0b\f\r"
 
+#: Spark's setting that removes a query's shuffle files when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _fallback: dict[str, str] = {}
 _roots: list[str] = []  # folders of this process's scratch tables, oldest first
 
@@ -22,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = "file://" + tempfile.mkdtemp(prefix="chronoweave-")
@@ -43,8 +49,17 @@ class Scratch:
         return f"{self.root}/{self.count:03d}-{tag}"
 
     def table(self, df: DataFrame, tag: str) -> DataFrame:
+        """df, written and read again. The shuffles of the query that wrote it are removed with it: nothing reads them."""
         path = self.path(tag)
-        df.write.parquet(path)
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(_CLEANUP)
+            else:
+                self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
