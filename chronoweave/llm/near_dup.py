@@ -207,10 +207,15 @@ class _Linker:
     def __init__(self, sets: DataFrame, scratch: Scratch, num: int, den: int, m: int):
         self.sets, self.scratch, self.num, self.den, self.m = sets, scratch, num, den, m
 
-    def lone(self, open_: DataFrame) -> DataFrame:
+    def alive(self, open_: DataFrame) -> DataFrame:
+        """class, members of the open sets. Their names are written first, so that Spark knows their size and moves the
+        sets only where the names are too many to broadcast."""
+        names = self.scratch.table(open_.select("class").distinct(), "alive")
+        return self.sets.select("class", "members").join(names, "class", "left_semi")
+
+    def lone(self, alive: DataFrame) -> DataFrame:
         """shingle, class: the shingles that one set alone of the open ones has."""
-        alive = self.sets.join(open_.select("class").distinct(), "class", "left_semi").select("class", F.explode("members").alias("shingle"))
-        return alive.groupBy("shingle").agg(F.count("*").alias("n"), F.min("class").alias("class")).where("n = 1")
+        return alive.select("class", F.explode("members").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("class").alias("class")).where("n = 1")
 
     def possible(self, open_: DataFrame) -> DataFrame:
         """Members of open buckets (band, class, label, size) that may have a partner there, with alone, the number of
@@ -218,7 +223,7 @@ class _Linker:
         intersection, and the intersection is at most either's shared shingles; the bucket's smallest set is the best
         partner by size."""
         for _ in range(PRUNINGS):
-            alone = self.lone(open_).groupBy("class").agg(F.count("*").alias("alone"))
+            alone = self.lone(self.alive(open_)).groupBy("class").agg(F.count("*").alias("alone"))
             told = open_.join(alone, "class", "left").withColumn("shared", F.col("size") - F.coalesce("alone", F.lit(0)))
             best = told.groupBy("band").agg(F.min("size").alias("least"), F.max("shared").alias("most"))
             may = self.num * (F.col("size") + F.col("least")) <= (self.num + self.den) * F.least("shared", "most")
@@ -226,8 +231,8 @@ class _Linker:
             kept = self.scratch.table(_mixed_buckets(left), "possible")
             self.scratch.drop(open_)
             open_ = kept
-        own = self.lone(open_).groupBy("class").agg(F.collect_list("shingle").alias("own"))  # at most a set's size
-        alive = self.sets.select("class", "members").join(open_.select("class").distinct(), "class", "left_semi")
+        alive = self.alive(open_)
+        own = self.lone(alive).groupBy("class").agg(F.collect_list("shingle").alias("own"))  # at most a set's size
         return open_.join(alive.join(own, "class", "left").mapInArrow(_bitmaps, BITMAP), "class")
 
     def links(self, pairs: DataFrame, tag: str) -> DataFrame:
@@ -276,7 +281,7 @@ def _clustered(docs: DataFrame, k: int, num: int, den: int, scratch: Scratch) ->
     ends = members.select(F.struct("class", "size").alias("x"), F.explode(F.array("low", "high")).alias("y")).where("x.class <> y.class")
     ends = ends.where(f"{den} * least(x.size, y.size) >= {num} * greatest(x.size, y.size)")
     star = ends.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
-    links = linker.links(star, "star")
+    links = linker.links(scratch.table(star, "star"), "star")
     label = components(links, scratch)
     named = members.select("band", "class", "size").join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     open_ = scratch.table(_mixed_buckets(named), "open")

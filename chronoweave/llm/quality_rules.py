@@ -57,19 +57,20 @@ def signals(docs: DataFrame, text: str = "text") -> DataFrame:
         "windows",
         F.expr("CASE WHEN size(tokens) < 4 THEN CAST(array() AS array<string>) ELSE transform(sequence(0, size(tokens) - 3), i -> concat_ws(' ', tokens[i], tokens[i + 1], tokens[i + 2])) END"),
     )
+    symbols = F.length(F.regexp_replace("whole", "[^#*$%&|<>]+", ""))  # replace and regexp_replace are far faster than translate
     return second.select(
         *[F.col(c) for c in docs.columns if c not in {*SIGNALS, "tokens", "windows", "lines"}],
         F.size("tokens").cast("long").alias("n_words"),
-        F.length(F.translate("whole", BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length("whole") - F.length(F.translate("whole", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace("whole", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
+        symbols.cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _repeat_words("tokens").alias("n_repeat_words"),
         F.size(F.array_distinct("tokens")).cast("long").alias("n_distinct"),
         F.size("lines").cast("long").alias("n_lines"),
         F.length(F.regexp_replace("whole", r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
-        (F.length("whole") - F.length(F.translate("whole", "!", ""))).cast("long").alias("n_exclaims"),
+        (F.length("whole") - F.length(F.replace(F.col("whole"), F.lit("!"), F.lit("")))).cast("long").alias("n_exclaims"),
         F.length(F.regexp_replace("whole", r"[^\p{L}\p{N}]+", "")).cast("long").alias("n_letters"),
-        F.size(F.filter("tokens", lambda w: F.translate(w, "#*$%&|<>", "") != w)).cast("long").alias("n_marked"),
+        F.when(symbols == 0, 0).otherwise(F.size(F.filter("tokens", lambda w: w.rlike("[#*$%&|<>]")))).cast("long").alias("n_marked"),
     )
 
 

@@ -28,7 +28,7 @@ def _place(name: str) -> Column:
     """What a dimension is ordered by: text by code points (UTF-8 bytes keep that order), sizes in fine logarithmic steps."""
     if name == "size":
         return F.floor(F.log2(F.col("size") + 1) * 1024).cast("long")
-    return F.encode(F.col(name).cast("string"), "UTF-8")
+    return F.encode(F.col(f"_{name}").cast("string"), "UTF-8")
 
 
 def _measured(docs: DataFrame, keep: list[str], dimensions: tuple[str, ...], text: str, scratch: Scratch) -> DataFrame:
@@ -37,7 +37,7 @@ def _measured(docs: DataFrame, keep: list[str], dimensions: tuple[str, ...], tex
     of the corpus that it spans. The codes' tables have a row per distinct value."""
     raw = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     wide = docs.select(*keep, *[F.col(d).alias(f"_{d}") for d in dimensions if d != "size"], (F.length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    wide = scratch.table(wide.select(*keep, "size", "text_crc32", *[(_place(d) if d == "size" else F.encode(F.col(f"_{d}").cast("string"), "UTF-8")).alias(f"_at_{d}") for d in dimensions]), "sizes")
+    wide = scratch.table(wide.select(*keep, "size", "text_crc32", *[_place(d).alias(f"_at_{d}") for d in dimensions]), "sizes")
     for d in dimensions:
         at = F.col(f"_at_{d}")
         values = wide.groupBy(at).agg(F.sum("size").alias("bytes"))
