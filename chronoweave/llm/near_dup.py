@@ -13,6 +13,9 @@ Of what is left, the members outside a bucket's largest component meet the other
 exact bound allows a link: besides those lone shingles, bitmaps of the shared ones (a bit that one set has and the
 other lacks stands for a shingle at least). So nothing that the bands bring together goes unlinked; pairs inside one
 component can't change the result and are never made.
+
+Names and pairs of sets grow with the corpus, so their joins with the sets and the texts are merge joins at every size:
+what a small corpus costs foretells a large one.
 """
 
 from __future__ import annotations
@@ -208,10 +211,8 @@ class _Linker:
         self.sets, self.scratch, self.num, self.den, self.m = sets, scratch, num, den, m
 
     def alive(self, open_: DataFrame) -> DataFrame:
-        """class, members of the open sets. Their names are written first, so that Spark knows their size and moves the
-        sets only where the names are too many to broadcast."""
-        names = self.scratch.table(open_.select("class").distinct(), "alive")
-        return self.sets.select("class", "members").join(names, "class", "left_semi")
+        """class, members of the open sets."""
+        return self.sets.select("class", "members").join(open_.select("class").distinct().hint("merge"), "class", "left_semi")
 
     def lone(self, alive: DataFrame) -> DataFrame:
         """shingle, class: the shingles that one set alone of the open ones has."""
@@ -238,7 +239,7 @@ class _Linker:
     def links(self, pairs: DataFrame, tag: str) -> DataFrame:
         """Of pairs (a, b) of classes those that are links."""
         side = lambda name: self.sets.select(F.col("class").alias(name), F.col("regs").alias(f"r{name}"), F.col("members").alias(f"s{name}"))
-        both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ra", "rb", "sa", "sb")
+        both = pairs.hint("merge").join(side("b"), "b").hint("merge").join(side("a"), "a").select("a", "b", "ra", "rb", "sa", "sb")
         return self.scratch.table(both.mapInArrow(_linked(self.m, self.num, self.den), "a binary, b binary"), f"links-{tag}")
 
 
@@ -273,7 +274,7 @@ def _clustered(docs: DataFrame, k: int, num: int, den: int, scratch: Scratch) ->
     known = sketches.where("class IS NOT NULL AND doc_id IS NOT NULL")
     heads = known.groupBy("class").agg(F.min(F.struct("doc_id", "text_key")).alias("head"))
     need = scratch.table(heads.join(members.select("class").distinct(), "class", "left_semi").select("head.*"), "need")
-    texts = narrow.join(need, ["doc_id", "text_key"], "left_semi").select("text")
+    texts = narrow.join(need.hint("merge"), ["doc_id", "text_key"], "left_semi").select("text")
     sets = scratch.table(texts.mapInArrow(_sets(k, BANDS * rows), SETS).where("class IS NOT NULL").dropDuplicates(["class"]), "sets")
     linker = _Linker(sets, scratch, num, den, BANDS * rows)
 
@@ -281,7 +282,7 @@ def _clustered(docs: DataFrame, k: int, num: int, den: int, scratch: Scratch) ->
     ends = members.select(F.struct("class", "size").alias("x"), F.explode(F.array("low", "high")).alias("y")).where("x.class <> y.class")
     ends = ends.where(f"{den} * least(x.size, y.size) >= {num} * greatest(x.size, y.size)")
     star = ends.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
-    links = linker.links(scratch.table(star, "star"), "star")
+    links = linker.links(star, "star")
     label = components(links, scratch)
     named = members.select("band", "class", "size").join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     open_ = scratch.table(_mixed_buckets(named), "open")
