@@ -98,6 +98,25 @@ def events_of(rows: DataFrame, by: list[str], on: str, event: str, inside: Colum
     return rows.where(F.col(event).isNotNull() & inside).groupBy(*by, event).agg(F.min(on).alias("start"), F.max(on).alias("end"), F.count("*").alias("n"))
 
 
+def closures(rows: DataFrame, by: list[str], on: list[str], t: str, closed: Column, opened: Column, least: float, most: float, keep: list[str] = ()) -> DataFrame:
+    """start, end, duration of each closure between two open rows, and what `keep` is at its start. A closure lasts at
+    least from its first to its last closed row, and at most from the open row before to the one after: duration is the
+    middle of both, and must lie within least .. most. Closures that touch an end of the sequence are left out."""
+    r = rows.withColumn("_closed", F.coalesce(closed, F.lit(False))).withColumn("_opened", F.coalesce(opened, F.lit(False)))
+    r = hysteresis(r, by, on, "_closed", "_opened", name="_event")
+    at = F.when(F.col("_opened"), F.col(t))
+    r = r.withColumn("_before", F.last(at, ignorenulls=True).over(_w(by, on).rowsBetween(Window.unboundedPreceding, -1)))
+    later = Window.partitionBy(*by).orderBy(*[F.desc(c) for c in on]).rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumn("_after", F.last(at, ignorenulls=True).over(later))
+    order = F.struct(*on)
+    e = r.where(F.col("_closed") & F.col("_event").isNotNull()).groupBy(*by, "_event").agg(
+        F.min(t).alias("start"), F.max(t).alias("end"), F.min_by("_before", order).alias("_before"), F.max_by("_after", order).alias("_after"),
+        *[F.min_by(c, order).alias(c) for c in keep],
+    )
+    duration = ((F.col("end") - F.col("start")) + (F.col("_after") - F.col("_before"))) / 2
+    return e.withColumn("duration", duration).where(F.col("duration").between(least, most)).select(*by, *keep, "start", "end", "duration")
+
+
 def label_runs(rows: DataFrame, by: list[str], on: list[str], label: str, scope: str, time: str) -> DataFrame:
     """Runs of a label: start, end, n, scopes (distinct, null included) and complete: the run touches neither end of
     the sequence and its neighbours are in its scope."""

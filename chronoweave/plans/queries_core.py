@@ -151,8 +151,8 @@ def _maps(spark, sf):
     return m.select("rec", (5.0 + F.col("rec")).alias("a"), (1.0 + F.col("rec") % 5 * 1e-4).alias("b"), "lo", "hi")
 
 
-@query("a7_coverage", f"""WITH {_MAPS}, c AS (SELECT s.rec, label, count(*) AS total, count(value) AS finite, count(*) FILTER (value IS NOT NULL AND t BETWEEN lo AND hi) AS supported FROM samples s JOIN maps USING (rec) GROUP BY ALL)
-    SELECT rec, label, total, finite, supported, finite - supported AS extrapolated, total - finite AS missing, true AS valid FROM c""")
+@query("a7_coverage", f"""WITH {_MAPS}, c AS (SELECT s.rec, label, count(*) AS total, count(value) AS finite, count(*) FILTER (value IS NOT NULL AND t BETWEEN lo AND hi) AS supported, count(*) FILTER (value IS NOT NULL AND (t < lo OR t > hi)) AS extrapolated, count(*) FILTER (value IS NULL) AS missing FROM samples s JOIN maps USING (rec) GROUP BY ALL)
+    SELECT *, finite + missing = total AND supported + extrapolated = finite AS valid FROM c""")
 def a7(spark, sf):
     """Coverage facts with their invariants."""
     s = samples(spark, sf).withColumn("t", F.when(F.col("value").isNotNull(), F.col("t"))).join(_maps(spark, sf), "rec")

@@ -60,9 +60,12 @@ def _signals(spark, sf):
 _PLANTED = "true_a AS (SELECT DISTINCT vec_id // 50 AS rec FROM embeddings WHERE vec_id // 50 * 50 + 49 <= (SELECT max(vec_id) FROM embeddings))"
 
 
-@query("g1_windowed_alignment", f"WITH {_PLANTED} SELECT rec, 3 AS groups, 'good' AS status, true AS offset_found, true AS drift_found FROM true_a")
+@query("g1_windowed_alignment", f"""WITH {_PLANTED} SELECT rec, 3 AS groups, 'good' AS status, '' AS reasons, round(7.5 + rec % 5, 1) AS intercept, true AS drift_found, rec % 3 = 0 AS exact,
+      CAST(ceil((319.9 - 60 + 15) / 30) AS INTEGER) AS windows, CAST(ceil((319.9 - 60 + 15) / 30) AS INTEGER) AS good_windows, true AS tight FROM true_a""")
 def g1(spark, sf):
-    """A second recorder with planted offset and drift, found again from the signals."""
+    """A second recorder with planted offset and drift, found again from the signals (W19, W22 to W32, G1, G3, G4). The
+    offset is compared to a tenth of a second, drift to 100 ppm (on noise at ten samples a second the parabola through
+    a peak's neighbours is up to 70 ppm off), without drift both are exact; all windows that fit are good."""
     source = _signals(spark, sf)
     full = source.groupBy("rec").agg((F.max("t") >= 319).alias("_full")).where("_full").select("rec")
     source = source.join(full, "rec")
@@ -70,17 +73,29 @@ def g1(spark, sf):
     target = source.withColumn("t", a + b * F.col("t"))
     out = alignment.align(source, target, hz=10.0)
     fit_a, fit_b = F.abs(F.col("intercept") - a), F.abs(F.col("scale") - b)
-    return out.select("rec", F.col("groups").cast("int").alias("groups"), "status", (fit_a < 0.02).alias("offset_found"), (fit_b < 1e-4).alias("drift_found"))
+    whole = [F.col(c).cast("int").alias(c) for c in ("groups", "windows", "good_windows")]
+    return out.select("rec", *whole, "status", "reasons", r(F.col("intercept"), 1).alias("intercept"), (fit_b < 1e-4).alias("drift_found"), ((fit_a < 1e-6) & (fit_b < 1e-9)).alias("exact"), (F.col("residual_p95") < 0.02).alias("tight"))
 
 
-@query("g5_chunk_repair", """WITH s AS (SELECT user_id AS rec, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events), n AS (SELECT rec, count(*) - 7 AS n FROM s GROUP BY rec HAVING count(*) > 7)
-    SELECT rec, CAST(ceil(n / 5.0) AS BIGINT) AS chunks, CAST(ceil(n / 5.0) AS BIGINT) AS matched, 0 AS missing, 1.0::DOUBLE AS ratio FROM n""")
+@query("g5_chunk_repair", """WITH n AS (SELECT user_id AS rec, (count(*) - 7) // 5 AS n FROM events GROUP BY 1 HAVING count(*) >= 12), c AS (SELECT rec, unnest(range(0, n)) AS c FROM n),
+    d AS (SELECT rec, c, rec % 3 = 0 AND c % 11 = 6 AS bad, CASE WHEN rec % 5 = 1 AND c % 5 = 2 THEN 2 ELSE 1 END AS reps FROM c WHERE NOT (rec % 4 = 1 AND c % 7 = 3)),
+    g AS (SELECT rec, CAST(sum(reps) AS BIGINT) AS chunks, CAST(coalesce(sum(reps) FILTER (NOT bad), 0) AS BIGINT) AS matched, CAST(max(CASE WHEN rec % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS ambiguous, CAST(coalesce(sum(reps - 1) FILTER (NOT bad), 0) AS BIGINT) AS duplicates,
+      CAST(coalesce(max(c) FILTER (NOT bad) - min(c) FILTER (NOT bad) + 1 - count(*) FILTER (NOT bad), 0) AS BIGINT) AS missing FROM d GROUP BY rec)
+    SELECT *, matched / chunks::DOUBLE AS ratio, CASE WHEN matched = chunks AND ambiguous + duplicates + missing = 0 THEN 'A' WHEN matched / chunks::DOUBLE >= 0.99 THEN 'B' WHEN matched / chunks::DOUBLE >= 0.95 THEN 'C' ELSE 'D' END AS grade FROM g""")
 def g5(spark, sf):
-    """Chunks of a copied sequence found in the raw one."""
+    """Chunks of a damaged copy found in the raw sequence (J14, A25, A26, G5): some chunks are gone, some stand twice,
+    some have values that the raw one hasn't, and where the raw one repeats its first chunk at its end, that is ambiguous."""
     k = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
-    raw = table(spark, sf, "events").select(F.col("user_id").alias("rec"), k.alias("seq"), "value")
-    found = alignment.matched_chunks(raw, raw.where("seq >= 7"), size=5, radius=50)
-    return alignment.repair_summary(found, 5).where("chunks > 0").select("rec", "chunks", "matched", F.col("missing").cast("int").alias("missing"), "ratio")
+    raw = table(spark, sf, "events").select(F.col("user_id").alias("rec"), k.cast("long").alias("seq"), "value")
+    rec, c = F.col("rec"), F.col("c")
+    whole = raw.withColumn("n", F.floor((F.count("*").over(Window.partitionBy("rec")) - 7) / 5)).where("seq >= 7")
+    whole = whole.withColumn("c", F.floor((F.col("seq") - 7) / 5)).where("c < n AND NOT (rec % 4 = 1 AND c % 7 = 3)")
+    twice = F.when((rec % 5 == 1) & (c % 5 == 2), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    copy = whole.withColumn("rep", F.explode(twice)).withColumn("value", F.when((rec % 3 == 0) & (c % 11 == 6), F.col("value") + 0.005).otherwise(F.col("value")))
+    copy = copy.select("rec", F.row_number().over(Window.partitionBy("rec").orderBy("c", "rep", "seq")).cast("long").alias("seq"), "value")
+    again = raw.where("rec % 2 = 0 AND seq BETWEEN 7 AND 11").select("rec", (F.col("seq") + 1_000_000_000).alias("seq"), "value")
+    found = alignment.matched_chunks(raw.unionByName(again), copy, size=5, radius=50)
+    return alignment.repair_summary(found, 5).where("chunks > 0")
 
 
 @query("w31_clock_jump", f"""WITH {SAMPLES}, d AS (SELECT rec, seq, value - quantile_cont(value, 0.5) OVER (PARTITION BY rec) AS e FROM samples WHERE value IS NOT NULL), m AS (SELECT rec, median(abs(e)) AS mad FROM d GROUP BY rec),
@@ -146,18 +161,33 @@ def g12(spark, sf):
     return b.join(F.broadcast(total)).select("bin", "n", r(100.0 * F.col("n") / F.col("total")).alias("share"))  # twenty bins and one row
 
 
+def _markers(s):
+    """Six markers of each recording; the first and the last lie too near its ends."""
+    return s.select("rec").distinct().select("rec", F.lit("easy").alias("marker"), F.explode(F.array(*[F.lit(x) for x in (1.0, 50.0, 100.0, 150.0, 200.0, 319.0)])).alias("at"))
+
+
 @query("g13_epoch_power", """WITH m AS (SELECT DISTINCT vec_id // 50 AS rec FROM embeddings WHERE vec_id // 50 * 50 + 49 <= (SELECT max(vec_id) FROM embeddings)), f AS (SELECT k / 0.8 AS freq FROM range(0, 5) AS x(k) WHERE k / 0.8 BETWEEN 2 AND 4)
     SELECT rec, 'easy' AS marker, round(freq, 6) AS freq, 4 AS epochs FROM m, f""")
 def g13(spark, sf):
     """Filtered epochs around markers and their mean spectra (J15, W33 to W35, A22): which cells there are."""
     s = _signals(spark, sf).where("grp = 'gaze'").select("rec", "channel", "t", "value")
     full = s.groupBy("rec").agg((F.max("t") >= 319).alias("_full")).where("_full").select("rec")
-    marks = full.select("rec", F.lit("easy").alias("marker"), F.explode(F.array(*[F.lit(x) for x in (1.0, 50.0, 100.0, 150.0, 200.0, 319.0)])).alias("at"))
-    e = epochs.epochs(s.join(full, "rec"), marks, -1.0, 5.0, 10.0, band=(0.5, 4.5), notch=None)
+    e = epochs.epochs(s.join(full, "rec"), _markers(s.join(full, "rec")), -1.0, 5.0, 10.0, band=(0.5, 4.5), notch=None)
     p = epochs.mean_power(epochs.accepted(e, 1e9, 0.0), 10.0, window_s=0.8, step_s=0.1, low=2.0, high=4.0)
     return p.groupBy("rec", "marker", r(F.col("freq")).alias("freq")).agg(F.max("n").cast("int").alias("epochs"))
 
 
+@query("g13_epoch_spectra", """WITH v AS (SELECT vec_id // 50 AS rec, vec_id % 50 * 64 + unnest(range(0, 64)) AS k, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings WHERE vec_id // 50 * 50 + 49 <= (SELECT max(vec_id) FROM embeddings)),
+    w AS (SELECT m, s, j, q, 0.5 - 0.5 * cos(2 * pi() * j / 7) AS h FROM (VALUES (50), (100), (150), (200)) AS a(m), range(0, 54) AS b(s), range(0, 8) AS c(j), range(2, 4) AS d(q)),
+    f AS (SELECT rec, m, s, q, sum(v * h * cos(2 * pi() * q * j / 8)) AS re, sum(v * h * sin(2 * pi() * q * j / 8)) AS im, sum(h * h) AS hh FROM v JOIN w ON k = (m - 1) * 10 + s + j GROUP BY ALL)
+    SELECT rec, 'easy' AS marker, q * 1.25::DOUBLE AS freq, round((s + 4) / 10.0::DOUBLE, 6) AS t, round(avg((re * re + im * im) / hh / 10), 6) AS power, count(*) AS n FROM f GROUP BY rec, q, s""")
+def g13_spectra(spark, sf):
+    """Mean spectra of unfiltered epochs, power by power."""
+    s = _signals(spark, sf).where("grp = 'gaze'").select("rec", "channel", "t", "value")
+    p = epochs.mean_power(epochs.accepted(epochs.epochs(s, _markers(s), -1.0, 5.0, 10.0), 1e9, 0.0), 10.0, window_s=0.8, step_s=0.1, low=2.0, high=4.0)
+    return p.join(s.groupBy("rec").agg(F.max("t").alias("end")).where("end >= 319"), "rec").select("rec", "marker", "freq", r(F.col("t")).alias("t"), r(F.col("power")).alias("power"), "n")
+
+
 @query("g14_anonymised_plan", """SELECT s_suppkey, 'R' || s_nationkey || '_' || CASE WHEN s_acctbal < 0 THEN 'eye' ELSE 'video' END || CASE WHEN count(*) OVER w > 1 THEN '_' || row_number() OVER (PARTITION BY s_nationkey, s_acctbal < 0 ORDER BY lower(s_name), s_name) ELSE '' END || '.csv' AS target FROM supplier WINDOW w AS (PARTITION BY s_nationkey, s_acctbal < 0)""")
 def g14(spark, sf):
     s = table(spark, sf, "supplier")
@@ -165,13 +195,18 @@ def g14(spark, sf):
     return anonymize.canonical_names(f).select("s_suppkey", "target")
 
 
-@query("w9_closures", f"""WITH {SAMPLES}, v AS (SELECT *, value IS NOT NULL AS ok FROM samples), g AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR ok <> lag(ok) OVER w OR module <> lag(module) OVER w THEN 1 ELSE 0 END AS new FROM v WINDOW w AS (PARTITION BY rec ORDER BY t, seq)),
-    h AS (SELECT *, sum(new) OVER (PARTITION BY rec ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS run, value < 60 AS closed FROM g), k AS (SELECT *, CASE WHEN lag(closed) OVER z IS DISTINCT FROM closed THEN 1 ELSE 0 END AS fresh FROM h WHERE ok WINDOW z AS (PARTITION BY rec, run ORDER BY t, seq)),
-    e AS (SELECT *, sum(fresh) OVER (PARTITION BY rec, run ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS ev FROM k)
-    SELECT rec, CAST(run AS BIGINT) AS run, count(DISTINCT ev) AS events FROM e WHERE closed GROUP BY rec, run""")
+@query("w9_closures", f"""WITH {SAMPLES}, v AS (SELECT rec, seq, t, value, CAST(floor(t / 2592000) AS BIGINT) AS scenario, value IS NOT NULL AS ok FROM samples),
+    g AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR ok <> lag(ok) OVER w OR scenario <> lag(scenario) OVER w THEN 1 ELSE 0 END AS new FROM v WINDOW w AS (PARTITION BY rec ORDER BY t, seq)),
+    h AS (SELECT *, sum(new) OVER (PARTITION BY rec ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS run FROM g),
+    k AS (SELECT *, coalesce(last_value(CASE WHEN value < 60 THEN 1 WHEN value > 90 THEN 0 END IGNORE NULLS) OVER (PARTITION BY rec, run ORDER BY t, seq ROWS UNBOUNDED PRECEDING), 0) AS after FROM h WHERE ok),
+    l AS (SELECT *, coalesce(lag(after) OVER (PARTITION BY rec, run ORDER BY t, seq), 0) AS before FROM k),
+    e AS (SELECT *, sum(CASE WHEN after = 1 AND before = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY rec, run ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS ev FROM l),
+    c AS (SELECT rec, run, ev, any_value(scenario) AS scenario, min(t) AS a, max(t) AS b FROM e WHERE value < 60 GROUP BY rec, run, ev),
+    o AS (SELECT c.*, (SELECT max(t) FROM e WHERE e.rec = c.rec AND e.run = c.run AND value > 90 AND e.t < a) AS lo, (SELECT min(t) FROM e WHERE e.rec = c.rec AND e.run = c.run AND value > 90 AND e.t > b) AS hi FROM c)
+    SELECT rec, CAST(run AS BIGINT) AS run, scenario, round(((b - a) + (hi - lo)) / 2, 3) AS duration FROM o WHERE ((b - a) + (hi - lo)) / 2 BETWEEN 10000 AND 2000000""")
 def w9(spark, sf):
-    """Closures inside contiguous valid stretches of one module: runs of runs."""
-    s = samples(spark, sf).withColumn("ok", F.col("value").isNotNull())
-    s = runs.with_run(s, ["rec"], ["t", "seq"], "ok", "module").where("ok").withColumn("closed", F.col("value") < 60)
-    e = runs.with_run(s, ["rec", "run"], ["t", "seq"], "closed", name="ev").where("closed")
-    return e.groupBy("rec", "run").agg(F.countDistinct("ev").alias("events"))
+    """Closures inside contiguous valid stretches of one scenario, by the middle of their inner and outer duration."""
+    s = samples(spark, sf).select("rec", "seq", "t", "value", F.floor(F.col("t") / 2592000).alias("scenario"), F.col("value").isNotNull().alias("ok"))
+    s = runs.with_run(s, ["rec"], ["t", "seq"], "ok", "scenario").where("ok")
+    c = runs.closures(s, ["rec", "run"], ["t", "seq"], "t", F.col("value") < 60, F.col("value") > 90, 10_000, 2_000_000, ["scenario"])
+    return c.select("rec", "run", "scenario", r(F.col("duration"), 3).alias("duration"))
