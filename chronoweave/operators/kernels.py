@@ -129,7 +129,7 @@ def local_offset(source: list, target: list, centre: float, prior: float, length
     return {"offset": prior - lag / hz, "peak": height, "margin": margin, "boundary": abs(lag) / hz >= max(0.0, radius - max(0.25, 2.0 / hz))}
 
 
-def robust_line(x: np.ndarray, y: np.ndarray, least_span: float = 60.0, floor: float = 0.040, rounds: int = 5, most_ppm: float | None = 2000.0) -> dict:
+def robust_line(x: np.ndarray, y: np.ndarray, least_span: float = 60.0, floor: float = 0.040, rounds: int = 5, most_ppm: float | None = 2000.0, with_kept: bool = False) -> dict | tuple[dict, np.ndarray]:
     """A line through window offsets, refitted without the points off by more than max(floor, 3 * 1.4826 MAD) until
     they stay the same; the median alone for under three points or a short span, or if the drift is beyond belief."""
     kept = np.ones(len(x), dtype=bool)
@@ -148,7 +148,8 @@ def robust_line(x: np.ndarray, y: np.ndarray, least_span: float = 60.0, floor: f
     if most_ppm is not None and abs(raw) > most_ppm:
         slope, intercept = 0.0, float(np.median(y[kept]))
     e = np.abs(y - intercept - slope * x)[kept]
-    return {"intercept": float(intercept), "scale": 1.0 + float(slope), "raw_drift_ppm": float(raw), "inliers": int(kept.sum()), "residual_mad": float(np.median(e)), "residual_p95": float(np.percentile(e, 95))}
+    line = {"intercept": float(intercept), "scale": 1.0 + float(slope), "raw_drift_ppm": float(raw), "inliers": int(kept.sum()), "residual_mad": float(np.median(e)), "residual_p95": float(np.percentile(e, 95))}
+    return (line, kept) if with_kept else line
 
 
 def clock_jump(x: np.ndarray, y: np.ndarray, intercept: float, slope: float) -> float:
@@ -226,14 +227,26 @@ def spectrogram(x: np.ndarray, hz: float, window_s: float, step_s: float, low: f
     return f[keep], (np.arange(len(views)) * step + n / 2) / hz, power[:, keep].T
 
 
-def lag_search(x: np.ndarray, y: np.ndarray, radius: int, least: int = 10, clip: float = 8.0) -> tuple[float, float, float] | None:
-    """Lag, height and margin of the highest correlation of two features on one grid (NaN where unknown), each
-    standardised robustly and clipped first."""
+def overlap_correlation(x: np.ndarray, y: np.ndarray, lag: int, least: int = 20, clip: float = 8.0) -> float:
+    """Correlation of x[i] with y[i + lag] where both are, each standardised there by median and MAD (or deviation)
+    and clipped; NaN for too short or flat an overlap."""
+    n = min(len(x) - max(0, -lag), len(y) - max(0, lag))
+    if n < least:
+        return np.nan
     made = []
-    for v in (x, y):
-        known = np.isfinite(v)
-        z, holds = robust_window(np.where(known, v, 0.0), known, least)
-        made.append((np.clip(z, -clip, clip)[None], holds[None]))
-    (a, ma), (b, mb) = made
-    lags, r, n = masked_correlation(a, b, ma, mb)
-    return peak(lags, r, (np.abs(lags) <= radius) & (n >= least), max(1, radius // 8))
+    for v in (x[max(0, -lag) :][:n], y[max(0, lag) :][:n]):
+        off = v - np.median(v)
+        scale = next((s for s in (1.4826 * np.median(np.abs(off)), v.std()) if np.isfinite(s) and s > 0), None)
+        if scale is None:
+            return np.nan
+        z = np.clip(off / scale, -clip, clip)
+        made.append(z - z.mean())
+    root = np.sqrt((made[0] @ made[0]) * (made[1] @ made[1]))
+    return float(made[0] @ made[1] / root) if root > 0 else np.nan
+
+
+def lag_search(x: np.ndarray, y: np.ndarray, centre: int, radius: int, exclusion: int, least: int = 20) -> tuple[float, float, float] | None:
+    """Lag (y behind x), height and margin of the highest correlation of two features on one grid, around a lag."""
+    lags = np.arange(centre - radius, centre + radius + 1)
+    r = np.array([overlap_correlation(x, y, int(k), least) for k in lags])
+    return peak(lags, r, np.isfinite(r), exclusion)

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoweave.functions import scalars as S
-from chronoweave.operators import alignment, anchors, anonymize, asof, epochs, kernels, quality, robust, runs, trackers
+from chronoweave.operators import alignment, anchors, anonymize, asof, envelopes, epochs, kernels, quality, robust, runs, trackers
 from chronoweave.plans import catalog
 from chronoweave.sources import tables, xdf
 
@@ -136,6 +136,40 @@ def test_clock_pair_is_found(spark):
     assert all(f["status"] == "invalid" for f in alignment.align(source, other, hz=20.0).collect())
 
 
+def test_envelope_maps(spark):
+    """Two recorders that share only activity: offset and drift of three recordings, one of them too short, one without
+    a second feature that bears it out, and one that the other recorder never made."""
+    own = spark.createDataFrame([(1, 1500), (2, 1500), (3, 250), (4, 400)], "rec long, seconds long")
+    seconds = own.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("seconds") * 50)))
+    activity = lambda t: F.exp(F.sin(t / 1.7 + F.col("rec")) + F.sin(t / 4.3) + F.sin(t * t / 4000))
+    noise = lambda salt: F.pmod(F.xxhash64("rec", "i", F.lit(salt)), F.lit(20001)) / 10000.0 - 1
+    t = F.col("i") / 50.0
+    source = seconds.select("rec", t.alias("t"), F.when(F.col("i") % 997 != 0, activity(t) * noise(1)).alias("value"))
+    a, b = 1000 + 4.0 * F.col("rec"), 1 + 300e-6 * F.col("rec")
+    names = F.when(F.col("rec") == 2, F.array(F.lit("v"))).otherwise(F.array(F.lit("u"), F.lit("v")))
+    made = seconds.where("rec < 4").withColumn("feature", F.explode(names))
+    carrier = F.when(F.col("feature") == "u", noise(1)).otherwise(noise(3))  # u: the same signal, v: only its activity
+    target = made.select("rec", "feature", (a + b * t).alias("t"), (activity(t) * carrier * 40).alias("value"))
+    priors = spark.createDataFrame([(r, 1000.0) for r in (1, 2, 3, 4)], "rec long, prior double")
+    got = {r["rec"]: r for r in envelopes.envelope_maps(source, target, priors).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    # the same signal: to a hundredth of a second; activity alone: to half a step of the features' grid, and the drift to
+    # what that makes over the windows' span
+    for rec, status, grade, feature, seconds_off, ppm in ((1, "affine", "A", "u", 0.01, 30), (2, "affine_review", "B", "v", 0.05, 100)):
+        m = got[rec]
+        assert (m["status"], m["grade"], m["usable"], m["feature"]) == (status, grade, True, feature), m
+        off = m["intercept"] + m["scale"] * 750 - (1000 + 4 * rec + (1 + 300e-6 * rec) * 750)
+        assert abs(off) < seconds_off and abs(m["drift_ppm"] - 300 * rec) < ppm and m["residual_p95"] < 0.1, m
+        # the overlap begins 3 s into the later recording, and eight windows of 300 s fit at steps of 150 s
+        assert abs(m["support_start"] - 3 - 4 * rec) < 0.1 and abs(m["support_end"] - m["support_start"] - 1350) < 0.1
+    assert got[2]["warnings"] == "features disagree or stand alone"
+    assert [(got[r]["status"], got[r]["grade"], got[r]["usable"]) for r in (3, 4)] == [("unavailable", "D", False)] * 2
+    with pytest.raises(ValueError):
+        envelopes.common_envelopes(source, target, priors, 50.0, 7.0)
+    flat = np.ones(100)
+    assert np.isnan(kernels.overlap_correlation(flat, flat, 0)) and np.isnan(kernels.overlap_correlation(np.arange(30.0), np.arange(30.0), 15))
+
+
 def test_conflicting_families(spark):
     fit = lambda a, status="good", scale=1.0: spark.createDataFrame([(1, status, a, scale, 0.0, 9, 0.01, "why")], "rec long, status string, intercept double, scale double, raw_drift_ppm double, good_windows long, residual_p95 double, reasons string")
     audit = lambda broken=False: spark.createDataFrame([(1, 100.0, broken)], "rec long, middle double, broken boolean")
@@ -194,7 +228,7 @@ def test_kernels():
     assert np.corrcoef(clean[500:-500], np.sin(2 * np.pi * 10 * t)[500:-500])[0, 1] > 0.99
     f, _, p = kernels.spectrogram(wave, 250, 0.75, 0.025, 2, 40)
     assert abs(f[p.mean(axis=1).argmax()] - 10) < 1.4
-    lag, height, _ = kernels.lag_search(np.roll(wave, 3), wave, 10)
+    lag, height, _ = kernels.lag_search(wave, np.roll(wave, 3), 0, 10, 5)
     assert round(lag) == 3 and height > 0.99
 
 
