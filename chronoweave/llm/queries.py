@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import classifier, decontaminate, html_text, mixing, near_dup, pseudo_likelihood, quality_rules, reply_trees, sharding, warc_zip
+from . import classifier, conversation_trie, decontaminate, html_text, license_scan, mixing, near_dup, pseudo_likelihood, quality_rules, reply_trees, sharding, warc_zip
 from .shared import Scratch
 
 
@@ -63,6 +63,14 @@ def op10_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(_read(spark, sf_dir, "conversations"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hyperminhash": op1_hyperminhash,
     "op2_site_templates": op2_site_templates,
@@ -74,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_zip_warc": op8_zip_warc,
     "op9_cgk_decontaminate": op9_cgk_decontaminate,
     "op10_entropy_mix": op10_entropy_mix,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_license_scan": op12_license_scan,
 }
 
 
@@ -160,4 +170,4 @@ _WARC_SQL = """WITH paid AS (
     FROM told"""
 
 
-ORACLES: dict[str, str] = {"op7_reply_trees": _CHAT_SQL, "op8_zip_warc": _WARC_SQL, "op1_hyperminhash": _NEAR_DUP_SQL, "op5_quality_rules": _rules_sql()}
+ORACLES: dict[str, str] = {"op7_reply_trees": _CHAT_SQL, "op8_zip_warc": _WARC_SQL, "op1_hyperminhash": _NEAR_DUP_SQL, "op5_quality_rules": _rules_sql(), "op11_prefix_trie": conversation_trie.ORACLE, "op12_license_scan": license_scan.oracle()}
