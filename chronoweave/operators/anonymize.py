@@ -46,6 +46,30 @@ def new_ids(keys: DataFrame, known: DataFrame, path: str, length: int = 8, lette
     return known.select("key", "random_id").unionByName(spark.read.parquet(path)).distinct()
 
 
+def pseudonymised(text: Column, kinds: dict[str, tuple[str, str]], secret: str) -> tuple[Column, Column]:
+    """The text with every identifier replaced by <kind:16 hex digits>, and what was found, in order, as an array of
+    (kind, name). A kind is a pattern and the characters in which spellings of one identifier may differ; an identifier
+    has one name wherever it stands, which can't be told without the secret.
+
+    All patterns are looked for in one pass, the first kind first, so no name is searched again. Patterns must not match
+    nothing, look around or have groups that capture. A null text stays null and holds nothing."""
+    pattern = "|".join(f"(?:{p})" for p, _ in kinds.values())
+
+    def named(m: Column) -> Column:
+        kind, bare = F.lit(None), F.lower(m)
+        for name, (own, loose) in reversed(kinds.items()):
+            here = m.rlike(f"^(?:{own})$")
+            kind = F.when(here, F.lit(name)).otherwise(kind)
+            bare = F.when(here, F.translate(F.lower(m), loose, "")).otherwise(bare) if loose else bare
+        digest = F.substring(F.sha2(F.concat_ws("|", F.lit(secret), kind, bare), 256), 1, 16)
+        return F.struct(kind.alias("kind"), F.concat(F.lit("<"), kind, F.lit(":"), digest, F.lit(">")).alias("name"))
+
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), named)
+    between = F.split(text, pattern, -1)
+    whole = F.array_join(F.zip_with(between, found, lambda a, b: F.concat(a, F.coalesce(b["name"], F.lit("")))), "")
+    return F.when(text.isNotNull(), whole), F.coalesce(found, F.array().cast("array<struct<kind: string, name: string>>"))
+
+
 def replaced(name: str, pid: str, visit: str, new: str) -> str:
     """The row-wise twin of scalars.identity_replaced, for nested JSON."""
     for old, by in ((f"{pid}_{visit}", new), (pid, new), (visit, "V0")):

@@ -133,9 +133,10 @@ def label_runs(rows: DataFrame, by: list[str], on: list[str], label: str, scope:
     return g.select(*by, "run", label, "start", "end", "n", "scopes", whole.alias("complete"))
 
 
-def segments(rows: DataFrame, by: list[str], on: str, value: str, longest_step: float) -> DataFrame:
-    """Contiguous stretches: a step longer than allowed, or a null, parts them. start, end, n."""
-    w = _w(by, [on])
+def segments(rows: DataFrame, by: list[str], on: str, value: str, longest_step: float, then: list[str] = ()) -> DataFrame:
+    """Contiguous stretches: a step longer than allowed, or a null, parts them. start, end, n. Rows of one place follow
+    each other as `then` says."""
+    w = _w(by, [on, *then])
     known = rows.withColumn("_null", F.col(value).isNull()).withColumn("_step", F.col(on) - F.lag(on).over(w)).withColumn("_was", F.lag(F.col(value).isNull()).over(w))
     cut = F.col("_null") | F.coalesce(F.col("_was"), F.lit(True)) | (F.col("_step") > longest_step)
     s = known.withColumn("segment", F.sum(F.when(cut, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
