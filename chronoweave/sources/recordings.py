@@ -5,6 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import clock_sync, quality
+from . import xdf_scan
+
+STREAM = ["path", "stream_id"]
+
+
+def load(files: DataFrame, requested: dict[str, list[str] | None], synchronise: bool = True, dejitter: bool = True, split_bytes: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
+    """Samples (xdf_scan.SAMPLES) of the requested streams and channels of containers (path), and the status of every
+    request. With synchronise, times are on the recorder's clock, by the file's own clock offsets; with dejitter, evenly
+    spaced inside unbroken stretches of streams that have a rate. With neither, they are as they were written."""
+    indexed = xdf_scan.index(files, list(requested), split_bytes)
+    samples = xdf_scan.scan(indexed, requested)
+    if synchronise:
+        samples = clock_sync.synchronised(samples, xdf_scan.clock_offsets(files, list(requested)), STREAM)
+    if dejitter:
+        parted = samples if synchronise else samples.withColumn("part", F.lit(0).cast("long"))
+        samples = clock_sync.dejittered(parted, STREAM, "rate")
+    return samples.select(*[c.split()[0] for c in xdf_scan.SAMPLES.split(", ")]), xdf_scan.stream_status(indexed, requested)
+
+
+def checked(samples: DataFrame) -> DataFrame:
+    """path, stream, n, status of numeric streams that an alignment may use: at least two samples, as many numbers as
+    labels everywhere, times that are finite and increase; else what is wrong, the first that is."""
+    audit = quality.timestamp_audit(samples, ["path", "stream"], "seq", "t")
+    shape = samples.groupBy("path", "stream").agg(F.count_if(F.coalesce(F.size("numbers") != F.size("labels"), F.lit(True))).alias("odd"))
+    status = F.when(F.col("n") < 2, "too few samples").when(F.col("odd") > 0, "labels do not match").when(F.col("missing") > 0, "times missing").when(F.col("backward") + F.col("repeated") > 0, "times do not increase").otherwise("ready")
+    return audit.join(shape, ["path", "stream"]).select("path", "stream", "n", status.alias("status"))
+
+
+def side_by_side(samples: DataFrame, streams: list[str], limit: float | None = 1e9) -> DataFrame:
+    """path, t and a column <stream>.<channel> for every channel of numeric streams, of any number of streams: rows with
+    equal times of a file are one, its first value by seq standing for a channel. Of several streams of a name the
+    longest counts. Values above the limit, and NaN, are null."""
+    wanted = longest(samples.where(F.col("stream").isin(*streams) & F.col("numbers").isNotNull()))
+    long = wanted.select("path", "stream", "seq", "t", F.explode(F.arrays_zip("labels", "numbers")).alias("c"))
+    value = F.when(~F.isnan("c.numbers") & ((F.col("c.numbers") <= limit) if limit is not None else F.lit(True)), F.col("c.numbers"))
+    long = long.select("path", "t", "seq", F.concat_ws(".", "stream", "c.labels").alias("channel"), value.alias("value"))
+    names = [r[0] for r in wanted.select("stream", F.explode("labels").alias("label")).distinct().select(F.concat_ws(".", "stream", "label").alias("c")).orderBy("c").collect()]
+    return long.where("t IS NOT NULL").groupBy("path", "t").pivot("channel", names).agg(F.min_by("value", "seq"))
+
+
 
 def longest(streams: DataFrame) -> DataFrame:
     """Samples (path, stream, stream_id, seq, t, ...) of one stream per name: of several the longest, then the first."""

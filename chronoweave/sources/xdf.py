@@ -93,7 +93,9 @@ def decode_samples(content: bytes, header: dict, last: float | None) -> tuple[li
         if file.read(1) == b"\x08":
             last = struct.unpack("<d", file.read(8))[0]
         else:
-            last = (last or 0.0) + (1 / header["rate"] if header["rate"] else 0.0)
+            if last is None:
+                raise ValueError("the first sample has no time")
+            last += 1 / header["rate"] if header["rate"] else 0.0
         times.append(last)
         if header["format"] == "string":
             rows.append([file.read(_length(file) or 0).decode("utf-8", "replace") for _ in range(header["channels"])])
@@ -175,20 +177,22 @@ class _Reader(DataSourceReader):
         return [_File(p) for p in self.paths]
 
     def read(self, partition):
-        import pyarrow.fs as pafs
+        from . import xdf_scan
 
-        fs, at = pafs.FileSystem.from_uri(partition.path if "://" in partition.path else f"file://{partition.path.removeprefix('file:')}")
-        with fs.open_input_file(at) as file:
-            for sid, s in read_streams(file, self.names).items():
-                h = s["header"]
-                text = h["format"] == "string"
-                for k, (t, row) in enumerate(zip(s["times"], s["rows"], strict=True)):
-                    yield (partition.path, h["name"], sid, k, t, h["labels"], None if text else row, row if text else None)
+        with xdf_scan.opened(partition.path) as file:
+            places = xdf_scan.Places(file)
+            splits, status = xdf_scan.file_index(places, None if self.names is None else set(self.names), 1 << 62)
+            if status != "ready":
+                raise ValueError(f"{partition.path}: {status}")
+            for split in splits:
+                for batch in xdf_scan.read_split(places, {"path": partition.path, **split}, None):
+                    yield batch.drop_columns(["place", "rate"])
 
 
 class XdfSource(DataSource):
     """spark.dataSource.register(XdfSource); spark.read.format("xdf").option("streams", "a,b").load("f.xdf"): a row per
-    sample. Streams that aren't asked for are skipped by their headers; a file is a partition."""
+    sample. Chunks of streams that aren't asked for are passed over; a file is a partition, of which a chunk is held at
+    a time. xdf_scan reads a file in many tasks, and channels by name."""
 
     @classmethod
     def name(cls):
