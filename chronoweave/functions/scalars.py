@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -138,3 +139,14 @@ def to_pixels(share: Column, size: Column) -> Column:
 
 def decibel(x: Column, baseline: Column) -> Column:
     return F.when((x > 0) & (baseline > 0), 10 * F.log10(x / baseline))
+
+
+def fifteen_digits(x: Column) -> Column:
+    """A number as text with at most 15 significant digits, as C's %.15g has it: correctly rounded, no trailing zeros, an
+    exponent where it is below -4 or above 14. Null for null, empty for what isn't finite. Java rounds the shortest
+    decimal text a second time, so the digits come from Python, a column at a time."""
+
+    def told(v: pd.Series) -> pd.Series:
+        return v.map(lambda f: "" if f != f or f in (float("inf"), float("-inf")) else format(f, ".15g"))
+
+    return F.when(x.isNotNull(), F.pandas_udf(told, "string")(F.coalesce(x.cast("double"), F.lit(0.0))))

@@ -87,13 +87,14 @@ def first_per_participant(spark: SparkSession, glob: str, schema: str) -> DataFr
     return rows.join(first, ["pid", "path"], "left_semi")
 
 
-def write_contract(df: DataFrame, path: str, columns: list[str], decimals: dict[str, int] | None = None, overwrite: bool = False, partition: str | None = None) -> bool:
-    """CSV in the contract's exact order; times as fixed decimals; an output that is there stands unless overwritten."""
+def write_contract(df: DataFrame, path: str, columns: list[str], decimals: dict[str, int] | None = None, overwrite: bool = False, partition: str | None = None, digits: tuple[str, ...] = ()) -> bool:
+    """CSV in the contract's exact order; times as fixed decimals, or with 15 significant digits; an output that is there
+    stands unless overwritten."""
     decimals = decimals or {}
     jpath = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not overwrite and jpath.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).exists(jpath):
         return False
-    out = quality.exact_columns(df.select(*columns), columns).select(*[F.format_string(f"%.{decimals[c]}f", F.col(c)).alias(c) if c in decimals else F.col(c) for c in columns])
+    out = quality.exact_columns(df.select(*columns), columns).select(*[F.format_string(f"%.{decimals[c]}f", F.col(c)).alias(c) if c in decimals else S.fifteen_digits(F.col(c)).alias(c) if c in digits else F.col(c) for c in columns])
     writer = out.write.mode("overwrite").option("header", True)
     (writer.partitionBy(partition) if partition else writer).csv(path)
     return True

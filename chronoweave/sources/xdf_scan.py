@@ -355,9 +355,10 @@ def _written(folder: str):
 
 def write_containers(chunks: DataFrame, folder: str) -> DataFrame:
     """Writes chunks (file, place, stream, labels, rate, samples: array of (t, values), offset: (time, value) or null) as
-    one container for each file, in order of place, and gives path and number of streams. A task streams its files'
-    chunks; a file gets its name when it is whole, so a lost task leaves none half written."""
+    one container for each file, in order of place. Gives path and number of streams of all, from a table beside them. A
+    task streams its files' chunks; a file gets its name when it is whole, so a lost task leaves none half written."""
     ship(chunks.sparkSession)
     spread = chunks.select("file", "place", "stream", "labels", "rate", "samples", "offset").repartition("file").sortWithinPartitions("file", "place")
-    return spread.mapInArrow(_written(folder), "path string, streams long")
-
+    table = f"{folder.rstrip('/')}-files"
+    spread.mapInArrow(_written(folder), "path string, streams long").write.mode("overwrite").parquet(table)
+    return chunks.sparkSession.read.parquet(table)

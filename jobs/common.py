@@ -1,12 +1,10 @@
-"""What the jobs share: their command line, their log, and where a registered query puts its output."""
+"""What the jobs share: their command line, configuration and log."""
 
 from __future__ import annotations
 
 import argparse
 import json
 import logging
-import tempfile
-import uuid
 
 from pyspark.sql import SparkSession
 
@@ -25,13 +23,3 @@ def command_line(what: str, **paths: str) -> argparse.Namespace:
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(message)s")
     return parser.parse_args()
 
-
-def new_folder(spark: SparkSession, job: str) -> str:
-    """A folder of its own for each call, under spark.checkpoint.dir, which driver and executors share. Where that is
-    unset, on one machine, a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = f"file://{tempfile.gettempdir()}"
-    return f"{shared.rstrip('/')}/{job}-{uuid.uuid4().hex}"

@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+from chronoweave.folders import new_folder  # noqa: E402
 from chronoweave.functions import scalars as S  # noqa: E402
 from chronoweave.operators import quality, robust, runs  # noqa: E402
-from jobs.common import command_line, config, log, new_folder  # noqa: E402
+from jobs.common import command_line, config, log  # noqa: E402
 
 KEYS = ["day", "rec"]
 DAYS = "rec long, n long, missing long, invalid long, backward long, repeated long, longest_step double, median double, scale double, outliers long, stretches long, covered double, status string, reasons string, day date"

@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+from chronoweave.folders import new_folder  # noqa: E402
 from chronoweave.operators import anonymize  # noqa: E402
-from jobs.common import command_line, config, log, new_folder  # noqa: E402
+from jobs.common import command_line, config, log  # noqa: E402
 
 INPUT = "doc_id long, text string, lang string, source string"
 OUTPUT = "doc_id long, source string, text string, n_replaced long, kinds string, release string, lang string"
