@@ -6,6 +6,7 @@ import json
 import re
 import secrets
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,6 +91,21 @@ def replaced_json(text: str, pid: str, visit: str, new: str) -> str:
     return json.dumps(walk(json.loads(text)), ensure_ascii=False)
 
 
+def json_renamed(value: Column, pid: Column, visit: Column, new: Column) -> Column:
+    """JSON texts with names replaced in keys and texts at any depth; null for what isn't JSON. Nesting has no bound, so
+    a small function walks it, an Arrow batch at a time."""
+    def told(v: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        def one(text, *who):
+            try:
+                return replaced_json(text, *who) if text is not None and None not in who else None
+            except ValueError:
+                return None
+
+        return pd.Series([one(*x) for x in zip(v, a, b, c, strict=True)], dtype=object)
+
+    return F.pandas_udf(told, "string")(value, pid, visit, new)
+
+
 def canonical_names(files: DataFrame, record: str = "record", label: str = "label", path: str = "path", ext: str = "ext", new: str = "random_id") -> DataFrame:
     """files with target: <id>_<label>[_<ordinal>]<ext>; an ordinal where a record has several of a label, in order of
     the path whatever its case."""

@@ -7,9 +7,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..folders import new_folder
+from ..functions import delimited
 from ..functions import scalars as S
-from ..operators import frames
-from ..sources import recordings, xdf_scan
+from ..operators import anonymize, frames, release
+from ..sources import recordings, tables, xdf_scan
 from .base import query, r, table
 
 #: A recording's events in order: k from 0, of n.
@@ -137,8 +138,66 @@ def s25(spark, sf):
     return _looked_up(spark, sf).select(F.col("video").cast("long").alias("rec"), "event_id", "frame", "keyframe", "found")
 
 
-@query("s25_decode_ranges", f"""WITH {_WANTED}, o AS (SELECT rec, keyframe, frame, max(frame) OVER (PARTITION BY rec ORDER BY keyframe, frame, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM found WHERE frame IS NOT NULL),
+@query("s25_decode_ranges", f"""WITH {_WANTED}, o AS (SELECT rec, event_id, keyframe, frame, max(frame) OVER (PARTITION BY rec ORDER BY keyframe, frame, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM found WHERE frame IS NOT NULL),
     g AS (SELECT *, sum(CASE WHEN before IS NULL OR keyframe - before >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY rec ORDER BY keyframe, frame, event_id ROWS UNBOUNDED PRECEDING) AS island FROM o)
     SELECT rec, min(keyframe) AS first, max(frame) AS last, count(*) AS parts FROM g GROUP BY rec, island""")
 def s25_ranges(spark, sf):
     return frames.decode_ranges(_looked_up(spark, sf)).select(F.col("video").cast("long").alias("rec"), "first", "last", "parts")
+
+
+#: A recording as a participant's visit.
+_WHO = "'T' || lpad(CAST(rec % 1000 AS VARCHAR), 3, '0')", "'V' || CAST(1 + rec // 1000 AS VARCHAR)"
+
+
+def _who(rec):
+    return F.concat(F.lit("T"), F.lpad((rec % 1000).cast("string"), 3, "0")), F.concat(F.lit("V"), (1 + F.floor(rec / 1000)).cast("string"))
+
+
+@query("g15_released_recordings", f"""WITH {_PLACED}, e AS (SELECT user_id AS rec, event_id, value, epoch(date_trunc('second', ts)) AS s FROM events),
+    c AS (SELECT rec, value < 50 AS low, count(*) AS n FROM e GROUP BY rec, value < 50), w AS (SELECT rec, min(s) AS lo, max(s) AS hi, count(DISTINCT value < 50) AS files FROM e GROUP BY rec)
+    SELECT 'R' || rec || '/LSL/R' || rec || '_VX_lsl' || CASE WHEN low OR files = 1 THEN '' ELSE '_1' END || '.xdf' AS target,
+           strftime(TIMESTAMP '2000-01-01 02:00:00' + to_seconds(CAST(CASE WHEN low OR files = 1 THEN 0 ELSE hi - lo END AS BIGINT)), '%Y-%m-%dT%H:%M:%S') || '.25+02:00' AS created, 'speed' AS labels, n FROM c JOIN w USING (rec)""")
+def g15(spark, sf):
+    """A folder of recordings released: every file gets its anonymous name, then every record's clocks are moved so that
+    its earliest is in the origin's second, simulator streams without their wall-clock channel. Read back."""
+    e = table(spark, sf, "events")
+    rec, low = F.col("user_id"), F.col("value") < 50
+    w = Window.partitionBy("user_id")
+    stamp = F.date_format(F.when(low, F.min("ts").over(w)).otherwise(F.max("ts").over(w)), "yyyy-MM-dd'T'HH:mm:ss")
+    pid, visit = _who(rec)
+    name = F.concat(pid, F.lit("_"), visit)
+    chunks = e.select(
+        F.concat(name, F.lit("/LSL/"), name, F.when(low, "_a").otherwise("_b")).alias("file"), F.concat(stamp, F.lit(".25+02:00")).alias("created"), F.col("event_id").alias("place"), F.lit("SILAB").alias("stream"),
+        F.array(F.lit("Date"), F.lit("speed")).alias("labels"), F.lit(0.0).alias("rate"), F.array(F.struct(F.col("event_id").cast("double").alias("t"), F.array(F.lit(1.0), F.col("value")).alias("values"))).alias("samples"), F.lit(None).cast("struct<time: double, value: double>").alias("offset"),
+    )
+    root = new_folder(spark, "release")
+    xdf_scan.write_containers(chunks, f"{root}/source")
+    ids = e.select(F.upper(name).alias("key"), F.concat(F.lit("R"), rec.cast("string")).alias("random_id")).distinct()
+    for at, plan in (("source", lambda f: release.anonymise_plan(f, ids)), ("named", release.time_shift_plan)):
+        to = {"source": "named", "named": "shifted"}[at]
+        files = release.files_under(tables.listing(spark, f"{root}/{at}", "*.xdf"), f"{root}/{at}")
+        release.carried_out(plan(files), f"{root}/{to}").write.parquet(f"{root}/{to}-done")
+    files = spark.read.parquet(f"{root}/shifted-done").where("status = 'written'").select("target", F.concat(F.lit(f"{root}/shifted/"), "target").alias("path"))
+    samples, _ = recordings.load(files, {"SILAB": None}, synchronise=False, dejitter=False)
+    n = samples.groupBy("path", F.array_join("labels", ",").alias("labels")).agg(F.count("*").alias("n"))
+    return files.join(n, "path").join(xdf_scan.header_dates(files), "path").select("target", "created", "labels", "n")
+
+
+@query("p18_nested_json", """SELECT event_id, '{"R' || user_id || '": [{"note": "R' || user_id || ' was at V0, not V' || (user_id % 7) || '1", "k": ' || (event_id % 9) || '}, null, ["R' || user_id || '_x"]]}' AS told FROM events""")
+def p18(spark, sf):
+    """Identities replaced in keys and texts of nested JSON."""
+    pid, visit = F.concat(F.lit("T"), F.col("user_id").cast("string")), F.concat(F.lit("V"), (F.col("user_id") % 7).cast("string"))
+    text = F.format_string('{"%s_%s": [{"note":"%s was at %s, not %s1","k":%d},null,["t%d_x"]]}', pid, visit, F.lower(pid), visit, visit, F.col("event_id") % 9, F.col("user_id"))
+    return table(spark, sf, "events").select("event_id", anonymize.json_renamed(text, pid, visit, F.concat(F.lit("R"), F.col("user_id").cast("string"))).alias("told"))
+
+
+@query("p23_shifted_lines", """SELECT event_id, event_id || ',"a ""b"", c",' || q || CAST(10000000 + event_id AS VARCHAR) || '.' || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') || '0' || q || ', x"y,z"' || CASE WHEN event_id % 3 = 0 THEN ',"open, end' ELSE ',' END AS line,
+    event_id || ',' || q || CAST(9000000 + event_id AS VARCHAR) || '.' || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') || '0' || q || CASE WHEN event_id % 3 = 0 THEN ',"open, end' ELSE ',' END AS fewer FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '"' ELSE '' END AS q FROM events)""")
+def p23(spark, sf):
+    """A clock's cell moved where it stands, and lines without some cells; all other bytes stay."""
+    k, q = F.col("event_id"), F.when(F.col("event_id") % 2 == 0, '"').otherwise("")
+    time = F.concat(q, (9000000 + k).cast("string"), F.lit("."), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit("0"), q)
+    lines = table(spark, sf, "events").select("event_id", F.concat(k.cast("string"), F.lit(',"a ""b"", c",'), time, F.lit(', x"y,z"'), F.when(k % 3 == 0, ',"open, end').otherwise(",")).alias("line"))
+    bare, quote = delimited.unquoted(delimited.cell(F.col("line"), 2))
+    moved = F.concat(quote, S.shifted_decimal(bare, F.lit(1000000)), quote)
+    return lines.select("event_id", delimited.with_cell(F.col("line"), 2, moved).alias("line"), delimited.without_cells(F.col("line"), [1, 3]).alias("fewer"))

@@ -177,9 +177,9 @@ class _Reader(DataSourceReader):
         return [_File(p) for p in self.paths]
 
     def read(self, partition):
-        from . import xdf_scan
+        from . import stores, xdf_scan
 
-        with xdf_scan.opened(partition.path) as file:
+        with stores.opened(partition.path) as file:
             places = xdf_scan.Places(file)
             splits, status = xdf_scan.file_index(places, None if self.names is None else set(self.names), 1 << 62)
             if status != "ready":

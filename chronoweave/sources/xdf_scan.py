@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import xdf
+from . import stores, xdf
+from .stores import opened
 
 INDEX = "path string, split int, start long, end long, streams array<struct<id: int, header: binary, base: long, last: double>>, status string"
 SAMPLES = "path string, stream string, stream_id int, seq long, place long, t double, rate double, labels array<string>, numbers array<double>, texts array<string>"
@@ -30,17 +31,6 @@ _HEAD = 48
 _ROWS = 8192
 
 
-def opened(path: str):
-    """A file of any store that pyarrow knows, for reading at any place. s3a and s3n are names of s3."""
-    import pyarrow.fs as pafs
-
-    kind, sep, rest = path.partition("://")
-    if not sep:
-        kind, rest = "file", path.removeprefix("file:")
-    fs, at = pafs.FileSystem.from_uri(f"{'s3' if kind in ('s3a', 's3n') else kind}://{rest}")
-    return fs.open_input_file(at)
-
-
 class Places:
     """Reads of a file by place and length, and how many bytes they were."""
 
@@ -315,14 +305,31 @@ def clock_offsets(files: DataFrame, streams: list[str] | None = None) -> DataFra
     return spread.mapInArrow(_clock(None if streams is None else set(streams)), OFFSETS)
 
 
+def _dated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from .rewriting import header_date
+
+    for batch in batches:
+        dates = []
+        for path in batch.column("path").to_pylist():
+            try:
+                with opened(path) as file:
+                    dates.append(header_date(file))
+            except (ValueError, OSError, pa.ArrowException):
+                dates.append(None)
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(dates, pa.string())], ["path", "created"])
+
+
+def header_dates(files: DataFrame) -> DataFrame:
+    """path, created: the date in each container's file header, null where there is none or no container."""
+    ship(files.sparkSession)
+    return _dealt(files.select("path").where("path IS NOT NULL").distinct(), "path").mapInArrow(_dated, "path string, created string")
+
+
 def _written(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
-        import pyarrow.fs as pafs
-
-        fs, root = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
-        fs.create_dir(root, recursive=True)
+        fs, root = stores.at(folder)
         now = out = None
         ids: dict[str, int] = {}
 
@@ -336,9 +343,12 @@ def _written(folder: str):
                 if r["file"] != now:
                     if out:
                         yield done()
-                    now, ids, part = r["file"], {}, f"{root}/.{r['file']}-{uuid.uuid4().hex}"
+                    now, ids = r["file"], {}
+                    beneath, _, name = f"{root}/{now}".rpartition("/")
+                    fs.create_dir(beneath, recursive=True)
+                    part = f"{beneath}/.{name}-{uuid.uuid4().hex}"
                     out = fs.open_output_stream(part), part
-                    out[0].write(xdf.MAGIC + xdf.chunk(xdf.FILE_HEADER, b'<?xml version="1.0"?><info><version>1.0</version></info>'))
+                    out[0].write(xdf.MAGIC + xdf.chunk(xdf.FILE_HEADER, f'<?xml version="1.0"?><info><version>1.0</version>{"<datetime>" + r["created"] + "</datetime>" if r["created"] else ""}</info>'.encode()))
                 if r["stream"] not in ids:
                     ids[r["stream"]] = len(ids) + 1
                     out[0].write(xdf.chunk(xdf.STREAM_HEADER, struct.pack("<I", ids[r["stream"]]) + xdf.stream_header(r["stream"], r["labels"], rate=r["rate"])))
@@ -354,11 +364,13 @@ def _written(folder: str):
 
 
 def write_containers(chunks: DataFrame, folder: str) -> DataFrame:
-    """Writes chunks (file, place, stream, labels, rate, samples: array of (t, values), offset: (time, value) or null) as
-    one container for each file, in order of place. Gives path and number of streams of all, from a table beside them. A
+    """Writes chunks (file, place, stream, labels, rate, samples: array of (t, values), offset: (time, value) or null, and
+    created, the date in the file's header, if there is one) as one container for each file, in order of place. Gives path and number of streams of all, from a table beside them. A
     task streams its files' chunks; a file gets its name when it is whole, so a lost task leaves none half written."""
     ship(chunks.sparkSession)
-    spread = chunks.select("file", "place", "stream", "labels", "rate", "samples", "offset").repartition("file").sortWithinPartitions("file", "place")
+    if "created" not in chunks.columns:
+        chunks = chunks.withColumn("created", F.lit(None).cast("string"))
+    spread = chunks.select("file", "created", "place", "stream", "labels", "rate", "samples", "offset").repartition("file").sortWithinPartitions("file", "place")
     table = f"{folder.rstrip('/')}-files"
     spread.mapInArrow(_written(folder), "path string, streams long").write.mode("overwrite").parquet(table)
     return chunks.sparkSession.read.parquet(table)
