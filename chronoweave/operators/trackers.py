@@ -11,6 +11,12 @@ from pyspark.sql import types as T
 from .runs import with_run
 
 
+def later(last: int, candidate: int | None, nominal: int | None) -> int:
+    """The time after `last`: the candidate if it is later, else the nominal time or last plus one, whichever is later.
+    A null candidate is never later, a null nominal time doesn't count."""
+    return candidate if candidate is not None and candidate > last else max(last + 1, last + 1 if nominal is None else nominal)
+
+
 def monotonic_times(rows: DataFrame, by: list[str], seq: str, candidate: str, nominal: str, name: str = "repaired") -> DataFrame:
     """rows with strictly increasing integer times: a candidate not after the time before becomes the nominal time or
     the time before plus one, whichever is later; a null candidate is never after, a null nominal time never later.
@@ -22,7 +28,7 @@ def monotonic_times(rows: DataFrame, by: list[str], seq: str, candidate: str, no
         table = table.take(pc.sort_indices(table, sort_keys=[(seq, "ascending")], null_placement="at_start"))
         out, last = [], -1
         for c, n in zip(table.column(candidate).to_pylist(), table.column(nominal).to_pylist(), strict=True):
-            last = c if c is not None and c > last else max(last + 1, last + 1 if n is None else n)
+            last = later(last, c, n)
             out.append(last)
         return table.append_column(name, pa.array(out, pa.int64()))
 
