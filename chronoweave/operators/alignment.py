@@ -144,16 +144,6 @@ def align(source: DataFrame, target: DataFrame, hz: float = 50.0, length: float
     return graded(fits(combined_windows(windows), most_ppm, length), windows)
 
 
-def matched_chunks(raw: DataFrame, copy: DataFrame, size: int = 20, radius: int = 7500) -> DataFrame:
-    """rec, chunk, start, candidates: where each chunk of a copied sequence (rec, seq, value) stands in the raw one."""
-
-    def run(key, a, b):
-        x, y = (d.sort_values("seq")["value"].to_numpy(float) if len(d) else np.zeros(0) for d in (a, b))
-        return pd.DataFrame([(*key, *m) for m in K.match_chunks(x, y, size, radius)], columns=["rec", "chunk", "start", "candidates"]).astype({"start": "Int64"})
-
-    return raw.groupBy("rec").cogroup(_apart(copy).groupBy("rec")).applyInPandas(run, "rec long, chunk long, start long, candidates long")
-
-
 def repair_summary(chunks: DataFrame, size: int = 20) -> DataFrame:
     """Match ratio, ambiguous, duplicate and missing chunks per recording, and the grade."""
     seen = chunks.where("start IS NOT NULL").select("rec", "start").distinct().withColumn("_d", F.col("start") - F.lag("start").over(Window.partitionBy("rec").orderBy("start")))

@@ -163,37 +163,6 @@ def clock_jump(x: np.ndarray, y: np.ndarray, intercept: float, slope: float) ->
     return float(np.abs(np.diff(e)).max()) if len(e) > 1 else np.nan
 
 
-def chunk_starts(values: np.ndarray, chunk: np.ndarray, low: int, high: int) -> np.ndarray:
-    """Where values[low:high] has the chunk, NaN equal to NaN."""
-    low, high = max(0, low), min(len(values), high)
-    if not len(chunk) or high - low < len(chunk):
-        return np.zeros(0, dtype=int)
-    views = np.lib.stride_tricks.sliding_window_view(values[low:high], len(chunk))
-    known = np.flatnonzero(~np.isnan(chunk))
-    at = np.flatnonzero(views[:, known[0]] == chunk[known[0]]) if len(known) else np.arange(len(views))
-    same = (views[at] == chunk) | (np.isnan(views[at]) & np.isnan(chunk))
-    return at[same.all(axis=1)] + low
-
-
-def match_chunks(raw: np.ndarray, copy: np.ndarray, size: int = 20, radius: int = 7500, expected: int | None = None) -> list[tuple[int, int | None, int]]:
-    """(chunk, start in raw or None, candidates) for each chunk of copy: where the chunk before ends, else near there,
-    else anywhere; the candidate nearest to what was expected (the first if nothing was)."""
-    out, last = [], None
-    for number, begin in enumerate(range(0, len(copy), size)):
-        chunk = copy[begin : begin + size]
-        if last is None:
-            found = chunk_starts(raw, chunk, 0, len(raw))
-        else:
-            expected = last + size
-            found = next((f for f in (chunk_starts(raw, chunk, a, b) for a, b in ((expected, expected + len(chunk)), (expected - radius, expected + radius + len(chunk)), (0, len(raw)))) if len(f)), np.zeros(0, dtype=int))
-        start = None
-        if len(found):
-            start = int(found[0] if expected is None else found[np.argmin(np.abs(found - expected))])
-            last = start
-        out.append((number, start, len(found)))
-    return out
-
-
 def biquad(kind: str, hz: float, f: float, q: float) -> tuple[np.ndarray, np.ndarray]:
     """Second-order section: high, low or notch."""
     w = 2 * np.pi * f / hz

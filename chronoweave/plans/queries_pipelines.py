@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import alignment, anchors, anonymize, asof, epochs, quality, robust, runs
+from ..operators import alignment, anchors, anonymize, asof, content, epochs, quality, robust, runs
 from .base import MODULES, SAMPLES, query, r, samples, table
 
 _MARKS = """marks AS (SELECT 'p' AS project, CAST(o_custkey AS VARCHAR) AS pid, 'V1' AS visit, 'main' AS segment, o_orderkey AS seq,
@@ -94,7 +94,7 @@ def g5(spark, sf):
     copy = whole.withColumn("rep", F.explode(twice)).withColumn("value", F.when((rec % 3 == 0) & (c % 11 == 6), F.col("value") + 0.005).otherwise(F.col("value")))
     copy = copy.select("rec", F.row_number().over(Window.partitionBy("rec").orderBy("c", "rep", "seq")).cast("long").alias("seq"), "value")
     again = raw.where("rec % 2 = 0 AND seq BETWEEN 7 AND 11").select("rec", (F.col("seq") + 1_000_000_000).alias("seq"), "value")
-    found = alignment.matched_chunks(raw.unionByName(again), copy, size=5, radius=50)
+    found = content.matched_chunks(raw.unionByName(again), copy, size=5, radius=50)
     return alignment.repair_summary(found, 5).where("chunks > 0")
 
 

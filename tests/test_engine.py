@@ -214,14 +214,6 @@ def test_kernels():
     centres, length = kernels.window_centres(0, 300, 60, 30)
     assert centres[0] == 30 and centres[-1] == 270 and len(centres) == 9 and length == 60
     assert kernels.window_centres(0, 50, 60, 30)[1] == 50
-    raw = rng.integers(0, 5, 400).astype(float)
-    raw[[5, 60]] = np.nan
-    copy = np.concatenate([raw[40:100], raw[140:200]])
-    found = kernels.match_chunks(raw, copy, 20)
-    assert [s for _, s, _ in found] == [40, 60, 80, 140, 160, 180]
-    broken = copy.copy()
-    broken[25] = 99
-    assert [s for _, s, _ in kernels.match_chunks(raw, broken, 20)][1] is None
     t = np.arange(0, 10, 1 / 250)
     wave = np.sin(2 * np.pi * 10 * t) + np.sin(2 * np.pi * 60 * t)
     clean = kernels.zero_phase(wave, [kernels.biquad("low", 250, 20, 2**-0.5)] * 3)
