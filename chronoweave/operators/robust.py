@@ -46,9 +46,15 @@ def trimmed_line(rows: DataFrame, by: list[str], x: str, y: str, floor: float, k
     return res.groupBy(*by).agg(F.first("slope").alias("slope"), F.first("intercept").alias("intercept"), F.count("*").alias("n"), F.percentile("_e", 0.95).alias("p95"))
 
 
-def box(rows: DataFrame, by: list[str], x: str) -> DataFrame:
-    """Five numbers of a box plot: quartiles, and whiskers at the furthest values within 1.5 interquartile ranges."""
-    q = rows.groupBy(*by).agg(*[F.percentile(x, p).alias(f"q{k}") for k, p in ((1, 0.25), (2, 0.5), (3, 0.75))])
+def box(rows: DataFrame, by: list[str], x: str, large: bool = False) -> DataFrame:
+    """Five numbers of a box plot: quartiles, and whiskers at the furthest values within 1.5 interquartile ranges. large:
+    groups whose distinct values don't fit into a task, by passes over the rows."""
+    if large:
+        from .quantiles import exact_quantiles
+
+        q = exact_quantiles(rows, by, x, [0.25, 0.5, 0.75]).select(*by, *[F.get("values", F.lit(k)).alias(f"q{k + 1}") for k in range(3)])
+    else:
+        q = rows.groupBy(*by).agg(*[F.percentile(x, p).alias(f"q{k}") for k, p in ((1, 0.25), (2, 0.5), (3, 0.75))])
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = _joined(rows, q, by).where((F.col(x) >= F.col("q1") - reach) & (F.col(x) <= F.col("q3") + reach))
     return inside.groupBy(*by).agg(F.min(x).alias("low"), F.first("q1").alias("q1"), F.first("q2").alias("q2"), F.first("q3").alias("q3"), F.max(x).alias("high"))

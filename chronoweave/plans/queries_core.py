@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import anonymize, quality, robust, trackers
+from ..operators import anonymize, quality, quantiles, robust, trackers
 from .base import SAMPLES, query, r, samples, table
 
 # --- scans, listings, filters -------------------------------------------------------------------------------------
@@ -428,6 +428,20 @@ def a20(spark, sf):
     return robust.box(table(spark, sf, "events"), ["event_type"], "value").select("event_type", "low", *[r(F.col(q)).alias(q) for q in ("q1", "q2", "q3")], "high")
 
 
+@query("a20_large_box", """WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS q2, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY event_type)
+    SELECT event_type, min(value) AS low, round(any_value(q1), 6) AS q1, round(any_value(q2), 6) AS q2, round(any_value(q3), 6) AS q3, max(value) AS high FROM events JOIN q USING (event_type) WHERE value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY event_type""")
+def a20_large(spark, sf):
+    """The box plot of groups that no task could hold."""
+    return robust.box(table(spark, sf, "events"), ["event_type"], "value", large=True).select("event_type", "low", *[r(F.col(q)).alias(q) for q in ("q1", "q2", "q3")], "high")
+
+
+@query("a9_exact_quantiles", """SELECT l_returnflag AS flag, count(*) AS n, round(quantile_cont(l_extendedprice, 0.01), 6) AS p01, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95, max(l_extendedprice) AS p100 FROM lineitem GROUP BY ALL""")
+def a9_large(spark, sf):
+    """Exact quantiles by refinement, with so few splitters that it takes several passes."""
+    q = quantiles.exact_quantiles(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.01, 0.5, 0.95, 1.0], splitters=15, few=200)
+    return q.select(F.col("l_returnflag").alias("flag"), "n", *[r(F.get("values", F.lit(k))).alias(c) for k, c in enumerate(("p01", "p50", "p95"))], F.get("values", F.lit(3)).alias("p100"))
+
+
 @query("a21_a22_weighted_maps", "WITH m AS (SELECT user_id, event_type, avg(value) AS p, count(*) AS w FROM events GROUP BY ALL) SELECT event_type, round(sum(w * p) / sum(w), 6) AS weighted, round(avg(p), 6) AS plain FROM m GROUP BY event_type")
 def a21(spark, sf):
     m = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.avg("value").alias("p"), F.count("*").alias("w"))
