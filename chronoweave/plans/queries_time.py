@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import asof, runs, trackers
-from .base import MODULES, SAMPLES, query, r, samples, table
+from .base import MODULES, ORACLES, SAMPLES, query, r, samples, table
 
 _SIDES = """lefts AS (SELECT * FROM samples WHERE label <> 'signup'),
     rights AS (SELECT rec, t, seq % 10 AS scenario FROM samples WHERE label = 'signup')"""
@@ -305,3 +305,24 @@ def x2(spark, sf):
 
     e = table(spark, sf, "events").select(F.col("user_id").alias("rec"), F.col("ts").cast("timestamp").alias("ts"), "value")
     return streams.sessions(e, "12 hours").select("rec", F.unix_micros("start").alias("start"), "n")
+
+
+@query("j1_long_backward", ORACLES["j1_asof_backward"])
+def j1_long(spark, sf):
+    """The backward join with a recording dealt to days."""
+    a, b = _sides(spark, sf)
+    return asof.backward(a, b, ["rec"], "t", ["scenario"], cell=86400.0).select("rec", "seq", F.coalesce("scenario", F.lit(-1)).alias("scenario"))
+
+
+@query("j3_long_interpolation", ORACLES["j3_interpolation"])
+def j3_long(spark, sf):
+    """The interpolating join with a recording dealt to hours, most of which hold no sample."""
+    known = samples(spark, sf).where("value IS NOT NULL")
+    return asof.interpolated(_grid(spark, sf), known, ["rec"], "t", "value", cell=3600.0).select("rec", "i", r(F.col("value")).alias("value"))
+
+
+@query("j4_long_nearest", ORACLES["j4_nearest"])
+def j4_long(spark, sf):
+    """The nearest join with a recording dealt to days."""
+    a, b = _sides(spark, sf)
+    return asof.nearest(a, b, ["rec"], "t", ["scenario"], cell=86400.0).select("rec", "seq", "scenario")
