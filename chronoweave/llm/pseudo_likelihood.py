@@ -59,6 +59,10 @@ class Words:
         return np.where(self.sorted[at] == hashes, self.rank[at], other)
 
 
+#: Parts of a score are whole multiples of 1 / GRID.
+GRID = float(1 << 20)
+
+
 class Net:
     """tables: (neighbours, TOKENS + 1, WIDTH), the last row for beyond the text; classes and words read the hidden
     layer, with a bias as their last column."""
@@ -339,7 +343,7 @@ def _rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _scored(words, rows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cost, net = words.value.cost, Net(rows.value)
+        cost, net = words.value.cost, Net(rows.value.astype(np.float64))
         for batch in batches:
             raw = batch.column(2).to_pylist()
             sizes = np.array([len(r) // 2 for r in raw], dtype=np.int64)
@@ -348,7 +352,7 @@ def _scored(words, rows):
             each = np.zeros(len(tokens))
             for k in range(0, len(tokens), 16384):
                 at = np.arange(k, min(k + 16384, len(tokens)))
-                each[at] = net.log_likelihood(_neighbours(tokens, ends, at), tokens[at]) - cost[tokens[at]]
+                each[at] = np.rint((net.log_likelihood(_neighbours(tokens, ends, at), tokens[at]) - cost[tokens[at]]) * GRID) / GRID
             pll, others = np.zeros(len(raw)), np.zeros(len(raw), dtype=np.int64)
             if some := np.flatnonzero(sizes).tolist():  # a text's sum is its own: no neighbour has a part in it
                 pll[some] = np.add.reduceat(each, ends[some])
@@ -362,7 +366,8 @@ def score(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_tokens, pll (sum of log-probabilities) and mean_pll (per token; null without tokens) for every row of
     docs (doc_id, text). Null and empty texts have no tokens and a pll of 0; repeated rows score alike; an empty table
     gives an empty result; other columns aren't read. The same rows give the same scores, up to float32's rounding,
-    however they are partitioned."""
+    however they are partitioned. Texts are scored with 64 bits, and a token's part is rounded to a 2^-20th, far more than
+    the neighbours in its block can move it, so that sums of equal texts are equal."""
     scratch = scratch or Scratch(docs.sparkSession, "lm")
     words, counts = vocabulary(docs, scratch)
     spark = docs.sparkSession
