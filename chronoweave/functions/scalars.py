@@ -45,6 +45,28 @@ def number(x: Column) -> Column:
     return finite(x.try_cast("double"))
 
 
+def number_status(x: Column) -> Column:
+    """Why a required number isn't one: missing, not a number or not finite; ready where it is."""
+    v = x.try_cast("double")
+    return F.when(F.coalesce(F.trim(x.cast("string")), F.lit("")) == "", "missing").when(v.isNull(), "not a number").when(finite(v).isNull(), "not finite").otherwise("ready")
+
+
+def required(x: Column, label: str) -> Column:
+    """The number; a value that isn't a finite number ends the query with an error that names it."""
+    return F.when(number(x).isNotNull(), number(x)).otherwise(F.raise_error(F.concat(F.lit(f"{label} has no finite number: "), F.coalesce(x.cast("string"), F.lit("null")))).cast("double"))
+
+
+def accepted_features(prefix: str, features: list[str], accepted: Column) -> list[Column]:
+    """Columns <prefix>_<feature>, null where the detection isn't accepted."""
+    return [F.when(accepted, F.col(f)).alias(f"{prefix}_{f}") for f in features]
+
+
+def identity_text(project: Column, pid: Column, visit: Column, segment: Column) -> Column:
+    """project/pid/visit, and the segment where it isn't the main one; empty parts are left out."""
+    bare = lambda x: F.nullif(F.trim(x), F.lit(""))
+    return F.concat_ws("/", bare(project), bare(pid), bare(visit), F.when(F.coalesce(bare(segment), F.lit("main")) != "main", bare(segment)))
+
+
 def same_name(a: Column, b: Column) -> Column:
     return F.lower(F.trim(a)) == F.lower(F.trim(b))
 

@@ -62,6 +62,16 @@ def priors(coarse: DataFrame, width: float = 0.5, top: int = 5) -> DataFrame:
     return once.withColumn("rank", rank).where(F.col("rank") <= top).select("rec", "prior", "rank")
 
 
+def merged_priors(priors_: DataFrame, tolerance: float = 0.25, limit: int = 8) -> DataFrame:
+    """rec, prior, rank: of priors in order of rank those that no earlier kept one is within `tolerance` of, and of them
+    the first `limit`. Nulls and numbers that aren't finite don't count. A recording has a few dozen priors at most."""
+    known = priors_.where(F.col("prior").isNotNull() & ~F.isnan("prior") & (F.abs("prior") < float("inf")))
+    ordered = known.groupBy("rec").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "prior"))), lambda x: x["prior"]).alias("all"))
+    near = lambda kept, x: F.exists(kept, lambda k: F.abs(k - x) <= tolerance)
+    kept = F.aggregate("all", F.array().cast("array<double>"), lambda acc, x: F.when((F.size(acc) >= limit) | near(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
+    return ordered.select("rec", F.posexplode(kept).alias("rank", "prior")).select("rec", "prior", (F.col("rank") + 1).cast("long").alias("rank"))
+
+
 def window_offsets(source: DataFrame, target: DataFrame, guesses: DataFrame, length: float = 60.0, step: float = 30.0, radius: float = 2.0, gap: float = 0.2, hz: float = 50.0, overlap_s: float = 10.0) -> DataFrame:
     """rec, prior, windows, centre, grp, offset, peak, margin, boundary of every window, group and prior; a row without
     offset where a window says nothing. Windows begin where both recordings of all groups, on the source's clock, do."""

@@ -80,3 +80,19 @@ def pairing(a: DataFrame, b: DataFrame, by: list[str], path: str) -> DataFrame:
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """old without the keys of new, and new."""
     return old.join(new.select(*keys).distinct(), keys, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
+
+
+def outputs(files: DataFrame, extensions: list[str], suffix: str, path: str = "path") -> DataFrame:
+    """files of the extensions (whatever the case) with output, their name without the extension and with the suffix, and
+    status: collision where several files would get one output (a name with two extensions, or in two folders)."""
+    name = F.element_at(F.split(path, "/"), -1)
+    ext = F.lower(F.regexp_extract(name, r"[^.]\.([^.]*)$", 1))
+    wanted = files.where(ext.isin(*[e.lower().removeprefix(".") for e in extensions]))
+    out = wanted.withColumn("output", F.concat(F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), F.lit(suffix)))
+    n = F.count("*").over(Window.partitionBy("output"))
+    return out.withColumn("status", F.when(n > 1, "collision").otherwise("ready"))
+
+
+def eye_rows(rows: DataFrame, sensor: str = "Sensor", eye: str = "Eye Tracker") -> DataFrame:
+    """Rows of the eye sensor alone; rows without a sensor aren't."""
+    return rows.where(F.col(sensor) == eye)

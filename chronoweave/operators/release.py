@@ -92,7 +92,7 @@ def anonymise_plan(files: DataFrame, ids: DataFrame, excluded: DataFrame | None
     ext = _suffix(last)
     title = (F.lower(F.get("_parts", F.lit(1))) == "et") & (F.lower(last) == "recording.g3")
     action = F.when(F.lower(last) == "participant", "participant").when(title, "title").when(ext.isin("g3", "json"), "json").when(ext.isin(*TEXTS), "text").otherwise("copy")
-    f = f.select("source", "relative", F.when(F.col("_deep"), deep).otherwise(flat).alias("target"), action.alias("action"), "pid", "visit", "new", "_out")
+    f = f.select("source", "relative", F.when(F.col("new").isNotNull(), F.when(F.col("_deep"), deep).otherwise(flat)).alias("target"), action.alias("action"), "pid", "visit", "new", "_out")
     same = F.count("*").over(Window.partitionBy(F.lower("target")))
     folders = f.where("target IS NOT NULL").select(F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("target", "/")) - 1), lambda k: F.lower(F.array_join(F.slice(F.split("target", "/"), 1, k), "/")))).alias("_low")).distinct().withColumn("_is_folder", F.lit(True))
     f = f.withColumn("_same", same).withColumn("_low", F.lower("target")).join(folders, "_low", "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_containers, queries_core, queries_pipelines, queries_time  # noqa: F401
+from . import queries_containers, queries_core, queries_pipelines, queries_rules, queries_time  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

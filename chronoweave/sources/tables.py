@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -88,18 +89,38 @@ def first_per_participant(spark: SparkSession, glob: str, schema: str) -> DataFr
 
 
 def write_contract(df: DataFrame, path: str, columns: list[str], decimals: dict[str, int] | None = None, overwrite: bool = False, partition: str | None = None, digits: tuple[str, ...] = ()) -> bool:
-    """CSV in the contract's exact order; times as fixed decimals, or with 15 significant digits; an output that is there
-    stands unless overwritten."""
+    """CSV in the contract's exact order; times as fixed decimals, or with 15 significant digits; flags are true and
+    false. An output that is there stands unless overwritten; it is replaced when the new one is whole."""
     decimals = decimals or {}
     jpath = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not overwrite and jpath.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).exists(jpath):
         return False
     out = quality.exact_columns(df.select(*columns), columns).select(*[F.format_string(f"%.{decimals[c]}f", F.col(c)).alias(c) if c in decimals else S.fifteen_digits(F.col(c)).alias(c) if c in digits else F.col(c) for c in columns])
-    writer = out.write.mode("overwrite").option("header", True)
-    (writer.partitionBy(partition) if partition else writer).csv(path)
+    new = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    writer = out.write.option("header", True)
+    (writer.partitionBy(partition) if partition else writer).csv(new)
+    replaced(df.sparkSession, new, path)
     return True
 
 
+def replaced(spark: SparkSession, new: str, path: str) -> None:
+    """Puts a folder that is written in the place of another: the old one is set aside by its name, and is put back if
+    the new one can't take its place, so that at every moment one of them is there whole."""
+    jvm = spark.sparkContext._jvm
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
+    there = fs.exists(at(path))
+    if there and not fs.rename(at(path), at(old)):
+        raise OSError(f"{path} can't be set aside")
+    if not fs.rename(at(new), at(path)):
+        if there:
+            fs.rename(at(old), at(path))
+        raise OSError(f"{new} can't take the place of {path}")
+    if there:
+        fs.delete(at(old), True)
+
+
 def cached(spark: SparkSession, path: str, fingerprint: str, build) -> DataFrame:
     """A result table kept under path while its inputs' fingerprint stays the same."""
     at = f"{path}/{fingerprint}"
