@@ -438,7 +438,7 @@ def a20_large(spark, sf):
 @query("a9_exact_quantiles", """SELECT l_returnflag AS flag, count(*) AS n, round(quantile_cont(l_extendedprice, 0.01), 6) AS p01, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.95), 6) AS p95, max(l_extendedprice) AS p100 FROM lineitem GROUP BY ALL""")
 def a9_large(spark, sf):
     """Exact quantiles by refinement, with so few splitters that it takes several passes."""
-    q = quantiles.exact_quantiles(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.01, 0.5, 0.95, 1.0], splitters=15, few=200)
+    q = quantiles.exact_quantiles(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.01, 0.5, 0.95, 1.0], splitters=63, few=2000)
     return q.select(F.col("l_returnflag").alias("flag"), "n", *[r(F.get("values", F.lit(k))).alias(c) for k, c in enumerate(("p01", "p50", "p95"))], F.get("values", F.lit(3)).alias("p100"))
 
 
