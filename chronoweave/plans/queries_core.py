@@ -130,12 +130,15 @@ def q3(spark, sf):
     return quality.row_continuity(x, ["l_orderkey"], "l_linenumber", "i")
 
 
-@query("q4_parallel_streams", """WITH a AS (SELECT user_id, event_id AS seq, ts FROM events WHERE event_id % 11 <> 0), b AS (SELECT user_id, event_id AS seq, CASE WHEN event_id % 13 = 0 THEN ts + INTERVAL 1 SECOND ELSE ts END AS ts2 FROM events WHERE event_id % 17 <> 0)
+@query("q4_parallel_streams", """WITH a AS (SELECT user_id, CASE WHEN event_id % 11 = 0 THEN -1 - event_id ELSE event_id END AS seq, ts FROM events),
+    b AS (SELECT user_id, CASE WHEN event_id % 17 = 0 THEN event_id + 1000000000 ELSE event_id END AS seq, CASE WHEN event_id % 13 = 0 THEN ts + INTERVAL 1 SECOND ELSE ts END AS ts2 FROM events)
     SELECT user_id, count(a.seq) AS n_a, count(b.seq) AS n_b, count(*) FILTER (a.seq IS NULL OR b.seq IS NULL OR ts <> ts2) AS unequal FROM a FULL JOIN b USING (user_id, seq) GROUP BY user_id""")
 def q4(spark, sf):
+    """Two streams of the same rows, in each of which some stand at places that the other hasn't."""
     e = table(spark, sf, "events").select("user_id", F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    b = e.where("seq % 17 <> 0").withColumn("t", F.when(F.col("seq") % 13 == 0, F.col("t") + 1_000_000).otherwise(F.col("t")))
-    return quality.parallel_streams(e.where("seq % 11 <> 0"), b, ["user_id"], "seq", "t")
+    a = e.withColumn("seq", F.when(F.col("seq") % 11 == 0, -1 - F.col("seq")).otherwise(F.col("seq")))
+    b = e.withColumns({"seq": F.when(F.col("seq") % 17 == 0, F.col("seq") + 1_000_000_000).otherwise(F.col("seq")), "t": F.when(F.col("seq") % 13 == 0, F.col("t") + 1_000_000).otherwise(F.col("t"))})
+    return quality.parallel_streams(a, b, ["user_id"], "seq", "t")
 
 
 @query("q5_duplicates", "SELECT o_custkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS d, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) > 1")
@@ -176,11 +179,11 @@ def p1(spark, sf):
     return s.select("rec", "seq", r(m, 3).alias("mapped"), r(S.unmapped(a, b, m), 3).alias("back"), r(S.offset_at(a, b, t), 3).alias("offset_s"), r(S.drift_ppm(b), 3).alias("drift_ppm"))
 
 
-@query("p2_j18_composition", f"""WITH {_MAPS}, second AS (SELECT rec, 3.0 - rec AS la, 1.0 - rec % 3 * 1e-4 AS lb FROM maps WHERE rec % 4 <> 0)
+@query("p2_j18_composition", f"""WITH {_MAPS}, second AS (SELECT rec, 3.0 - rec AS la, CASE WHEN rec % 4 <> 0 THEN 1.0 - rec % 3 * 1e-4 END AS lb FROM maps)
     SELECT rec, round(la + lb * a, 6) AS intercept, round(lb * b, 9) AS scale, lb IS NOT NULL AS chained FROM maps LEFT JOIN second USING (rec)""")
 def p2(spark, sf):
     m = _maps(spark, sf)
-    second = m.where("rec % 4 <> 0").select("rec", (3.0 - F.col("rec")).alias("la"), (1.0 - F.col("rec") % 3 * 1e-4).alias("lb"))
+    second = m.select("rec", (3.0 - F.col("rec")).alias("la"), F.when(F.col("rec") % 4 != 0, 1.0 - F.col("rec") % 3 * 1e-4).alias("lb"))
     j = m.join(second, "rec", "left")
     a, b = S.composed((F.col("la"), F.col("lb")), (F.col("a"), F.col("b")))
     return j.select("rec", r(a).alias("intercept"), r(b, 9).alias("scale"), F.col("lb").isNotNull().alias("chained"))

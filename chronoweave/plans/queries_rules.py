@@ -39,7 +39,8 @@ def g3(spark, sf):
     one = F.lit(1.0)
     fits = {"all": fit(1, F.col("a"), one), "imu": fit(4, F.col("a"), one), "eye": fit(16, F.col("a") + rec % 3 * 0.4, 1 + rec % 5 * 6e-4)}
     audits = e.select("rec", F.lit(100.0).alias("middle"), (rec % 13 == 0).alias("broken"))
-    legacy = e.where(rec % 2 == 0).select("rec", (F.col("a") + 1).alias("intercept"), one.alias("scale"))
+    # older maps of every second recording; the others' are under names that no recording has
+    legacy = e.select(F.when(rec % 2 == 0, rec).otherwise(-1 - rec).alias("rec"), (F.col("a") + 1).alias("intercept"), one.alias("scale"))
     both = [alignment.decided(fits, audits, prefer_good=p, legacy=legacy).withColumn("prefer", F.lit(p)) for p in (False, True)]
     return both[0].unionByName(both[1]).select("rec", "prefer", "status", "usable", "grade", "source", r(F.col("intercept")).alias("intercept"))
 
@@ -83,25 +84,22 @@ def w34(spark, sf):
     return e.select("rec", "at", F.posexplode("values").alias("k", "value")).select("rec", "at", F.col("k").cast("long").alias("k"), (F.round("value", 4) + F.lit(0.0)).alias("value"))
 
 
-@query("w28_robust_lines", f"""WITH {SAMPLES}, k AS (SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY seq) - 1 AS k, count(*) OVER (PARTITION BY rec) AS n FROM samples)
-    SELECT rec, 'trimmed' AS line, 2.5 + rec % 3 AS intercept, round(1 + rec % 4 * 1e-4, 6) AS scale, count(*) FILTER (k % 7 <> 3) AS inliers FROM k WHERE n >= 30 GROUP BY rec
-    UNION ALL SELECT rec, 'capped', 2.5 + rec % 3, 1.0, count(*) FILTER (k % 7 <> 3) FROM k WHERE n >= 30 AND rec % 4 = 0 GROUP BY rec""")
+@query("w28_robust_lines", f"""WITH {SAMPLES}, k AS (SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY seq) - 1 AS k, count(*) OVER (PARTITION BY rec) AS n FROM samples),
+    g AS (SELECT rec, any_value(n) AS n, count(*) FILTER (k % 7 <> 3) AS inliers FROM k GROUP BY rec)
+    SELECT rec, 'trimmed' AS line, 2.5 + rec % 3 AS intercept, round(1 + rec % 4 * 1e-4, 6) AS scale, inliers FROM g WHERE n >= 30
+    UNION ALL SELECT rec, 'capped', 2.5 + rec % 3, 1.0, inliers FROM g WHERE n >= 30 UNION ALL SELECT rec, 'short', NULL, NULL, n FROM g WHERE n < 30""")
 def w28(spark, sf):
-    """The line that alignments fit, through planted points of which every seventh is wrong; where a drift above the cap
-    is refused, a constant stands (W28)."""
+    """The line that alignments fit, through planted points of which every seventh is wrong, with and without a cap of
+    the drift (W28). Recordings of under 30 points are told."""
     s = samples(spark, sf).select("rec", "seq")
 
     def run(key, g):
-        k = np.arange(len(g))
-        if len(g) < 30:
-            return pd.DataFrame([], columns=["rec", "line", "intercept", "scale", "inliers"])
+        k, rec, rows = np.arange(len(g)), key[0], []
         x, wrong = 30.0 * k, np.where(k % 7 == 3, 5.0 + k % 2, 0.0)
-        rec, rows = key[0], []
-        for name, drift, cap in (("trimmed", rec % 4 * 1e-4, None), ("capped", 0.0, 50.0)):
-            if name == "trimmed" or rec % 4 == 0:
-                line = kernels.robust_line(x, 2.5 + rec % 3 + drift * x + wrong, most_ppm=cap)
-                rows.append((rec, name, round(line["intercept"], 6) + 0.0, round(line["scale"], 6), line["inliers"]))
-        return pd.DataFrame(rows, columns=["rec", "line", "intercept", "scale", "inliers"])
+        for name, drift, cap in (("trimmed", rec % 4 * 1e-4, None), ("capped", 0.0, 50.0)) if len(g) >= 30 else ():
+            line = kernels.robust_line(x, 2.5 + rec % 3 + drift * x + wrong, most_ppm=cap)
+            rows.append((rec, name, round(line["intercept"], 6) + 0.0, round(line["scale"], 6), line["inliers"]))
+        return pd.DataFrame(rows or [(rec, "short", None, None, len(g))], columns=["rec", "line", "intercept", "scale", "inliers"])
 
     return s.groupBy("rec").applyInPandas(run, "rec long, line string, intercept double, scale double, inliers long")
 
@@ -185,6 +183,6 @@ def s20(spark, sf):
     path = F.concat(pid, F.lit("_V1/"), folder, F.lit("/"), name)
     files = o.select(path.alias("source"), path.alias("relative"), F.lit(1).alias("size"))
     people = o.select((F.col("o_custkey") % 1000).alias("p"), F.concat(pid, F.lit("_V1")).alias("key")).distinct()
-    ids = people.where("p % 11 <> 0").select("key", F.concat(F.lit("R"), F.col("p").cast("string")).alias("random_id"))
-    plan = release.anonymise_plan(files, ids, people.where("p % 7 = 0").select("key"))
+    ids = people.select("key", F.when(F.col("p") % 11 != 0, F.concat(F.lit("R"), F.col("p").cast("string"))).alias("random_id"))
+    plan = release.anonymise_plan(files, ids, people.select(F.when(F.col("p") % 7 == 0, F.col("key")).otherwise("nobody").alias("key")))
     return plan.select(F.regexp_extract("relative", r"/(\d+)-", 1).cast("long").alias("k"), "target", "action", "status")
