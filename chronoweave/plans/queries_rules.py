@@ -140,14 +140,14 @@ def f10(spark, sf):
     return e.select("event_id", "status", F.when(F.col("status") == "ready", S.required(F.col("raw"), "event")).alias("x"))
 
 
-@query("p30_p32_names", """SELECT c_custkey, array_to_string(list_filter(['ImBr', 'T' || c_custkey, CASE WHEN c_nationkey % 3 > 0 THEN 'V' || c_nationkey END, CASE WHEN c_nationkey % 5 > 2 THEN 's' || c_nationkey END], lambda x: x IS NOT NULL), '/') AS name,
+@query("p30_p32_names", """SELECT c_custkey, array_to_string(list_filter(['study', 'T' || c_custkey, CASE WHEN c_nationkey % 3 > 0 THEN 'V' || c_nationkey END, CASE WHEN c_nationkey % 5 > 2 THEN 's' || c_nationkey END], lambda x: x IS NOT NULL), '/') AS name,
     CASE WHEN c_acctbal > 0 THEN c_acctbal END AS left_area, CASE WHEN c_acctbal > 0 THEN c_nationkey END AS left_code FROM customer""")
 def p30(spark, sf):
     """Identities as text; features of accepted detections under their side's name."""
     c = table(spark, sf, "customer").withColumnsRenamed({"c_acctbal": "area", "c_nationkey": "code"})
     visit = F.when(F.col("code") % 3 > 0, F.concat(F.lit(" V"), F.col("code").cast("string"))).otherwise(" ")
     segment = F.when(F.col("code") % 5 > 2, F.concat(F.lit("s"), F.col("code").cast("string"))).when(F.col("code") % 5 == 1, "main")
-    name = S.identity_text(F.lit("ImBr"), F.concat(F.lit("T"), F.col("c_custkey").cast("string")), visit, segment)
+    name = S.identity_text(F.lit("study"), F.concat(F.lit("T"), F.col("c_custkey").cast("string")), visit, segment)
     return c.select("c_custkey", name.alias("name"), *S.accepted_features("left", ["area", "code"], F.col("area") > 0))
 
 
