@@ -1,11 +1,15 @@
 """Main text of web pages by site template removal.
 
-Each page is parsed into elements; every element's subtree, anywhere on the page, has a hash of its tags and text.
-Hashes are counted per host over all pages (pages of the same text count once), and subtrees that recur on many pages
-of a host are deleted as its template. What is left goes through the usual signs of a page's furniture (tags, roles,
-names), and the text of the article's blocks is joined.
+Each page is parsed into elements; every element's subtree, anywhere on the page, has a hash of its place (the path of
+tags and class names above it), tags and text. Hashes are counted per host over all pages (pages of the same main text
+count once, so copies of an article are no evidence against it), and subtrees that recur in one place on pages with
+different articles are deleted as the host's template. What is left goes through the usual signs of a page's furniture
+(tags, roles, names), and the text of the article's blocks is joined.
 
-An inline element amid running text is counted in its block's subtree and not by itself: a sentence loses no words.
+A sentence that several articles share isn't a template: inside an article element (or main), headings, paragraphs,
+other running text and what stands in it go only with a box (div, section, list, table) that recurs as a whole, and the
+article element itself stays. An inline element amid running text is counted in its block's subtree and not by itself:
+a sentence loses no words.
 
 The two passes are one parse each. Between them travel a row per page with its subtrees' hashes, and back only the
 hashes to delete, by page; hot hosts and hot subtrees are counted by partial sums.
@@ -24,8 +28,9 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch
 
-#: A subtree is template if it recurs on so many different pages of its host, however many pages that has.
-MIN_PAGES = 10
+#: A subtree is template if it recurs in one place of so many pages of its host, with as many different main texts,
+#: however many pages the host has.
+MIN_PAGES = 3
 
 # Fixed values of HTML: elements without content, elements whose text isn't shown, elements of a page's furniture,
 # blocks, and elements that a block's start tag ends.
@@ -38,6 +43,9 @@ BLOCKS = frozenset(
 CLOSED_BY_BLOCK = frozenset("p".split())
 SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = frozenset("ul ol dl table tbody thead tfoot body html div section article main select".split())
+ARTICLES = frozenset("article main".split())
+#: Elements that may be a template's box inside an article; everything else there is its running text.
+BOXES = frozenset("div section ul ol dl menu table figure details fieldset form aside nav header footer address center dir".split())
 
 #: Names (class, id, role, aria-label) that mark furniture: whole words between separators.
 MARKS = re.compile(
@@ -51,13 +59,14 @@ MARKS = re.compile(
 KEEPS = re.compile(r"(?:^|[\s_\-:])(?:article|article-body|articlebody|post-body|post-content|entry-content|main-content|story-body)(?:$|[\s_\-:])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search menu menubar toolbar dialog alert alertdialog form".split())
 _SPACE = re.compile(r"\s+")
+_DIGITS = re.compile(r"[0-9]+")
 
 
 class _Node:
-    __slots__ = ("tag", "kids", "drop", "shown", "digest", "length")
+    __slots__ = ("tag", "kids", "drop", "shown", "digest", "length", "step")
 
-    def __init__(self, tag: str, drop: bool, shown: bool = True):
-        self.tag, self.drop, self.shown, self.kids = tag, drop, shown, []
+    def __init__(self, tag: str, drop: bool, shown: bool = True, step: str = ""):
+        self.tag, self.drop, self.shown, self.kids, self.step = tag, drop, shown, [], step
         self.digest, self.length = b"", 0
 
 
@@ -84,6 +93,12 @@ def _furniture(tag: str, attrs: list, inside_article: bool) -> bool:
     return bool(names) and not KEEPS.search(names) and bool(MARKS.search(names))
 
 
+def _step(tag: str, attrs: list) -> str:
+    """An element's part of a path: tag and class names, without the numbers that sites put into them."""
+    names = next((v for k, v in attrs if k == "class" and v), "")
+    return f"{tag} {_DIGITS.sub('', names)}" if names else tag
+
+
 class _Tree(HTMLParser):
     """A forgiving tree: unclosed elements end with their parent, stray end tags are passed over."""
 
@@ -112,7 +127,7 @@ class _Tree(HTMLParser):
                         break
                 elif open_ in BLOCKS and (open_ in STOPS or tag not in SAME_CLOSES):
                     break
-        node = _Node(tag, _furniture(tag, attrs, self.articles > 0), tag not in UNSHOWN)
+        node = _Node(tag, _furniture(tag, attrs, self.articles > 0), tag not in UNSHOWN, _step(tag, attrs))
         self.stack[-1].kids.append(node)
         if tag not in VOID:
             self.stack.append(node)
@@ -211,24 +226,28 @@ def main_root(root: _Node) -> list[_Node]:
 
 
 def template_candidates(root: _Node) -> set[bytes]:
-    """Hashes of all elements with text that may be template: blocks, and inline elements that aren't amid running text."""
+    """Hashes of all elements with text, with their places: what is counted."""
     _hash_tree(root)
-    return {node.digest for node, _ in _units(root)}
+    return {key for _, key, _ in _units(root)}
 
 
 def _units(root: _Node):
-    """Elements below root that can be deleted, and whether each is furniture or in it."""
-    stack = [(root, False, False)]
+    """Elements below root that are counted, blocks and inline elements that aren't amid running text; their hashes with
+    place; and whether each goes if it recurs: not what is furniture or in it, which goes anyway, nor an article, nor
+    what isn't a box inside one."""
+    stack = [(root, False, False, False, b"")]
     while stack:
-        node, amid, dropped = stack.pop()
+        node, amid, dropped, article, path = stack.pop()
         kids = [k for k in node.kids if isinstance(k, _Node) and k.shown and k.length]
         if kids:
             amid = (amid and node.tag not in BLOCKS) or any(isinstance(k, str) and not k.isspace() for k in node.kids)
+            article = article or node.tag in ARTICLES
             for k in kids:
                 out = dropped or k.drop
+                here = xxhash.xxh64_digest(path + k.step.encode("utf-8", "replace"))
                 if k.tag in BLOCKS or not amid:
-                    yield k, out
-                stack.append((k, amid, out))
+                    yield k, xxhash.xxh64_digest(here + k.digest), not out and (k.tag in BOXES if article else k.tag not in ARTICLES)
+                stack.append((k, amid, out, article, here))
 
 
 def main_text(root: _Node, template: frozenset | set = frozenset()) -> str:
@@ -237,7 +256,7 @@ def main_text(root: _Node, template: frozenset | set = frozenset()) -> str:
     deleted: set[int] = set()
     if template:
         _hash_tree(root)
-        deleted = {id(node) for node, dropped in _units(root) if not dropped and node.digest in template}
+        deleted = {id(node) for node, key, goes in _units(root) if goes and key in template}
     blocks: list[str] = []
     open_: list[str] = []
 
@@ -269,26 +288,14 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def _page_text(root: _Node) -> bytes:
-    """A hash of all text a page can show, whatever its tags."""
-    words, stack = [], [root]
-    while stack:
-        item = stack.pop()
-        if isinstance(item, str):
-            words.append(item)
-        elif item.shown:
-            stack.extend(reversed(item.kids))
-    return xxhash.xxh3_128_digest(_SPACE.sub(" ", " ".join(words)).strip().encode("utf-8", "replace"))
-
-
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hosts, keys, texts, hashes = batch.column(0), batch.column(1), [], []
         for html in batch.column(2).to_pylist():
             root = parse(html)
-            texts.append(_page_text(root))
+            texts.append(xxhash.xxh3_128_digest(main_text(root).encode("utf-8", "replace")))
             hashes.append([int.from_bytes(x, "big", signed=True) for x in template_candidates(root)])
-        yield pa.RecordBatch.from_arrays([hosts, keys, pa.array(texts, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], ["host", "page_key", "page_text", "subtrees"])
+        yield pa.RecordBatch.from_arrays([hosts, keys, pa.array(texts, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], ["host", "page_key", "main_text", "subtrees"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,10 +315,10 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, scratch: Scratch | Non
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     key = F.unhex(F.md5(F.concat_ws("\x00", host(F.col("url")), F.coalesce("html", F.lit("")))))
     keyed = narrow.withColumn("host", host(F.col("url"))).withColumn("page_key", key)
-    found = scratch.table(keyed.select("host", "page_key", "html").mapInArrow(_candidates, "host string, page_key binary, page_text binary, subtrees array<long>"), "subtrees")
-    each = found.select("host", "page_key", "page_text", F.explode("subtrees").alias("subtree"))
-    # pages of a host with the same text count once, copies and reformatted ones
-    counted = each.select("host", "page_text", "subtree").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
+    found = scratch.table(keyed.select("host", "page_key", "html").mapInArrow(_candidates, "host string, page_key binary, main_text binary, subtrees array<long>"), "subtrees")
+    each = found.select("host", "page_key", "main_text", F.explode("subtrees").alias("subtree"))
+    # pages of a host with the same main text count once, whatever stands around it
+    counted = each.select("host", "main_text", "subtree").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n"))
     template = scratch.table(counted.where(F.col("n") >= min_pages).select("host", "subtree"), "template")
     if template.limit(1).count() == 0:
         done = narrow.withColumn("drops", F.lit(None).cast("array<long>"))

@@ -163,18 +163,18 @@ def _cuts(run: DataFrame, stratum: int, want: DataFrame) -> DataFrame:
 def mixed_rows(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, measure: str = "documents") -> DataFrame:
     """The mix itself: rows of docs, each as often as its copies. Rates are computed from narrow columns and joined
     back on the row's id, source and text, so the texts move once. Repeated rows, equal in all three, share their
-    copies evenly, so that as many rows come out as were taken."""
+    copies evenly, so that as many rows come out as were taken. Columns of docs may have any names; an empty table gives
+    an empty one."""
     scratch = Scratch(docs.sparkSession, "mix")
     told = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))  # noqa: E731  null isn't ''
     key = F.md5(F.concat_ws("\x00", told("doc_id"), told("source"), told("text")))
     sized = scratch.table(docs.select(key.alias("row_key"), "source", n_words(F.col("text")).alias("size")).withColumn("u", unit(F.col("row_key"))), "sizes")
     taken = _mixed(sized, ["row_key"], share, most, weights, measure, scratch)
     taken = scratch.table(taken.groupBy("row_key").agg(F.sum("copies").alias("copies"), F.count("*").alias("n")).where("copies > 0"), "taken")
-    rows = docs.withColumn("row_key", key)
-    once = rows.join(taken.where("n = 1"), "row_key").select(*docs.columns, "copies")
-    out = once
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("row_key"))  # so that names can't clash
+    out = rows.join(taken.where("n = 1"), "row_key").select("row", "copies")
     if taken.where("n > 1").limit(1).count():
         again = rows.join(taken.where("n > 1"), "row_key").withColumn("k", F.row_number().over(Window.partitionBy("row_key").orderBy(F.lit(1))))
         own = F.floor(F.col("copies") / F.col("n")) + F.when(F.col("k") <= F.col("copies") % F.col("n"), 1).otherwise(0)
-        out = once.unionByName(again.withColumn("copies", own).where("copies > 0").select(*docs.columns, "copies"))
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+        out = out.unionByName(again.withColumn("copies", own).where("copies > 0").select("row", "copies"))
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
