@@ -18,12 +18,13 @@ from .shared import BLANKS, Scratch, words
 #: than one of them: rules that agree are what EM learns from (a fault that a single rule sees is indistinguishable from a
 #: rule that errs). "brief" is a weak rule, and is found to be one. Fractions are compared as integer products so that
 #: every engine gives the same vote. Texts under 20 words give a rule on shares too little to go by, so it abstains there.
+#: A text's different words grow about with the root of its length, so "variety" compares their square with the length.
 RULES = {
     "symbols": ("10 * n_symbols > 3 * n_words", "20 * n_symbols <= n_words"),
     "marked": ("n_words >= 20 AND 4 * n_marked > n_words", "n_words >= 20 AND 20 * n_marked <= n_words"),
     "letters": ("n_words >= 20 AND 5 * n_letters < 4 * word_chars", "n_words >= 20 AND 100 * n_letters >= 92 * word_chars"),
     "repeats": ("n_words >= 20 AND 2 * n_repeat_words > n_words", "n_words >= 20 AND 5 * n_repeat_words <= n_words"),
-    "variety": ("n_words >= 20 AND n_words < 2000 AND 10 * n_distinct < 4 * n_words", "n_words >= 20 AND 2 * n_distinct >= n_words"),
+    "variety": ("n_words >= 20 AND n_distinct * n_distinct < 4 * n_words", "n_words >= 20 AND n_distinct * n_distinct >= 16 * n_words"),
     "lines": ("n_lines >= 4 AND 2 * n_dup_lines > n_lines", "n_lines >= 4 AND 4 * n_dup_lines <= n_lines"),
     "shouting": ("n_words >= 20 AND 10 * n_upper > 6 * word_chars", "n_words >= 20 AND 5 * n_upper <= word_chars"),
     "exclaims": ("n_words >= 10 AND 2 * n_exclaims > n_words", "n_words >= 10 AND 10 * n_exclaims <= n_words"),
@@ -48,18 +49,19 @@ def _repeat_words(tokens: str) -> Column:
 
 
 def signals(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the columns of SIGNALS (long). A null text counts as an empty one."""
+    """docs with the columns of SIGNALS (long), which replace columns of these names; all others stay, whatever their
+    names. A null text counts as an empty one."""
     t = F.coalesce(F.col(text), F.lit(""))
-    keep = [F.col(c) for c in docs.columns if c not in {*SIGNALS, "tokens", "windows", "lines"}]
+    kept = {c: f"_{i}" for i, c in enumerate(docs.columns) if c not in SIGNALS}  # names apart from those of the steps
     blank = lambda c: F.btrim(c, F.lit(BLANKS)) == ""
-    first = docs.select(*keep, words(F.col(text)).alias("tokens"), F.filter(F.split(t, "\n"), lambda x: ~blank(x)).alias("lines"), t.alias("whole"))
+    first = docs.select(*[F.col(c).alias(k) for c, k in kept.items()], words(F.col(text)).alias("tokens"), F.filter(F.split(t, "\n"), lambda x: ~blank(x)).alias("lines"), t.alias("whole"))
     second = first.withColumn(
         "windows",
         F.expr("CASE WHEN size(tokens) < 4 THEN CAST(array() AS array<string>) ELSE transform(sequence(0, size(tokens) - 3), i -> concat_ws(' ', tokens[i], tokens[i + 1], tokens[i + 2])) END"),
     )
     symbols = F.length(F.regexp_replace("whole", "[^#*$%&|<>]+", ""))  # replace and regexp_replace are far faster than translate
     return second.select(
-        *[F.col(c) for c in docs.columns if c not in {*SIGNALS, "tokens", "windows", "lines"}],
+        *[F.col(k).alias(c) for c, k in kept.items()],
         F.size("tokens").cast("long").alias("n_words"),
         F.length(F.regexp_replace("whole", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
         symbols.cast("long").alias("n_symbols"),
@@ -83,13 +85,14 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], steps: int = STEPS) -> tupl
     """EM over counted vote patterns: log odds of the prior, and of each rule's votes, for good against bad.
 
     Each rule has, in either class, a probability of voting good where it votes; where it abstains it says nothing. The
-    start takes a pattern for bad (0.1) if any rule says so and for good (0.9) otherwise, which also names the classes;
-    from there on a rule's votes weigh what its agreement with the others earns it.
+    start takes a pattern for bad (0.1) where two rules or more concur in that and for good (0.9) otherwise, which also
+    names the classes: no rule's word is taken alone. From there on a rule's votes weigh what its agreement with the
+    others earns it, so a rule that stands alone as often as not is outvoted where it does, and weak ones add up.
     """
     if not patterns:
         return 0.0, []
     m, total = len(patterns[0][0]), sum(n for _, n in patterns)
-    q = [0.1 if -1 in v else 0.9 for v, _ in patterns]
+    q = [0.1 if v.count(-1) > 1 else 0.9 for v, _ in patterns]
     prior, odds = 0.0, []
     for _ in range(steps):
         good = sum(n * x for (_, n), x in zip(patterns, q, strict=True))
@@ -110,8 +113,9 @@ def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5, scratch:
     """docs' signals with votes v_<rule>, quality_prob (posterior probability of good text), base_failed and kept.
 
     The text column itself is not returned. Null and empty texts have no words and fail the base; repeated rows each
-    get their verdict; an empty table gives an empty result. Columns named as a signal are replaced.
+    get their verdict; an empty table gives an empty result. Columns named as a signal, vote or verdict are replaced.
     """
+    docs = docs.drop("quality_prob", "base_failed", "kept", *[f"v_{r}" for r in RULES])
     scratch = scratch or Scratch(docs.sparkSession, "rules")
     got = signals(docs, text).drop(text)
     voted = scratch.table(got.select("*", *[votes(r) for r in RULES]), "votes")

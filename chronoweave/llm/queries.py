@@ -114,7 +114,7 @@ def _rules_sql() -> str:
       FROM base LEFT JOIN covered c USING (rid)),
     voted AS MATERIALIZED (SELECT *, {case} FROM signals),
     patterns AS MATERIALIZED (SELECT {votes}, count(*) AS n FROM voted GROUP BY {votes}),
-    q0 AS MATERIALIZED (SELECT *, CASE WHEN least({votes}) = -1 THEN 0.1::DOUBLE ELSE 0.9::DOUBLE END AS q FROM patterns)"""
+    q0 AS MATERIALIZED (SELECT *, CASE WHEN len(list_filter([{votes}], lambda x: x = -1)) > 1 THEN 0.1::DOUBLE ELSE 0.9::DOUBLE END AS q FROM patterns)"""
     for k in range(quality_rules.STEPS):
         share = lambda r, v, of: f"ln((coalesce(sum(n * {of}) FILTER (v_{r} = {v}), 0) + {smooth}) / (coalesce(sum(n * {of}) FILTER (v_{r} <> 0), 0) + {2 * smooth}))"
         cells = [f"{share(r, v, 'q')} - {share(r, v, '(1 - q)')} AS o_{r}_{v + 1}" for r in rules for v in (-1, 1)]

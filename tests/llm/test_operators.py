@@ -166,6 +166,35 @@ def test_template_of_large_host_and_short_articles(spark):
     assert all(got[1000 + n].startswith("A long notice") for n in range(9))  # 9 pages are no evidence
 
 
+def test_templates_by_brute_force(spark):
+    """Boxes counted per host in plain Python, on hosts of every size: a box goes if as many different articles carry it
+    in one place; sentences and titles that articles share stay, as do copies of an article."""
+    rng = random.Random(23)
+    shared = ["Many articles say this.", "And some say that."]
+    pages, expect, seen = [], {}, Counter()
+    for host, n in [("a.example", 40), ("b.example", 5), ("c.example", 2), ("d.example", 12)]:
+        boxes = [f"<div class='k{b}'><p>{host} box {b}</p><ul><li>entry {b}</li></ul></div>" for b in range(4)]
+        for _ in range(n):
+            body = [f"body {rng.randrange(10**6)}" for _ in range(3)] if host != "d.example" else ["the same", "article", "again"]
+            title = rng.choice([*shared, "Daily news"])
+            last = rng.choice(shared)
+            box = rng.choice([None, 0, 1, 2, 3])
+            parts = [f"<h1>{title}</h1>", *[f"<p>{x}</p>" for x in body], f"<p>{last}</p>"]
+            at = rng.randrange(1, len(parts) + 1)
+            html = "".join([*parts[:at], "" if box is None else boxes[box], *parts[at:]])
+            pages.append((host, f"<body><div>top {rng.randrange(3)}</div><article>{html}</article></body>", [title, *body, last], at, box))
+    main = lambda texts, at, box, host: " ".join([*texts[:at], *([] if box is None else [f"{host} box {box}", f"entry {box}"]), *texts[at:]])
+    for host, box in {(h, b) for h, _, _, _, b in pages if b is not None}:
+        seen[host, box] = len({main(t, at, b, h) for h, _, t, at, b in pages if (h, b) == (host, box)})
+    for k, (host, _, texts, at, box) in enumerate(pages):
+        expect[k] = main(texts, at, None if seen[host, box] >= html_text.MIN_PAGES else box, host)
+    rows = [(k, f"https://{p[0]}/{k}", p[1], "x", k) for k, p in enumerate(pages)]
+    docs = spark.createDataFrame(rows + rows[:1], "page_id long, url string, html string, host string, subtrees int")
+    got = html_text.extract(docs).collect()
+    assert {r["page_id"]: r["text"] for r in got} == expect and len(got) == len(rows) + 1
+    assert any(n < html_text.MIN_PAGES for n in seen.values()) and any(n >= html_text.MIN_PAGES for n in seen.values())
+
+
 def test_broken_declarations():
     text = lambda html: html_text.main_text(html_text.parse(html))
     assert text("<p>one</p><![foo[x]]><p>two</p>") == "one two"
@@ -286,6 +315,36 @@ def test_quality_rules(spark, odd, none):
     assert quality_rules.keep_good(odd).columns == odd.columns
 
 
+def test_rules_are_outvoted_and_add_up(spark):
+    """Any of four rules that finds itself alone loses; texts without a fault of the base go by several weak votes; a
+    long text is judged as a short one is."""
+    rng = random.Random(21)
+    plain = lambda n=120: words(rng, n, 3000)
+    lined = lambda t: t + "\n" + "\n".join(["x y"] * 6)
+    dotted = lambda t: " ".join(w + ".." for w in t.split())
+    loud = lambda t: t + " " + "!" * 75
+    wide = lambda t: " ".join(w * 5 for w in t.split())
+    alone = {"lines": lined, "letters": dotted, "exclaims": loud, "word_length": wide}
+    texts = [plain() for _ in range(300)] + [f(plain()) for f in alone.values() for _ in range(30)]
+    faulty = [loud(dotted(lined(plain()))) for _ in range(15)] + [" ".join(f"{w.upper()}#|" for w in plain().split()) for _ in range(15)]
+    long = [plain(4000), " ".join(words(rng, 4000, 30).split())]
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(list(enumerate(texts + faulty + long)), "doc_id long, text string")).collect()}
+    against = lambda r: {x for x in quality_rules.RULES if r[f"v_{x}"] == -1}
+    for k, rule in enumerate(alone):
+        assert all(against(got[300 + 30 * k + j]) == {rule} and got[300 + 30 * k + j]["kept"] for j in range(30)), rule
+    assert all(len(against(got[420 + k])) > 1 and not got[420 + k]["base_failed"] and not got[420 + k]["kept"] for k in range(30))
+    assert got[450]["v_variety"] == 1 and got[451]["v_variety"] == -1
+
+
+def test_rules_keep_columns_of_any_name(spark):
+    extra = ["whole", "tokens", "windows", "lines", "row", "n_words", "v_brief", "quality_prob", "_0"]
+    docs = spark.createDataFrame([(1, "some words here", *range(9)), (1, "some words here", *range(9)), (None, None, *range(9))], "doc_id long, text string, " + ", ".join(f"{c} int" for c in extra))
+    got = quality_rules.judge(docs).collect()
+    assert len(got) == 3 and all([r[c] for c in ("whole", "tokens", "windows", "lines", "row", "_0")] == [0, 1, 2, 3, 4, 8] for r in got)
+    assert sorted(r["n_words"] for r in got) == [0, 3, 3] and not any(r["kept"] for r in got)
+    assert quality_rules.keep_good(docs).columns == docs.columns
+
+
 def test_repeat_words(spark):
     rng = random.Random(6)
     texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(0, 12))) for _ in range(300)] + ["a b\x0bc\td a b c", "é é é é é é x"]
@@ -493,6 +552,18 @@ def test_mixed_rows_of_repeated_rows(spark):
     assert max(Counter(tuple(r) for r in mixed if r["doc_id"] == 8).values()) <= 80
 
 
+def test_mixed_rows_keep_columns_of_any_name(spark, odd, none):
+    extra = ["copies", "copy", "n", "row_key", "row", "k", "u", "size", "rate", "target"]
+    rows = [(i, "one two three", "en", "ab"[i % 2], 1, *range(10)) for i in range(40)] + [(40, "one two", "en", None, 1, *range(10))] * 6 + [(None, None, None, None, None, *range(10))]
+    docs = spark.createDataFrame(rows, DOCS + "".join(f", {c} int" for c in extra))
+    mixed = mixing.mixed_rows(docs)
+    got = mixed.collect()
+    assert mixed.columns == docs.columns and {tuple(r)[5:] for r in got} == {tuple(range(10))}
+    plain = Counter(tuple(r) for r in mixing.mixed_rows(docs.select("doc_id", "text", "lang", "source", "n_chars")).collect())
+    assert Counter(tuple(r)[:5] for r in got) == plain
+    assert mixing.mixed_rows(odd).columns == odd.columns and mixing.mixed_rows(none).count() == 0
+
+
 def test_shards_by_brute_force(spark):
     """The tree's first cut: along the dimension that spans the most of the corpus, at the weighted median."""
     rng = random.Random(16)
