@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -50,15 +50,21 @@ def coarse_offsets(source: DataFrame, target: DataFrame, hz: float = 50.0) -> Da
     return source.groupBy("rec", "grp").cogroup(_apart(target).groupBy("rec", "grp")).applyInPandas(run, "rec long, grp string, offset double")
 
 
+def micros(x: Column) -> Column:
+    """Seconds to whole microseconds, halves away from zero."""
+    return F.round(x * 1e6) / 1e6
+
+
 def priors(coarse: DataFrame, width: float = 0.5, top: int = 5) -> DataFrame:
     """rec, prior, rank: medians of clusters of coarse offsets less than `width` from a seed; most groups first, then
-    least spread, then the smallest offset."""
+    least spread, then the smallest offset. Spreads and offsets that are alike to a microsecond rank as equal, so that
+    the last bits of a sum decide nothing; the members' names decide then."""
     known = coarse.where("offset IS NOT NULL")
     seed = known.select("rec", F.col("grp").alias("seed"), F.col("offset").alias("at"))
     near = seed.join(known, "rec").where(F.abs(F.col("offset") - F.col("at")) < width)
     clusters = near.groupBy("rec", "seed").agg(F.array_join(F.array_sort(F.collect_list("grp")), ",").alias("members"), F.percentile("offset", 0.5).alias("prior"), F.stddev_pop("offset").alias("sd"), F.count("*").alias("n"))
     once = clusters.groupBy("rec", "members").agg(F.first("prior").alias("prior"), F.first("sd").alias("sd"), F.first("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("rec").orderBy(F.desc("n"), "sd", "prior", "members"))
+    rank = F.row_number().over(Window.partitionBy("rec").orderBy(F.desc("n"), micros(F.col("sd")), micros(F.col("prior")), "members"))
     return once.withColumn("rank", rank).where(F.col("rank") <= top).select("rec", "prior", "rank")
 
 

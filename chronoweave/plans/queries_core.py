@@ -343,8 +343,12 @@ def j16(spark, sf):
 def j17(spark, sf):
     from ..operators import alignment
 
-    o = table(spark, sf, "events").groupBy(F.col("user_id").alias("rec"), F.col("event_type").alias("grp")).agg(F.avg("value").alias("offset"))
-    return alignment.priors(o, 15.0, 5).select("rec", r(F.col("prior")).alias("prior"), F.col("rank").cast("long").alias("rank"))
+    # sums in the events' order: means of 16 or 32 values end halfway between two microseconds, where any other order of
+    # the same sum, as of a shuffle's parts, may round to the other side
+    w = Window.partitionBy("user_id", "event_type").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    e = table(spark, sf, "events").where("value IS NOT NULL").withColumn("_sum", F.sum("value").over(w))
+    o = e.groupBy(F.col("user_id").alias("rec"), F.col("event_type").alias("grp")).agg((F.max_by("_sum", "event_id") / F.count("*")).alias("offset"))
+    return alignment.priors(o, 15.0, 5).select("rec", alignment.micros(F.col("prior")).alias("prior"), F.col("rank").cast("long").alias("rank"))
 
 
 # --- aggregates ---------------------------------------------------------------------------------------------------
