@@ -25,3 +25,21 @@ def test_cluster_means_take_the_events_order(spark, tmp_path):
     want = con.execute(f"SELECT rec, prior, rank FROM ({entry.oracle_sql()['j17_w24_clusters']}) ORDER BY ALL").fetchall()
     got = sorted(tuple(x) for x in entry.queries()["j17_w24_clusters"](spark, str(tmp_path)).select("rec", "prior", "rank").collect())
     assert got == want
+
+
+def test_identities_replaced_without_a_pattern_each(monkeypatch):
+    import random
+
+    from chronoweave.operators import anonymize
+
+    plain = anonymize._bounded
+    draw = random.Random(3)
+    for alphabet in ("T1_v a", "T1_vſKa-"):
+        for _ in range(3000):
+            text, old = ("".join(draw.choices(alphabet, k=draw.randint(low, high))) for low, high in ((0, 12), (0, 3)))
+            assert anonymize._word_replaced(text, old, r"\1R") == plain(old).sub(lambda _: r"\1R", text), (text, old)
+    made = []
+    monkeypatch.setattr(anonymize, "_bounded", lambda old: made.append(old) or plain(old))
+    for k in range(5000):
+        assert anonymize.replaced(f"t{k}_x at V{k % 7}", f"T{k}", f"V{k % 7}", f"R{k}") == f"R{k}_x at V0"
+    assert not made
