@@ -28,16 +28,24 @@ OFFSETS = "path string, stream string, stream_id int, seq long, place long, time
 
 #: Bytes read at a chunk: its length, tag, stream, and what comes first in it, up to a whole clock offset.
 _HEAD = 48
-_ROWS = 8192
+_ROWS, _FILES = 8192, 256
+#: Bytes up to which a file is read at once.
+_SMALL = 1 << 16
 
 
 class Places:
-    """Reads of a file by place and length, and how many bytes they were."""
+    """Reads of a file by place and length, and how many bytes they were. A small file is read at once: its chunk heads
+    one by one would be as many reads."""
 
     def __init__(self, file):
         self.file, self.size, self.taken = file, file.size() if callable(getattr(file, "size", None)) else file.seek(0, 2), 0
+        self.whole = None
+        if self.size <= _SMALL:
+            self.whole = self.read(0, self.size)
 
     def read(self, at: int, n: int) -> bytes:
+        if self.whole is not None:
+            return self.whole[at : at + n]
         self.file.seek(at)
         raw = self.file.read(n)
         self.taken += len(raw)
@@ -163,15 +171,19 @@ def file_index(places: Places, wanted: set[str] | None, split_bytes: int) -> tup
 
 def _index_of(wanted, split_bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path in batch.column("path").to_pylist():
-                try:
-                    with opened(path) as file:
-                        splits, status = file_index(Places(file), wanted, split_bytes)
-                except (OSError, pa.ArrowException) as e:
-                    splits, status = [], f"unreadable: {type(e).__name__}"
-                rows = [{"path": path, **s, "status": status} for s in splits] or [{"path": path, "split": None, "start": None, "end": None, "streams": [], "status": status}]
+        rows: list[dict] = []
+        for path in (p for batch in batches for p in batch.column("path").to_pylist()):
+            try:
+                with opened(path) as file:
+                    splits, status = file_index(Places(file), wanted, split_bytes)
+            except (OSError, pa.ArrowException) as e:
+                splits, status = [], f"unreadable: {type(e).__name__}"
+            rows += [{"path": path, **s, "status": status} for s in splits] or [{"path": path, "split": None, "start": None, "end": None, "streams": [], "status": status}]
+            if len(rows) >= _FILES:
                 yield pa.RecordBatch.from_pylist(rows, schema=_ARROW_INDEX)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW_INDEX)
 
     return run
 
@@ -198,13 +210,13 @@ def index(files: DataFrame, streams: list[str] | None = None, split_bytes: int =
 
 
 def _scanned(requested: dict[str, list[str] | None] | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for split in batch.to_pylist():
                 with opened(split["path"]) as file:
-                    yield from read_split(Places(file), split, requested)
+                    yield from _pieces(Places(file), split, requested)
 
-    return run
+    return lambda batches: _batches(pieces(batches))
 
 
 _ARROW_SAMPLES = pa.schema([
@@ -213,8 +225,9 @@ _ARROW_SAMPLES = pa.schema([
 ])
 
 
-def read_split(places: Places, split: dict, requested: dict[str, list[str] | None] | None) -> Iterator[pa.RecordBatch]:
-    """Batches of the samples between a split's ends."""
+def _pieces(places: Places, split: dict, requested: dict[str, list[str] | None] | None) -> Iterator[tuple]:
+    """What a batch is made of, of the chunks between a split's ends: path, stream, stream_id, rate, labels, whether it is
+    text, seq of the first sample, place, times and values of at most _ROWS samples of a chunk."""
     at: dict[int, list] = {}
     for s in split["streams"]:
         header = xdf.parse_header(s["header"])
@@ -229,17 +242,44 @@ def read_split(places: Places, split: dict, requested: dict[str, list[str] | Non
         header, labels, keep, base, last = at[sid]
         t, values = decoded(places.read(content + 4, after - content - 4), header, last, keep)
         at[sid][3:] = base + len(t), float(t[-1]) if len(t) and t[-1] == t[-1] else last
-        text = header["format"] == "string"
         for k in range(0, len(t), _ROWS):
-            n, part = len(t[k : k + _ROWS]), values[k : k + _ROWS]
-            sizes = np.arange(0, (n + 1) * len(labels), len(labels), dtype=np.int32) if labels else np.zeros(n + 1, np.int32)
-            named = pa.ListArray.from_arrays(pa.array(sizes), pa.array(labels * n, pa.string()))
-            none = pa.nulls(n)
-            numbers = none.cast(pa.list_(pa.float64())) if text else pa.ListArray.from_arrays(pa.array(sizes), pa.array(part.reshape(-1), pa.float64()))
-            texts = pa.array(part, pa.list_(pa.string())) if text else none.cast(pa.list_(pa.string()))
-            times = pa.array(t[k : k + n], pa.float64(), mask=np.isnan(t[k : k + n]))
-            same = lambda x, kind: pa.array([x] * n, kind)  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([same(split["path"], pa.string()), same(header["name"], pa.string()), same(sid, pa.int32()), pa.array(np.arange(base + k, base + k + n)), same(place, pa.int64()), times, same(header["rate"], pa.float64()), named, numbers, texts], schema=_ARROW_SAMPLES)
+            yield split["path"], header["name"], sid, header["rate"], labels, header["format"] == "string", base + k, place, t[k : k + _ROWS], values[k : k + _ROWS]
+
+
+def _batch(pieces: list[tuple]) -> pa.RecordBatch:
+    """A batch of pieces that are all text or all numbers."""
+    paths, names, ids, rates, labels, texts, bases, at, times, values = zip(*pieces, strict=True)
+    n = [len(t) for t in times]
+    each = lambda x, kind: pa.array([v for v, k in zip(x, n, strict=True) for _ in range(k)], kind)
+    t = np.concatenate(times)
+    sizes = np.concatenate([[0], np.cumsum(np.repeat([len(x) for x in labels], n))]).astype(np.int32)
+    named = pa.ListArray.from_arrays(pa.array(sizes), pa.array([c for x, k in zip(labels, n, strict=True) for c in x * k], pa.string()))
+    none = pa.nulls(len(t))
+    if texts[0]:
+        numbers, told = none.cast(pa.list_(pa.float64())), pa.array([row for part in values for row in part], pa.list_(pa.string()))
+    else:
+        numbers, told = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([part.reshape(-1) for part in values]), pa.float64())), none.cast(pa.list_(pa.string()))
+    seq = np.concatenate([np.arange(b, b + k, dtype=np.int64) for b, k in zip(bases, n, strict=True)])
+    return pa.RecordBatch.from_arrays([each(paths, pa.string()), each(names, pa.string()), each(ids, pa.int32()), pa.array(seq), each(at, pa.int64()), pa.array(t, pa.float64(), mask=np.isnan(t)), each(rates, pa.float64()), named, numbers, told], schema=_ARROW_SAMPLES)
+
+
+def _batches(pieces: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Small pieces put together, as recorders write a chunk every few samples: a batch costs Spark as much for one row as
+    for hundreds. At most twice _ROWS rows are held."""
+    held, rows = [], 0
+    for piece in pieces:
+        if held and (rows >= _ROWS or held[0][5] != piece[5]):
+            yield _batch(held)
+            held, rows = [], 0
+        held.append(piece)
+        rows += len(piece[8])
+    if held:
+        yield _batch(held)
+
+
+def read_split(places: Places, split: dict, requested: dict[str, list[str] | None] | None) -> Iterator[pa.RecordBatch]:
+    """Batches of the samples between a split's ends."""
+    return _batches(_pieces(places, split, requested))
 
 
 def scan(indexed: DataFrame, requested: dict[str, list[str] | None] | None = None) -> DataFrame:
@@ -269,27 +309,39 @@ def stream_status(indexed: DataFrame, requested: dict[str, list[str] | None]) ->
     return j.select("path", "stream", "ids", missing.alias("missing"), status.alias("status"))
 
 
+def _offsets_of(path: str, wanted: set[str] | None) -> list[tuple]:
+    rows, names, seen = [], {}, {}
+    try:
+        with opened(path) as file:
+            places = Places(file)
+            if places.read(0, 4) != xdf.MAGIC:
+                return []
+            for at, tag, content, after, first in heads(places):
+                if tag == xdf.STREAM_HEADER:
+                    header = xdf.parse_header(places.read(content + 4, after - content - 4))
+                    if wanted is None or header["name"] in wanted:
+                        names[struct.unpack_from("<I", first)[0]] = header["name"]
+                elif tag == xdf.CLOCK and (sid := struct.unpack_from("<I", first)[0]) in names:
+                    seen[sid] = seen.get(sid, -1) + 1
+                    rows.append((path, names[sid], sid, seen[sid], at, *struct.unpack_from("<dd", first, 4)))
+    except (EOFError, OSError, pa.ArrowException):
+        pass  # the index tells of broken files; offsets before the break count
+    return rows
+
+
 def _clock(wanted):
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _ARROW_OFFSETS, strict=True)], schema=_ARROW_OFFSETS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path in batch.column("path").to_pylist():
-                rows, names, seen = [], {}, {}
-                try:
-                    with opened(path) as file:
-                        places = Places(file)
-                        if places.read(0, 4) != xdf.MAGIC:
-                            continue
-                        for at, tag, content, after, first in heads(places):
-                            if tag == xdf.STREAM_HEADER:
-                                header = xdf.parse_header(places.read(content + 4, after - content - 4))
-                                if wanted is None or header["name"] in wanted:
-                                    names[struct.unpack_from("<I", first)[0]] = header["name"]
-                            elif tag == xdf.CLOCK and (sid := struct.unpack_from("<I", first)[0]) in names:
-                                seen[sid] = seen.get(sid, -1) + 1
-                                rows.append((path, names[sid], sid, seen[sid], at, *struct.unpack_from("<dd", first, 4)))
-                except (EOFError, OSError, pa.ArrowException):
-                    pass  # the index tells of broken files; offsets before the break count
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * 7, _ARROW_OFFSETS, strict=True)], schema=_ARROW_OFFSETS)
+        rows: list[tuple] = []
+        for path in (p for b in batches for p in b.column("path").to_pylist()):
+            rows += _offsets_of(path, wanted)
+            if len(rows) >= _ROWS:
+                yield batch(rows)
+                rows = []
+        if rows:
+            yield batch(rows)
 
     return run
 

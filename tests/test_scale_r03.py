@@ -43,3 +43,40 @@ def test_identities_replaced_without_a_pattern_each(monkeypatch):
     for k in range(5000):
         assert anonymize.replaced(f"t{k}_x at V{k % 7}", f"T{k}", f"V{k % 7}", f"R{k}") == f"R{k}_x at V0"
     assert not made
+
+
+def test_small_chunks_and_files_share_batches(tmp_path):
+    import io
+    import struct
+
+    import pyarrow as pa
+
+    from chronoweave.sources import xdf, xdf_scan
+
+    head = lambda sid, name, text=False: xdf.chunk(xdf.STREAM_HEADER, struct.pack("<I", sid) + xdf.stream_header(name, ["x"], text))
+    some = lambda sid, t, v, text=False: xdf.chunk(xdf.SAMPLES, struct.pack("<I", sid) + xdf.encode_samples([t], [[v]], text))
+    raw = xdf.MAGIC + head(1, "a") + head(2, "b") + head(3, "m", True)
+    raw += b"".join(some(1 + k % 2, float(k), float(-k)) for k in range(600)) + some(3, 600.0, "go", True) + some(1, 601.0, -601.0)
+    paths = [f"{tmp_path}/{k}.xdf" for k in range(3)]
+    for p in paths:
+        with open(p, "wb") as out:
+            out.write(raw)
+    files = pa.RecordBatch.from_pydict({"path": paths})
+    indexed = list(xdf_scan._index_of(None, 1 << 20)([files]))
+    assert len(indexed) == 1 and indexed[0].num_rows == 3
+    batches = list(xdf_scan._scanned(None)(indexed))
+    assert len(batches) <= 7  # numbers and texts take turns; a batch for each chunk would be 1806
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert [r["path"] for r in rows] == [p for p in paths for _ in range(602)]
+    one = rows[:602]
+    assert [(r["stream"], r["seq"], r["t"], r["numbers"]) for r in one[:600]] == [("ab"[k % 2], k // 2, float(k), [float(-k)]) for k in range(600)]
+    assert one[600]["texts"] == ["go"] and one[600]["numbers"] is None and one[601]["numbers"] == [-601.0] and one[601]["seq"] == 300
+
+    class Counted(io.BytesIO):
+        reads = 0
+
+        def read(self, *n):
+            Counted.reads += 1
+            return super().read(*n)
+
+    assert xdf_scan.file_index(xdf_scan.Places(Counted(raw)), None, 1 << 20)[1] == "ready" and Counted.reads == 1
