@@ -56,20 +56,23 @@ def backward(left: DataFrame, right: DataFrame, by: list[str], on: str, values:
     return u.where("_side = 1").select("_row.*", *[F.col(f"_hit.{v}").alias(v) for v in values])
 
 
-def around(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], cell: float | None = None) -> DataFrame:
-    """left with structs before (right rows at or before) and after (at or after), each of t and values."""
+def around(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], cell: float | None = None, tasks: int | None = None) -> DataFrame:
+    """left with structs before (right rows at or before) and after (at or after), each of t and values. tasks: how many
+    the keys are dealt to, which bounds what one sorts; otherwise as many as the session's shuffles have."""
     if cell is not None:
         return _neighbours(_united(left, right, by, on, values), by, cell).where("_side = 1").select("_row.*", "before", "after")
     up = Window.partitionBy(*by).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy(*by).orderBy(F.desc("_t"), "_side").rowsBetween(Window.unboundedPreceding, 0)
     u = _united(left, right, by, on, values)
+    if tasks is not None:
+        u = u.repartition(tasks, *by)
     u = u.withColumn("before", F.last("_right", ignorenulls=True).over(up)).withColumn("after", F.last("_right", ignorenulls=True).over(down))
     return u.where("_side = 1").select("_row.*", "before", "after")
 
 
-def nearest(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], cell: float | None = None) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], cell: float | None = None, tasks: int | None = None) -> DataFrame:
     """left with values of the right row nearest in time, the earlier at equal distance."""
-    near = around(left, right, by, on, values, cell)
+    near = around(left, right, by, on, values, cell, tasks)
     late = F.col("before").isNull() | (F.col("after.t") - F.col(on) < F.col(on) - F.col("before.t"))
     return near.select(*left.columns, *[F.when(late & F.col("after").isNotNull(), F.col(f"after.{v}")).otherwise(F.col(f"before.{v}")).alias(v) for v in values])
 

@@ -6,7 +6,7 @@ video is a status in an audit and never a wrong time."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import asof, runs
@@ -21,6 +21,14 @@ TOLERANCE_S, TOLERANCE_STEPS = 0.001, 0.1
 _EUCLID = 92
 
 
+#: How many times the session's tasks frames are dealt to: a task sorts its videos' frames several times at once.
+_FINER = 8
+
+
+def fine_tasks(spark: SparkSession) -> int:
+    return _FINER * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+
+
 def _tick(x: Column) -> Column:
     return F.when(F.trim(x).rlike(r"^[+-]?[0-9]+$"), F.trim(x).try_cast("long"))
 
@@ -65,7 +73,7 @@ def frame_index(streams: DataFrame, packets: DataFrame, frames: DataFrame) -> tu
     p = packets.join(fast, "video", "left_semi").select("video", "place", _tick(F.col("pts")).alias("tick"), F.col("flags").contains("K").alias("key"), F.lit("packets").alias("source"))
     f = frames.join(fast, "video", "left_anti").select("video", "place", _tick(F.col("best_effort_timestamp")).alias("tick"), F.coalesce(F.col("key_frame") == 1, F.lit(False)).alias("key"), F.lit("frames").alias("source"))
     w, whole = Window.partitionBy("video").orderBy("place"), Window.partitionBy("video")
-    rows = p.unionByName(f).withColumn("frame", F.row_number().over(w).cast("long") - 1)
+    rows = p.unionByName(f).repartition(fine_tasks(packets.sparkSession), "video").withColumn("frame", F.row_number().over(w).cast("long") - 1)
     rows = rows.withColumn("_step", F.col("tick") - F.lag("tick").over(w)).withColumn("_keys", F.count_if("key").over(whole))
     rows = rows.withColumn("key", F.col("key") | ((F.col("_keys") == 0) & (F.col("frame") == 0)))
     facts = rows.groupBy("video").agg(F.count("*").alias("frames"), F.first("source").alias("source"), F.count_if(F.col("tick").isNull()).alias("_lost"), F.count_if(F.col("_step") == 0).alias("_same"), F.count_if(F.col("_step") < 0).alias("_back"), F.min_by("tick", "frame").alias("origin"))
@@ -102,7 +110,7 @@ def exact_times(rows: DataFrame, index: DataFrame, video: str = "video", frame:
 def lookup(wanted: DataFrame, index: DataFrame) -> DataFrame:
     """wanted (video, time, ...) with frame (the nearest, the earlier of two as near; the first or last for times
     outside), keyframe (where decoding must begin) and found: ready, before, after, no time or no index."""
-    hit = asof.nearest(wanted, index.select("video", "time", "frame", "keyframe"), ["video"], "time", ["frame", "keyframe"])
+    hit = asof.nearest(wanted, index.select("video", "time", "frame", "keyframe"), ["video"], "time", ["frame", "keyframe"], tasks=fine_tasks(wanted.sparkSession))
     span = index.groupBy("video").agg(F.max("time").alias("_end"))
     j = hit.join(span, "video", "left")
     usable = F.col("time").isNotNull() & ~F.isnan("time") & (F.abs("time") < float("inf"))

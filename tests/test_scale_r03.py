@@ -80,3 +80,14 @@ def test_small_chunks_and_files_share_batches(tmp_path):
             return super().read(*n)
 
     assert xdf_scan.file_index(xdf_scan.Places(Counted(raw)), None, 1 << 20)[1] == "ready" and Counted.reads == 1
+
+
+def test_frames_are_dealt_finer_than_the_sessions_shuffles(spark):
+    from chronoweave.operators import frames
+
+    streams = spark.createDataFrame([("v", "h264", "1/30", 640, 480, "progressive", 0, "2", 0)], frames.STREAMS)
+    packets = spark.createDataFrame([("v", k, str(k), str(k), "K__") for k in range(2)], frames.PACKETS)
+    index, _ = frames.frame_index(streams, packets, spark.createDataFrame([], frames.FRAMES))
+    plan = index._jdf.queryExecution().toString()
+    assert f", {frames.fine_tasks(spark)})" in plan
+    assert [(r.frame, r.tick) for r in index.orderBy("frame").collect()] == [(0, 0), (1, 1)]
