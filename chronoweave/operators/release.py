@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -37,6 +37,63 @@ def files_under(listing: DataFrame, root: str) -> DataFrame:
     return listing.where(bare(F.col("path")).startswith(start)).select(F.col("path").alias("source"), F.substring(bare(F.col("path")), F.length(start) + 1, F.length("path")).alias("relative"), F.col("length").alias("size"))
 
 
+def _shown(name: str) -> bool:
+    """Whether Spark's readers see a file or folder of that name."""
+    hidden = name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+    return not hidden or name.startswith(("_metadata", "_common_metadata"))
+
+
+def _entries(fs, folder: str) -> list:
+    from pyarrow.fs import FileSelector
+
+    return [i for i in fs.get_file_info(FileSelector(folder)) if _shown(i.base_name)]
+
+
+_ENTRIES = pa.schema([("relative", pa.string()), ("size", pa.int64())])
+
+
+def found_under(spark: SparkSession, root: str) -> DataFrame:
+    """source, relative, size of every file beneath a folder that Spark's readers would see, as `files_under` gives them
+    of a listing. One task names what the folder holds itself, many list what is beneath each of that. So neither a
+    task for each folder is needed nor a list of all files on the driver."""
+    ship(spark)
+    root = root.rstrip("/")
+
+    def batch(rows: list[tuple[str, int | None]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_ENTRIES)], schema=_ENTRIES)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one in batches:
+            if one.num_rows:
+                fs, base = stores.at(root)
+                rows = [(i.path[len(base) + 1 :], i.size if i.is_file else None) for i in _entries(fs, base)]
+                yield from (batch(rows[k : k + 10_000]) for k in range(0, len(rows), 10_000))
+
+    def beneath(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = stores.at(root)
+        rows: list[tuple[str, int | None]] = []
+        for at, size in (pair for b in batches for pair in zip(*(c.to_pylist() for c in b.columns), strict=True)):
+            if size is not None:
+                rows.append((at, size))
+                continue
+            folders = [f"{base}/{at}"]
+            while folders:
+                for i in _entries(fs, folders.pop()):
+                    if i.is_file:
+                        rows.append((i.path[len(base) + 1 :], i.size))
+                    else:
+                        folders.append(i.path)
+                if len(rows) >= 10_000:
+                    yield batch(rows)
+                    rows = []
+        if rows:
+            yield batch(rows)
+
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    top = spark.range(0, 1, 1, 1).mapInArrow(first, "relative string, size long").repartition(n, "relative")
+    return top.mapInArrow(beneath, "relative string, size long").select(F.concat(F.lit(f"{root}/"), "relative").alias("source"), "relative", "size")
+
+
 def _suffix(name: Column) -> Column:
     """What follows a name's last point, in small letters; names that begin with their only point have none."""
     return F.lower(F.regexp_extract(name, r"[^.].*\.([^.]*)$|^[^.]\.([^.]*)$", 1))

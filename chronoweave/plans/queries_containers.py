@@ -10,7 +10,7 @@ from ..folders import new_folder
 from ..functions import delimited
 from ..functions import scalars as S
 from ..operators import anonymize, frames, release
-from ..sources import recordings, tables, xdf_scan
+from ..sources import recordings, xdf_scan
 from .base import query, r, table
 
 #: A recording's events in order: k from 0, of n.
@@ -175,7 +175,7 @@ def g15(spark, sf):
     ids = e.select(F.upper(name).alias("key"), F.concat(F.lit("R"), rec.cast("string")).alias("random_id")).distinct()
     for at, plan in (("source", lambda f: release.anonymise_plan(f, ids)), ("named", release.time_shift_plan)):
         to = {"source": "named", "named": "shifted"}[at]
-        files = release.files_under(tables.listing(spark, f"{root}/{at}", "*.xdf"), f"{root}/{at}")
+        files = release.found_under(spark, f"{root}/{at}").where("relative LIKE '%.xdf'")
         release.carried_out(plan(files), f"{root}/{to}").write.parquet(f"{root}/{to}-done")
     files = spark.read.parquet(f"{root}/shifted-done").where("status = 'written'").select("target", F.concat(F.lit(f"{root}/shifted/"), "target").alias("path"))
     samples, _ = recordings.load(files, {"SILAB": None}, synchronise=False, dejitter=False)

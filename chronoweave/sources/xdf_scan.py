@@ -377,6 +377,17 @@ def header_dates(files: DataFrame) -> DataFrame:
     return _dealt(files.select("path").where("path IS NOT NULL").distinct(), "path").mapInArrow(_dated, "path string, created string")
 
 
+def _samples_of(column: pa.Array) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Times and values of each chunk of a column of (t, values) arrays, as views of its numbers."""
+    each, flat = column.offsets.to_numpy(), column.values
+    times, rows = flat.field("t").cast(pa.float64()), flat.field("values")
+    if times.null_count:
+        raise ValueError("a sample has no time")
+    times, ends, values = times.to_numpy(), rows.offsets.to_numpy(), rows.values.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    for a, b in zip(each[:-1].tolist(), each[1:].tolist(), strict=True):
+        yield times[a:b], [values[ends[k] : ends[k + 1]] for k in range(a, b)]
+
+
 def _written(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -384,31 +395,40 @@ def _written(folder: str):
         fs, root = stores.at(folder)
         now = out = None
         ids: dict[str, int] = {}
+        held = bytearray()  # a write for each of many small chunks would be as many calls of the store
+
+        def put(raw: bytes, most: int = 1 << 20):
+            held.extend(raw)
+            if len(held) > most:
+                out[0].write(bytes(held))
+                held.clear()
 
         def done():
+            put(b"", 0)
             out[0].close()
             fs.move(out[1], f"{root}/{now}.xdf")
             return pa.RecordBatch.from_arrays([pa.array([f"{folder.rstrip('/')}/{now}.xdf"]), pa.array([len(ids)])], ["path", "streams"])
 
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["file"] != now:
+            plain = [batch.column(c).to_pylist() for c in ("file", "created", "stream", "labels", "rate", "offset")]
+            for file, created, stream, labels, rate, offset, (times, values) in zip(*plain, _samples_of(batch.column("samples")), strict=True):
+                if file != now:
                     if out:
                         yield done()
-                    now, ids = r["file"], {}
+                    now, ids = file, {}
                     beneath, _, name = f"{root}/{now}".rpartition("/")
                     fs.create_dir(beneath, recursive=True)
                     part = f"{beneath}/.{name}-{uuid.uuid4().hex}"
                     out = fs.open_output_stream(part), part
-                    out[0].write(xdf.MAGIC + xdf.chunk(xdf.FILE_HEADER, f'<?xml version="1.0"?><info><version>1.0</version>{"<datetime>" + r["created"] + "</datetime>" if r["created"] else ""}</info>'.encode()))
-                if r["stream"] not in ids:
-                    ids[r["stream"]] = len(ids) + 1
-                    out[0].write(xdf.chunk(xdf.STREAM_HEADER, struct.pack("<I", ids[r["stream"]]) + xdf.stream_header(r["stream"], r["labels"], rate=r["rate"])))
-                sid = struct.pack("<I", ids[r["stream"]])
-                if r["offset"] is not None:
-                    out[0].write(xdf.chunk(xdf.CLOCK, sid + struct.pack("<dd", r["offset"]["time"], r["offset"]["value"])))
+                    put(xdf.MAGIC + xdf.chunk(xdf.FILE_HEADER, f'<?xml version="1.0"?><info><version>1.0</version>{"<datetime>" + created + "</datetime>" if created else ""}</info>'.encode()))
+                if stream not in ids:
+                    ids[stream] = len(ids) + 1
+                    put(xdf.chunk(xdf.STREAM_HEADER, struct.pack("<I", ids[stream]) + xdf.stream_header(stream, labels, rate=rate)))
+                sid = struct.pack("<I", ids[stream])
+                if offset is not None:
+                    put(xdf.chunk(xdf.CLOCK, sid + struct.pack("<dd", offset["time"], offset["value"])))
                 else:
-                    out[0].write(xdf.chunk(xdf.SAMPLES, sid + xdf.encode_samples([s["t"] for s in r["samples"]], [s["values"] for s in r["samples"]])))
+                    put(xdf.chunk(xdf.SAMPLES, sid + xdf.encode_samples(times, values)))
         if out:
             yield done()
 

@@ -91,3 +91,29 @@ def test_frames_are_dealt_finer_than_the_sessions_shuffles(spark):
     plan = index._jdf.queryExecution().toString()
     assert f", {frames.fine_tasks(spark)})" in plan
     assert [(r.frame, r.tick) for r in index.orderBy("frame").collect()] == [(0, 0), (1, 1)]
+
+
+def test_folders_are_listed_by_tasks(spark, tmp_path):
+    from chronoweave.operators import release
+    from chronoweave.sources import tables
+
+    for at in ("T001_V1/LSL/a.xdf", "T001_V1/LSL/deep er/b é.xdf", "T001_V1/.part", "T001_V1/_gone/x.xdf", "T001_V1/k=1/_y.xdf", "T001_V1/_k=1/z.xdf", "c.txt", "d._COPYING_", ".hidden/e.txt"):
+        (tmp_path / at).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / at).write_text(at)
+    want = {(x.relative, x.size) for x in release.files_under(tables.listing(spark, str(tmp_path)), str(tmp_path)).collect()}
+    assert len(want) == 4
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        found = release.found_under(spark, root).collect()
+        assert sorted((x.relative, x.size) for x in found) == sorted(want)
+        assert all(x.source == f"{root.rstrip('/')}/{x.relative}" for x in found)
+    # a folder more is no task more: hundreds are what Spark's own listing makes of this
+    for k in range(400):
+        (tmp_path / f"R{k}/LSL").mkdir(parents=True)
+        (tmp_path / f"R{k}/LSL/{k}.xdf").touch()
+    assert release.found_under(spark, str(tmp_path)).count() == 404
+    spark.sparkContext.setJobGroup("listed", "listed")
+    assert release.found_under(spark, str(tmp_path)).count() == 404
+    told = spark.sparkContext.statusTracker()
+    stages = [told.getStageInfo(s) for j in told.getJobIdsForGroup("listed") for s in told.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < sum(s.numTasks for s in stages if s) < 60
