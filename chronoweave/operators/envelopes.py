@@ -58,15 +58,11 @@ def feature_fits(ours: DataFrame, theirs: DataFrame, hz: float = 10.0, length: f
     """The line from the source's own clock to the target's for each feature: affine, offset_only (under three windows,
     or under 600 s of them) or unavailable. A feature whose whole recordings have no lag at all gives no row."""
     checked(hz=hz, length=length, step=step, coarse=coarse, local=local)
-    asked = theirs.select("rec", "feature").distinct()
-    left = ours.join(asked, "rec").select("rec", "feature", "k", "t", "own", F.col("envelope").alias("x"))
-    right = theirs.select(*[F.col(c).alias(c) for c in ("rec", "feature", "k")], F.col("envelope").alias("y"))
+    both = theirs.select("rec", "feature", "k", F.col("envelope").alias("y")).join(ours.select("rec", "k", "t", "own", F.col("envelope").alias("x")), ["rec", "k"])
     whole = lambda s: round(s * hz)
 
-    def run(key, a, b):
-        if a.empty or b.empty:
-            return pd.DataFrame([], columns=_NAMES)
-        both = a.merge(b[["k", "y"]], on="k").sort_values("k")
+    def run(key, both):
+        both = both.sort_values("k")
         x, y, t, own = (both[c].to_numpy(float) for c in ("x", "y", "t", "own"))
         rough = K.lag_search(x, y, 0, whole(coarse), whole(1.0))
         if rough is None:
@@ -86,24 +82,29 @@ def feature_fits(ours: DataFrame, theirs: DataFrame, hz: float = 10.0, length: f
         row = (*key, "affine" if affine else "offset_only", line["intercept"], line["scale"], line["raw_drift_ppm"] if affine else None, len(at), line["inliers"], float(np.median(height)), line["residual_p95"], jump, float(at[kept].min() - length / 2), float(at[kept].max() + length / 2))
         return pd.DataFrame([row], columns=_NAMES)
 
-    return left.groupBy("rec", "feature").cogroup(right.groupBy("rec", "feature")).applyInPandas(run, FIT)
+    return both.groupBy("rec", "feature").applyInPandas(run, FIT)
 
 
 def graded_maps(fits: DataFrame, spans: DataFrame, primary: str | None = None, review_ppm: float = 2000.0, most_ppm: float = 10000.0) -> DataFrame:
-    """One map for each recording of spans (rec, middle: of the source's own clock): the feature with the best fit
+    """One map for each recording of spans (rec, middle: of the source's own clock; more columns stay): the feature with the best fit
     (affine first, then inliers, correlation and residual, a little more for the primary one; equal ones by name), and
     whether another feature's affine fit of five windows or more bears it out."""
-    there = fits.where("fit <> 'unavailable'")
+    # one pass over the fits, as each use of them would fit again
+    there, names = F.col("fit") != "unavailable", [c for c in _NAMES if c != "rec"]
     score = F.when(F.col("fit") == "affine", 2000.0).otherwise(1000.0) + 10 * F.col("inliers") + F.col("correlation") - F.coalesce("residual_p95", F.lit(1.0))
     score = score + F.when(F.col("feature").eqNullSafe(F.lit(primary)), 0.05).otherwise(0.0)
-    rank = F.row_number().over(Window.partitionBy("rec").orderBy(F.desc("score"), "feature"))
-    best = there.withColumn("score", score).withColumn("_k", rank).where("_k = 1").drop("_k", "score")
-    m = spans.select("rec", "middle").join(best, "rec", "left")
-    others = fits.where(f"fit = 'affine' AND inliers >= {INLIERS}").select(F.col("rec").alias("_r"), F.col("feature").alias("_f"), F.col("intercept").alias("_a"), F.col("scale").alias("_b"), F.col("drift_ppm").alias("_d"))
-    pairs = m.join(others, (F.col("rec") == F.col("_r")) & (F.col("feature") != F.col("_f")))
-    off = F.abs(F.col("_a") + F.col("_b") * F.col("middle") - F.col("intercept") - F.col("scale") * F.col("middle"))
-    agree = pairs.groupBy("rec").agg(((F.max(off) <= APART) & (F.max(F.abs(F.col("_d") - F.coalesce("drift_ppm", F.lit(0.0)))) <= DRIFT_APART)).alias("agreement"))
-    m = m.join(agree, "rec", "left").withColumn("agreement", F.coalesce("agreement", F.lit(False)))
+    rank = F.row_number().over(Window.partitionBy("rec").orderBy(F.desc("_there"), F.desc("score"), "feature"))
+    ranked = fits.withColumn("_there", F.coalesce(there, F.lit(False))).withColumn("score", score).withColumn("_k", rank)
+    sound = (F.col("fit") == "affine") & (F.col("inliers") >= INLIERS)
+    one = ranked.groupBy("rec").agg(
+        F.first(F.when(F.col("_there") & (F.col("_k") == 1), F.struct(*names)), ignorenulls=True).alias("_best"),
+        F.collect_list(F.when(sound, F.struct("feature", "intercept", "scale", "drift_ppm"))).alias("_sound"),
+    )
+    m = spans.join(one, "rec", "left").select(*spans.columns, "_best.*", "_sound")
+    others = F.filter("_sound", lambda o: o["feature"] != F.col("feature"))
+    off = F.array_max(F.transform(others, lambda o: F.abs(o["intercept"] + o["scale"] * F.col("middle") - F.col("intercept") - F.col("scale") * F.col("middle"))))
+    drifts = F.array_max(F.transform(others, lambda o: F.abs(o["drift_ppm"] - F.coalesce("drift_ppm", F.lit(0.0)))))
+    m = m.withColumn("agreement", F.coalesce((off <= APART) & (drifts <= DRIFT_APART), F.lit(False)))
     drift, affine = F.abs("drift_ppm"), F.col("fit") == "affine"
     sound = affine & (F.col("inliers") >= INLIERS) & (F.col("correlation") >= CORRELATION) & (F.col("residual_p95") <= P95) & F.col("agreement") & (F.coalesce("jump", F.lit(0.0)) <= JUMP)
     status = F.when(F.col("fit").isNull(), "unavailable").when(affine & (drift > most_ppm), "invalid_affine").when(sound, "affine").when(affine, "affine_review").otherwise("offset_only")
@@ -118,7 +119,7 @@ def graded_maps(fits: DataFrame, spans: DataFrame, primary: str | None = None, r
         F.when(F.col("fit").isNotNull() & ~F.col("agreement"), "features disagree or stand alone"),
         F.when(F.col("jump") > JUMP, "possible clock jump"),
     )
-    return m.select("rec", "status", "usable", grade.alias("grade"), (F.col("status") != "affine").alias("review"), "feature", "intercept", "scale", "drift_ppm", "good_windows", "inliers", "correlation", "residual_p95", "agreement", "support_start", "support_end", warnings.alias("warnings"))
+    return m.select("rec", "status", "usable", grade.alias("grade"), (F.col("status") != "affine").alias("review"), "feature", "intercept", "scale", "drift_ppm", "good_windows", "inliers", "correlation", "residual_p95", "agreement", "support_start", "support_end", warnings.alias("warnings"), *[c for c in spans.columns if c not in ("rec", "middle")])
 
 
 def envelope_maps(source: DataFrame, target: DataFrame, priors: DataFrame, base_hz: float = 50.0, hz: float = 10.0, primary: str | None = None, **options) -> DataFrame:
@@ -127,5 +128,5 @@ def envelope_maps(source: DataFrame, target: DataFrame, priors: DataFrame, base_
     ours, theirs = common_envelopes(source, target, priors, base_hz, hz)
     spans = source.groupBy("rec").agg(F.min("t").alias("first"), F.max("t").alias("last"))
     spans = priors.select("rec").join(spans, "rec", "left").withColumn("middle", (F.col("first") + F.col("last")) / 2)
-    m = graded_maps(feature_fits(ours, theirs, hz, **options), spans, primary).join(spans.drop("middle"), "rec")
+    m = graded_maps(feature_fits(ours, theirs, hz, **options), spans, primary).where("rec IS NOT NULL")
     return m.withColumn("support_start", F.greatest("support_start", "first")).withColumn("support_end", F.least("support_end", "last")).drop("first", "last")

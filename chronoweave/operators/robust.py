@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,11 +22,15 @@ def robust_scale(rows: DataFrame, by: list[str], x: str) -> DataFrame:
     return away.select(*by, "median", "mad", F.when(F.col("mad") > 0, 1.4826 * F.col("mad")).otherwise(F.col("_sd")).alias("scale"))
 
 
+def _clipped(x: str, median: Column, scale: Column, clip: float) -> Column:
+    z = F.when(scale > 0, (F.col(x) - median) / scale).otherwise(F.lit(0.0))
+    return F.when(F.col(x).isNotNull(), F.least(F.greatest(z, F.lit(-clip)), F.lit(clip)))
+
+
 def standardised(rows: DataFrame, by: list[str], x: str, clip: float, name: str = "z") -> DataFrame:
     """rows with (x - median) / scale, clipped; 0 where there is no scale."""
     s = robust_scale(rows, by, x)
-    z = F.when(F.col("scale") > 0, (F.col(x) - F.col("median")) / F.col("scale")).otherwise(F.lit(0.0))
-    return _joined(rows, s, by).select(*rows.columns, F.when(F.col(x).isNotNull(), F.least(F.greatest(z, F.lit(-clip)), F.lit(clip))).alias(name))
+    return _joined(rows, s, by).select(*rows.columns, _clipped(x, F.col("median"), F.col("scale"), clip).alias(name))
 
 
 def line(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -72,7 +76,12 @@ def activity_envelope(rows: DataFrame, by: list[str], on: list[str], x: str, tre
     rows, clipped at `clip` robust scales."""
     from .runs import moving_mean
 
+    # medians over the same partitions as the means: joined facts of each group would need the rows three times
+    whole = Window.partitionBy(*by)
     flat = rows.withColumn("_e", F.col(x) - moving_mean(x, by, on, trend))
-    cut = standardised(flat, by, "_e", clip, "_z").withColumn("_p", F.col("_z") * F.col("_z"))
+    flat = flat.withColumn("_median", F.percentile("_e", 0.5).over(whole)).withColumn("_sd", F.stddev_pop("_e").over(whole))
+    flat = flat.withColumn("_away", F.abs(F.col("_e") - F.col("_median"))).withColumn("_mad", F.percentile("_away", 0.5).over(whole))
+    scale = F.when(F.col("_mad") > 0, 1.4826 * F.col("_mad")).otherwise(F.col("_sd"))
+    cut = flat.withColumn("_z", _clipped("_e", F.col("_median"), scale, clip)).withColumn("_p", F.col("_z") * F.col("_z"))
     out = cut.withColumn("envelope", F.sqrt(moving_mean("_p", by, on, width))).withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*on)) - 1)
     return out.where(F.col("_k") % stride == 0).select(*by, *on, "envelope")

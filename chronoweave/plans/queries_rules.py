@@ -49,10 +49,10 @@ def g3(spark, sf):
 def g4(spark, sf):
     """A recorder whose signal is another's by its activity alone, found by envelopes; a feature of noise isn't (W15, W27,
     W29, G4). Recordings are too short for a drift."""
-    e = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "value"))
-    s = e.select(F.floor(F.col("vec_id") / 50).cast("long").alias("rec"), ((F.col("vec_id") % 50 * 64 + F.col("pos")) / 10.0).alias("t"), F.col("value").cast("double").alias("value"))
-    full = s.groupBy("rec").agg(F.max("t").alias("_end")).where("_end >= 319").select("rec")
-    s = s.join(full, "rec")
+    e = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 50).cast("long").alias("rec"), "vec_id", "embedding").where("size(embedding) > 0")
+    at = lambda pos: (F.col("vec_id") % 50 * 64 + pos) / 10.0
+    full = e.groupBy("rec").agg(F.max(at(F.size("embedding") - 1)).alias("_end")).where("_end >= 319").select("rec")
+    s = e.join(full, "rec").select("rec", "vec_id", F.posexplode("embedding").alias("pos", "value")).select("rec", at(F.col("pos")).alias("t"), F.col("value").cast("double").alias("value"))
     offset = 3 + F.col("rec") % 4 * 0.5
     target = s.select("rec", F.lit("same").alias("feature"), (F.col("t") + offset).alias("t"), (-3 * F.col("value")).alias("value"))
     noise = s.select("rec", F.lit("noise").alias("feature"), (F.col("t") + offset).alias("t"), (F.xxhash64("rec", "t") % 1000 / 1000.0).alias("value"))

@@ -117,3 +117,36 @@ def test_folders_are_listed_by_tasks(spark, tmp_path):
     stages = [told.getStageInfo(s) for j in told.getJobIdsForGroup("listed") for s in told.getJobInfo(j).stageIds]
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert 0 < sum(s.numTasks for s in stages if s) < 60
+
+
+def test_envelope_maps_fit_each_feature_once(spark):
+    import numpy as np
+
+    from chronoweave.operators import envelopes
+
+    rng, rows = np.random.default_rng(5), []
+    for rec in range(3):
+        rows += [(rec, k / 10, float(v)) for k, v in enumerate(rng.normal(size=3000))]
+    source = spark.createDataFrame(rows, "rec long, t double, value double")
+    target = source.selectExpr("rec", "explode(array('a', 'b')) AS feature", "t + 4 AS t", "-value AS value")
+    target = target.unionByName(source.selectExpr("rec", "'noise' AS feature", "t", "xxhash64(t) % 1000 / 1000.0 AS value"))
+    priors = spark.createDataFrame([(0, 4.0), (1, 4.0), (2, 4.0), (9, 4.0)], "rec long, prior double")
+    m = envelopes.envelope_maps(source, target, priors, 10.0, 10.0, length=100.0, step=50.0, coarse=5.0)
+    plan = m._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 1 and "FlatMapCoGroupsInPandas" not in plan
+    got = {x.rec: (x.status, x.feature, x.intercept and round(x.intercept, 3), x.agreement) for x in m.collect()}
+    assert got == {**{k: ("offset_only", "a", 4.0, False) for k in range(3)}, 9: ("unavailable", None, None, False)}
+
+
+def test_agreement_of_maps(spark):
+    from chronoweave.operators import envelopes
+
+    fit = lambda rec, feature, kind, a, b, n, r=0.9: (rec, feature, kind, a, b, (b - 1) * 1e6 if kind == "affine" else None, n, n, r, 0.01, 0.0, 0.0, 900.0)
+    fits = [
+        fit(1, "a", "affine", 5.0, 1.0, 9), fit(1, "b", "affine", 5.2, 1.0, 6), fit(1, "c", "affine", 50.0, 1.0, 4), fit(1, "d", "offset_only", 50.0, 1.0, 9),
+        fit(2, "a", "affine", 5.0, 1.0, 9), fit(2, "b", "affine", 5.2, 1.0, 6), fit(2, "c", "affine", 5.7, 1.0, 5),
+        fit(3, "a", "affine", 5.0, 1.0, 9), fit(4, "a", "unavailable", None, None, 0, None), fit(5, "z", "affine", 5.0, 1.0, 9), fit(5, "y", "affine", 5.0, 1.0011, 9),
+    ]
+    spans = spark.createDataFrame([(k, 100.0) for k in range(1, 7)], "rec long, middle double")
+    got = {x.rec: (x.feature, x.agreement, x.status) for x in envelopes.graded_maps(spark.createDataFrame(fits, envelopes.FIT), spans).collect()}
+    assert got == {1: ("a", True, "affine"), 2: ("a", False, "affine_review"), 3: ("a", False, "affine_review"), 4: (None, False, "unavailable"), 5: ("y", False, "affine_review"), 6: (None, False, "unavailable")}
