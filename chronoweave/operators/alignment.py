@@ -162,11 +162,16 @@ def align(source: DataFrame, target: DataFrame, hz: float = 50.0, length: float
 
 def repair_summary(chunks: DataFrame, size: int = 20) -> DataFrame:
     """Match ratio, ambiguous, duplicate and missing chunks per recording, and the grade."""
-    seen = chunks.where("start IS NOT NULL").select("rec", "start").distinct().withColumn("_d", F.col("start") - F.lag("start").over(Window.partitionBy("rec").orderBy("start")))
-    missing = seen.groupBy("rec").agg(F.count("*").alias("distinct_starts"), F.coalesce(F.sum(F.greatest(F.rint(F.col("_d") / size) - 1, F.lit(0.0))), F.lit(0.0)).cast("long").alias("missing"))
-    g = chunks.groupBy("rec").agg(F.count("*").alias("chunks"), F.count("start").alias("matched"), F.count_if(F.col("start").isNotNull() & (F.col("candidates") > 1)).alias("ambiguous"))
-    s = g.join(missing, "rec", "left").withColumn("ratio", F.col("matched") / F.col("chunks")).withColumn("duplicates", F.col("matched") - F.coalesce("distinct_starts", F.lit(0)))
-    s = s.withColumn("missing", F.coalesce("missing", F.lit(0)))
+    # one pass over the chunks, as each use of them would look for them again
+    there = F.col("start").isNotNull()
+    seen = chunks.groupBy("rec", "start").agg(F.count("*").alias("_n"), F.count_if(F.col("candidates") > 1).alias("_many"))
+    seen = seen.withColumn("_d", F.col("start") - F.lag("start").over(Window.partitionBy("rec").orderBy("start")))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+    s = seen.groupBy("rec").agg(
+        total(F.col("_n")).alias("chunks"), total(F.when(there, F.col("_n"))).alias("matched"), total(F.when(there, F.col("_many"))).alias("ambiguous"),
+        total(F.when(there, F.col("_n") - 1)).alias("duplicates"), total(F.when(there, F.greatest(F.rint(F.col("_d") / size) - 1, F.lit(0.0)))).alias("missing"),
+    )
+    s = s.withColumn("ratio", F.col("matched") / F.col("chunks"))
     clean = (F.col("ratio") == 1) & (F.col("ambiguous") == 0) & (F.col("duplicates") == 0) & (F.col("missing") == 0)
     grade = F.when(clean, "A").when(F.col("ratio") >= 0.99, "B").when(F.col("ratio") >= 0.95, "C").otherwise("D")
     return s.select("rec", "chunks", "matched", "ambiguous", "duplicates", "missing", "ratio", grade.alias("grade"))

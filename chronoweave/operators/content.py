@@ -3,8 +3,10 @@ decides between the places where a piece stands."""
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,23 +37,34 @@ def _windows(rows: DataFrame, size: int, length: Column) -> DataFrame:
 def _pass(size: int, radius: int):
     """One recording in order: its pieces, and those places of the other sequence that hold any of them."""
 
-    def run(key, places: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
-        of = {k: np.sort(g.to_numpy()) for k, g in places.groupby(["h1", "h2"])["pos"]}
-        none, last, out = np.zeros(0, np.int64), None, []
-        for r in pieces.sort_values("chunk").itertuples():
-            at = of.get((r.h1, r.h2), none)
-            expected = (None if r.expected != r.expected else r.expected) if last is None else last + size
-            if last is not None and len(at):
-                i = np.searchsorted(at, expected)
-                if i < len(at) and at[i] == expected:
-                    at = at[i : i + 1]
+    def run(key, places: pa.Table, pieces: pa.Table) -> pa.Table:
+        h1, h2, at = (places.column(c).to_numpy() for c in ("h1", "h2", "pos"))
+        order = np.lexsort((at, h2, h1))
+        h1, h2, pos = h1[order], h2[order], at[order].tolist()
+        cuts = (np.flatnonzero((h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])) + 1).tolist()
+        begins = [0, *cuts] if pos else []
+        of = {k: ends for k, *ends in zip(zip(h1[begins].tolist(), h2[begins].tolist(), strict=True), begins, [*cuts, len(pos)], strict=False)}
+        last, starts, many = None, [], []
+        pieces = pieces.sort_by("chunk")
+        for a, b, first in zip(*(pieces.column(c).to_pylist() for c in ("h1", "h2", "expected")), strict=True):
+            low, high = of.get((a, b), (0, 0))
+            expected = (None if first != first else first) if last is None else last + size
+            if last is not None and low < high:
+                i = bisect_left(pos, expected, low, high)
+                if i < high and pos[i] == expected:
+                    low, high = i, i + 1
                 else:
-                    near = at[np.searchsorted(at, expected - radius) : np.searchsorted(at, expected + radius, "right")]
-                    at = near if len(near) else at
-            if len(at):
-                last = int(at[0] if expected is None else at[np.argmin(np.abs(at - expected))])
-            out.append((pieces["key"].iloc[0]["rec"], r.chunk, last if len(at) else None, len(at)))
-        return pd.DataFrame(out, columns=["rec", "chunk", "start", "candidates"]).astype({"start": "Int64", "rec": "Int64"})
+                    near = bisect_left(pos, expected - radius, low, high), bisect_right(pos, expected + radius, low, high)
+                    low, high = near if near[0] < near[1] else (low, high)
+            if low < high:
+                i = low if expected is None else bisect_left(pos, expected, low, high)
+                if i == high or (i > low and expected - pos[i - 1] <= pos[i] - expected):
+                    i -= 1
+                last = pos[i]
+            starts.append(last if low < high else None)
+            many.append(high - low)
+        rec = key[0].as_py()["rec"]
+        return pa.table({"rec": pa.array([rec] * len(starts), pa.int64()), "chunk": pieces.column("chunk"), "start": pa.array(starts, pa.int64()), "candidates": pa.array(many, pa.int64())})
 
     return run
 
@@ -75,4 +88,4 @@ def matched_chunks(raw: DataFrame, copy: DataFrame, size: int = 20, radius: int
         pieces = pieces.join(expected.select(F.struct("rec").alias("key"), F.col("expected").cast("double").alias("expected")), "key", "left")
     else:
         pieces = pieces.withColumn("expected", F.lit(None).cast("double"))
-    return places.groupBy("key").cogroup(pieces.groupBy("key")).applyInPandas(_pass(size, radius), "rec long, chunk long, start long, candidates long")
+    return places.groupBy("key").cogroup(pieces.groupBy("key")).applyInArrow(_pass(size, radius), "rec long, chunk long, start long, candidates long")

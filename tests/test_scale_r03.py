@@ -150,3 +150,42 @@ def test_agreement_of_maps(spark):
     spans = spark.createDataFrame([(k, 100.0) for k in range(1, 7)], "rec long, middle double")
     got = {x.rec: (x.feature, x.agreement, x.status) for x in envelopes.graded_maps(spark.createDataFrame(fits, envelopes.FIT), spans).collect()}
     assert got == {1: ("a", True, "affine"), 2: ("a", False, "affine_review"), 3: ("a", False, "affine_review"), 4: (None, False, "unavailable"), 5: ("y", False, "affine_review"), 6: (None, False, "unavailable")}
+
+
+def test_repairs_look_for_chunks_once(spark):
+    import random
+
+    from chronoweave.operators import content
+
+    draw, rows, copies = random.Random(9), [], []
+    for rec in range(6):
+        raw = [draw.randrange(2 + rec) for _ in range(90)]
+        at = [draw.randrange(80) for _ in range(14)]
+        part = [v for a in at for v in raw[a : a + 5]] + [7.5] * 5 + raw[:3]
+        rows += [(rec, k, float(v)) for k, v in enumerate(raw)]
+        copies += [(rec, k, float(v)) for k, v in enumerate(part)]
+    frame = lambda x: spark.createDataFrame(x, "rec long, seq long, value double")
+    first = spark.createDataFrame([(k, 10.0 * k) for k in range(4)], "rec long, expected double")
+    found = content.matched_chunks(frame(rows), frame(copies), size=5, radius=9, expected=first)
+    want = []
+    for rec in range(6):
+        raw, part = ([v for r, _, v in x if r == rec] for x in (rows, copies))
+        last = None
+        for c in range(0, len(part), 5):
+            piece = part[c : c + 5]
+            at = [k for k in range(len(raw) - len(piece) + 1) if raw[k : k + len(piece)] == piece]
+            goal = (10 * rec if rec < 4 else None) if last is None else last + 5
+            if last is not None:
+                at = [k for k in at if k == goal] or [k for k in at if abs(k - goal) <= 9] or at
+            if at:
+                last = at[0] if goal is None else min(at, key=lambda k: (abs(k - goal), k))  # noqa: B023
+            want.append((rec, c // 5, last if at else None, len(at)))
+    assert sorted(tuple(x) for x in found.select("rec", "chunk", "start", "candidates").collect()) == want
+    told = alignment.repair_summary(found, 5)
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroups") == 1
+    for x in told.collect():
+        mine = [w for w in want if w[0] == x.rec]
+        starts = sorted({w[2] for w in mine if w[2] is not None})
+        matched = sum(w[2] is not None for w in mine)
+        gaps = sum(max(round((b - a) / 5) - 1, 0) for a, b in zip(starts, starts[1:], strict=False))
+        assert (x.chunks, x.matched, x.ambiguous, x.duplicates, x.missing) == (len(mine), matched, sum(w[2] is not None and w[3] > 1 for w in mine), matched - len(starts), gaps)
