@@ -58,7 +58,6 @@ MARKS = re.compile(
 #: Names that keep an element whatever its other names: the article itself.
 KEEPS = re.compile(r"(?:^|[\s_\-:])(?:article|article-body|articlebody|post-body|post-content|entry-content|main-content|story-body)(?:$|[\s_\-:])", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search menu menubar toolbar dialog alert alertdialog form".split())
-_SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"[0-9]+")
 
 
@@ -99,6 +98,22 @@ def _step(tag: str, attrs: list) -> str:
     return f"{tag} {_DIGITS.sub('', names)}" if names else tag
 
 
+def _drops(tag: str, attrs: list) -> tuple[bool, bool]:
+    """Whether an element is furniture outside and inside an article."""
+    out = _furniture(tag, attrs, False)
+    return out, _furniture(tag, attrs, True) if tag == "header" else out
+
+
+#: Start and end tags in the plain form that most have, and what such start tags say: sites repeat them on every page.
+#: Other forms, and elements whose content is no markup, are the parser's own.
+_PLAIN = re.compile(r'<([A-Za-z][A-Za-z0-9]*)((?: [A-Za-z][A-Za-z\-]*="[^"<>&]*")*) ?(/?)>')
+_PLAIN_ATTR = re.compile(r' ([A-Za-z\-]+)="([^"]*)"')
+_PLAIN_END = re.compile(r"</([A-Za-z][A-Za-z0-9]*)>")
+_OWN = UNSHOWN | frozenset("xmp noembed noframes plaintext".split())
+_said: dict[str, tuple] = {}
+_SAID, _SAID_LENGTH = 4096, 256
+
+
 class _Tree(HTMLParser):
     """A forgiving tree: unclosed elements end with their parent, stray end tags are passed over."""
 
@@ -114,7 +129,39 @@ class _Tree(HTMLParser):
         if self.stack.pop().tag in ("article", "main"):
             self.articles -= 1
 
+    def updatepos(self, i, j):
+        return j  # lines aren't counted
+
+    def parse_starttag(self, i):
+        m = _PLAIN.match(self.rawdata, i) if self.cdata_elem is None else None
+        if m is None or m.end() - i > _SAID_LENGTH:
+            return super().parse_starttag(i)
+        said = _said.get(m[0])
+        if said is None:
+            tag = m[1].lower()
+            if tag in _OWN:
+                return super().parse_starttag(i)
+            attrs = [(k.lower(), v) for k, v in _PLAIN_ATTR.findall(m[2])]
+            if len(_said) >= _SAID:
+                _said.clear()
+            said = _said[m[0]] = tag, _drops(tag, attrs), _step(tag, attrs), bool(m[3])
+        tag, drops, step, empty = said
+        self._begin(tag, drops, step)
+        if empty and tag in ("path", "g"):
+            self.handle_endtag(tag)
+        return m.end()
+
+    def parse_endtag(self, i):
+        m = _PLAIN_END.match(self.rawdata, i) if self.cdata_elem is None else None
+        if m is None:
+            return super().parse_endtag(i)
+        self.handle_endtag(m[1].lower())
+        return m.end()
+
     def handle_starttag(self, tag, attrs):
+        self._begin(tag, _drops(tag, attrs), _step(tag, attrs))
+
+    def _begin(self, tag: str, drops: tuple[bool, bool], step: str) -> None:
         if tag in ("html", "body"):
             return
         if tag in BLOCKS:
@@ -127,7 +174,7 @@ class _Tree(HTMLParser):
                         break
                 elif open_ in BLOCKS and (open_ in STOPS or tag not in SAME_CLOSES):
                     break
-        node = _Node(tag, _furniture(tag, attrs, self.articles > 0), tag not in UNSHOWN, _step(tag, attrs))
+        node = _Node(tag, drops[self.articles > 0], tag not in UNSHOWN, step)
         self.stack[-1].kids.append(node)
         if tag not in VOID:
             self.stack.append(node)
@@ -187,7 +234,7 @@ def _hash_tree(root: _Node) -> None:
         length = 0
         for k in node.kids:
             if isinstance(k, str):
-                if text := _SPACE.sub(" ", k).strip():
+                if text := " ".join(k.split()):
                     h.update(b"\x01" + text.encode("utf-8", "replace"))
                     length += len(text)
             elif k.shown:
@@ -261,7 +308,7 @@ def main_text(root: _Node, template: frozenset | set = frozenset()) -> str:
     open_: list[str] = []
 
     def end() -> None:
-        if text := _SPACE.sub(" ", "".join(open_)).strip():
+        if text := " ".join("".join(open_).split()):
             blocks.append(text)
         open_.clear()
 
