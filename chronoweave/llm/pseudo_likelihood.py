@@ -17,7 +17,6 @@ multiples of a small unit, and the next round starts from the average.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +47,9 @@ class Words:
 
     def __init__(self, hashes: np.ndarray, bucket_counts: np.ndarray):
         self.sorted, self.rank = np.sort(hashes), np.argsort(hashes).astype(np.int32)
+        # where the words begin whose hashes have the same first 16 bits, and how many they are at most
+        self.begins = np.searchsorted(self.sorted, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48)).astype(np.int32)
+        self.most = int(np.diff(np.append(self.begins, len(hashes))).max())
         self.cost = np.zeros(TOKENS)
         self.cost[VOCABULARY:] = np.log(np.maximum(1, bucket_counts))
 
@@ -55,12 +57,15 @@ class Words:
         other = VOCABULARY + (hashes % np.uint64(PER_CLASS)).astype(np.int32)
         if not len(self.sorted):
             return other
-        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == hashes, self.rank[at], other)
+        begins = self.begins[(hashes >> np.uint64(48)).astype(np.int32)]
+        for k in range(self.most):
+            at = np.minimum(begins + k, len(self.sorted) - 1)
+            other = np.where(self.sorted[at] == hashes, self.rank[at], other)
+        return other
 
 
-#: Parts of a score are whole multiples of 1 / GRID.
-GRID = float(1 << 20)
+#: Parts of a score are whole multiples of 1 / GRID; positions scored at once, and of these by one product.
+GRID, BLOCK, SCORED = float(1 << 20), 1 << 16, 2048
 
 
 class Net:
@@ -79,9 +84,9 @@ class Net:
         self.classes, self.words = rows[n : n + CLASSES], rows[n + CLASSES :].reshape(CLASSES, PER_CLASS, WIDTH + 1)
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        total = self.tables[0][context[0]]
+        total = self.tables[0].take(context[0], axis=0, mode="clip")
         for k in range(1, len(OFFSETS)):
-            total += self.tables[k][context[k]]
+            total += self.tables[k].take(context[k], axis=0, mode="clip")
         np.tanh(total, out=total)
         total[:, WIDTH] = 1  # reads the biases
         return total
@@ -90,10 +95,15 @@ class Net:
         order, edges = _by_class(target)
         target = target[order]
         hidden = self.hidden(context[:, order])
-        told = _picked(hidden @ self.classes.T, target // PER_CLASS)
+        told, which = np.empty(len(target)), target // PER_CLASS
+        # hidden values are within 1, so a logit is within the sum of its weights
+        small = all(np.abs(w).sum(axis=-1).max() < 80 for w in (self.classes, self.words))
+        for k in range(0, len(target), SCORED):
+            part = slice(k, k + SCORED)
+            told[part] = _picked(self.classes @ hidden[part].T, which[part], small)
         for c in np.flatnonzero(np.diff(edges)):
             rows = slice(edges[c], edges[c + 1])
-            told[rows] += _picked(hidden[rows] @ self.words[c].T, target[rows] % PER_CLASS)
+            told[rows] += _picked(self.words[c] @ hidden[rows].T, target[rows] % PER_CLASS, small)
         out = np.empty(len(target))
         out[order] = told
         return out
@@ -104,26 +114,27 @@ class Net:
         order, edges = _by_class(target)
         context, target = context[:, order], target[order]
         hidden = self.hidden(context)
-        error = _error(hidden @ self.classes.T, target // PER_CLASS)
-        back = error @ self.classes
+        error = _error(self.classes @ hidden.T, target // PER_CLASS)
+        back = error.T @ self.classes
         base = len(OFFSETS) * (TOKENS + 1)
-        grads = [(np.arange(base, base + CLASSES), error.T @ hidden / n)]
+        grads = [(np.arange(base, base + CLASSES), error @ hidden / n)]
         for c in np.flatnonzero(np.diff(edges)):
             rows = slice(edges[c], edges[c + 1])
-            e = _error(hidden[rows] @ self.words[c].T, target[rows] % PER_CLASS)
-            back[rows] += e @ self.words[c]
+            e = _error(self.words[c] @ hidden[rows].T, target[rows] % PER_CLASS)
+            back[rows] += e.T @ self.words[c]
             first = base + CLASSES + c * PER_CLASS
-            grads.append((np.arange(first, first + PER_CLASS), e.T @ hidden[rows] / n))
-        back *= 1 - hidden**2  # the bias column's is nothing
+            grads.append((np.arange(first, first + PER_CLASS), e @ hidden[rows] / n))
+        back *= 1 - hidden * hidden  # the bias column's is nothing
         back /= n
         for k in range(len(OFFSETS)):
-            order = np.argsort(context[k], kind="stable")
+            order = np.argsort(context[k].astype(np.int16), kind="stable")  # 16 bits are sorted by radix
             ids = context[k][order]
             first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
             grads.append((k * (TOKENS + 1) + ids[first], np.add.reduceat(back[order], first)))
         rows, g = (np.concatenate(x) for x in zip(*grads, strict=True))  # no row is in two of them
-        power[rows] += (g * g).mean(axis=1) * 1e4
-        self.rows[rows] -= (RATE * 100 / np.sqrt(power[rows] + 1)[:, None] * g).astype(np.float32)
+        now = power[rows] + np.einsum("ij,ij->i", g, g) * (1e4 / (WIDTH + 1))
+        power[rows] = now
+        self.rows[rows] -= (RATE * 100 / np.sqrt(now + 1)).astype(np.float32)[:, None] * g
 
 
 def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,19 +143,23 @@ def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(target[order] // PER_CLASS, np.arange(CLASSES + 1))
 
 
-def _picked(logits: np.ndarray, which: np.ndarray) -> np.ndarray:
-    own = logits[np.arange(len(which)), which]
-    top = logits.max(axis=1)
-    logits -= top[:, None]
+def _picked(logits: np.ndarray, which: np.ndarray, small: bool = False) -> np.ndarray:
+    """Logarithms of the softmax over the first axis, which is the fast one to reduce, at one row for each column. small:
+    no logit is so large that its exponential would need the largest taken off."""
+    own = logits[which, np.arange(len(which))]
+    if not small:
+        top = logits.max(axis=0)
+        logits -= top
+        own -= top
     np.exp(logits, out=logits)
-    return (own - top - np.log(logits.sum(axis=1))).astype(np.float64)
+    return (own - np.log(logits.sum(axis=0))).astype(np.float64)
 
 
 def _error(logits: np.ndarray, which: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
+    logits -= logits.max(axis=0)
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    logits[np.arange(len(which)), which] -= 1
+    logits *= 1 / logits.sum(axis=0)
+    logits[which, np.arange(len(which))] -= 1
     return logits
 
 
@@ -160,23 +175,38 @@ def _neighbours(tokens: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndar
     return out
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Words in order, each once, and their counts of all parts."""
+    words, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(words)
+    words, n = words[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])) if len(words) else np.zeros(0, dtype=int)
+    return words[first], np.add.reduceat(n, first) if len(first) else n
+
+
+#: Distinct words that a task counts before it tells them, and words of blocks that wait to be summed.
+_DISTINCT, _WAITING = 200_000, 1 << 20
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of word hashes, summed over a task's batches as long as they fit."""
 
-    def told(counts: Counter) -> pa.RecordBatch:
-        words = np.fromiter(counts.keys(), dtype=np.uint64, count=len(counts)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(words), pa.array(np.fromiter(counts.values(), dtype=np.int64, count=len(counts)))], ["word", "n"])
+    def told(words: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(n)], ["word", "n"])
 
-    total: Counter = Counter()
+    parts, held = [(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))], 0
     for batch in batches:
         texts = batch.column(0).to_pylist()
         for a, b in H.blocks(texts):
-            words, n = np.unique(H.word_hashes(texts[a:b])[0], return_counts=True)
-            total.update(dict(zip(words.tolist(), n.tolist(), strict=True)))
-            if len(total) > 200_000:
-                yield told(total)
-                total = Counter()
-    yield told(total)
+            parts.append(np.unique(H.word_hashes(texts[a:b])[0], return_counts=True))
+            held += len(parts[-1][0])
+            if held > _WAITING:
+                parts = [_summed(parts)]
+                held = 0
+                if len(parts[0][0]) > _DISTINCT:
+                    yield told(*parts[0])
+                    parts = [(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))]
+    yield told(*_summed(parts))
 
 
 def vocabulary(docs: DataFrame, scratch: Scratch) -> tuple[Words, DataFrame]:
@@ -350,8 +380,8 @@ def _scored(words, rows):
             ends = np.concatenate([[0], np.cumsum(sizes)])
             tokens = np.frombuffer(b"".join(raw), dtype=np.int16).astype(np.int32)
             each = np.zeros(len(tokens))
-            for k in range(0, len(tokens), 16384):
-                at = np.arange(k, min(k + 16384, len(tokens)))
+            for k in range(0, len(tokens), BLOCK):
+                at = np.arange(k, min(k + BLOCK, len(tokens)))
                 each[at] = np.rint((net.log_likelihood(_neighbours(tokens, ends, at), tokens[at]) - cost[tokens[at]]) * GRID) / GRID
             pll, others = np.zeros(len(raw)), np.zeros(len(raw), dtype=np.int64)
             if some := np.flatnonzero(sizes).tolist():  # a text's sum is its own: no neighbour has a part in it
