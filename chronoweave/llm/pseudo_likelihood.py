@@ -82,11 +82,21 @@ class Net:
         self.rows = rows
         self.tables = rows[:n].reshape(len(OFFSETS), TOKENS + 1, WIDTH + 1)
         self.classes, self.words = rows[n : n + CLASSES], rows[n + CLASSES :].reshape(CLASSES, PER_CLASS, WIDTH + 1)
+        self.held: dict[str, np.ndarray] = {}
+
+    def room(self, what: str, n: int, m: int) -> np.ndarray:
+        """Memory for n by m numbers, the same at each call: to get new memory costs as much as what is done in it."""
+        if what not in self.held or self.held[what].size < n * m:
+            self.held[what] = np.empty(n * m, dtype=self.rows.dtype)
+        return self.held[what][: n * m].reshape(n, m)
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        total = self.tables[0].take(context[0], axis=0, mode="clip")
+        """The hidden layer, until the next call."""
+        total, more = (self.room(what, context.shape[1], WIDTH + 1) for what in ("hidden", "neighbour"))
+        self.tables[0].take(context[0], axis=0, mode="clip", out=total)
         for k in range(1, len(OFFSETS)):
-            total += self.tables[k].take(context[k], axis=0, mode="clip")
+            self.tables[k].take(context[k], axis=0, mode="clip", out=more)
+            total += more
         np.tanh(total, out=total)
         total[:, WIDTH] = 1  # reads the biases
         return total
@@ -96,8 +106,7 @@ class Net:
         target = target[order]
         hidden = self.hidden(context[:, order])
         told, which = np.empty(len(target)), target // PER_CLASS
-        # hidden values are within 1, so a logit is within the sum of its weights
-        small = all(np.abs(w).sum(axis=-1).max() < 80 for w in (self.classes, self.words))
+        small = self.bounded()
         for k in range(0, len(target), SCORED):
             part = slice(k, k + SCORED)
             told[part] = _picked(self.classes @ hidden[part].T, which[part], small)
@@ -108,33 +117,56 @@ class Net:
         out[order] = told
         return out
 
+    def bounded(self) -> bool:
+        """Whether no logit can be so large that its exponential would need the largest taken off: hidden values are
+        within 1, so a logit is within the sum of its weights."""
+        return float((np.abs(self.rows[len(OFFSETS) * (TOKENS + 1) :]) @ np.ones(WIDTH + 1, dtype=self.rows.dtype)).max()) < 80
+
     def step(self, context: np.ndarray, target: np.ndarray, power: np.ndarray) -> None:
         """One Adagrad step; power: sums of squared gradients by row."""
-        n = len(target)
+        n, small = len(target), self.bounded()
         order, edges = _by_class(target)
         context, target = context[:, order], target[order]
-        hidden = self.hidden(context)
-        error = _error(self.classes @ hidden.T, target // PER_CLASS)
-        back = error.T @ self.classes
+        present = [(c, slice(edges[c], edges[c + 1])) for c in np.flatnonzero(np.diff(edges))]
+        hidden, error = self.hidden(context), self.room("error", CLASSES, n)
+        back, more = (self.room(what, n, WIDTH) for what in ("back", "neighbour"))  # the biases are no neighbour's
         base = len(OFFSETS) * (TOKENS + 1)
-        grads = [(np.arange(base, base + CLASSES), error @ hidden / n)]
-        for c in np.flatnonzero(np.diff(edges)):
-            rows = slice(edges[c], edges[c + 1])
-            e = _error(self.words[c] @ hidden[rows].T, target[rows] % PER_CLASS)
-            back[rows] += e.T @ self.words[c]
-            first = base + CLASSES + c * PER_CLASS
-            grads.append((np.arange(first, first + PER_CLASS), e @ hidden[rows] / n))
-        back *= 1 - hidden * hidden  # the bias column's is nothing
-        back /= n
+        told = np.zeros((CLASSES + TOKENS, WIDTH + 1), dtype=self.rows.dtype)  # gradients of what reads the hidden layer
+        np.matmul(self.classes, hidden.T, out=error)
+        _error(error, target // PER_CLASS, small)
+        np.matmul(error.T, self.classes[:, :WIDTH], out=back)
+        np.matmul(error, hidden, out=told[:CLASSES])
+        error, words = self.room("error", PER_CLASS, n), told[CLASSES:].reshape(self.words.shape)
+        for c, rows in present:
+            np.matmul(self.words[c], hidden[rows].T, out=error[:, rows])
+        _error(error, target % PER_CLASS, small)
+        for c, rows in present:
+            np.matmul(error[:, rows].T, self.words[c, :, :WIDTH], out=more[rows])
+            np.matmul(error[:, rows], hidden[rows], out=words[c])
+        back += more
+        np.multiply(hidden[:, :WIDTH], hidden[:, :WIDTH], out=more)
+        np.subtract(1, more, out=more)
+        back *= more
+        grads = []
         for k in range(len(OFFSETS)):
             order = np.argsort(context[k].astype(np.int16), kind="stable")  # 16 bits are sorted by radix
-            ids = context[k][order]
+            ids = context[k].take(order)
             first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-            grads.append((k * (TOKENS + 1) + ids[first], np.add.reduceat(back[order], first)))
-        rows, g = (np.concatenate(x) for x in zip(*grads, strict=True))  # no row is in two of them
+            back.take(order, axis=0, mode="clip", out=more)
+            # two columns are summed at once, as the parts of complex numbers
+            grads.append((k * (TOKENS + 1) + ids[first], np.add.reduceat(more.view(np.complex64), first).view(np.float32)))
+        self._moved(slice(base, None), told, n, power)
+        for rows, g in grads:
+            self._moved(rows, g, n, power)
+
+    def _moved(self, rows, g: np.ndarray, n: int, power: np.ndarray) -> None:
+        g /= n
         now = power[rows] + np.einsum("ij,ij->i", g, g) * (1e4 / (WIDTH + 1))
         power[rows] = now
-        self.rows[rows] -= (RATE * 100 / np.sqrt(now + 1)).astype(np.float32)[:, None] * g
+        g *= (RATE * 100 / np.sqrt(now + 1)).astype(np.float32)[:, None]
+        own = self.rows[rows]
+        own[:, : g.shape[1]] -= g
+        self.rows[rows] = own
 
 
 def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,8 +187,10 @@ def _picked(logits: np.ndarray, which: np.ndarray, small: bool = False) -> np.nd
     return (own - np.log(logits.sum(axis=0))).astype(np.float64)
 
 
-def _error(logits: np.ndarray, which: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=0)
+def _error(logits: np.ndarray, which: np.ndarray, small: bool = False) -> np.ndarray:
+    """Softmax over the first axis less the one at `which`, in place. small: as for _picked."""
+    if not small:
+        logits -= logits.max(axis=0)
     np.exp(logits, out=logits)
     logits *= 1 / logits.sum(axis=0)
     logits[which, np.arange(len(which))] -= 1
@@ -373,7 +407,7 @@ def _rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _scored(words, rows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cost, net = words.value.cost, Net(rows.value.astype(np.float64))
+        cost, net = words.value.cost, Net(rows.value)
         for batch in batches:
             raw = batch.column(2).to_pylist()
             sizes = np.array([len(r) // 2 for r in raw], dtype=np.int64)
@@ -396,8 +430,8 @@ def score(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_tokens, pll (sum of log-probabilities) and mean_pll (per token; null without tokens) for every row of
     docs (doc_id, text). Null and empty texts have no tokens and a pll of 0; repeated rows score alike; an empty table
     gives an empty result; other columns aren't read. The same rows give the same scores, up to float32's rounding,
-    however they are partitioned. Texts are scored with 64 bits, and a token's part is rounded to a 2^-20th, far more than
-    the neighbours in its block can move it, so that sums of equal texts are equal."""
+    however they are partitioned. A token's part is rounded to a 2^-20th, so that a sum doesn't depend on its order; texts are
+    scored with 32 bits, as the net is trained, and equal texts are given one score."""
     scratch = scratch or Scratch(docs.sparkSession, "lm")
     words, counts = vocabulary(docs, scratch)
     spark = docs.sparkSession
@@ -410,6 +444,13 @@ def score(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     own = texts.select("text_key", "rare").mapInArrow(_rare, "text_key long, word long, times long").join(counts, "word")
     own = own.groupBy("text_key").agg(F.sum(F.col("times") * F.log("n")).alias("gain"), F.sum("times").alias("all"))
     scored = texts.select("doc_id", "text_key", "tokens").mapInArrow(_scored(known, rows), "doc_id long, n_tokens long, base double, text_key long, others long")
+    return _told(scratch.table(scored, "scored"), own)
+
+
+def _told(scored: DataFrame, own: DataFrame) -> DataFrame:
+    """The least score of a text's copies is that of all: their own may differ by float32's rounding, which may follow
+    where in a block, or on what kind of processor, each was scored."""
+    alike = scored.groupBy("text_key").agg(F.min("base").alias("base"), F.min("others").alias("others")).join(own, "text_key", "left")
     pll = F.col("base") + F.when(F.col("others") > 0, F.col("gain") * (F.col("others") / F.col("all"))).otherwise(0.0)
-    told = scored.join(own, "text_key", "left").select("doc_id", "n_tokens", pll.alias("pll"))
+    told = scored.select("doc_id", "n_tokens", "text_key").join(alike.select("text_key", pll.alias("pll")), "text_key").select("doc_id", "n_tokens", "pll")
     return told.withColumn("mean_pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")))

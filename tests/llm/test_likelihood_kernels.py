@@ -1,5 +1,6 @@
 """Counts, tokens and likelihoods of the window network against plain loops."""
 
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -50,3 +51,80 @@ def test_softmax_over_the_fast_axis():
     plain = net.log_likelihood(context, target)
     net.rows[-P.TOKENS :, P.WIDTH] += 200  # the same of every word: large weights, equal likelihoods
     assert np.allclose(net.log_likelihood(context, target), plain, atol=1e-3)
+
+
+def _made(work) -> int:
+    """Most bytes that a piece of work holds beyond what was held before, the second time it is done."""
+    work()
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_steps_use_their_memory_again():
+    """No array of a batch's logits is made anew: getting its memory took as long as the step's own work."""
+    rng = np.random.default_rng(7)
+    net, n = P.Net(), P.MOST_BATCH
+    context, target = rng.integers(0, 50, (len(P.OFFSETS), n)).astype(np.int32), rng.integers(0, P.TOKENS, n).astype(np.int32)
+    power = np.zeros(len(net.rows))
+    assert _made(lambda: net.step(context, target, power)) < 4 * P.PER_CLASS * n
+
+
+def test_scores_have_the_precision_of_the_net(monkeypatch):
+    """Texts are scored by the trained 32 bits, as 64 bits from the same parameters score them."""
+    rng = np.random.default_rng(8)
+    net = P.Net()
+    net.rows[:] = rng.normal(size=net.rows.shape) * 0.4
+    words = P.Words(np.zeros(0, dtype=np.uint64), np.full(P.PER_CLASS, 9))
+    texts = [rng.integers(0, P.TOKENS, k).astype(np.int16) for k in (0, 1, 700, 3, 5000)]
+    batch = pa.record_batch([pa.array(range(5), pa.int64()), pa.array(range(5), pa.int64()), pa.array([t.tobytes() for t in texts], pa.binary())], ["doc_id", "text_key", "tokens"])
+    known, seen, plain = type("Known", (), {"value": words}), [], P.Net.log_likelihood
+    monkeypatch.setattr(P.Net, "log_likelihood", lambda self, *a: seen.append(self.rows.dtype) or plain(self, *a))
+    (got,) = P._scored(known, type("Rows", (), {"value": net.rows}))(iter([batch]))
+    assert set(seen) == {np.dtype(np.float32)}
+    (want,) = P._scored(known, type("Rows", (), {"value": net.rows.astype(np.float64)}))(iter([batch]))
+    assert got.column(1).to_pylist() == want.column(1).to_pylist() == [len(t) for t in texts]
+    assert np.allclose(got.column(2), want.column(2), rtol=1e-6, atol=1e-5)
+
+
+def test_a_step_is_that_of_plain_loops():
+    """Adagrad by single examples in 64 bits, with contexts that occur once, often and never, and small and large weights."""
+    rng = np.random.default_rng(9)
+    for scale in (0.3, 8):
+        net, n = P.Net(), 40
+        net.rows[:] = rng.normal(size=net.rows.shape) * scale / (1 + 9 * (scale > 1) * (np.arange(len(net.rows)) < len(P.OFFSETS) * (P.TOKENS + 1)))[:, None]
+        net.tables[:, :, P.WIDTH] = 0
+        assert net.bounded() == (scale < 1)
+        context, target = rng.choice([0, 5, 5, 9, P.TOKENS], (len(P.OFFSETS), n)).astype(np.int32), rng.choice([0, 1, 70, P.TOKENS - 1], n).astype(np.int32)
+        start = net.rows.astype(np.float64)
+        base, grad = len(P.OFFSETS) * (P.TOKENS + 1), np.zeros(start.shape)
+        for i in range(n):
+            at = [k * (P.TOKENS + 1) + context[k, i] for k in range(len(P.OFFSETS))]
+            hidden = np.tanh(start[at].sum(axis=0))
+            hidden[P.WIDTH] = 1
+            back = np.zeros(P.WIDTH + 1)
+            for first, many, own in ((base, P.CLASSES, target[i] // P.PER_CLASS), (base + P.CLASSES + target[i] // P.PER_CLASS * P.PER_CLASS, P.PER_CLASS, target[i] % P.PER_CLASS)):
+                z = start[first : first + many] @ hidden
+                p = np.exp(z - z.max())
+                p /= p.sum()
+                p[own] -= 1
+                back += p @ start[first : first + many]
+                grad[first : first + many] += np.outer(p, hidden) / n
+            for row in at:
+                grad[row] += back * (1 - hidden**2) / n
+        power = (grad**2).sum(axis=1) * 1e4 / (P.WIDTH + 1)
+        got = np.zeros(len(start))
+        net.step(context, target, got)
+        assert np.allclose(got, power, rtol=1e-3, atol=1e-6)
+        assert np.allclose(net.rows, start - P.RATE * 100 / np.sqrt(power + 1)[:, None] * grad, atol=2e-3 if scale > 1 else 1e-5)
+
+
+def test_copies_are_given_one_score(spark):
+    """Scores of a text's copies that rounding has set apart come out equal."""
+    scored = spark.createDataFrame([(1, 4, -9.5, 77, 1), (2, 4, -9.5000009, 77, 1), (2, 4, -9.5, 77, 1), (None, 0, 0.0, 5, 0), (3, 2, -1.25, 6, 0)], "doc_id long, n_tokens long, base double, text_key long, others long")
+    own = spark.createDataFrame([(77, 6.0, 3)], "text_key long, gain double, all long")
+    got = sorted(((r["doc_id"] or 0, r["n_tokens"], r["pll"], r["mean_pll"]) for r in P._told(scored, own).collect()), key=str)
+    assert got == [(0, 0, 0.0, None), (1, 4, -7.5000009, -7.5000009 / 4), (2, 4, -7.5000009, -7.5000009 / 4), (2, 4, -7.5000009, -7.5000009 / 4), (3, 2, -1.25, -0.625)]
