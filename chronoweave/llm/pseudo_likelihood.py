@@ -5,8 +5,8 @@ neighbours, one table per position, are summed, squashed, and read by a two-leve
 word in its class). The sum of the tokens' conditional log-probabilities scores a document.
 
 Everything the model knows is gathered from all documents. Words are counted over the corpus; the most frequent make
-the vocabulary, the others share buckets, and a bucket's mass is spread over its words by their counts in the corpus,
-which are joined to the texts' words. Every position of every text is a training example, in one of the rounds. Texts
+the vocabulary, the others share buckets, and a bucket's mass is spread over its words by their counts in the corpus:
+a bounded number of the most frequent are known to every task, all others are joined to the texts' words. Every position of every text is a training example, in one of the rounds. Texts
 are read into tokens once, as a table that training and scoring share. Pieces of them are dealt evenly to replicas,
 more of them for more tokens, by a hash of the document, and a replica takes its pieces in the order of that hash: the
 model depends on the rows alone, not on how they are partitioned. Each replica is trained by numpy SGD (Adagrad) on the
@@ -41,29 +41,45 @@ POINT = 1 << 30
 OFFSETS = tuple(k for k in range(-SIDE, SIDE + 1) if k)
 
 
-class Words:
-    """Tokens of words: the vocabulary's by hash, others by bucket; and what a word of a bucket costs, its own count
-    left out."""
+#: Further words, the most frequent outside the vocabulary, whose counts go to every task; those of others are joined.
+COUNTED = 1 << 16
+
 
-    def __init__(self, hashes: np.ndarray, bucket_counts: np.ndarray):
-        self.sorted, self.rank = np.sort(hashes), np.argsort(hashes).astype(np.int32)
-        # where the words begin whose hashes have the same first 16 bits, and how many they are at most
-        self.begins = np.searchsorted(self.sorted, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48)).astype(np.int32)
+class Places:
+    """Where hashes are in a list of distinct hashes, found by their first bits."""
+
+    def __init__(self, hashes: np.ndarray, bits: int = 16):
+        self.sorted, self.place, self.shift = np.sort(hashes), np.argsort(hashes).astype(np.int32), np.uint64(64 - bits)
+        # where the hashes begin that have the same first bits, and how many they are at most
+        self.begins = np.searchsorted(self.sorted, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
         self.most = int(np.diff(np.append(self.begins, len(hashes))).max())
-        self.cost = np.zeros(TOKENS)
-        self.cost[VOCABULARY:] = np.log(np.maximum(1, bucket_counts))
 
-    def tokens(self, hashes: np.ndarray) -> np.ndarray:
-        other = VOCABULARY + (hashes % np.uint64(PER_CLASS)).astype(np.int32)
+    def find(self, hashes: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Their places in the list; for those that aren't there, what `other` says."""
         if not len(self.sorted):
             return other
-        begins = self.begins[(hashes >> np.uint64(48)).astype(np.int32)]
+        begins = self.begins[(hashes >> self.shift).astype(np.int32)]
         for k in range(self.most):
             at = np.minimum(begins + k, len(self.sorted) - 1)
-            other = np.where(self.sorted[at] == hashes, self.rank[at], other)
+            other = np.where(self.sorted[at] == hashes, self.place[at], other)
         return other
 
 
+class Words:
+    """Tokens of words: the vocabulary's by hash, others by bucket; what a word of a bucket costs, its own count left out;
+    and of further words the logarithms of their counts."""
+
+    def __init__(self, hashes: np.ndarray, bucket_counts: np.ndarray, further: np.ndarray | None = None, counts: np.ndarray | None = None):
+        self.places = Places(hashes)
+        self.further = Places(np.zeros(0, dtype=np.uint64) if further is None else further, 18)
+        self.gains = np.append(np.zeros(0) if counts is None else np.log(counts), 0.0)  # the last: of words not there
+        self.cost = np.zeros(TOKENS)
+        self.cost[VOCABULARY:] = np.log(np.maximum(1, bucket_counts))
+
+    def tokens(self, hashes: np.ndarray) -> np.ndarray:
+        return self.places.find(hashes, VOCABULARY + (hashes % np.uint64(PER_CLASS)).astype(np.int32))
+
+
 #: Parts of a score are whole multiples of 1 / GRID; positions scored at once, and of these by one product.
 GRID, BLOCK, SCORED = float(1 << 20), 1 << 16, 2048
 
@@ -243,6 +259,20 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield told(*_summed(parts))
 
 
+def _frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The words more frequent than all others, the vocabulary's and COUNTED more at most, and their counts. The
+    driver gets the numbers of words of each count, then no more than these words."""
+    sizes = sorted(((r["n"], r["words"]) for r in counts.groupBy("n").agg(F.count("*").alias("words")).collect()), reverse=True)
+    least, held = None, 0
+    for n, words in sizes:
+        held += words
+        if held > VOCABULARY + COUNTED:
+            break
+        least = n
+    rows = counts.where(F.col("n") >= least).collect() if least is not None else []
+    return np.array([r["word"] for r in rows], dtype=np.int64).astype(np.uint64), np.array([r["n"] for r in rows], dtype=np.int64)
+
+
 def vocabulary(docs: DataFrame, scratch: Scratch) -> tuple[Words, DataFrame]:
     """Counts of all words of all documents, as a table; the driver gets the most frequent and a number per bucket."""
     counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -254,14 +284,15 @@ def vocabulary(docs: DataFrame, scratch: Scratch) -> tuple[Words, DataFrame]:
     for r in buckets:
         left[r["bucket"]] = r["n"]
     np.subtract.at(left, (hashes % np.uint64(PER_CLASS)).astype(int), np.array([r["n"] for r in top], dtype=np.int64))
-    return Words(hashes, left), counts
+    return Words(hashes, left, *_frequent(counts)), counts
 
 
-TEXTS = "doc_id long, text_key long, tokens binary, rare binary"
+TEXTS = "doc_id long, text_key long, tokens binary, rare binary, gain double, counted long"
 
 
 def _tokenised(words):
-    """Texts as tokens (16 bits each), and the hashes of their words outside the vocabulary."""
+    """Texts as tokens (16 bits each); of their words outside the vocabulary, what the counts known here give, of how many
+    words, and the hashes of the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = words.value
@@ -270,15 +301,23 @@ def _tokenised(words):
             for a, b in H.blocks(texts):
                 hashes, ends = H.word_hashes(texts[a:b])
                 tokens = known.tokens(hashes)
-                rare = hashes[tokens >= VOCABULARY]
-                others = np.concatenate([[0], np.cumsum(tokens >= VOCABULARY)])[ends]
+                at = np.flatnonzero(tokens >= VOCABULARY)
+                owner = np.searchsorted(ends, at, side="right") - 1
+                rare = hashes[at]
+                place = known.further.find(rare, np.full(len(rare), -1, dtype=np.int32))
+                gain = np.bincount(owner, weights=known.gains[place], minlength=b - a).astype(np.float64)  # of none: whole numbers
+                counted = np.bincount(owner[place >= 0], minlength=b - a)
+                rare = rare[place < 0]
+                others = np.concatenate([[0], np.cumsum(np.bincount(owner[place < 0], minlength=b - a))])
                 tokens = tokens.astype(np.int16)
                 columns = [
                     pa.array([_text_key(t) for t in texts[a:b]], pa.int64()),
                     pa.array([tokens[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
                     pa.array([rare[i:j].tobytes() for i, j in zip(others[:-1], others[1:], strict=True)], pa.binary()),
+                    pa.array(gain),
+                    pa.array(counted.astype(np.int64)),
                 ]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *columns], ["doc_id", "text_key", "tokens", "rare"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *columns], ["doc_id", "text_key", "tokens", "rare", "gain", "counted"])
 
     return run
 
@@ -393,7 +432,7 @@ def _text_key(text: str | None) -> int:
 
 
 def _rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often each word outside the vocabulary is in a text."""
+    """How often each word whose count isn't known to the tasks is in a text."""
     for batch in batches:
         raw = batch.column(1).to_pylist()
         hashes = np.frombuffer(b"".join(raw), dtype=np.int64)
@@ -442,7 +481,9 @@ def score(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     rows = spark.sparkContext.broadcast(net.rows)
     # what the counts of a text's words outside the vocabulary give; repeated texts come in together, and in equal parts
     own = texts.select("text_key", "rare").mapInArrow(_rare, "text_key long, word long, times long").join(counts, "word")
-    own = own.groupBy("text_key").agg(F.sum(F.col("times") * F.log("n")).alias("gain"), F.sum("times").alias("all"))
+    own = own.select("text_key", (F.col("times") * F.log("n")).alias("gain"), "times")
+    own = own.unionByName(texts.select("text_key", "gain", F.col("counted").alias("times")))
+    own = own.groupBy("text_key").agg(F.sum("gain").alias("gain"), F.sum("times").alias("all"))
     scored = texts.select("doc_id", "text_key", "tokens").mapInArrow(_scored(known, rows), "doc_id long, n_tokens long, base double, text_key long, others long")
     return _told(scratch.table(scored, "scored"), own)
 

@@ -128,3 +128,29 @@ def test_copies_are_given_one_score(spark):
     own = spark.createDataFrame([(77, 6.0, 3)], "text_key long, gain double, all long")
     got = sorted(((r["doc_id"] or 0, r["n_tokens"], r["pll"], r["mean_pll"]) for r in P._told(scored, own).collect()), key=str)
     assert got == [(0, 0, 0.0, None), (1, 4, -7.5000009, -7.5000009 / 4), (2, 4, -7.5000009, -7.5000009 / 4), (2, 4, -7.5000009, -7.5000009 / 4), (3, 2, -1.25, -0.625)]
+
+
+def test_counts_known_to_tasks_and_joined_ones_give_the_same(spark, monkeypatch):
+    """What a text's words outside the vocabulary give is theirs by the whole corpus, wherever a count is looked up; the
+    frequent ones aren't joined. Words of equal counts stay together."""
+    monkeypatch.setattr(P, "VOCABULARY", 0)
+    monkeypatch.setattr(P, "TOKENS", P.PER_CLASS)
+    counts = Counter({f"w{k}": 1 + 90 // (k + 1) for k in range(60)})
+    texts = [None, "", " ".join(counts.elements()), "w0 w0 w59 w3", "w58"]
+    flat = Counter(w for t in texts for w in (t or "").split())
+    hashed = {w: int(H.word_hashes([w])[0].astype(np.int64)[0]) for w in flat}
+    table = spark.createDataFrame([(hashed[w], n) for w, n in flat.items()], "word long, n long")
+    for most in (0, 7, 20, 1000):
+        monkeypatch.setattr(P, "COUNTED", most)
+        further, n = P._frequent(table)
+        assert len(further) <= most and (len(further) == len(flat) or max([0, *(c for w, c in flat.items() if hashed[w] not in further.astype(np.int64))]) < min([*n, 1 << 40]))
+        words = P.Words(np.zeros(0, dtype=np.uint64), np.ones(P.PER_CLASS, dtype=np.int64), further, n)
+        batch = pa.record_batch([pa.array(range(5), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+        (got,) = P._tokenised(type("Known", (), {"value": words}))(iter([batch]))
+        by_hash = {h: flat[w] for w, h in hashed.items()}
+        for t, row in zip(texts, got.to_pylist(), strict=True):
+            rest = np.frombuffer(row["rare"], dtype=np.int64).tolist()
+            assert row["counted"] + len(rest) == len((t or "").split()) and not set(rest) & set(further.astype(np.int64).tolist())
+            assert np.isclose(row["gain"] + sum(np.log(by_hash[h]) for h in rest), sum(np.log(flat[w]) for w in (t or "").split()))
+        (none,) = P._tokenised(type("Known", (), {"value": words}))(iter([batch.slice(0, 2)]))
+        assert none.schema == got.schema and none.column("gain").to_pylist() == [0.0, 0.0]
